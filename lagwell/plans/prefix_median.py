@@ -1,0 +1,99 @@
+"""Exact expanding medians of a hot group, block by block.
+
+The median after j more rows lies near the middle of what came before, so a block of B
+rows needs only the B+2 middle values of its prefix and the count below them. Values are
+ranged into value buckets; prefix counts per (bucket, block) say which buckets hold a
+block's middle ranks, and only those values are sent to the block. Each block is then
+finished on its own in one Arrow batch of at most a few B values.
+"""
+
+from __future__ import annotations
+
+from bisect import insort
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from lagwell.plans.ranks import value_buckets
+
+
+def add_prefix_medians(d: DataFrame, keys, feats, size: int) -> DataFrame:
+    """d carries _rn (row number) and _blk (block); adds one column per feature."""
+    for f in feats:
+        d = _one(d, keys, f, size)
+    return d
+
+
+def _one(d, group, f, size):
+    keys = ["_key"]  # one non-null key, so groups with NULL parts join like any other
+    d = d.withColumn("_key", F.to_json(F.struct(*group)))
+    vals = d.filter(F.col(f.col).isNotNull()).select(
+        *keys, "_blk", F.col(f.col).cast("double").alias("_v"))
+    vals = value_buckets(vals, keys, "_v", "_vb", rows_per_bucket=size)
+    # values of a bucket and block, ties folded into a count
+    cells = vals.groupBy(*keys, "_vb", "_blk", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    per_cell = cells.groupBy(*keys, "_vb", "_blk").agg(F.sum("_c").alias("_c"))
+    blocks = d.groupBy(*keys, "_blk").agg(F.count(f.col).alias("_own"))
+    # prefix counts: how many earlier-block values each value bucket holds, per block
+    grid = blocks.select(*keys, "_blk").join(per_cell.select(*keys, "_vb").distinct(), keys)
+    grid = grid.join(per_cell, keys + ["_vb", "_blk"], "left")
+    before = Window.partitionBy(*keys, "_vb").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    grid = grid.withColumn("_pc", F.coalesce(F.sum("_c").over(before), F.lit(0)))
+    lower = Window.partitionBy(*keys, "_blk").orderBy("_vb").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*keys, "_blk")
+    grid = (grid.withColumn("_below", F.coalesce(F.sum("_pc").over(lower), F.lit(0)))
+            .withColumn("_tot", F.sum("_pc").over(whole)))
+    half = F.lit(size // 2 + 2)
+    want = grid.filter(
+        (F.col("_pc") > 0)
+        & (F.col("_below") + F.col("_pc") > F.col("_tot") / 2 - half)
+        & (F.col("_below") <= F.col("_tot") / 2 + half))
+    base = want.groupBy(*keys, "_blk").agg(F.min("_below").alias("_below"))
+    mid = (want.select(*keys, "_vb", F.col("_blk").alias("_for"))
+           .join(cells, keys + ["_vb"]).filter(F.col("_blk") < F.col("_for"))
+           .groupBy(*keys, "_for", "_v").agg(F.sum("_c").alias("_c"))
+           .withColumnRenamed("_for", "_blk")
+           .join(base, keys + ["_blk"]))
+    tot = grid.select(*keys, "_blk", "_tot").distinct()
+    mid = mid.join(tot, keys + ["_blk"])
+    rows = d.select(*keys, "_blk", "_rn", F.col(f.col).cast("double").alias("_x"))
+    hi, name, reach = f.frame.hi, f.name, size // 2 + 2
+
+    def finish(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        left = left.sort_values("_rn")
+        below, total = (int(right["_below"].iloc[0]), int(right["_tot"].iloc[0])) if len(right) else (0, 0)
+        right = right.sort_values("_v")
+        mids, below = _middle(right["_v"].to_numpy(), right["_c"].to_numpy(), below, total, reach)
+        out, n = [], total
+        for x in left["_x"]:
+            if hi == 1:
+                out.append(_at(mids, n, below))
+            if x == x:
+                insort(mids, x)
+                n += 1
+            if hi == 0:
+                out.append(_at(mids, n, below))
+        return pd.DataFrame({"_key": left["_key"], "_rn": left["_rn"],
+                             name: pd.Series(out, index=left.index, dtype="float64")})
+
+    schema = d.select(*keys, "_rn").schema.add(name, "double")
+    done = rows.groupBy(*keys, "_blk").cogroup(mid.groupBy(*keys, "_blk")).applyInPandas(finish, schema)
+    return d.join(done, keys + ["_rn"], "left").drop("_key")
+
+
+def _middle(values, counts, below, total, reach):
+    """Expand only the copies whose ranks lie within reach of the middle."""
+    end = below + np.cumsum(counts)
+    lo, hi = max(total // 2 - reach, below), total // 2 + reach + 1
+    keep = np.clip(np.minimum(end, hi) - np.maximum(end - counts, lo), 0, None).astype("int64")
+    return np.repeat(values, keep).tolist(), lo
+
+
+def _at(mids, n, below):
+    if n == 0:
+        return None
+    a, b = (n - 1) // 2 - below, n // 2 - below
+    return (mids[a] + mids[b]) / 2.0
