@@ -205,4 +205,5 @@ def oracle(body: str, *needs: str, keep: list[str], exact: bool = False) -> str:
     head = "WITH " + ",\n".join(parts) + "\nSELECT " + kept
     if exact:
         return head + "\nFROM res"
-    return head + f", round(CAST(COLUMNS(* EXCLUDE ({kept})) AS DOUBLE), 6) + 0.0\nFROM res"
+    # the offset settles exact ties of the last place, which sums in another order would flip
+    return head + f", round(CAST(COLUMNS(* EXCLUDE ({kept})) AS DOUBLE) + 1e-9, 6) + 0.0\nFROM res"

@@ -99,9 +99,9 @@ def pythagorean(runs_for, runs_against) -> Column:
 
 def log5(b, p, league) -> Column:
     b, p, lg = dbl(b), dbl(p), dbl(league)
-    top = b * p / lg
-    bottom = top + (1 - b) * (1 - p) / (1 - lg)
-    return F.when(bottom > 0, top / bottom)
+    top = F.try_divide(b * p, lg)
+    bottom = top + F.try_divide((1 - b) * (1 - p), 1 - lg)
+    return F.when(bottom > 0, F.try_divide(top, bottom))
 
 
 def shrink(split, prior, n, k: float) -> Column:

@@ -252,10 +252,14 @@ def _carried(f: Feature, w, own) -> Column:
 
 
 def pooled_std(n: Column, s: Column, q: Column) -> Column:
-    """Sample deviation from count, sum and sum of squares; NULL below two values."""
-    n, s = n.cast("double"), s.cast("double")
-    var = (q.cast("double") - s * s / n) / (n - 1)
-    return F.when(n > 1, F.sqrt(F.when(var < 0, F.lit(0.0)).otherwise(var)))
+    """Sample deviation from count, sum and sum of squares; NULL below two values.
+
+    A variance within rounding noise of the squares is taken as 0.
+    """
+    n, s, q = n.cast("double"), s.cast("double"), q.cast("double")
+    var = F.try_divide(q - F.try_divide(s * s, n), n - 1)
+    noise = F.try_divide(q, n) * 1e-11
+    return F.when(n > 1, F.sqrt(F.when(var <= noise, F.lit(0.0)).otherwise(var)))
 
 
 def totals(df: DataFrame, keys, aggs: dict[str, Column], hot: HotPolicy | None = None) -> DataFrame:
