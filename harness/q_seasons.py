@@ -248,7 +248,7 @@ def _pbox_season(entity, role):
     return last_season(f"""
 SELECT {entity} AS pitcher_key_id, game_season, '{role}' AS pitcher_role, {", ".join(f"{c} AS {p}{c}" for c in sums)},
   ip AS {p}ip, {", ".join(f"{R2.format(e)} AS {p}{n}" for n, e in rates.items())}
-FROM (SELECT {entity}, game_season, {", ".join(f"sum({c}) AS {c}" for c in sums)}, sum(ip) AS ip
+FROM (SELECT {entity}, game_season, {", ".join(f"sum({c}) AS {c}" for c in sums)}, round(sum(ip) * 3) / 3 AS ip
   FROM {TAGGED} WHERE pitcher_role = '{role}' GROUP BY ALL)""",
                        [p + c for c in [*sums, "ip", *rates]], ["pitcher_key_id", "game_season", "pitcher_role"])
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from harness.oracle import oracle
 
@@ -16,7 +15,7 @@ def tidy(df: DataFrame, keep: list[str], exact: bool = False) -> DataFrame:
     if exact:
         return df.select(*keep)
     rest = [c for c in df.columns if c not in keep]
-    return df.select(*keep, *[(F.round(F.col(c).cast("double") + F.lit(1e-9), 6) + F.lit(0.0)).alias(c) for c in rest])
+    return df.selectExpr(*keep, *[f"round(cast(`{c}` as double) + 1e-9D, 6) + 0D as `{c}`" for c in rest])
 
 
 def query(name: str, keep: list[str], sql: str | None = None, needs=(), exact: bool = False):

@@ -29,8 +29,9 @@ def read(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def _pick(items, index: str):
-    return F.element_at(F.array(*[F.lit(x) for x in items]), F.expr(f"cast({index} as int) + 1"))
+def _pick(items, index: str) -> str:
+    values = ", ".join("null" if x is None else f"'{x}'" for x in items)
+    return f"element_at(array({values}), cast({index} as int) + 1)"
 
 
 def schedule_raw(spark, d) -> DataFrame:
@@ -63,50 +64,48 @@ def pitches_raw(spark, d) -> DataFrame:
     home = "concat('t', (o_orderkey div 4) % 25)"
     away = "concat('t', ((o_orderkey div 4) % 25 + 1 + (o_orderkey div 100) % 24) % 25)"
     in_play = f"cast({tax} as int) in (4, 5)"
-    e = F.expr
-    return x.select(
-        e("cast(o_orderkey div 4 as string)").alias("gamepk"),
-        e("cast((o_orderkey % 4) * 4 + play as int)").alias("play_id"),
-        e("cast((o_orderkey % 4) * 1000 + _n as int)").alias("event_index"),
+    return x.selectExpr(
+        "cast(o_orderkey div 4 as string) as gamepk",
+        "cast((o_orderkey % 4) * 4 + play as int) as play_id",
+        "cast((o_orderkey % 4) * 1000 + _n as int) as event_index",
         "pitch_number",
-        e("concat('b', o_custkey * 2 + o_orderkey % 2)").alias("batter_id"),
-        e("concat('Batter ', o_custkey)").alias("batter_name"),
-        e(f"case when o_orderkey % 2 = 1 then {home} else {away} end").alias("batter_team_id"),
-        e("concat('p', l_suppkey * 2 + o_orderkey % 2)").alias("pitcher_id"),
-        e("concat('Pitcher ', l_suppkey)").alias("pitcher_name"),
-        e(f"case when o_orderkey % 2 = 1 then {away} else {home} end").alias("pitcher_team_id"),
-        e("cast(1 + (o_orderkey % 4) * 2 + l_linenumber div 4 as int)").alias("inning"),
-        e("case when o_orderkey % 2 = 1 then 'bottom' else 'top' end").alias("half_inning"),
-        e("cast(l_partkey % 4 as int)").alias("count_balls"),
-        e("cast(l_suppkey % 3 as int)").alias("count_strikes"),
-        e("cast(l_linenumber % 3 as int)").alias("count_outs"),
-        _pick(RESULTS, "l_quantity % 16").alias("play_result"),
-        _pick(EVENTS, "l_quantity % 16").alias("event_type"),
-        _pick(CALLS, tax).alias("pitch_call"),
-        _pick(CODES, disc).alias("pitch_call_code"),
-        e("not (l_returnflag = 'A' and l_linenumber = 7)").alias("is_pitch"),
-        e(in_play).alias("is_in_play"),
-        e(f"cast({tax} as int) in (0, 1, 3, 6, 7)").alias("is_strike"),
-        e(f"cast({tax} as int) in (2, 8)").alias("is_ball"),
-        e("cast(nullif(l_partkey % 15, 0) as int)").alias("zone"),
-        e("80 + nullif(l_quantity, 50) * 0.4D").alias("start_speed"),
-        e("74 + nullif(l_quantity, 50) * 0.4D - l_tax * 25").alias("end_speed"),
-        e("5 + l_discount * 20").alias("extension"),
-        e("l_extendedprice / 40").alias("spin_rate"),
-        e("cast(l_suppkey % 21 - 10 as double)").alias("pfx_x"),
-        e("cast(l_partkey % 23 - 11 as double)").alias("pfx_z"),
-        e("cast(l_partkey % 19 - 9 as double)").alias("break_horizontal"),
-        e("cast(l_suppkey % 17 - 8 as double)").alias("break_vertical_induced"),
-        e("50 + l_discount * 30").alias("release_pos_y"),
-        e("(l_partkey % 41 - 20) / 10.0D").alias("plate_x"),
-        e("(l_partkey % 37) / 10.0D").alias("plate_z"),
-        e("1.5D").alias("strike_zone_bottom"),
-        e("3.5D").alias("strike_zone_top"),
-        e(f"case when {in_play} and l_partkey % 11 <> 0 then 60 + l_quantity end").alias("launch_speed"),
-        e(f"case when {in_play} then cast(l_partkey % 90 - 30 as double) end").alias("launch_angle"),
-        F.when(e(f"{in_play} and l_partkey % 13 <> 0"),
-               _pick(TRAJECTORIES, "l_partkey % 4")).alias("trajectory"),
-        F.when(e(in_play), _pick(HARDNESS, "l_suppkey % 3")).alias("hardness"),
+        "concat('b', o_custkey * 2 + o_orderkey % 2) as batter_id",
+        "concat('Batter ', o_custkey) as batter_name",
+        f"case when o_orderkey % 2 = 1 then {home} else {away} end as batter_team_id",
+        "concat('p', l_suppkey * 2 + o_orderkey % 2) as pitcher_id",
+        "concat('Pitcher ', l_suppkey) as pitcher_name",
+        f"case when o_orderkey % 2 = 1 then {away} else {home} end as pitcher_team_id",
+        "cast(1 + (o_orderkey % 4) * 2 + l_linenumber div 4 as int) as inning",
+        "case when o_orderkey % 2 = 1 then 'bottom' else 'top' end as half_inning",
+        "cast(l_partkey % 4 as int) as count_balls",
+        "cast(l_suppkey % 3 as int) as count_strikes",
+        "cast(l_linenumber % 3 as int) as count_outs",
+        _pick(RESULTS, "l_quantity % 16") + " as play_result",
+        _pick(EVENTS, "l_quantity % 16") + " as event_type",
+        _pick(CALLS, tax) + " as pitch_call",
+        _pick(CODES, disc) + " as pitch_call_code",
+        "not (l_returnflag = 'A' and l_linenumber = 7) as is_pitch",
+        f"{in_play} as is_in_play",
+        f"cast({tax} as int) in (0, 1, 3, 6, 7) as is_strike",
+        f"cast({tax} as int) in (2, 8) as is_ball",
+        "cast(nullif(l_partkey % 15, 0) as int) as zone",
+        "80 + nullif(l_quantity, 50) * 0.4D as start_speed",
+        "74 + nullif(l_quantity, 50) * 0.4D - l_tax * 25 as end_speed",
+        "5 + l_discount * 20 as extension",
+        "l_extendedprice / 40 as spin_rate",
+        "cast(l_suppkey % 21 - 10 as double) as pfx_x",
+        "cast(l_partkey % 23 - 11 as double) as pfx_z",
+        "cast(l_partkey % 19 - 9 as double) as break_horizontal",
+        "cast(l_suppkey % 17 - 8 as double) as break_vertical_induced",
+        "50 + l_discount * 30 as release_pos_y",
+        "(l_partkey % 41 - 20) / 10.0D as plate_x",
+        "(l_partkey % 37) / 10.0D as plate_z",
+        "1.5D as strike_zone_bottom",
+        "3.5D as strike_zone_top",
+        f"case when {in_play} and l_partkey % 11 <> 0 then 60 + l_quantity end as launch_speed",
+        f"case when {in_play} then cast(l_partkey % 90 - 30 as double) end as launch_angle",
+        f"case when {in_play} and l_partkey % 13 <> 0 then {_pick(TRAJECTORIES, 'l_partkey % 4')} end as trajectory",
+        f"case when {in_play} then {_pick(HARDNESS, 'l_suppkey % 3')} end as hardness",
     )
 
 
@@ -160,7 +159,7 @@ def _games(spark, d) -> DataFrame:
 
 def batter_box(spark, d) -> DataFrame:
     p = pitches_raw(spark, d)
-    n = lambda cond: F.sum(F.expr(f"case when {cond} then 1 else 0 end"))
+    n = lambda cond: F.expr(f"sum(case when {cond} then 1 else 0 end)")
     box = p.groupBy("gamepk", F.col("batter_id").alias("personId"), F.col("batter_team_id").alias("team_id"),
                     F.col("batter_name").alias("player_name")).agg(
         F.count(F.lit(1)).alias("plate_appearances"),
@@ -185,7 +184,7 @@ def batter_box(spark, d) -> DataFrame:
 
 def pitcher_box(spark, d) -> DataFrame:
     p = pitches_raw(spark, d)
-    n = lambda cond: F.sum(F.expr(f"case when {cond} then 1 else 0 end"))
+    n = lambda cond: F.expr(f"sum(case when {cond} then 1 else 0 end)")
     outs = n("play_result in ('Strikeout','Groundout','Flyout','Lineout','Sac Fly','Pop Out','Strikeout Double Play')")
     box = p.groupBy("gamepk", F.col("pitcher_id").alias("personId"), F.col("pitcher_team_id").alias("team_id"),
                     F.col("pitcher_name").alias("player_name")).agg(

@@ -134,3 +134,38 @@ def clip_probability(p, eps: float) -> Column:
 def row_log_loss(y, p, eps: float = 1e-15) -> Column:
     q, y = clip_probability(p, eps), dbl(y)
     return -(y * F.log(q) + (1 - y) * F.log(1 - q))
+
+
+# ---- the same guards as SQL text, for projections of many columns ------------------------
+
+def ratio_sql(num: str, den: str) -> str:
+    return f"try_divide(CAST({num} AS DOUBLE), CAST({den} AS DOUBLE))"
+
+
+def ratio1_sql(num: str, den: str) -> str:
+    """num / max(den, 1); a NULL den stays NULL."""
+    return f"CAST({num} AS DOUBLE) / CASE WHEN {den} < 1 THEN 1D ELSE CAST({den} AS DOUBLE) END"
+
+
+def in_sql(x: str, values) -> str:
+    """Membership that is false, not NULL, for a missing value."""
+    items = ", ".join(str(v) if isinstance(v, (int, float)) else "'" + v.replace("'", "\\'") + "'" for v in values)
+    return f"coalesce({x} IN ({items}), false)"
+
+
+def count_sql(cond: str) -> str:
+    return f"count(CASE WHEN {cond} THEN 1 END)"
+
+
+def fip_sql(hr: str, free_bases: str, k: str, pa: str) -> str:
+    return f"{ratio_sql(f'(13 * {hr} + 3 * {free_bases} - 2 * {k})', pa)} + {K.FIP_CONSTANT}D"
+
+
+def named(items: dict) -> list:
+    """SELECT items of a {name: SQL text} mapping."""
+    return [f"{e} AS `{n}`" for n, e in items.items()]
+
+
+def named_columns(items: dict) -> list:
+    """The same as columns, for grouped aggregation."""
+    return [F.expr(x) for x in named(items)]

@@ -47,6 +47,14 @@ def innings(x, on_bad: str = "keep") -> Column:
     raise ValueError(f"on_bad must be keep, null or raise, got {on_bad!r}")
 
 
+def whole_thirds(x) -> Column:
+    """A sum of innings put back on the nearest third, so that its rounding error, and any
+    tie it would flip further on, does not depend on the order of the sum."""
+    v = dbl(x)
+    thirds = F.rint(v * 3)
+    return F.when(F.abs(v * 3 - thirds) < 1e-6, thirds / 3).otherwise(v)
+
+
 def order_slot(x) -> Column:
     """Lineup code (e.g. 301) to slot (1)."""
     return _c(x).cast("string").try_cast("double").cast("int") % 100

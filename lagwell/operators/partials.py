@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lagwell.functions import constants as K
-from lagwell.functions.rates import among, truth
+from lagwell.functions.rates import count_sql, in_sql, named_columns
 from lagwell.plans.frames import totals
 
 STUFF = ["start_speed", "end_speed", "perceived_velo", "spin_rate", "movement_magnitude", "pfx_z",
@@ -29,67 +29,59 @@ PA_SUMS = ["pa_total", "pa_pitch_count_sum", "pa_pitch_count_sumsq", *OUTCOMES,
            "pa_final_balls_n", "pa_final_strikes_sum", "pa_final_strikes_n", "pa_full_count_n"]
 
 
-def count_where(cond: Column) -> Column:
-    return F.count(F.when(cond, F.lit(1)))
-
-
 def sum0(x: Column) -> Column:
     """Sum that is 0, not NULL, for a group without values."""
     return F.coalesce(F.sum(x), F.lit(0))
 
 
-def _outcomes() -> dict[str, Column]:
-    end = truth(F.col("is_last_pitch"))
-    on = lambda x: F.when(end, x)
-    n = F.col("pitch_number")
+def _outcomes() -> dict[str, str]:
+    end = "is_last_pitch"
+    on = lambda x: f"CASE WHEN {end} THEN {x} END"
     return {
-        "pa_rows": count_where(end),
-        "pa_total": F.count(on(F.col("play_result"))),
-        "pa_pitch_count_sum": F.sum(on(n)),
-        "pa_pitch_count_sumsq": F.sum(on(n.cast("double") * n)),
-        **{name: count_where(end & among("play_result", rs)) for name, rs in OUTCOMES.items()},
-        "pa_final_balls_sum": F.sum(on(F.col("count_balls"))),
-        "pa_final_balls_n": F.count(on(F.col("count_balls"))),
-        "pa_final_strikes_sum": F.sum(on(F.col("count_strikes"))),
-        "pa_final_strikes_n": F.count(on(F.col("count_strikes"))),
-        "pa_full_count_n": count_where(end & truth((F.col("count_balls") == 3) & (F.col("count_strikes") == 2))),
+        "pa_rows": count_sql(end),
+        "pa_total": f"count({on('play_result')})",
+        "pa_pitch_count_sum": f"sum({on('pitch_number')})",
+        "pa_pitch_count_sumsq": f"sum({on('CAST(pitch_number AS DOUBLE) * pitch_number')})",
+        **{name: count_sql(f"{end} AND {in_sql('play_result', rs)}") for name, rs in OUTCOMES.items()},
+        "pa_final_balls_sum": f"sum({on('count_balls')})", "pa_final_balls_n": f"count({on('count_balls')})",
+        "pa_final_strikes_sum": f"sum({on('count_strikes')})", "pa_final_strikes_n": f"count({on('count_strikes')})",
+        "pa_full_count_n": count_sql(f"{end} AND count_balls = 3 AND count_strikes = 2"),
     }
 
 
-def pitcher_measures() -> dict[str, Column]:
-    c = F.col
-    m: dict[str, Column] = {}
+def _launch(prefix: str) -> dict[str, str]:
+    out = {}
+    for x in ("speed", "angle"):
+        hit = f"CASE WHEN is_in_play THEN launch_{x} END"
+        out[f"{prefix}launch_{x}_sum"] = f"coalesce(sum({hit}), 0)"
+        out[f"{prefix}launch_{x}_n"] = f"count({hit})"
+    return out
+
+
+def pitcher_measures() -> dict[str, str]:
+    m: dict[str, str] = {}
     for x in STUFF + COMMAND:
         p = ("stuff_" if x in STUFF else "command_") + x
-        m[p + "_sum"], m[p + "_n"] = sum0(c(x)), F.count(x)
+        m[p + "_sum"], m[p + "_n"] = f"coalesce(sum({x}), 0)", f"count({x})"
         if x in SPREAD:
-            m[p + "_sumsq"] = sum0(c(x) * c(x))
+            m[p + "_sumsq"] = f"coalesce(sum({x} * {x}), 0)"
         if x in PEAK:
-            m[p + "_max"] = F.max(x)
+            m[p + "_max"] = f"max({x})"
     for name, cond in {
-        "in_play": c("is_in_play"), "swinging_strike": c("is_swinging_strike"), "zone": among("zone", K.IN_ZONE),
-        "ball": c("is_ball"), "strike": c("is_strike"), "called_strike": c("is_called_strike"),
-        "chase": c("is_chase"), "zone_swing": c("is_zone_swing"),
-        "first_pitch_strike": truth(c("is_first_pitch") & c("is_strike")),
+        "in_play": "is_in_play", "swinging_strike": "is_swinging_strike", "zone": in_sql("zone", K.IN_ZONE),
+        "ball": "is_ball", "strike": "is_strike", "called_strike": "is_called_strike", "chase": "is_chase",
+        "zone_swing": "is_zone_swing", "first_pitch_strike": "coalesce(is_first_pitch AND is_strike, false)",
     }.items():
-        m[f"command_{name}_n"] = count_where(cond)
-        m[f"command_{name}_known"] = F.count(cond)
-    m["n_pitches"] = F.count(F.lit(1))
-    m["thrown"] = count_where(c("is_pitch"))
+        m[f"command_{name}_n"] = count_sql(cond)
+        m[f"command_{name}_known"] = f"count({cond})"
+    m["n_pitches"], m["thrown"] = "count(1)", count_sql("is_pitch")
     m.update(_outcomes())
-    hit = truth(c("is_in_play"))
-    m.update({
-        "contact_rows": count_where(hit),
-        "contact_n": F.count(F.when(hit, c("trajectory"))),
-        "contact_hard_hit_n": count_where(hit & (c("hardness") == "Hard")),
-        "contact_gb_n": count_where(hit & (c("trajectory") == "Ground Ball")),
-        "contact_fb_n": count_where(hit & (c("trajectory") == "Fly Ball")),
-        "contact_ld_n": count_where(hit & (c("trajectory") == "Line Drive")),
-        "contact_launch_speed_sum": sum0(F.when(hit, c("launch_speed"))),
-        "contact_launch_speed_n": F.count(F.when(hit, c("launch_speed"))),
-        "contact_launch_angle_sum": sum0(F.when(hit, c("launch_angle"))),
-        "contact_launch_angle_n": F.count(F.when(hit, c("launch_angle"))),
-    })
+    m["contact_rows"] = count_sql("is_in_play")
+    m["contact_n"] = "count(CASE WHEN is_in_play THEN trajectory END)"
+    m["contact_hard_hit_n"] = count_sql("is_in_play AND hardness = 'Hard'")
+    for n, v in (("gb", "Ground Ball"), ("fb", "Fly Ball"), ("ld", "Line Drive")):
+        m[f"contact_{n}_n"] = count_sql(f"is_in_play AND trajectory = '{v}'")
+    m.update(_launch("contact_"))
     return m
 
 
@@ -107,60 +99,50 @@ def pitcher_games(pbp: DataFrame, entity: str = "pitcher_id", role: str | None =
     """
     extra = list(extra)
     d = pbp if role is None else pbp.filter(F.col("pitcher_role") == role)
-    d = d.filter(F.col(entity).isNotNull() & F.col("gamepk").isNotNull() & F.col("game_season").isNotNull())
-    for x in extra:
-        d = d.filter(F.col(x).isNotNull())
-    at = F.when(truth(F.col("is_last_pitch")), F.struct("play_id", "event_index"))
+    d = d.na.drop(subset=[entity, "gamepk", "game_season", *extra])
+    at = F.expr("CASE WHEN is_last_pitch THEN struct(play_id, event_index) END")
     keys = [entity, "gamepk", "game_date", "game_season", *extra]
     exit_row = F.max_by(F.struct(*EXIT), at).alias("_exit")
-    g = d.groupBy(*keys).agg(*[m.alias(n) for n, m in pitcher_measures().items()], exit_row,
+    g = d.groupBy(*keys).agg(*named_columns(pitcher_measures()), exit_row,
                              F.max(at).alias("_at"))
     if extra:
         g = totals(g, [entity, "gamepk"], {"_top": F.max("_at")})
         g = g.withColumn("_exit", F.when(F.col("_at") == F.col("_top"), F.col("_exit"))).drop("_top")
-    cols = {out: F.col("_exit")[src] for src, out in EXIT.items()}
-    for f in ("last_inning_ball", "last_inning_strike"):
-        cols[f] = cols[f].cast("int")
-    return g.withColumns(cols).drop("_exit", "_at")
-
-
-def batter_measures() -> dict[str, Column]:
-    c = F.col
-    swing, hit = truth(c("is_swing")), truth(c("is_in_play"))
-    foul = truth(c("pitch_call") == "Foul")
-    two = swing & truth(c("count_strikes") == 2)
-    either = foul | hit
+    cast = {"last_inning_ball": "CAST(_exit.is_ball AS INT)", "last_inning_strike": "CAST(_exit.is_strike AS INT)"}
+    kept = [c for c in g.columns if c not in ("_exit", "_at")]
+    return g.selectExpr(*kept, *[f"{cast.get(out, '_exit.' + src)} AS {out}" for src, out in EXIT.items()])
+
+
+def batter_measures() -> dict[str, str]:
+    foul = "pitch_call = 'Foul'"
+    either = f"({foul} OR is_in_play)"
+    two = "is_swing AND count_strikes = 2"
+    call = lambda cond: f"count(CASE WHEN {cond} THEN pitch_call END)"
+    launch = _launch("")
     return {
         **_outcomes(),
-        "chase_n": count_where(c("is_chase")), "zone_swing_n": count_where(c("is_zone_swing")),
-        "swinging_strike_n": count_where(c("is_swinging_strike")), "zone_n": count_where(among("zone", K.IN_ZONE)),
-        "n_pitches": F.count(F.lit(1)),
-        "swing_n": count_where(swing), "contact_n": count_where(swing & ~c("is_swinging_strike")),
-        "contact_rows": count_where(hit),
-        "hard_hit_n": count_where(hit & (c("launch_speed") >= 95)),
-        "launch_speed_valid_n": F.count(F.when(hit, c("launch_speed"))),
-        "sweet_spot_n": count_where(hit & c("launch_angle").between(8, 32)),
-        "launch_angle_valid_n": F.count(F.when(hit, c("launch_angle"))),
-        "gb_n": count_where(hit & (c("trajectory") == "Ground Ball")),
-        "fb_n": count_where(hit & (c("trajectory") == "Fly Ball")),
-        "ld_n": count_where(hit & (c("trajectory") == "Line Drive")),
-        "contact_trajectory_n": F.count(F.when(hit, c("trajectory"))),
-        "launch_speed_sum": sum0(F.when(hit, c("launch_speed"))),
-        "launch_angle_sum": sum0(F.when(hit, c("launch_angle"))),
-        "foul_n": count_where(swing & foul), "foul_swing_n": F.count(F.when(swing, c("pitch_call"))),
-        "contact_foul_n": count_where(foul), "foul_or_inplay_n": F.count(F.when(either, c("pitch_call"))),
-        "foul_or_inplay_rows": count_where(either),
-        "two_strike_foul_n": count_where(two & foul), "two_strike_swing_n": F.count(F.when(two, c("pitch_call"))),
-        "two_strike_swing_rows": count_where(two),
+        "chase_n": count_sql("is_chase"), "zone_swing_n": count_sql("is_zone_swing"),
+        "swinging_strike_n": count_sql("is_swinging_strike"), "zone_n": count_sql(in_sql("zone", K.IN_ZONE)),
+        "n_pitches": "count(1)", "swing_n": count_sql("is_swing"),
+        "contact_n": count_sql("is_swing AND NOT is_swinging_strike"), "contact_rows": count_sql("is_in_play"),
+        "hard_hit_n": count_sql("is_in_play AND launch_speed >= 95"),
+        "sweet_spot_n": count_sql("is_in_play AND launch_angle BETWEEN 8 AND 32"),
+        "launch_speed_valid_n": launch["launch_speed_n"], "launch_angle_valid_n": launch["launch_angle_n"],
+        "launch_speed_sum": launch["launch_speed_sum"], "launch_angle_sum": launch["launch_angle_sum"],
+        "gb_n": count_sql("is_in_play AND trajectory = 'Ground Ball'"),
+        "fb_n": count_sql("is_in_play AND trajectory = 'Fly Ball'"),
+        "ld_n": count_sql("is_in_play AND trajectory = 'Line Drive'"),
+        "contact_trajectory_n": "count(CASE WHEN is_in_play THEN trajectory END)",
+        "foul_n": count_sql(f"is_swing AND {foul}"), "foul_swing_n": call("is_swing"),
+        "contact_foul_n": count_sql(foul), "foul_or_inplay_n": call(either), "foul_or_inplay_rows": count_sql(either),
+        "two_strike_foul_n": count_sql(f"{two} AND {foul}"), "two_strike_swing_n": call(two),
+        "two_strike_swing_rows": count_sql(two),
     }
 
 
 def batter_groups(pbp: DataFrame, keys) -> DataFrame:
     """The batter measures over any grouping; rows with a NULL key are dropped."""
-    d = pbp
-    for k in keys:
-        d = d.filter(F.col(k).isNotNull())
-    return d.groupBy(*keys).agg(*[m.alias(n) for n, m in batter_measures().items()])
+    return pbp.na.drop(subset=list(keys)).groupBy(*keys).agg(*named_columns(batter_measures()))
 
 
 def batter_games(pbp: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lagwell.functions import constants as K
-from lagwell.functions.rates import among, flag, safe_div, truth
+from lagwell.functions.rates import flag, in_sql, named
 from lagwell.plans.frames import Feature, back, lagged, through, totals
 
 PA = ["gamepk", "play_id"]
@@ -14,26 +14,23 @@ PA = ["gamepk", "play_id"]
 
 def row_flags(pitches: DataFrame, target: str = "is_hit") -> DataFrame:
     """Row-level measures and flags; needs no order or grouping."""
-    c = F.col
-    swing = truth(c("pitch_call").isin(K.SWINGING_STRIKE_CALLS + K.FOUL_CALLS) | c("is_in_play"))
-    d = pitches.withColumns({
-        "gamepk": c("gamepk").cast("string"),
-        "batter_id": c("batter_id").cast("string"),
-        "pitcher_id": c("pitcher_id").cast("string"),
-        target: flag(c("play_result").isin(K.HITS)),
-        "speed_retention": safe_div("end_speed", "start_speed"),
-        "perceived_velo": c("start_speed") * F.try_divide(F.lit(60.5), 60.5 - c("extension")),
-        "is_swinging_strike": among("pitch_call", K.SWINGING_STRIKE_CALLS),
-        "is_called_strike": truth(c("pitch_call") == "Called Strike"),
-        "is_swing": swing,
-        "plate_z_normalized": safe_div(c("plate_z") - c("strike_zone_bottom"),
-                                       c("strike_zone_top") - c("strike_zone_bottom")),
-        "movement_magnitude": F.sqrt(c("pfx_x") * c("pfx_x") + c("pfx_z") * c("pfx_z")),
-    })
-    return d.withColumns({
-        "is_chase": c("is_swing") & among("zone", K.OUT_ZONE),
-        "is_zone_swing": c("is_swing") & truth(c("zone").between(1, 9)),
-    })
+    base = {
+        "gamepk": "CAST(gamepk AS STRING)", "batter_id": "CAST(batter_id AS STRING)",
+        "pitcher_id": "CAST(pitcher_id AS STRING)",
+        target: f"CAST({in_sql('play_result', K.HITS)} AS INT)",
+        "speed_retention": "try_divide(end_speed, start_speed)",
+        "perceived_velo": "start_speed * try_divide(60.5D, 60.5D - extension)",
+        "is_swinging_strike": in_sql("pitch_call", K.SWINGING_STRIKE_CALLS),
+        "is_called_strike": "coalesce(pitch_call = 'Called Strike', false)",
+        "is_swing": (f"{in_sql('pitch_call', K.SWINGING_STRIKE_CALLS + K.FOUL_CALLS)} "
+                     "OR coalesce(is_in_play, false)"),
+        "plate_z_normalized": "try_divide(plate_z - strike_zone_bottom, strike_zone_top - strike_zone_bottom)",
+        "movement_magnitude": "sqrt(pfx_x * pfx_x + pfx_z * pfx_z)",
+    }
+    kept = [c for c in pitches.columns if c not in base]
+    return pitches.selectExpr(*kept, *named(base)).selectExpr(
+        "*", f"is_swing AND {in_sql('zone', K.OUT_ZONE)} AS is_chase",
+        "is_swing AND coalesce(zone BETWEEN 1 AND 9, false) AS is_zone_swing")
 
 
 def pitch_state(pitches: DataFrame) -> DataFrame:
@@ -46,17 +43,13 @@ def pitch_state(pitches: DataFrame) -> DataFrame:
              Feature("_strikes", "value", "count_strikes", back(1))]
     d = lagged(pitches, PA, "event_index", feats)
     d = totals(d, PA, {"_last": F.max("pitch_number")})
-    first = F.col("pitch_number") == 1
-    d = d.withColumns({
-        "count_balls": F.when(first, F.lit(0)).otherwise(F.col("_balls")),
-        "count_strikes": F.when(first, F.lit(0)).otherwise(F.col("_strikes")),
-        "is_last_pitch": F.col("pitch_number") == F.col("_last"),
-    })
-    text = lambda x: F.col(x).cast("double").cast("string")
-    return d.withColumns({
-        "is_first_pitch": truth((F.col("count_balls") == 0) & (F.col("count_strikes") == 0)),
-        "count_state": F.concat(text("count_balls"), F.lit("-"), text("count_strikes")),
-    }).drop("_balls", "_strikes", "_last")
+    state = {c: f"CASE WHEN pitch_number = 1 THEN 0 ELSE {lag} END"
+             for c, lag in (("count_balls", "_balls"), ("count_strikes", "_strikes"))}
+    kept = [c for c in pitches.columns if c not in state]
+    text = lambda x: f"CAST(CAST({x} AS DOUBLE) AS STRING)"
+    return d.selectExpr(*kept, *named(state), "pitch_number = _last AS is_last_pitch").selectExpr(
+        "*", "coalesce(count_balls = 0 AND count_strikes = 0, false) AS is_first_pitch",
+        f"concat({text('count_balls')}, '-', {text('count_strikes')}) AS count_state")
 
 
 def lag_or_zero(pitches: DataFrame) -> DataFrame:

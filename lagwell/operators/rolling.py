@@ -9,10 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lagwell.functions.rates import babip, fip, safe_div
+from lagwell.functions.rates import babip, fip_sql, named, ratio_sql, safe_div
 from lagwell.operators import partials as P
 from lagwell.operators.season import both_roles, prefix_columns, tag_roles
-from lagwell.plans.frames import Feature, lagged, last, pooled_std, prior
+from lagwell.plans.frames import Feature, lagged, last, pooled_std_sql, prior
 
 ORDER = ["game_date", "gamepk"]
 
@@ -36,8 +36,8 @@ def roll(df: DataFrame, entity: str, window, sums=(), maxes=()) -> DataFrame:
     feats = [Feature("_r_" + c, agg, c, frame, need_prev=season)
              for agg, cols in (("sum", sums), ("max", maxes)) for c in cols]
     d = lagged(df.filter(F.col(entity).isNotNull()), entity, ORDER, feats)
-    out = {f.col: F.col(f.name) for f in feats}
-    return d.withColumns(out).drop(*[f.name for f in feats])
+    rolled = {f.col: f.name for f in feats}
+    return d.selectExpr(*[f"{rolled[c]} AS {c}" if c in rolled else c for c in df.columns])
 
 
 def batter_box_rolling(box: DataFrame, window) -> DataFrame:
@@ -85,8 +85,8 @@ PITCHER_SUMS = (
 PITCHER_MAXES = [f"stuff_{x}_max" for x in P.PEAK] + ["last_inning_outs", "pitch_count_max"]
 
 
-def _rates(pairs) -> dict:
-    return {n: safe_div(a, b) for n, a, b in pairs}
+def _rates(pairs) -> dict[str, str]:
+    return {n: ratio_sql(a, b) for n, a, b in pairs}
 
 
 def _pa_rates() -> list:
@@ -102,20 +102,19 @@ def pitcher_pitch_rolling(pbp: DataFrame, window, role: str | None = None, entit
     check_window(window)
     keys = [entity, "gamepk", "game_date", "game_season"]
     g = P.pitcher_games(pbp, entity, role)
-    done = F.col("pa_rows") > 0
-    n = F.col("n_pitches").cast("double")
-    g = g.withColumns({c: F.when(done, F.col(c)) for c in P.PA_SUMS})
-    g = g.withColumns({"games_n": F.lit(1), "pitch_count_sumsq": n * n, "pitch_count_max": F.col("n_pitches"),
-                       "last_inning_inning_sumsq": F.col("last_inning_inning").cast("double") * F.col("last_inning_inning")})
-    d = roll(g.select(*keys, *PITCHER_SUMS, *PITCHER_MAXES), entity, window, PITCHER_SUMS, PITCHER_MAXES)
-    c = F.col
-    std = lambda n_, s, q: pooled_std(c(n_), c(s), c(q))
+    derived = {
+        **{c: f"CASE WHEN pa_rows > 0 THEN {c} END" for c in P.PA_SUMS},
+        "games_n": "1", "pitch_count_sumsq": "CAST(n_pitches AS DOUBLE) * n_pitches", "pitch_count_max": "n_pitches",
+        "last_inning_inning_sumsq": "CAST(last_inning_inning AS DOUBLE) * last_inning_inning"}
+    g = g.selectExpr(*keys, *[f"{derived.get(c, c)} AS {c}" for c in PITCHER_SUMS + PITCHER_MAXES])
+    d = roll(g, entity, window, PITCHER_SUMS, PITCHER_MAXES)
+    std = pooled_std_sql
     out = {}
     for x in P.STUFF:
         s = f"stuff_{x}"
-        out[s + "_mean"] = safe_div(s + "_sum", s + "_n")
+        out[s + "_mean"] = ratio_sql(s + "_sum", s + "_n")
         if x in P.PEAK:
-            out[s + "_max"] = c(s + "_max")
+            out[s + "_max"] = s + "_max"
         if x in P.SPREAD:
             out[s + "_std"] = std(s + "_n", s + "_sum", s + "_sumsq")
     for x in P.COMMAND:
@@ -125,7 +124,7 @@ def pitcher_pitch_rolling(pbp: DataFrame, window, role: str | None = None, entit
         "first_pitch_strike")]))
     out.update(_rates(_pa_rates()))
     out["pa_pitch_count_std"] = std("pa_total", "pa_pitch_count_sum", "pa_pitch_count_sumsq")
-    out["pa_fip"] = fip("pa_hr_n", "pa_fip_bb_n", "pa_strikeout_n", "pa_total")
+    out["pa_fip"] = fip_sql("pa_hr_n", "pa_fip_bb_n", "pa_strikeout_n", "pa_total")
     out.update(_rates([
         ("last_inning_avg", "last_inning_inning", "games_n"), ("last_inning_avg_velo", "last_inning_velo", "games_n"),
         ("last_inning_ball_rate", "last_inning_ball", "games_n"),
@@ -133,14 +132,14 @@ def pitcher_pitch_rolling(pbp: DataFrame, window, role: str | None = None, entit
         ("last_inning_avg_balls", "last_inning_balls", "games_n"),
         ("last_inning_avg_strikes", "last_inning_strikes", "games_n"), ("pitch_count_avg", "n_pitches", "games_n")]))
     out["last_inning_std"] = std("games_n", "last_inning_inning", "last_inning_inning_sumsq")
-    out["last_inning_outs"] = c("last_inning_outs")
+    out["last_inning_outs"] = "last_inning_outs"
     out["pitch_count_std"] = std("games_n", "n_pitches", "pitch_count_sumsq")
-    out["pitch_count_max"] = c("pitch_count_max")
+    out["pitch_count_max"] = "pitch_count_max"
     out.update(_rates([(f"contact_{x}_rate", f"contact_{x}_n", "contact_n") for x in ("hard_hit", "gb", "fb", "ld")]))
     out.update(_rates([(f"contact_avg_launch_{x}", f"contact_launch_{x}_sum", f"contact_launch_{x}_n")
                        for x in ("speed", "angle")]))
     p = window_prefix("pitcher", window)
-    return d.select(*keys, *[e.alias(p + name) for name, e in out.items()])
+    return d.selectExpr(*keys, *named({p + n: e for n, e in out.items()}))
 
 
 def pitcher_pitch_rolling_roles(pbp: DataFrame, window) -> DataFrame:
@@ -161,9 +160,8 @@ def batter_pitch_rolling(pbp: DataFrame, window) -> DataFrame:
     check_window(window)
     keys = ["batter_id", "gamepk", "game_date", "game_season"]
     d = roll(P.batter_games(pbp).select(*keys, *BATTER_SUMS), "batter_id", window, BATTER_SUMS)
-    c = F.col
     out = _rates(_pa_rates())
-    out["pa_pitch_count_std"] = pooled_std(c("pa_total"), c("pa_pitch_count_sum"), c("pa_pitch_count_sumsq"))
+    out["pa_pitch_count_std"] = pooled_std_sql("pa_total", "pa_pitch_count_sum", "pa_pitch_count_sumsq")
     out.update(_rates([
         ("o_swing_rate", "chase_n", "n_pitches"), ("z_swing_rate", "zone_swing_n", "n_pitches"),
         ("swinging_strike_rate", "swinging_strike_n", "n_pitches"), ("zone_rate", "zone_n", "n_pitches"),
@@ -176,4 +174,4 @@ def batter_pitch_rolling(pbp: DataFrame, window) -> DataFrame:
         ("foul_rate", "foul_n", "foul_swing_n"), ("contact_foul_rate", "contact_foul_n", "foul_or_inplay_n"),
         ("two_strike_foul_rate", "two_strike_foul_n", "two_strike_swing_n")]))
     p = window_prefix("batter", window)
-    return d.select(*keys, *[e.alias(p + name) for name, e in out.items()])
+    return d.selectExpr(*keys, *named({p + n: e for n, e in out.items()}))

@@ -6,10 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lagwell.functions import constants as K
-from lagwell.functions.rates import babip, dbl, fip, half_even, obp, safe_div, slg, woba
+from lagwell.functions.rates import (
+    babip, dbl, fip_sql, half_even, named, named_columns, obp, ratio_sql, safe_div, slg, woba,
+)
+from lagwell.functions.text import whole_thirds
 from lagwell.operators import partials as P
 from lagwell.operators.clean import decimal_innings, drop_seasons
-from lagwell.plans.frames import pooled_std
+from lagwell.plans.frames import pooled_std_sql
 
 
 # ---- naming -----------------------------------------------------------------------------
@@ -31,9 +34,9 @@ def pivot_hands(df: DataFrame, hand: str, tags: dict[str, str], keys, entity_pre
     def name(c, tag):
         return c.replace(entity_prefix, f"{entity_prefix}{tag}_", 1) if c.startswith(entity_prefix) else c
 
-    aggs = [F.max(F.when(F.col(hand) == code, F.col(c))).alias(name(c, tag))
-            for code, tag in tags.items() for c in stats]
-    return df.filter(F.col(hand).isin(*tags)).groupBy(*keys).agg(*aggs)
+    aggs = {name(c, tag): f"max(CASE WHEN {hand} = '{code}' THEN {c} END)"
+            for code, tag in tags.items() for c in stats}
+    return df.filter(F.col(hand).isin(*tags)).groupBy(*keys).agg(*named_columns(aggs))
 
 
 # ---- boxscore seasons -------------------------------------------------------------------
@@ -56,6 +59,7 @@ def pitcher_box_season(box: DataFrame, entity: str = "personId", last: bool = Tr
     sums = ["h", "r", "er", "bb", "hr", "k", "p", "s", "ip"]
     keys = [entity, "game_season"]
     d = box.na.drop(subset=keys).groupBy(*keys).agg(*[P.sum0(F.col(c)).alias(c) for c in sums])
+    d = d.withColumn("ip", whole_thirds("ip"))
     c = F.col
     d = d.withColumns({
         "whip": half_even(safe_div(c("bb") + c("h"), "ip"), 2), "k_rate": half_even(safe_div("k", "ip"), 2),
@@ -91,74 +95,64 @@ def pitcher_box_season_roles(box: DataFrame, pbp: DataFrame) -> DataFrame:
 def _merge(games: DataFrame, keys) -> DataFrame:
     """Merge per-game partials to the season grain."""
     skip = {*keys, "gamepk", "game_date", "thrown", *P.EXIT.values()}
-    aggs = []
-    for c in games.columns:
-        if c in skip:
-            continue
-        aggs.append((F.max(c) if c.endswith("_max") else F.sum(c)).alias(c))
-    exit_row = F.col("last_inning_inning")
-    known = lambda c: F.col(c).cast("double")
-    aggs += [
-        F.avg(exit_row).alias("avg_last_inning"), F.stddev_samp(exit_row).alias("std_last_inning"),
-        F.avg("last_inning_velo").alias("avg_last_inning_velo"),
-        F.avg(known("last_inning_ball")).alias("last_inning_ball_rate"),
-        F.avg(known("last_inning_strike")).alias("last_inning_strike_rate"),
-        F.avg("last_inning_balls").alias("last_inning_avg_balls"),
-        F.avg("last_inning_strikes").alias("last_inning_avg_strikes"),
-        F.max("last_inning_outs").alias("last_inning_outs"),
-        F.avg("thrown").alias("game_avg_pitch_count"), F.stddev_samp("thrown").alias("game_std_pitch_count"),
-        F.max("thrown").alias("game_max_pitch_count"),
-    ]
-    return games.groupBy(*keys).agg(*aggs)
-
-
-def _outcome_rates(p: str, fip_parts: bool) -> dict:
+    m = {c: f"{'max' if c.endswith('_max') else 'sum'}({c})" for c in games.columns if c not in skip}
+    m.update({
+        "avg_last_inning": "avg(last_inning_inning)", "std_last_inning": "stddev_samp(last_inning_inning)",
+        "avg_last_inning_velo": "avg(last_inning_velo)", "last_inning_ball_rate": "avg(last_inning_ball)",
+        "last_inning_strike_rate": "avg(last_inning_strike)", "last_inning_avg_balls": "avg(last_inning_balls)",
+        "last_inning_avg_strikes": "avg(last_inning_strikes)", "last_inning_outs": "max(last_inning_outs)",
+        "game_avg_pitch_count": "avg(thrown)", "game_std_pitch_count": "stddev_samp(thrown)",
+        "game_max_pitch_count": "max(thrown)"})
+    return games.groupBy(*keys).agg(*named_columns(m))
+
+
+def _outcome_rates(p: str, fip_parts: bool) -> dict[str, str]:
     """Outcome rates over all finished appearances (not only those with a result)."""
     rows = "pa_rows"
-    some = lambda x: F.when(F.col(rows) > 0, x)
+    some = lambda x: f"CASE WHEN {rows} > 0 THEN {x} END"
     out = {
-        p + "pitch_count_mean": safe_div("pa_pitch_count_sum", rows),
-        p + "pitch_count_std": pooled_std(F.col(rows), F.col("pa_pitch_count_sum"), F.col("pa_pitch_count_sumsq")),
-        p + "total": some(F.col("pa_total")),
+        p + "pitch_count_mean": ratio_sql("pa_pitch_count_sum", rows),
+        p + "pitch_count_std": pooled_std_sql(rows, "pa_pitch_count_sum", "pa_pitch_count_sumsq"),
+        p + "total": some("pa_total"),
     }
     for x in ("strikeout", "walk", "hbp", "hit", "hr", "single", "xbh"):
-        out[f"{p}{x}_rate"] = safe_div(f"pa_{x}_n", rows)
-    out[p + "avg_final_balls"] = safe_div("pa_final_balls_sum", "pa_final_balls_n")
-    out[p + "avg_final_strikes"] = safe_div("pa_final_strikes_sum", "pa_final_strikes_n")
-    out[p + "full_count_rate"] = safe_div("pa_full_count_n", rows)
+        out[f"{p}{x}_rate"] = ratio_sql(f"pa_{x}_n", rows)
+    out[p + "avg_final_balls"] = ratio_sql("pa_final_balls_sum", "pa_final_balls_n")
+    out[p + "avg_final_strikes"] = ratio_sql("pa_final_strikes_sum", "pa_final_strikes_n")
+    out[p + "full_count_rate"] = ratio_sql("pa_full_count_n", rows)
     if fip_parts:
-        out[p + "fip_k"] = some(F.col("pa_strikeout_n"))
-        out[p + "fip_bb"] = some(F.col("pa_fip_bb_n"))
-        out[p + "fip_hr"] = some(F.col("pa_hr_n"))
-        out[p + "fip"] = fip("pa_hr_n", "pa_fip_bb_n", "pa_strikeout_n", "pa_total")
+        out[p + "fip_k"] = some("pa_strikeout_n")
+        out[p + "fip_bb"] = some("pa_fip_bb_n")
+        out[p + "fip_hr"] = some("pa_hr_n")
+        out[p + "fip"] = fip_sql("pa_hr_n", "pa_fip_bb_n", "pa_strikeout_n", "pa_total")
     return out
 
 
-def _pitcher_columns() -> dict:
+def _pitcher_columns() -> dict[str, str]:
     p = "pitcher_season_"
+    std = lambda s: pooled_std_sql(s + "_n", s + "_sum", s + "_sumsq")
     out = {}
     for x in P.STUFF:
         s = f"stuff_{x}"
-        out[f"{p}{s}_mean"] = safe_div(s + "_sum", s + "_n")
+        out[f"{p}{s}_mean"] = ratio_sql(s + "_sum", s + "_n")
         if x in P.PEAK:
-            out[f"{p}{s}_max"] = F.col(s + "_max")
+            out[f"{p}{s}_max"] = s + "_max"
         if x in P.SPREAD:
-            out[f"{p}{s}_std"] = pooled_std(F.col(s + "_n"), F.col(s + "_sum"), F.col(s + "_sumsq"))
+            out[f"{p}{s}_std"] = std(s)
     for x in P.COMMAND:
-        s = f"command_{x}"
-        out[f"{p}{s}_std"] = pooled_std(F.col(s + "_n"), F.col(s + "_sum"), F.col(s + "_sumsq"))
+        out[f"{p}command_{x}_std"] = std(f"command_{x}")
     for x in ("in_play", "swinging_strike", "zone", "ball", "strike", "called_strike", "chase", "zone_swing",
               "first_pitch_strike"):
-        out[f"{p}command_{x}_rate"] = safe_div(f"command_{x}_n", f"command_{x}_known")
+        out[f"{p}command_{x}_rate"] = ratio_sql(f"command_{x}_n", f"command_{x}_known")
     out.update(_outcome_rates(p + "pa_", True))
     for x in ("avg_last_inning", "std_last_inning", "avg_last_inning_velo", "last_inning_ball_rate",
               "last_inning_strike_rate", "last_inning_avg_balls", "last_inning_avg_strikes", "last_inning_outs",
               "game_avg_pitch_count", "game_std_pitch_count", "game_max_pitch_count"):
-        out[p + x] = F.col(x)
+        out[p + x] = x
     for x in ("hard_hit", "gb", "fb", "ld"):
-        out[f"{p}contact_{x}_rate"] = safe_div(f"contact_{x}_n", "contact_rows")
+        out[f"{p}contact_{x}_rate"] = ratio_sql(f"contact_{x}_n", "contact_rows")
     for x in ("speed", "angle"):
-        out[f"{p}contact_avg_launch_{x}"] = safe_div(f"contact_launch_{x}_sum", f"contact_launch_{x}_n")
+        out[f"{p}contact_avg_launch_{x}"] = ratio_sql(f"contact_launch_{x}_sum", f"contact_launch_{x}_n")
     return out
 
 
@@ -167,7 +161,7 @@ def pitcher_season(pbp: DataFrame, role: str | None = None, entity: str = "pitch
     """Stuff, command, outcomes, exit state, workload and contact quality of a season."""
     keys = [entity, "game_season", *extra]
     m = _merge(P.pitcher_games(pbp, entity, role, extra), keys)
-    d = m.select(*keys, *[e.alias(n) for n, e in _pitcher_columns().items()])
+    d = m.selectExpr(*keys, *named(_pitcher_columns()))
     return as_last_season(d) if last else d
 
 
@@ -182,7 +176,7 @@ def pitcher_season_by_hand(pbp: DataFrame, role: str | None = None) -> DataFrame
                                       "pitcher_season_"))
 
 
-def _batter_columns(p: str) -> dict:
+def _batter_columns(p: str) -> dict[str, str]:
     out = _outcome_rates(p + "pa_", False)
     for name, num, den in (
         ("o_swing_rate", "chase_n", "n_pitches"), ("z_swing_rate", "zone_swing_n", "n_pitches"),
@@ -197,13 +191,13 @@ def _batter_columns(p: str) -> dict:
         ("foul_rate", "foul_n", "swing_n"), ("contact_foul_rate", "contact_foul_n", "foul_or_inplay_rows"),
         ("two_strike_foul_rate", "two_strike_foul_n", "two_strike_swing_rows"),
     ):
-        out[p + name] = safe_div(num, den)
+        out[p + name] = ratio_sql(num, den)
     return out
 
 
 def _batter_table(pbp, keys, prefix):
     g = P.batter_groups(pbp, keys).filter("pa_rows > 0")
-    return g.select(*keys, *[e.alias(n) for n, e in _batter_columns(prefix).items()])
+    return g.selectExpr(*keys, *named(_batter_columns(prefix)))
 
 
 def batter_season(pbp: DataFrame, last: bool = True) -> DataFrame:
@@ -232,10 +226,9 @@ def hand_levels(pbp: DataFrame) -> DataFrame:
             [F.col("game_season"), F.col(b)], [F.col("game_season")]]
     m = P.batter_measures()
     need = [n for n in m if n.startswith("pa_")]
-    g = d.groupingSets(sets, F.col("game_season"), F.col(h), F.col(b)).agg(*[m[n].alias(n) for n in need])
+    g = d.groupingSets(sets, F.col("game_season"), F.col(h), F.col(b)).agg(*named_columns({n: m[n] for n in need}))
     cols = _outcome_rates("league_season_pa_", False)
-    return g.select("game_season", F.coalesce(h, F.lit("all")).alias(h), F.coalesce(b, F.lit("all")).alias(b),
-                    *[e.alias(n) for n, e in cols.items()])
+    return g.selectExpr("game_season", f"coalesce({h}, 'all') AS {h}", f"coalesce({b}, 'all') AS {b}", *named(cols))
 
 
 # ---- season summaries -------------------------------------------------------------------

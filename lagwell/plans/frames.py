@@ -132,14 +132,28 @@ def _over(f: Feature, w) -> Column:
 
 
 def _plain(df, keys, order, feats):
-    w = Window.partitionBy(*keys).orderBy(*order)
-    cols = []
-    for f in feats:
-        c = _over(f, w)
-        if f.need_prev:
-            c = F.when(F.lag(f.col, 1).over(w).isNotNull(), c)
-        cols.append(c.alias(f.name))
-    return df.select("*", *cols)
+    """All windows of one partitioning in one projection, as SQL text."""
+    over = f"PARTITION BY {', '.join(map(_q, keys))} ORDER BY {', '.join(map(_q, order))}"
+    return df.selectExpr("*", *[f"{_window_sql(f, over)} AS {_q(f.name)}" for f in feats])
+
+
+def _q(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def _window_sql(f: Feature, over: str) -> str:
+    x = _q(f.col) if f.col else "1"
+    if f.agg == "value":
+        e = f"lag({x}, {f.frame.lo}) OVER ({over})"
+    else:
+        call = {"sum": "sum({})", "avg": "avg({})", "std": "stddev_samp({})", "median": "percentile({}, 0.5D)",
+                "max": "max({})", "min": "min({})", "count": "count({})", "rows": "count({})"}[f.agg].format(x)
+        lo = "UNBOUNDED" if f.frame.lo is None else str(f.frame.lo)
+        hi = "CURRENT ROW" if f.frame.hi == 0 else f"{f.frame.hi} PRECEDING"
+        e = f"{call} OVER ({over} ROWS BETWEEN {lo} PRECEDING AND {hi})"
+    if f.need_prev:
+        e = f"CASE WHEN lag({x}, 1) OVER ({over}) IS NOT NULL THEN {e} END"
+    return e
 
 
 def _default_bucket(df, col):
@@ -262,6 +276,14 @@ def pooled_std(n: Column, s: Column, q: Column) -> Column:
     return F.when(n > 1, F.sqrt(F.when(var <= noise, F.lit(0.0)).otherwise(var)))
 
 
+def pooled_std_sql(n: str, s: str, q: str) -> str:
+    """The same expression as SQL text, for wide projections."""
+    n, s, q = (f"CAST({x} AS DOUBLE)" for x in (n, s, q))
+    var = f"try_divide({q} - try_divide({s} * {s}, {n}), {n} - 1)"
+    return (f"CASE WHEN {n} > 1 THEN sqrt(CASE WHEN {var} <= try_divide({q}, {n}) * 1e-11D THEN 0D "
+            f"ELSE {var} END) END")
+
+
 def totals(df: DataFrame, keys, aggs: dict[str, Column], hot: HotPolicy | None = None) -> DataFrame:
     """Whole-group aggregates on every row. Above the size floor they are pre-aggregated
     map-side and joined back, so a hot group is never gathered in one task."""

@@ -23,7 +23,9 @@ def session(app: str = "lagwell", cores: str = "*", shuffle_partitions: int | No
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        .config("spark.sql.dataFrameQueryContext.enabled", "false")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "16g")
     )
     if shuffle_partitions:
@@ -40,10 +42,10 @@ def scanned_bytes(df: DataFrame) -> int | None:
     what one group can hold; operators that fan out stage their input first.
     """
     try:
-        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+        leaves = df._jdf.queryExecution().analyzed().collectLeaves()
         total = 0
         for i in range(leaves.size()):
-            total += int(leaves.apply(i).stats().sizeInBytes().toString())
+            total += int(str(leaves.apply(i).stats().sizeInBytes()))
         return total
     except Exception:
         return None
@@ -92,7 +94,7 @@ def stage(df: DataFrame) -> DataFrame:
 def small_side(df: DataFrame, limit: int = 64 << 20) -> DataFrame:
     """Broadcast hint only where the optimizer's own size estimate is under the limit."""
     try:
-        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     except Exception:
         return df
     return F.broadcast(df) if size <= limit else df
