@@ -202,8 +202,10 @@ def oracle(body: str, *needs: str, keep: list[str], exact: bool = False) -> str:
         visit(n)
     parts = [f"{n} AS ({CTES[n][1]})" for n in order] + [f"res AS ({body})"]
     kept = ", ".join(f'"{k}"' for k in keep)
-    head = "WITH " + ",\n".join(parts) + "\nSELECT " + kept
+    head = "WITH " + ",\n".join(parts) + "\nSELECT "
     if exact:
-        return head + "\nFROM res"
+        return head + kept + "\nFROM res"
     # the offset settles exact ties of the last place, which sums in another order would flip
-    return head + f", round(CAST(COLUMNS(* EXCLUDE ({kept})) AS DOUBLE) + 1e-9, 6) + 0.0\nFROM res"
+    rest = f"COLUMNS(* EXCLUDE ({kept}))" if keep else "COLUMNS(*)"
+    first = kept + ", " if keep else ""
+    return head + f"{first}round(CAST({rest} AS DOUBLE) + 1e-9, 6) + 0.0\nFROM res"
