@@ -197,15 +197,24 @@ def _blocked(df, keys, order, feats, block_rows, bucket):
 
     expanding = [f for f in feats if f.frame.lo is None]
     medians = [f for f in expanding if f.agg == "median"]
-    cols = sorted({f.col for f in expanding if f.col and f.agg != "median"})
+    uses: dict[str, set] = {}
+    for f in expanding:
+        if f.col and f.agg != "median":
+            uses.setdefault(f.col, set()).add(f.agg)
     carry = None
     if expanding:
         parts = [F.count(F.lit(1)).alias("_p_rows")]
-        for c in cols:
+        for c, aggs in sorted(uses.items()):
             x = F.col(c)
-            parts += [F.sum(x).alias(f"_s_{c}"), F.count(x).alias(f"_n_{c}"),
-                      F.sum(x.cast("double") * x.cast("double")).alias(f"_q_{c}"),
-                      F.max(x).alias(f"_x_{c}"), F.min(x).alias(f"_i_{c}")]
+            parts.append(F.count(x).alias(f"_n_{c}"))
+            if aggs & {"sum", "avg", "std"}:
+                parts.append(F.sum(x).alias(f"_s_{c}"))
+            if "std" in aggs:
+                parts.append(F.sum(x.cast("double") * x.cast("double")).alias(f"_q_{c}"))
+            if "max" in aggs:
+                parts.append(F.max(x).alias(f"_x_{c}"))
+            if "min" in aggs:
+                parts.append(F.min(x).alias(f"_i_{c}"))
         per = d.groupBy(*keys, "_blk").agg(*parts)
         up = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
         how = {"_p": F.sum, "_s": F.sum, "_n": F.sum, "_q": F.sum, "_x": F.max, "_i": F.min}
