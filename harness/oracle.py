@@ -90,12 +90,12 @@ SELECT concat('p', s_suppkey * 2 + side), concat('Pitcher ', s_suppkey), 'R',
 FROM supplier, (VALUES (0), (1)) v(side)""")
 
 cte("info", (), """
-SELECT CAST(o_orderkey // 4 AS VARCHAR) AS gamepk, CAST(year(o_orderdate) AS INTEGER) AS game_season,
-  CASE o_custkey % 4 WHEN 0 THEN 'Clear' WHEN 1 THEN 'Cloudy' WHEN 2 THEN 'Dome' END AS weather_condition,
+SELECT CAST(o_orderkey // 4 AS VARCHAR) AS gamepk, o_orderkey AS info_row,
+  CAST(year(o_orderdate) AS INTEGER) AS game_season, CASE o_custkey % 4 WHEN 0 THEN 'Clear' WHEN 1 THEN 'Cloudy' WHEN 2 THEN 'Dome' END AS weather_condition,
   CASE WHEN o_custkey % 7 = 0 THEN 'n/a' ELSE concat(40 + o_custkey % 60, ' F') END AS weather_temp,
   CASE WHEN o_custkey % 5 = 0 THEN 'Calm'
        ELSE concat(o_custkey % 20, ' mph, Out To ', o_orderstatus, 'F') END AS weather_wind
-FROM orders WHERE o_orderkey % 4 = 0 AND o_orderkey % 28 <> 0""")
+FROM orders WHERE o_orderstatus <> 'P'""")
 
 cte("starter_by_play", ("raw",), """
 SELECT gamepk, pitcher_team_id, arg_min(pitcher_id, play_id * 100000 + event_index) AS starter_id

@@ -148,12 +148,12 @@ def join_dual_role(spark, d):
 
 
 @query("join_exists_flag", ["gamepk", "has_odds"], """
-SELECT s.gamepk, EXISTS (SELECT 1 FROM sched o WHERE CAST(o.gamepk AS INTEGER) % 3 = 0 AND o.home_id = s.home_id
+SELECT s.gamepk, EXISTS (SELECT 1 FROM sched o WHERE o.game_type = 'S' AND o.home_id = s.home_id
   AND o.away_id = s.away_id) AS has_odds FROM sched s""", ["sched"], exact=True)
 def join_exists_flag(spark, d):
     from lagwell.operators.clean import earliest_schedule
     s = earliest_schedule(t.schedule_raw(spark, d), tie="schedule_row")
-    odds = s.filter("cast(gamepk as int) % 3 = 0").select(F.col("home_id").alias("home_team"), F.col("away_id").alias("away_team"))
+    odds = s.filter("game_type = 'S'").select(F.col("home_id").alias("home_team"), F.col("away_id").alias("away_team"))
     return J.exists_flag(s, odds, {"home_id": "home_team", "away_id": "away_team"}, "has_odds")
 
 

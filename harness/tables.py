@@ -132,9 +132,9 @@ def players(spark, d) -> DataFrame:
 
 
 def game_info(spark, d) -> DataFrame:
-    """Raw weather text per game; some games are absent."""
-    return read(spark, d, "orders").filter("o_orderkey % 4 = 0 and o_orderkey % 28 <> 0").select(
-        F.expr("cast(o_orderkey div 4 as string)").alias("gamepk"),
+    """Raw weather text, several rows per game; games still pending are absent."""
+    return read(spark, d, "orders").filter("o_orderstatus <> 'P'").select(
+        F.expr("cast(o_orderkey div 4 as string)").alias("gamepk"), F.col("o_orderkey").alias("info_row"),
         F.expr("year(o_orderdate)").alias("game_season"),
         F.expr("case o_custkey % 4 when 0 then 'Clear' when 1 then 'Cloudy' when 2 then 'Dome' end")
         .alias("weather_condition"),
