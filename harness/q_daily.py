@@ -77,13 +77,14 @@ def utc_to_local(spark, d):
 @query("slate_view", ["away_team", "home_team", "game_time_utc", "game_time_ct", "venue", "lineup_status", "has_odds"], """
 SELECT o_orderkey AS game_pk, concat('A', o_custkey % 30) AS away_team, concat('H', o_custkey % 40) AS home_team,
   strftime(o_orderdate + INTERVAL 1 HOUR * (o_custkey % 24), '%Y-%m-%dT%H:%M:%SZ') AS game_time_utc,
-  ltrim(strftime(o_orderdate + INTERVAL 1 HOUR * (o_custkey % 24) - INTERVAL 1 HOUR * CASE WHEN month(o_orderdate) IN (6, 7, 8) THEN 5 ELSE 6 END, '%I:%M %p'), '0') AS game_time_ct,
+  ltrim(strftime(o_orderdate + INTERVAL 1 HOUR * (o_custkey % 24) - INTERVAL 1 HOUR * CASE WHEN o_orderdate + INTERVAL 1 HOUR * (o_custkey % 24) >= spring AND o_orderdate + INTERVAL 1 HOUR * (o_custkey % 24) < autumn THEN 5 ELSE 6 END, '%I:%M %p'), '0') AS game_time_ct,
   o_orderpriority AS venue, CASE o_orderstatus WHEN 'F' THEN 'CONFIRMED' WHEN 'O' THEN 'SKIPPED' ELSE 'PENDING' END AS lineup_status,
   (concat('H', o_custkey % 40), concat('A', o_custkey % 30)) IN (SELECT (concat('H', c_custkey % 40), concat('A', c_custkey % 30)) FROM customer
      WHERE c_mktsegment = 'BUILDING') AS has_odds, CAST(NULL AS DOUBLE) AS prediction
-FROM orders WHERE month(o_orderdate) IN (1, 2, 6, 7, 8, 12)""")
+FROM (SELECT *, make_timestamp(year(o_orderdate), 4, 1, 8, 0, 0) + INTERVAL 1 DAY * ((7 - dayofweek(make_date(year(o_orderdate), 4, 1))) % 7) AS spring,
+  make_timestamp(year(o_orderdate), 10, 31, 7, 0, 0) - INTERVAL 1 DAY * dayofweek(make_date(year(o_orderdate), 10, 31)) AS autumn FROM orders)""")
 def slate_view(spark, d):
-    o = t.read(spark, d, "orders").filter(F.month("o_orderdate").isin(1, 2, 6, 7, 8, 12))
+    o = t.read(spark, d, "orders")
     s = o.selectExpr("o_orderkey as game_pk", "concat('A', o_custkey % 30) as away_team_name", "concat('H', o_custkey % 40) as home_team_name",
                      "date_format(o_orderdate + make_dt_interval(0, cast(o_custkey % 24 as int)), \"yyyy-MM-dd'T'HH:mm:ss'Z'\") as game_time_utc",
                      "o_orderpriority as venue_name")

@@ -13,8 +13,7 @@ from lagwell.sources.schemas import conform
 
 
 @query("scan_multi_season", ["status"], """
-SELECT o_orderstatus AS status, o_orderkey, CAST(o_totalprice AS FLOAT) AS price, CAST(o_custkey AS DOUBLE) AS spin FROM orders
-WHERE year(o_orderdate) BETWEEN 1996 AND 1999""")
+SELECT o_orderstatus AS status, o_orderkey, CAST(o_totalprice AS FLOAT) AS price, CAST(o_custkey AS DOUBLE) AS spin FROM orders""")
 def scan_multi_season(spark, d):
     ddl = "o_orderkey bigint, status string, price float, spin double"
     o = t.read(spark, d, "orders")
@@ -23,7 +22,7 @@ def scan_multi_season(spark, d):
         # one season delivers the drifting column as text
         spin = F.col("o_custkey").cast("string" if y == 1997 else "double").alias("spin")
         return conform(part.select("o_orderkey", F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("price"), spin), ddl)
-    return reduce(lambda a, b: a.unionByName(b), [season(y) for y in range(1996, 2000)])
+    return reduce(lambda a, b: a.unionByName(b), [season(y) for y in range(1995, 2002)])
 
 
 @query("scan_latest_snapshot", ["event_type"], "SELECT event_type, count(*) AS n, max(event_id) AS last_id FROM events GROUP BY ALL")

@@ -9,6 +9,7 @@ from lagwell.operators import rolling as R
 from lagwell.operators import season as S
 from lagwell.operators.clean import batting_order
 from lagwell.operators.joins import role_key
+from lagwell.plans.scale import stage
 
 CATEGORIES = ["pitcher_throw_hand", "batter_bat_side", "weather_condition", "pitcher_role"]
 NOT_FEATURES = ["gamepk", "play_id", "batter_id", "pitcher_id", "pitcher_team_id", "pitcher_key_id", "batter_team_id",
@@ -31,8 +32,10 @@ def build(pbp: DataFrame, batter_box: DataFrame, pitcher_box: DataFrame, game_in
     """The whole frame: three season lookups and six rolling ones.
 
     pbp is the derived pitch table, pitcher_box holds decimal innings, game_info parsed
-    weather. A reliever's hand is unknown before the game and stays NULL.
+    weather. A reliever's hand is unknown before the game and stays NULL. The inputs are
+    read about ten times, so they are staged once.
     """
+    pbp, batter_box, pitcher_box = stage(pbp), stage(batter_box), stage(pitcher_box)
     pa = role_key(pa_outcomes(pbp, batter_box, game_info, schedule))
     role = ["pitcher_key_id", "pitcher_role"]
     for t, keys in (

@@ -9,7 +9,7 @@ from lagwell.functions.rates import blend, half_even, safe_div, shrink_count
 from lagwell.operators.joins import asof_season, season_lag
 from lagwell.plans.frames import Feature, lagged, prior
 from lagwell.plans.ranks import exact_quantiles
-from lagwell.plans.scale import one_row
+from lagwell.plans.scale import one_row, stage
 
 WEIGHTS = {"comp_prev_season": 0.4, "comp_rolling_shrunk": 0.4, "comp_order_slot": 0.2}
 
@@ -53,5 +53,5 @@ def order_slot(pa: DataFrame) -> DataFrame:
 
 def rules_baseline(pa: DataFrame, k: float = 100.0, weights: dict | None = None) -> DataFrame:
     """Three components and their blend xba_pred; pa holds last_season_ba and batting_order."""
-    d = order_slot(season_to_date(previous_season(pa), k))
+    d = order_slot(season_to_date(previous_season(stage(pa)), k))
     return d.withColumn("xba_pred", blend(weights or WEIGHTS))

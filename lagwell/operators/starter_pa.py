@@ -14,6 +14,7 @@ from lagwell.functions.rates import (
 from lagwell.operators.base_out import base_out_state
 from lagwell.operators.clean import park_factor, rule_era
 from lagwell.operators.pitches import lag_or_zero, platoon, resolve_hands, starters as find_starters
+from lagwell.plans.scale import stage
 from lagwell.plans.frames import Feature, back, lagged, last, prior, seven_day_sum, spread, through
 
 GP, GB = ["gamepk", "pitcher_id"], ["gamepk", "batter_id"]
@@ -407,8 +408,10 @@ def build(pbp: DataFrame, pitcher_box: DataFrame, batter_box: DataFrame, schedul
           oaa: DataFrame | None = None, complete_only: bool = True, mode: str = "reference") -> DataFrame:
     """Every plate appearance faced by a starter, with pitcher, batter, team and matchup features.
 
-    players holds personId, batSide, pitchHand; innings in pitcher_box are decimal.
+    players holds personId, batSide, pitchHand; innings in pitcher_box are decimal. Tables
+    read by several branches are staged once.
     """
+    pbp = stage(pbp)
     st = find_starters(pbp, "inning")
     pa = starter_appearances(pbp, st)
     meta = pitcher_box.select("gamepk", "game_date", "game_season").groupBy("gamepk").agg(
@@ -425,6 +428,7 @@ def build(pbp: DataFrame, pitcher_box: DataFrame, batter_box: DataFrame, schedul
     pg = pg.join(person(pitcher_platoon(pbp, players), "pitcher_id"), on, "left")
     pg = pg.join(person(pitcher_process(pbp, st), "pitcher_id"), on, "left")
     bg = batter_game(batter_box, disc).join(person(batter_platoon(pbp, players), "batter_id"), on, "left")
+    pg, bg = stage(pg), stage(bg)
     tw = team_windows(team_game(batter_box, disc, pa))
 
     sp = pitcher_windows(pg, innings_four_five(pbp)).join(pitcher_platoon_windows(pg), ["personId", "gamepk"], "left")

@@ -18,18 +18,23 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lagwell.plans.ranks import value_buckets
+from lagwell.plans.scale import stage
 
 
-def add_prefix_medians(d: DataFrame, keys, feats, size: int) -> DataFrame:
-    """d carries _rn (row number) and _blk (block); adds one column per feature."""
+def add_prefix_medians(d: DataFrame, group, feats, size: int) -> DataFrame:
+    """d carries _rn (row number) and _blk (block); adds one column per feature.
+
+    The numbered values are staged once: every feature reads them several times.
+    """
+    keys = ["_key"]  # one non-NULL key, so groups with NULL parts join like any other
+    d = d.withColumn("_key", F.to_json(F.struct(*group)))
+    base = stage(d.select("_key", "_rn", "_blk", *dict.fromkeys(f.col for f in feats)))
     for f in feats:
-        d = _one(d, keys, f, size)
-    return d
+        d = d.join(_one(base, keys, f, size), keys + ["_rn"], "left")
+    return d.drop("_key")
 
 
-def _one(d, group, f, size):
-    keys = ["_key"]  # one non-null key, so groups with NULL parts join like any other
-    d = d.withColumn("_key", F.to_json(F.struct(*group)))
+def _one(d, keys, f, size):
     vals = d.filter(F.col(f.col).isNotNull()).select(
         *keys, "_blk", F.col(f.col).cast("double").alias("_v"))
     vals = value_buckets(vals, keys, "_v", "_vb", rows_per_bucket=size)
@@ -59,6 +64,8 @@ def _one(d, group, f, size):
            .join(base, keys + ["_blk"]))
     tot = grid.select(*keys, "_blk", "_tot").distinct()
     mid = mid.join(tot, keys + ["_blk"])
+    # fresh attributes, so that the two sides of the cogroup are told apart
+    mid = mid.selectExpr("concat(_key, '') as _key", "_blk + 0 as _blk", "_v", "_c", "_below", "_tot")
     rows = d.select(*keys, "_blk", "_rn", F.col(f.col).cast("double").alias("_x"))
     hi, name, reach = f.frame.hi, f.name, size // 2 + 2
 
@@ -80,8 +87,7 @@ def _one(d, group, f, size):
                              name: pd.Series(out, index=left.index, dtype="float64")})
 
     schema = d.select(*keys, "_rn").schema.add(name, "double")
-    done = rows.groupBy(*keys, "_blk").cogroup(mid.groupBy(*keys, "_blk")).applyInPandas(finish, schema)
-    return d.join(done, keys + ["_rn"], "left").drop("_key")
+    return rows.groupBy(*keys, "_blk").cogroup(mid.groupBy(*keys, "_blk")).applyInPandas(finish, schema)
 
 
 def _middle(values, counts, below, total, reach):

@@ -1,12 +1,13 @@
 """Size checks and session settings shared by the plans.
 
 Nothing here touches rows: estimates come from the optimizer's statistics of the
-scanned files, and staging goes through a reliable checkpoint.
+scanned files, and intermediates are staged in the shared checkpoint folder.
 """
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -77,18 +78,27 @@ class HotPolicy:
         return size is not None and size < self.floor_bytes
 
 
+def scratch(spark: SparkSession) -> str:
+    """The shared folder the session names; a temporary one only for local sessions."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None and spark.sparkContext.getCheckpointDir() is not None:
+        folder = spark.sparkContext.getCheckpointDir()
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        folder = tempfile.mkdtemp(prefix="spark-")
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder
+
+
 def stage(df: DataFrame) -> DataFrame:
-    """Cut lineage through the shared checkpoint folder the session names."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
-        sc.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    """Write an intermediate once, as Parquet in the shared folder, and read it from there.
+
+    Cuts lineage, survives lost executors, keeps column pruning and gives exact sizes.
+    """
+    path = f"{scratch(df.sparkSession)}/lagwell-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def small_side(df: DataFrame, limit: int = 64 << 20) -> DataFrame:
