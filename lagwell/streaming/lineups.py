@@ -48,7 +48,7 @@ def resolve(games: DataFrame, snapshots: DataFrame, now, keys=("game_pk",)) -> D
     only once it has passed.
     """
     keys = list(keys)
-    d = snapshots.filter("complete").join(games, keys).filter(F.col("ts") < F.col("cutoff")).filter(F.col("ts") <= now)
+    d = snapshots.filter("complete").select(*keys, "ts").join(games, keys).filter(F.col("ts") < F.col("cutoff")).filter(F.col("ts") <= now)
     first = d.groupBy(*keys).agg(F.min("ts").alias("confirmed_at"))
     g = games.join(first, keys, "left")
     done = F.col("confirmed_at").isNotNull()
