@@ -236,3 +236,61 @@ def tree_importances(spark, d):
     from lagwell.operators import ml
     a, b = _xy(spark, d)
     return ml.importances(ml.forest(a, b, "y", COLS, trees=20, depth=5)[0], COLS, spark)
+
+
+# the frame's oracle joins the oracles of its parts
+from harness import q_lagging as QL  # noqa: E402
+from harness import q_seasons as QS  # noqa: E402
+from harness.oracle import oracle  # noqa: E402
+from harness.registry import ORACLES  # noqa: E402
+
+
+def _roll_box(w, p):
+    return (QL._pitcher_box_roll(w, p, "personId", QL.SP_LINES, "sp") + " UNION ALL "
+            + QL._pitcher_box_roll(w, p, "team_id", QL.BP_TEAM, "bullpen"))
+
+
+def _roll_pitch(w, p):
+    return (QS.rolling_pitcher_sql("pitcher_id", w, "pitcher_role = 'sp'", p, "sp") + " UNION ALL "
+            + QS.rolling_pitcher_sql("pitcher_team_id", w, "pitcher_role = 'bullpen'", p, "bullpen"))
+
+
+
+def _model_frame_sql():
+    import re
+    box = re.search(r"res AS \((.*)\)\nSELECT", ORACLES["season_box_rates"], re.S).group(1)
+    parts = [
+        (f"SELECT personId AS j1, game_season AS j2, * EXCLUDE (personId, game_season) FROM ({box})", "j1 = batter_id AND j2 = game_season", "j1, j2"),
+        (QS._pbox_season("personId", "sp") + " UNION ALL " + QS._pbox_season("team_id", "bullpen"), None, "season"),
+        (QS._role("pitcher_id", "sp") + " UNION ALL BY NAME " + QS._role("pitcher_team_id", "bullpen"), None, "season"),
+        (f"SELECT personId AS j1, gamepk AS j2, * EXCLUDE (personId, gamepk, game_season) FROM ({QL._batter_box_roll('season', 'batter_roll_season_')})",
+         "j1 = batter_id AND j2 = gamepk", "j1, j2"),
+        (f"SELECT personId AS j1, gamepk AS j2, * EXCLUDE (personId, gamepk, game_season) FROM ({QL._batter_box_roll(10, 'batter_roll_last10g_')})",
+         "j1 = batter_id AND j2 = gamepk", "j1, j2"),
+        (_roll_box("season", "pitcher_roll_season_"), None, "game"), (_roll_box(10, "pitcher_roll_last10g_"), None, "game"),
+        (_roll_pitch("season", "pitcher_roll_season_"), None, "game"), (_roll_pitch(10, "pitcher_roll_last10g_"), None, "game"),
+    ]
+    base = r"""
+SELECT p.gamepk, p.play_id, p.batter_id, p.is_hit, p.pitcher_role, i.game_season, i.weather_temp, b.batting_order,
+  CASE WHEN p.pitcher_role = 'sp' THEN p.pitcher_id ELSE p.pitcher_team_id END AS pitcher_key_id
+FROM (SELECT DISTINCT gamepk, batter_team_id, play_id, pitcher_id, pitcher_name, batter_id, batter_name, is_hit, pitcher_throw_hand,
+        batter_bat_side, pitcher_role, pitcher_team_id FROM pbp) p
+LEFT JOIN (SELECT gamepk, game_season, weather_temp FROM (
+    SELECT *, row_number() OVER (PARTITION BY gamepk ORDER BY game_season, weather_condition NULLS FIRST, weather_temp NULLS FIRST) AS rn
+    FROM (SELECT gamepk, game_season, weather_condition, CAST(nullif(regexp_extract(weather_temp, '(\d+)', 1), '') AS DOUBLE) AS weather_temp
+          FROM info)) WHERE rn = 1) i ON p.gamepk = i.gamepk
+JOIN (SELECT gamepk, personId, CAST(batting_order AS INTEGER) AS batting_order FROM batter_box WHERE batting_order IS NOT NULL) b
+  ON p.gamepk = b.gamepk AND p.batter_id = b.personId"""
+    sql = base
+    for body, on, kind in parts:
+        if kind == "season":
+            body = f"SELECT pitcher_key_id AS j1, game_season AS j2, pitcher_role AS j3, * EXCLUDE (pitcher_key_id, game_season, pitcher_role) FROM ({body})"
+            on, kind = "j1 = pitcher_key_id AND j2 = game_season AND j3 = pitcher_role", "j1, j2, j3"
+        elif kind == "game":
+            body = f"SELECT pitcher_key_id AS j1, gamepk AS j2, pitcher_role AS j3, * EXCLUDE (pitcher_key_id, gamepk, pitcher_role, game_season) FROM ({body})"
+            on, kind = "j1 = pitcher_key_id AND j2 = gamepk AND j3 = pitcher_role", "j1, j2, j3"
+        sql = f"SELECT * EXCLUDE ({kind}) FROM ({sql}) x LEFT JOIN ({body}) y ON {on}"
+    return f"SELECT * EXCLUDE (batter_id, pitcher_key_id) FROM ({sql})"
+
+
+ORACLES["model_frame"] = oracle(_model_frame_sql(), "pbp", "info", "batter_box", "pitcher_ip", "roles", keep=["gamepk", "pitcher_role"])
