@@ -100,17 +100,17 @@ def pitcher_games(pbp: DataFrame, entity: str = "pitcher_id", role: str | None =
     extra = list(extra)
     d = pbp if role is None else pbp.filter(F.col("pitcher_role") == role)
     d = d.na.drop(subset=[entity, "gamepk", "game_season", *extra])
-    at = F.expr("CASE WHEN is_last_pitch THEN struct(play_id, event_index) END")
+    # one bigint orders the pitches of a game, so that every buffer is fixed-width and the
+    # aggregation stays hash-based
+    at = "CASE WHEN is_last_pitch THEN CAST(play_id AS BIGINT) * 4294967296 + event_index END"
+    last = {out: f"max_by({'CAST(' + src + ' AS INT)' if src.startswith('is_') else src}, {at})" for src, out in EXIT.items()}
     keys = [entity, "gamepk", "game_date", "game_season", *extra]
-    exit_row = F.max_by(F.struct(*EXIT), at).alias("_exit")
-    g = d.groupBy(*keys).agg(*named_columns(pitcher_measures()), exit_row,
-                             F.max(at).alias("_at"))
+    g = d.groupBy(*keys).agg(*named_columns(pitcher_measures() | last | {"_at": f"max({at})"}))
     if extra:
         g = totals(g, [entity, "gamepk"], {"_top": F.max("_at")})
-        g = g.withColumn("_exit", F.when(F.col("_at") == F.col("_top"), F.col("_exit"))).drop("_top")
-    cast = {"last_inning_ball": "CAST(_exit.is_ball AS INT)", "last_inning_strike": "CAST(_exit.is_strike AS INT)"}
-    kept = [c for c in g.columns if c not in ("_exit", "_at")]
-    return g.selectExpr(*kept, *[f"{cast.get(out, '_exit.' + src)} AS {out}" for src, out in EXIT.items()])
+        g = g.selectExpr(*[f"CASE WHEN _at = _top THEN {c} END AS {c}" if c in last else c
+                           for c in g.columns if c not in ("_at", "_top")])
+    return g.drop("_at")
 
 
 def batter_measures() -> dict[str, str]:

@@ -104,15 +104,14 @@ def state_rows(doc: DataFrame) -> DataFrame:
     return doc.select("date", "last_checked", F.explode("games").alias("game_pk", "state"))
 
 
-# The cards of the status view and the day each must have run for.
-CARDS = [("daily_mlb_fetch", "Raw — MLB fetch", "yesterday"), ("daily_process_data", "Processed data", "yesterday"),
-         ("daily_odds_fetch", "Odds fetch", "today")]
+def pipeline_cards(statuses: DataFrame, today: str, cards: list[tuple[str, str, str]]) -> DataFrame:
+    """Latest run of each job with staleness; a job that never ran is stale with an error.
 
-
-def pipeline_cards(statuses: DataFrame, today: str, cards=None) -> DataFrame:
-    """Latest run of each job with staleness; a job that never ran is stale with an error."""
+    cards lists (function_name, title, due), due being the day the job must have run for:
+    'yesterday' or 'today'.
+    """
     spark = statuses.sparkSession
-    want = spark.createDataFrame(cards or CARDS, "function_name string, title string, due string")
+    want = spark.createDataFrame(cards, "function_name string, title string, due string")
     last = T.latest_per_key(statuses, ["function_name"], "run_date", ["completed_at"])
     d = F.broadcast(want).join(last, "function_name", "left")
     day = F.lit(today).cast("date")

@@ -75,11 +75,14 @@ def test_slate_defaults_to_pending(spark):
         (1, "CONFIRMED", False, "12:05 PM"), (2, "PENDING", True, "6:05 PM")]
 
 
+CARDS = [("fetch", "Fetch", "yesterday"), ("process", "Process", "yesterday"), ("odds", "Odds", "today")]
+
+
 def test_pipeline_cards(spark):
-    st = T.status_row(spark, function_name="daily_mlb_fetch", run_date="2024-05-01", status="success", completed_at="z")
-    c = {r["function_name"]: r for r in JB.pipeline_cards(st, "2024-05-02").collect()}
-    assert c["daily_mlb_fetch"]["is_stale"] is False and c["daily_odds_fetch"]["is_stale"] is True
-    s = JB.pipeline_summary(JB.pipeline_cards(st, "2024-05-02")).first()
+    st = T.status_row(spark, function_name="fetch", run_date="2024-05-01", status="success", completed_at="z")
+    c = {r["function_name"]: r for r in JB.pipeline_cards(st, "2024-05-02", CARDS).collect()}
+    assert c["fetch"]["is_stale"] is False and c["odds"]["is_stale"] is True
+    s = JB.pipeline_summary(JB.pipeline_cards(st, "2024-05-02", CARDS)).first()
     assert (s["ok_count"], s["stale_count"]) == (1, 2)
 
 
