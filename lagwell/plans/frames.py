@@ -95,11 +95,12 @@ def lagged(df: DataFrame, entity, order, features: list[Feature],
         if skip:
             df = _plain(df, keys, order, feats)
             continue
-        df = stage(df)
-        hot_keys = df.groupBy(*keys).count().filter(F.col("count") > hot.rows).drop("count")
-        if hot_keys.isEmpty():
+        # counting reads the key columns only; rows are staged once it finds a hot group
+        if _hot_keys(df, keys, hot).isEmpty():
             df = _plain(df, keys, order, feats)
             continue
+        df = stage(df)
+        hot_keys = _hot_keys(df, keys, hot)
         cold = _match(df, hot_keys, keys, "left_anti")
         big = _match(df, hot_keys, keys, "left_semi")
         df = _plain(cold, keys, order, feats).unionByName(
@@ -107,6 +108,10 @@ def lagged(df: DataFrame, entity, order, features: list[Feature],
     return df
 
 
+def _hot_keys(df, keys, hot):
+    return df.groupBy(*keys).count().filter(F.col("count") > hot.rows).drop("count")
+
+
 def _match(df, keys_df, keys, how):
     r = keys_df.select(*[F.col(k).alias(f"_k_{i}") for i, k in enumerate(keys)])
     cond = reduce(lambda a, b: a & b,
