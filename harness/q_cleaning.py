@@ -169,3 +169,29 @@ SELECT 'pitches' AS table_name, count(DISTINCT gamepk) AS games FROM raw UNION A
 def games_processed(spark, d):
     from lagwell.operators.checks import games_processed as g
     return g({"pitches": t.pitches_raw(spark, d), "schedule": t.schedule_raw(spark, d)})
+
+
+@query("team_oaa_season", ["team_id"], """
+SELECT concat('t', s_nationkey) AS team_id, year(l_shipdate) AS game_season, sum(CAST(l_quantity AS BIGINT) - 25) AS team_oaa_season
+FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL""")
+def team_oaa_season(spark, d):
+    from lagwell.operators.starter_pa import team_oaa
+    x = t.read(spark, d, "lineitem").join(t.read(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    return team_oaa(x.selectExpr("concat('t', s_nationkey) as team_id", "year(l_shipdate) as game_season",
+                                 "cast(l_quantity as bigint) - 25 as outs_above_average"))
+
+
+@query("classic_slates", ["kind"], """
+SELECT kind, count(*) AS n, sum(id) AS total FROM (
+  SELECT 'contest' AS kind, c_custkey AS id FROM customer WHERE 20 + c_nationkey = 28
+  UNION ALL SELECT 'game', o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey = 8)
+  UNION ALL SELECT 'player', l_suppkey FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_custkey IN (
+    SELECT c_custkey FROM customer WHERE c_nationkey = 8))) GROUP BY ALL""")
+def classic_slates(spark, d):
+    contests = t.read(spark, d, "customer").selectExpr("c_custkey as draft_group_id", "20 + c_nationkey as contest_type")
+    orders = t.read(spark, d, "orders").selectExpr("o_custkey as draft_group_id", "o_orderkey as competition_id")
+    people = t.read(spark, d, "lineitem").join(orders, F.col("l_orderkey") == F.col("competition_id")).select(
+        "draft_group_id", "competition_id", "l_suppkey")
+    c, g, p = C.classic_slates(contests, orders, people)
+    row = lambda df, kind, key: df.agg(F.count(F.lit(1)).alias("n"), F.sum(key).alias("total")).withColumn("kind", F.lit(kind))
+    return row(c, "contest", "draft_group_id").unionByName(row(g, "game", "competition_id")).unionByName(row(p, "player", "l_suppkey"))

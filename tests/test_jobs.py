@@ -103,3 +103,28 @@ def test_process_day_round_trip(spark, tmp_path):
     assert (b["player_name"], b["game_season"], b["h"]) == ("Seven", 2024, 2)
     gaps = spark.read.parquet(f"{base}/processed_data/gaps")
     assert gaps.filter(F.col("gamepk") == "2").count() == 3
+
+
+def test_csv_predictions_and_run_log(spark, tmp_path):
+    from lagwell.operators import evaluate as E
+    from lagwell.operators import ml
+
+    p = str(tmp_path / "preds")
+    spark.createDataFrame([(1, 0.7), (0, 0.2)], "is_hit int, pred_prob double").write.option("header", True).csv(p)
+    d = T.read_table(spark, p, "is_hit int, pred_prob double", "csv")
+    m = E.probability_scores(d, "is_hit", "pred_prob")
+    ml.log_run(m, {"model": "x"}, {"git_sha": "abc"}, str(tmp_path / "runs"))
+    ml.log_run(m, {"model": "y"}, {}, str(tmp_path / "runs"))
+    log = spark.read.parquet(str(tmp_path / "runs"))
+    assert sorted(r["params"]["model"] for r in log.collect()) == ["x", "y"]
+    T.write_report(E.quantile_calibration(d, "is_hit", "pred_prob", 2), m, str(tmp_path / "report"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "report" / "calibration")).count() == 2
+
+
+def test_season_summary_job(spark, sf, tmp_path):
+    from harness import tables as t
+
+    p = str(tmp_path / "summaries")
+    JB.season_summaries(t.batter_box(spark, sf), t.pitcher_box(spark, sf), t.pitches_raw(spark, sf), p)
+    for name in ("batter_season_summary", "sp_season_summary", "team_season_summary"):
+        assert spark.read.parquet(f"{p}/{name}").select("game_season").distinct().count() > 1
