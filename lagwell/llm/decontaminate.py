@@ -10,6 +10,9 @@ The benchmark's fingerprints are broadcast only when they are counted to be unde
 
 Defined cases: a null text has no words; items without words match nothing; repeated documents or items each count (equal
 item ids once); rows with equal doc_id and text share one result and each keeps its row; a null doc_id is a value.
+
+explode_outer is used on purpose: for explode() the optimizer infers a size filter and pushes it under the projections,
+which would evaluate the whole fingerprint expression once more per element.
 """
 
 from __future__ import annotations
@@ -59,8 +62,8 @@ def intervals(docs: DataFrame, items: DataFrame, window: int = WINDOW, k: int =
     bench = items.select(F.col("item_id").cast("string").alias("item_id"), F.expr(hashes("text")).alias("item")).filter("size(item) > 0")
     lengths = sorted(r[0] for r in bench.filter(F.size("item") < window).select(F.size("item")).distinct().collect())
     long_ = _prints(bench.filter(F.size("item") >= window).withColumnRenamed("item", "h"), window, k, [])
-    long_ = long_.select("item_id", F.col("h").alias("item"), F.expr("explode(f)").alias("f"), "g")
-    long_ = long_.select("item_id", "item", "f", F.lit(k).alias("n"), F.expr("explode(filter(sequence(0, size(g) - 1), i -> g[i] = f))").alias("q"))
+    long_ = long_.select("item_id", F.col("h").alias("item"), F.expr("explode_outer(f)").alias("f"), "g")
+    long_ = long_.select("item_id", "item", "f", F.lit(k).alias("n"), F.expr("explode_outer(filter(sequence(0, size(g) - 1), i -> g[i] = f))").alias("q"))
     short = None
     for n in lengths:
         one = bench.filter(F.size("item") == n).select("item_id", "item", F.expr(f"{grams('item', n)}[0]").alias("f"), F.lit(n).alias("n"), F.lit(0).alias("q"))
@@ -69,7 +72,7 @@ def intervals(docs: DataFrame, items: DataFrame, window: int = WINDOW, k: int =
     size = marks.select(F.sum(F.size("item") * 8 + 96)).first()[0] or 0
 
     def exploded(df: DataFrame) -> DataFrame:
-        return _prints(df.withColumn("h", F.expr(hashes("text"))).drop("text"), window, k, lengths).withColumn("f", F.explode("f"))
+        return _prints(df.withColumn("h", F.expr(hashes("text"))).drop("text"), window, k, lengths).withColumn("f", F.explode_outer("f"))
 
     if size <= BROADCAST_BYTES:
         hits = exploded(docs).join(F.broadcast(marks), "f")
@@ -79,9 +82,9 @@ def intervals(docs: DataFrame, items: DataFrame, window: int = WINDOW, k: int =
         hits = exploded(again).join(marks, "f")
     other = [n for n in lengths if n != k]
     whole = "CASE n " + " ".join(f"WHEN {n} THEN {grams('h', n)}" for n in other) + " ELSE g END" if other else "g"
-    hits = hits.select(*keys, "item_id", "item", "h", "q", F.expr(f"explode(filter(transform({whole}, (x, i) -> if(x = f, i, -1)), i -> i >= 0))").alias("p"))
-    run = F.explode(F.expr(f"filter(array({_run()}), z -> z.end - z.begin + 1 >= {window} OR z.end - z.begin + 1 = size(item))")).alias("z")
-    return hits.select(*keys, "item_id", run).select(*keys, "item_id", "z.begin", "z.end")
+    hits = hits.select(*keys, "item_id", "item", "h", "q", F.expr(f"explode_outer(filter(transform({whole}, (x, i) -> if(x = f, i, -1)), i -> i >= 0))").alias("p"))
+    run = F.explode_outer(F.expr(f"filter(array({_run()}), z -> z.end - z.begin + 1 >= {window} OR z.end - z.begin + 1 = size(item))")).alias("z")
+    return hits.select(*keys, "item_id", run).filter("z IS NOT NULL").select(*keys, "item_id", "z.begin", "z.end")
 
 
 def _let(name: str, value: str, body: str) -> str:

@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 
 _U = np.uint64
 #: Odd multiplier of the polynomial and its inverse modulo 2**64.
