@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lagwell.llm import chat, decontaminate
+from lagwell.llm import chat, decontaminate, jaccard
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -71,3 +71,20 @@ m AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT ite
 SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
   coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN s ON d.doc_id = s.doc_id LEFT JOIN m ON d.doc_id = m.doc_id"""
+
+
+@query
+def op8_ngram_jaccard_join(spark: SparkSession, d: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, d, "documents"))
+
+
+ORACLES["op8_ngram_jaccard_join"] = f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{decontaminate.UPPER}', '{decontaminate.LOWER}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, p, p + least(5, len(w)) - 1), ' ') AS g
+  FROM d, unnest(range(1, greatest(1, CAST(len(w) - least(5, len(w)) + 2 AS BIGINT)))) AS u(p) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+e AS (SELECT a.doc_id AS x, b.doc_id AS y FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id JOIN n na ON na.doc_id = a.doc_id JOIN n nb ON nb.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 75 * (any_value(na.n) + any_value(nb.n) - count(*))),
+r AS (SELECT doc_id AS v, doc_id AS c FROM d UNION SELECT e.y, r.c FROM r JOIN e ON e.x = r.v AND r.c < e.y)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.c AS component_id
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT v, min(c) AS c FROM r GROUP BY v) m ON m.v = d.doc_id"""
