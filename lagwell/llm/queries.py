@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lagwell.llm import chat, decontaminate, jaccard
+from lagwell.llm import cells, chat, decontaminate, jaccard, tokens
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -88,3 +88,29 @@ e AS (SELECT a.doc_id AS x, b.doc_id AS y FROM s a JOIN s b ON a.g = b.g AND a.d
 r AS (SELECT doc_id AS v, doc_id AS c FROM d UNION SELECT e.y, r.c FROM r JOIN e ON e.x = r.v AND r.c < e.y)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.c AS component_id
 FROM d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT v, min(c) AS c FROM r GROUP BY v) m ON m.v = d.doc_id"""
+
+
+@query
+def op5_embedding_near_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return cells.near_duplicates(table(spark, d, "embeddings"))
+
+
+ORACLES["op5_embedding_near_dedup"] = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+n AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS m FROM v
+  WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_dot_product(e, e) > 0),
+l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM n a JOIN n b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_dot_product(a.e, b.e) / (a.m * b.m) >= 0.95),
+r AS (SELECT vec_id AS v, vec_id AS c FROM v UNION SELECT l.y, r.c FROM r JOIN l ON l.x = r.v AND r.c < l.y)
+SELECT v.vec_id, (SELECT count(*) FROM l WHERE l.x = v.vec_id) AS n_links, m.c AS component_id, m.c = v.vec_id AS kept
+FROM v JOIN (SELECT v, min(c) AS c FROM r GROUP BY v) m ON m.v = v.vec_id"""
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query
+def op6_token_binary(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.token_table(table(spark, d, "documents"), tokenizer_path())

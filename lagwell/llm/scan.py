@@ -62,8 +62,8 @@ def chunks(texts: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, pa.Arra
         yield begin, texts.slice(begin)
 
 
-def lowered(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes of all texts with A-Z lowered, one space (0x20) after each text, and the text's begin offsets (n + 1)."""
+def flat(texts: pa.Array, table: np.ndarray = _LOWER) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of all texts, mapped by table (A-Z lowered), one space (0x20) after each text, and begin offsets (n + 1)."""
     texts = pa.compute.fill_null(texts, "").cast(pa.large_string())
     n = len(texts)
     if not n:
@@ -72,25 +72,32 @@ def lowered(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     raw = texts.buffers()[2]
     data = np.frombuffer(raw, np.uint8)[offsets[0] : offsets[-1]] if raw is not None else np.zeros(0, np.uint8)
     begins = offsets - offsets[0]
-    out = np.insert(_LOWER[data], begins[1:], 0x20)
+    out = np.insert(table[data], begins[1:], 0x20)
     return out, begins + np.arange(n + 1)
 
 
+AS_IS = np.arange(256, dtype=np.uint8)
+
+
+def span_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hash of each span of data."""
+    _grow(len(data) + 1)
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_WEIGHTS[data] * _powers[: len(data)], out=total[1:])
+    return mix((total[end] - total[begin]) * _inverses[begin])
+
+
 class Words:
     """Words of a piece: `hash` per word, `text` (row in the piece) per word, `first` (first word of each row, n + 1)."""
 
     def __init__(self, texts: pa.Array, parts: np.ndarray = SPACE):
-        data, begins = lowered(texts)
+        data, begins = flat(texts)
         self.rows = len(begins) - 1
         inside = ~parts[data]
         edge = np.diff(inside.astype(np.int8), prepend=0, append=0)
         self.begin, self.end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
         self.data, self.begins = data, begins
-        _grow(len(data) + 1)
-        total = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_WEIGHTS[data] * _powers[: len(data)], out=total[1:])
-        self.total = total
-        self.hash = mix((total[self.end] - total[self.begin]) * _inverses[self.begin])
+        self.hash = span_hashes(data, self.begin, self.end)
         self.first = np.searchsorted(self.begin, begins)
         self.text = np.repeat(np.arange(self.rows), np.diff(self.first))
 

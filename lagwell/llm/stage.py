@@ -21,10 +21,10 @@ def shared_folder(spark: SparkSession) -> str:
     return found
 
 
-def staged(df: DataFrame) -> DataFrame:
+def staged(df: DataFrame, **options) -> DataFrame:
     """The rows written as Parquet in the shared folder and read again: lineage ends here, whatever executors are lost later."""
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.staged_path = path
     return out
