@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lagwell.llm import cells, chat, decontaminate, jaccard, tokens
+from lagwell.llm import cells, chat, decontaminate, interpolate, jaccard, tokens
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -114,3 +114,8 @@ def tokenizer_path() -> str:
 @query
 def op6_token_binary(spark: SparkSession, d: str) -> DataFrame:
     return tokens.token_table(table(spark, d, "documents"), tokenizer_path())
+
+
+@query
+def op7_lm_interpolation(spark: SparkSession, d: str) -> DataFrame:
+    return interpolate.score(table(spark, d, "documents"))

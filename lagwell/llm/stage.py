@@ -27,6 +27,8 @@ def staged(df: DataFrame, **options) -> DataFrame:
     df.write.options(**options).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.staged_path = path
+    spark = df.sparkSession
+    spark._jvm.System.gc()  # Spark drops the shuffle files of finished queries when their plans are collected
     return out
 
 
