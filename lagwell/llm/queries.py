@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lagwell.llm import cells, chat, decontaminate, interpolate, jaccard, tokens
+from lagwell.llm import cells, chat, decontaminate, interpolate, jaccard, mincut, tokens, warc
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -119,3 +119,20 @@ def op6_token_binary(spark: SparkSession, d: str) -> DataFrame:
 @query
 def op7_lm_interpolation(spark: SparkSession, d: str) -> DataFrame:
     return interpolate.score(table(spark, d, "documents"))
+
+
+@query
+def op4_html_mincut(spark: SparkSession, d: str) -> DataFrame:
+    return mincut.extract(table(spark, d, "pages"))
+
+
+@query
+def op9_warc_derivatives(spark: SparkSession, d: str) -> DataFrame:
+    """All pages as responses, their derivatives written as gzip members and read back."""
+    made = warc.parsed(warc.serialised(warc.derive(warc.responses(table(spark, d, "pages")))))
+    value = lambda name: F.expr(f"filter(headers, h -> h.name = '{name}')[0].value")
+    return made.select(
+        "page_id", "warc_type", "record_id", "refers_to", "target_uri", value("WARC-Date").alias("warc_date"), value("WARC-Source-Payload-Digest").alias("source_payload_digest"),
+        value("WARC-Source-Content-Type").alias("source_content_type"), value("WARC-Block-Digest").alias("block_digest"), value("Content-Type").alias("content_type"),
+        value("Content-Length").cast("long").alias("content_length"), F.decode("block", "utf-8").alias("content"),
+    )
