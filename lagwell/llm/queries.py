@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lagwell.llm import cells, chat, decontaminate, interpolate, jaccard, mincut, tokens, warc
+from lagwell.llm import cells, chat, decontaminate, interpolate, jaccard, kneser, mincut, mixing, tokens, warc
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -136,3 +136,15 @@ def op9_warc_derivatives(spark: SparkSession, d: str) -> DataFrame:
         value("WARC-Source-Content-Type").alias("source_content_type"), value("WARC-Block-Digest").alias("block_digest"), value("Content-Type").alias("content_type"),
         value("Content-Length").cast("long").alias("content_length"), F.decode("block", "utf-8").alias("content"),
     )
+
+
+@query
+def op3_toxicity_kneser_ney(spark: SparkSession, d: str) -> DataFrame:
+    df = kneser.scored(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "labels"))
+    return df.select("doc_id", kneser.held_out().alias("held_out"), F.col("toxic_score").alias("score"), (F.col("toxic_score") >= kneser.CUT).cast("int").alias("predicted"))
+
+
+@query
+def op10_mix_to_targets(spark: SparkSession, d: str) -> DataFrame:
+    df = mixing.mixed(table(spark, d, "documents"))
+    return df.select("doc_id", "source", "lang", "mix_topic", "mix_tokens", "mix_factor", "mix_p", "mix_draw", "mix_kept")
