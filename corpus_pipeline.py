@@ -1,8 +1,70 @@
-"""Corpus pipeline over documents."""
+"""Corpus pipeline: toxicity, near duplicates, benchmark contamination, mixing to target weights, token ids.
 
-STAGES: list = []
+Each stage is a function (spark, docs, sf_dir) of the documents that the stage before kept; its decisions take effect, and all but
+the last return the columns they were given. `run` writes each stage's rows as Parquet in the shared folder and reads them again.
+
+Rows with a null doc_id are never near duplicates of others and stay; of several rows of one doc_id in one group one stays.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from lagwell.llm import decontaminate, jaccard, kneser, mixing, tokens
+from lagwell.llm.queries import tokenizer_path
+from lagwell.llm.stage import staged
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below the cut; models learn from the labelled documents among those given."""
+    scored = kneser.scored(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return scored.filter(F.col("toxic_score") < kneser.CUT).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the smallest doc_id of each group of similar ones."""
+    first = jaccard.near_duplicates(docs.select("doc_id", "text")).filter("doc_id = component_id").select("doc_id").distinct()
+    kept = docs.join(first, "doc_id", "left_semi")
+    # rows that repeat a doc_id are one document: the one whose text has the smallest hash stays
+    once = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
+    kept = kept.withColumn("__n", F.row_number().over(once)).filter("__n = 1").select(*docs.columns)
+    return kept.unionByName(docs.filter("doc_id IS NULL"))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which less than a twentieth repeats windows of the benchmark."""
+    found = decontaminate.contamination(docs.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).filter("contaminated")
+    bad = found.select(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__x")).distinct()
+    hit = F.col("doc_id").eqNullSafe(F.col("__d")) & (F.xxhash64("text") == F.col("__x"))
+    return docs.join(bad, hit, "left_anti").select(*docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The sample that calibrated probabilities draw; sources, languages and topics approach their target shares."""
+    return mixing.mixed(docs).filter("mix_kept").select(*docs.columns)
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Per document, read back from the token files: doc_id, start, n_tokens, ids_crc32."""
+    return tokens.token_table(docs.select("doc_id", "text"), tokenizer_path())
+
+
+STAGES = [
+    ("toxicity", toxicity),
+    ("ngram_jaccard_join", near_duplicates),
+    ("benchmark_decontamination", decontamination),
+    ("mixing", mix),
+    ("token_output", token_ids),
+]
+
+#: The learned toxicity scores can't be said in SQL; tests compare each stage with a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES:
+        docs = staged(stage(spark, docs, sf_dir))
+    return docs
