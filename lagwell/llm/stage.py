@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,11 +29,16 @@ def staged(df: DataFrame, **options) -> DataFrame:
     df.write.options(**options).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.staged_path = path
-    spark = df.sparkSession
-    spark._jvm.System.gc()  # Spark drops the shuffle files of finished queries when their plans are collected
     return out
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of finished queries: it does so when their plans are collected as garbage."""
+    time.sleep(1)  # the events of the last query still hold its plan for a moment
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes staged tables that nothing reads any more."""
     for t in tables:
