@@ -8,7 +8,7 @@
    in the first n - ceil(0.75 n) + 1 places can be the first common one of a similar pair, so only these are joined.
 4. Sets of identical prefix and size form one group. Group pairs that share a prefix n-gram are filtered by size and by
    position, then expanded to members, whose whole sets are intersected.
-5. Large clusters of near copies don't make all pairs: first each group is verified against one leading group per n-gram,
+5. Large clusters of near copies don't make all pairs: first each group is verified against a few leading groups per n-gram,
    and only pairs whose sides still lie in different components are made after that, all of them. Links inside
    a component can't change it.
 
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lagwell.llm import scan
-from lagwell.llm.stage import components, discard, staged
+from lagwell.llm.stage import components, discard, release, staged
 
 WORDS = 5
 #: Hashes a bucket should hold, hashes in a block, and leaders each n-gram list is verified against.
@@ -179,19 +179,21 @@ def shared_grams(docs: DataFrame, total: int, n: int = WORDS) -> DataFrame:
     bits = max(3, int(np.ceil(np.log2(max(1, total / BUCKET)))))
     blobs = docs.select("text").mapInArrow(_packed(n, bits), "bucket bigint, block bigint, blob binary, slot bigint, n bigint, s bigint")
     rows = staged(blobs.repartition(1 << bits, "bucket").mapInArrow(_shared, "token bigint, place bigint, n bigint, s bigint"))
+    release(docs.sparkSession)
     places = rows.filter("token IS NULL").groupBy("s", "n").agg(F.min("place").alias("place"))
     pairs = rows.filter("token IS NOT NULL").select("token", "place")
     often = pairs.groupBy("token").agg(F.count("*").alias("df"))
     lists = pairs.join(often, "token").groupBy("place").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("t"))
     out = staged(lists.join(places, "place").select("s", "n", F.expr("t.token").alias("tokens")).filter("n - size(tokens) < n - ceil(0.75 * n) + 1"))
     discard(rows)
+    release(docs.sparkSession)
     return out
 
 
-def linked(spark, edges: DataFrame, whole: DataFrame) -> DataFrame:
+def linked(edges: DataFrame, whole: DataFrame) -> DataFrame:
     """The candidate pairs (a, b of vid) whose whole sets reach the similarity; whole: vid, n, tokens."""
     x, y = (whole.select(F.col("vid").alias(c), F.col("n").alias(f"n{c}"), F.col("tokens").alias(f"t{c}")) for c in "ab")
-    met = edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(x, "a").filter("true").join(y, "b")
+    met = edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(x, "a").join(y, "b")
     return met.filter("7 * size(array_intersect(ta, tb)) >= 3 * (na + nb)").select("a", "b")
 
 
@@ -210,7 +212,7 @@ def near_duplicates(docs: DataFrame, n: int = WORDS) -> DataFrame:
     first = staged(first.select("vid", "n", "g", F.expr(own).alias("own"), "prefix"))
     groups = first.groupBy("g", "n").agg(F.min("vid").alias("gid"), F.min_by("own", "vid").alias("own"), F.min_by("prefix", "vid").alias("prefix"))
     members = staged(first.join(groups.select("g", "n", "gid"), ["g", "n"]).select("gid", "vid"))
-    entries = groups.select("gid", "n", "own", F.posexplode("prefix").alias("at", "token")).select("token", "gid", "n", (F.col("own") + F.col("at")).alias("pos"))
+    entries = groups.select("gid", "n", "own", F.posexplode("prefix").alias("at", "token")).select("token", "gid", "n", "own", (F.col("own") + F.col("at")).alias("pos"))
     entries = staged(entries)
     # leaders: members against the group's first, groups against one leading group per n-gram and seed
     lead = members.filter("gid <> vid").select(F.col("gid").alias("a"), F.col("vid").alias("b"))
@@ -218,12 +220,13 @@ def near_duplicates(docs: DataFrame, n: int = WORDS) -> DataFrame:
         top = entries.groupBy("token").agg(F.min_by("gid", F.xxhash64(F.lit(seed), "gid")).alias("a"), F.min_by("n", F.xxhash64(F.lit(seed), "gid")).alias("m"), F.count("*").alias("k")).filter("k > 1")
         met = entries.join(top, "token").filter("a <> gid AND 3 * n <= 4 * m AND 3 * m <= 4 * n")
         lead = lead.unionByName(met.select("a", F.col("gid").alias("b")))
-    links = staged(linked(spark, lead, whole))
+    links = staged(linked(lead, whole))
+    release(spark)
     label = staged(components(links))
     parts = members.join(label.withColumnRenamed("v", "vid"), "vid", "left").withColumn("c", F.coalesce("c", "vid"))
     sub = staged(parts.groupBy("gid", "c").agg(F.collect_list("vid").alias("vids")))
     # the rest: all group pairs with a common prefix n-gram whose sides lie in different components
-    listed = entries.join(sub.select("gid", "c"), "gid")
+    listed = entries.drop("own").join(sub.select("gid", "c"), "gid")
     sizes = listed.groupBy("token", "c").agg(F.count("*").alias("k")).groupBy("token").agg(F.max_by("c", "k").alias("main"), F.count("*").alias("cs")).filter("cs > 1")
     mixed = staged(listed.join(sizes, "token"))
     x = mixed.filter("c <> main").select("token", F.col("gid").alias("g1"), F.col("c").alias("c1"), F.col("n").alias("n1"), F.col("pos").alias("p1"))
@@ -232,7 +235,7 @@ def near_duplicates(docs: DataFrame, n: int = WORDS) -> DataFrame:
     pairs = x.join(y, "token").filter(able).select("g1", "c1", "g2", "c2").distinct()
     p1, p2 = (sub.select(F.col("gid").alias(f"g{i}"), F.col("c").alias(f"c{i}"), F.col("vids").alias(f"v{i}")) for i in (1, 2))
     rest = pairs.join(p1, ["g1", "c1"]).join(p2, ["g2", "c2"]).select(F.explode("v1").alias("a"), "v2").select("a", F.explode("v2").alias("b"))
-    more = staged(linked(spark, rest, whole))
+    more = staged(linked(rest, whole))
     label = components(links.unionByName(more))
     out = named.join(label.withColumnRenamed("v", "vid"), "vid", "left").select("s", "n", F.coalesce("c", "vid").alias("c"))
     joined = each.filter("n > 0").join(out, ["s", "n"], "left").select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("c")).alias("component_id"))
