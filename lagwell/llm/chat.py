@@ -78,7 +78,7 @@ LAYOUTS = (
 )
 
 #: Rows of one turn each; they are grouped before the other layouts apply.
-TURN_ROWS = fingerprint(shape(T._parse_datatype_string("conv_id bigint, turn bigint, role string, text string")))
+TURN_ROWS = fingerprint("OBJECT<conv_id: , role: , text: , turn: >")
 
 
 def from_json_records(df: DataFrame, column: str, layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
