@@ -7,7 +7,7 @@ stand apart as 2-bit codes, four to a control byte. Decoding looks the control b
 The files are Parquet tables in the given folder (so any store that Spark writes to will do): `ranks` (rank, id) and
 `shards` (part, seq, doc_ids, counts, start in its part, control, data). A corpus position is the part's base plus that.
 
-Encoding splits texts only where the tokenizer's own pre-tokenizer must split them (after an ASCII letter before another
+Encoding splits texts only where the tokenizer's own pre-tokenizer must split them (after a Latin letter before an
 ASCII character that is no letter, before ASCII white space that follows an ASCII mark, and before one space that an ASCII
 mark follows), so that each distinct piece is encoded once per task; tests compare this with encoding whole texts.
 
@@ -18,6 +18,8 @@ texts' hash; special-token strings in a text are ordinary text; an empty table g
 from __future__ import annotations
 
 import zlib
+from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,18 +28,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lagwell.llm import scan
-from lagwell.llm.stage import discard, shared_folder, staged
+from lagwell.llm.stage import discard, release, shared_folder, staged
 
 SHARD, CACHE = 1 << 20, 1_200_000
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
 _MARK = np.zeros(256, bool)  # printable ASCII without the space
 _MARK[0x21:0x7F] = True
-_PLAIN = _MARK | scan.SPACE
 
 
 class Encoder:
-    """Encodes batches of texts; distinct pieces are remembered, at most `CACHE` of them."""
+    """Encodes batches of texts; distinct pieces are remembered, at most `CACHE` of them, in arrays sorted by their hash."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -47,21 +48,32 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.at: dict[int, int] = {}
-        self.ids = np.zeros(1 << 16, np.uint32)
-        self.ends = np.zeros(1 << 14, np.int64)
+        self.keys, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
 
-    def _add(self, keys: list[int], pieces: list[str]) -> None:
-        n, end = len(self.at), int(self.ends[len(self.at) - 1]) if self.at else 0
+    def _encoded(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         found = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-        lens = np.fromiter(map(len, found), np.int64, len(found))
-        while len(self.ends) < n + len(found):
-            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
-        self.ends[n : n + len(found)] = end + np.cumsum(lens)
-        while len(self.ids) < end + lens.sum():
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        self.ids[end : end + lens.sum()] = np.fromiter((x for e in found for x in e), np.uint32, int(lens.sum()))
-        self.at.update(zip(keys, range(n, n + len(found)), strict=True))
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum())), sizes
+
+    def _places(self, keys: np.ndarray, first: np.ndarray, begin: np.ndarray, end: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Begin and count, in self.ids, of sorted distinct keys; new pieces are encoded first."""
+        if len(self.keys) + len(keys) > CACHE:
+            self.clear()
+        to = np.searchsorted(self.keys, keys)
+        known = np.zeros(len(keys), bool)
+        known[to < len(self.keys)] = self.keys[to[to < len(self.keys)]] == keys[to < len(self.keys)]
+        if not known.all():
+            raw, new = data.tobytes(), np.flatnonzero(~known)
+            ids, sizes = self._encoded([raw[a:b].decode() for a, b in zip(begin[first[new]].tolist(), end[first[new]].tolist(), strict=True)])
+            while len(self.ids) < self.used + len(ids):
+                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+            self.ids[self.used : self.used + len(ids)] = ids
+            self.at = np.insert(self.at, to[new], self.used + np.cumsum(sizes) - sizes)
+            self.size, self.keys = np.insert(self.size, to[new], sizes), np.insert(self.keys, to[new], keys[new])
+            self.used += len(ids)
+            to = np.searchsorted(self.keys, keys)
+        return self.at[to], self.size[to]
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """ids of all texts, each text's closed by id 0, and their counts."""
@@ -70,7 +82,11 @@ class Encoder:
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
         prev, here = data[:-1], data[1:]
         after = np.append(data[2:], 0x20)
-        cut = _LETTER[prev] & ~_LETTER[here] & (here < 0x80)
+        lead = np.append(np.uint8(0), data[:-1])
+        letter = _LETTER[data] | (data >= 0xC3) & (data <= 0xC5)  # two-byte letters: U+00C0 to U+017F but for two signs
+        letter |= (lead >= 0xC3) & (lead <= 0xC5) & ~((lead == 0xC3) & ((data == 0x97) | (data == 0xB7)))
+        letter[:-1] &= ~((data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7)))
+        cut = letter[:-1] & ~letter[1:] & (here < 0x80)
         cut |= _MARK[prev] & scan.SPACE[here]
         cut |= ~scan.SPACE[prev] & (here == 0x20) & _MARK[after]
         edge = np.zeros(len(data) + 1, bool)
@@ -84,17 +100,8 @@ class Encoder:
         keep = inside[begin]
         begin, end = begin[keep], end[keep]
         keys, first, back = np.unique(scan.span_hashes(data, begin, end), return_index=True, return_inverse=True)
-        if len(self.at) + len(keys) > CACHE:
-            self.clear()
-        listed = keys.tolist()
-        new = [i for i, k in enumerate(listed) if k not in self.at]
-        if new:
-            raw = data.tobytes()
-            self._add([listed[i] for i in new], [raw[begin[first[i]] : end[first[i]]].decode() for i in new])
-        index = np.fromiter((self.at[k] for k in listed), np.int64, len(listed))
-        to = self.ends[index]
-        since = np.where(index > 0, self.ends[index - 1], 0) if len(index) else to
-        piece_len, piece_at = (to - since)[back], since[back]
+        at, size = self._places(keys, first, begin, end, data)
+        piece_len, piece_at = size[back], at[back]
         text = np.searchsorted(begins, begin, side="right") - 1
         counts = np.bincount(text, weights=piece_len, minlength=len(begins) - 1).astype(np.int64) + 1
         ends = np.cumsum(counts)
@@ -102,11 +109,17 @@ class Encoder:
         place = np.ones(len(out), bool)
         place[ends - 1] = False
         run = np.cumsum(piece_len)
-        source = np.arange(int(run[-1]) if len(run) else 0) - np.repeat(run - piece_len, piece_len) + np.repeat(piece_at, piece_len)
+        source = np.arange(int(run[-1]) if len(run) else 0) + np.repeat(piece_at - run + piece_len, piece_len)
         out[place] = self.ids[source]
         return out, counts
 
 
+@cache
+def encoder(path: str) -> Encoder:
+    """One encoder per Python worker; its pieces serve all tasks of the worker."""
+    return Encoder(path)
+
+
 _RAW = pa.schema([("part", pa.int64()), ("seq", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("start", pa.int64()), ("n", pa.int64()), ("ids", pa.binary())])
 
 
@@ -114,7 +127,7 @@ def _encode(path: str):
     def run(batches):
         from pyspark import TaskContext
 
-        encode, part, seq, at = Encoder(path), TaskContext.get().partitionId(), 0, 0
+        encode, part, seq, at = encoder(path), TaskContext.get().partitionId(), 0, 0
         held: list = []
 
         def shard():
@@ -182,6 +195,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str) -> None:
     dealt = dealt.repartitionByRange("doc_id", "x").sortWithinPartitions("doc_id", "x").select("doc_id", "text")
     kinds = "part bigint, seq bigint, doc_ids array<bigint>, counts array<bigint>, start bigint, n bigint"
     raw = staged(dealt.mapInArrow(_encode(tokenizer), kinds + ", ids binary"), compression="zstd")
+    release(spark)
     counted = raw.select("ids").mapInArrow(_count, "id bigint, k bigint").groupBy("id").agg(F.sum("k").alias("k"))
     order = [r.id for r in counted.orderBy(F.desc("k"), "id").collect()]  # at most the vocabulary
     spark.createDataFrame(list(enumerate(order)), "rank bigint, id bigint").coalesce(1).write.parquet(f"{folder}/ranks")
