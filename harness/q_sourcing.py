@@ -18,11 +18,12 @@ def scan_multi_season(spark, d):
     ddl = "o_orderkey bigint, status string, price float, spin double"
     o = t.read(spark, d, "orders")
     def season(y):
-        part = o.filter(F.year("o_orderdate") == y)
+        part = o.filter(F.year("o_orderdate").eqNullSafe(F.lit(y)))
         # one season delivers the drifting column as text
         spin = F.col("o_custkey").cast("string" if y == 1997 else "double").alias("spin")
         return conform(part.select("o_orderkey", F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("price"), spin), ddl)
-    return reduce(lambda a, b: a.unionByName(b), [season(y) for y in range(1995, 2002)])
+    years = [r[0] for r in o.select(F.year("o_orderdate")).distinct().collect()]  # one row per season
+    return reduce(lambda a, b: a.unionByName(b), [season(y) for y in sorted(years, key=lambda y: (y is None, y))])
 
 
 @query("scan_latest_snapshot", ["event_type"], "SELECT event_type, count(*) AS n, max(event_id) AS last_id FROM events GROUP BY ALL")

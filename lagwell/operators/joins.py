@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lagwell.functions.rates import pythagorean
-from lagwell.plans.frames import Feature, lagged, through
-from lagwell.plans.scale import HotPolicy, small_side
+from lagwell.plans.frames import Feature, Split, lagged, through
+from lagwell.plans.scale import small_side
 
 
 def indicator(left: DataFrame, right: DataFrame, keys, name: str, yes="both", no="left_only") -> DataFrame:
@@ -85,18 +85,18 @@ def asof_season(df: DataFrame, table: DataFrame, keys: list[str], season: str =
 
 def asof_latest(events: DataFrame, features: DataFrame, keys: list[str], event_time: str, feature_time: str,
                 cols: list[str], event_id: str, ttl_seconds: int | None = None,
-                hot: HotPolicy | None = None) -> DataFrame:
+                split: Split = Split()) -> DataFrame:
     """Latest feature row at or before each event, within a time to live.
 
     Events and features are stacked and swept once in time order, so the work is linear in
-    both inputs and no event is ever paired with more than one feature row.
+    both inputs and no event is ever paired with more than one feature row. A key may hold any number of rows.
     """
     payload = F.struct(F.col(feature_time).alias("_ft"), *[F.col(c) for c in cols])
     f = features.select(*keys, F.col(feature_time).alias("_t"), F.lit(0).alias("_k"),
                         F.lit(None).cast(events.schema[event_id].dataType).alias(event_id), payload.alias("_p"))
     e = events.select(*keys, F.col(event_time).alias("_t"), F.lit(1).alias("_k"), event_id,
                       F.lit(None).cast(f.schema["_p"].dataType).alias("_p"))
-    s = lagged(e.unionByName(f), keys, ["_t", "_k", event_id], [Feature("_best", "max", "_p", through())], hot)
+    s = lagged(e.unionByName(f), keys, ["_t", "_k", event_id], [Feature("_best", "max", "_p", through())], split)
     s = s.filter("_k = 1")
     best = F.col("_best")
     if ttl_seconds is not None:

@@ -1,11 +1,11 @@
 """Ordered-frame features: lagged sums, means, medians and running numbers.
 
-Every feature is declared as data (`Feature`) and computed by `lagged`. Groups of
-ordinary size go through one window per partitioning. Where the input is large enough
-for a hot group to matter, the group sizes are counted first and the rows of hot groups
-take a second path: exact row numbers from per-bucket counts, fixed-size blocks of
-consecutive rows, a halo of the preceding rows for bounded frames and carried partial
-aggregates for expanding ones. No task ever holds more than a block of a hot group.
+Every feature is declared as data (`Feature`) and computed by `lagged`. Which plan is used depends on what the operator
+is, never on the size of its input: keys whose groups are bounded by nature (the games of a player, the rows of an
+appearance) go through one window per partitioning. Operators over raw events, where one key may hold most rows, pass
+`Split`: every group then gets exact row numbers from per-bucket counts, blocks of consecutive rows, a
+halo of the preceding rows for bounded frames and carried partial aggregates for expanding ones. Both plans give
+the same column types.
 """
 
 from __future__ import annotations
@@ -18,7 +18,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from lagwell.plans.scale import HotPolicy, stage
+
+@dataclass(frozen=True)
+class Split:
+    """Groups may be of any size: rows are worked on in blocks of block_rows."""
+
+    block_rows: int = 1_000_000
+
 
 AGGS = ("sum", "avg", "std", "median", "max", "min", "count", "rows", "value")
 
@@ -75,51 +81,26 @@ def spread(cols, aggs, frame: Frame, pattern: str, need_prev: bool = False) -> l
 
 
 def lagged(df: DataFrame, entity, order, features: list[Feature],
-           hot: HotPolicy | None = None, bucket: Column | None = None) -> DataFrame:
+           split: Split | None = None, bucket: Column | None = None) -> DataFrame:
     """Add the features to df, partitioned by entity (+ frame.within), ordered by order.
 
-    order must be unique within a partition. bucket is a coarse, monotone form of the
-    first order column used only to number rows of hot groups; dates and timestamps have
-    a default.
+    order must be unique within a partition. With split, bucket is a coarse, monotone form of the first order
+    column that numbers the rows of a group; dates, timestamps and integers have a default.
     """
     entity = [entity] if isinstance(entity, str) else list(entity)
     order = [order] if isinstance(order, str) else list(order)
-    hot = hot or HotPolicy.of(df.sparkSession)
     groups: dict[tuple, list[Feature]] = {}
     for f in features:
         groups.setdefault(f.frame.within, []).append(f)
-    skip = hot.can_skip(df)
     for within in sorted(groups, key=len):
         keys = entity + [w for w in within if w not in entity]
-        feats = groups[within]
-        if skip:
-            df = _plain(df, keys, order, feats)
-            continue
-        # counting reads the key columns only; rows are staged once it finds a hot group
-        if _hot_keys(df, keys, hot).isEmpty():
-            df = _plain(df, keys, order, feats)
-            continue
-        df = stage(df)
-        hot_keys = _hot_keys(df, keys, hot)
-        cold = _match(df, hot_keys, keys, "left_anti")
-        big = _match(df, hot_keys, keys, "left_semi")
-        df = _plain(cold, keys, order, feats).unionByName(
-            _blocked(big, keys, order, feats, hot.block_rows, bucket))
+        if split is None:
+            df = _plain(df, keys, order, groups[within])
+        else:
+            df = _blocked(df, keys, order, groups[within], split.block_rows, bucket)
     return df
 
 
-def _hot_keys(df, keys, hot):
-    return df.groupBy(*keys).count().filter(F.col("count") > hot.rows).drop("count")
-
-
-def _match(df, keys_df, keys, how):
-    r = keys_df.select(*[F.col(k).alias(f"_k_{i}") for i, k in enumerate(keys)])
-    cond = reduce(lambda a, b: a & b,
-                  [F.col(k).eqNullSafe(F.col(f"_k_{i}")) for i, k in enumerate(keys)])
-    out = df.join(r, cond, how)
-    return out if how in ("left_semi", "left_anti") else out.drop(*r.columns)
-
-
 def _agg(agg: str, c: Column) -> Column:
     return {
         "sum": lambda: F.sum(c), "avg": lambda: F.avg(c), "std": lambda: F.stddev_samp(c),
@@ -200,29 +181,37 @@ def _blocked(df, keys, order, feats, block_rows, bucket):
     d = _numbered(df, keys, order, bucket)
     d = d.withColumn("_blk", F.floor((F.col("_rn") - 1) / size))
 
+    kinds = {f.name: f.dataType for f in _plain(df, keys, order, feats).schema}
     expanding = [f for f in feats if f.frame.lo is None]
-    medians = [f for f in expanding if f.agg == "median"]
+    if any(f.agg == "median" for f in expanding):
+        raise ValueError("an expanding median needs all earlier values, so it takes no split groups")
     uses: dict[str, set] = {}
     for f in expanding:
-        if f.col and f.agg != "median":
+        if f.col:
             uses.setdefault(f.col, set()).add(f.agg)
+    centred = sorted(c for c, a in uses.items() if "std" in a)
+    if centred:
+        # deviations are summed around the group's mean, so that equal or far-off values lose no digits
+        means = df.groupBy(*keys).agg(*[F.avg(F.col(c).cast("double")).alias(f"_m_{c}") for c in centred])
+        d = _attach(d, means, keys)
     carry = None
     if expanding:
         parts = [F.count(F.lit(1)).alias("_p_rows")]
         for c, aggs in sorted(uses.items()):
             x = F.col(c)
             parts.append(F.count(x).alias(f"_n_{c}"))
-            if aggs & {"sum", "avg", "std"}:
+            if aggs & {"sum", "avg"}:
                 parts.append(F.sum(x).alias(f"_s_{c}"))
             if "std" in aggs:
-                parts.append(F.sum(x.cast("double") * x.cast("double")).alias(f"_q_{c}"))
+                off = x.cast("double") - F.col(f"_m_{c}")
+                parts += [F.sum(off).alias(f"_d_{c}"), F.sum(off * off).alias(f"_q_{c}")]
             if "max" in aggs:
                 parts.append(F.max(x).alias(f"_x_{c}"))
             if "min" in aggs:
                 parts.append(F.min(x).alias(f"_i_{c}"))
         per = d.groupBy(*keys, "_blk").agg(*parts)
         up = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-        how = {"_p": F.sum, "_s": F.sum, "_n": F.sum, "_q": F.sum, "_x": F.max, "_i": F.min}
+        how = {"_p": F.sum, "_s": F.sum, "_n": F.sum, "_d": F.sum, "_q": F.sum, "_x": F.max, "_i": F.min}
         carry = per.select(*keys, "_blk", *[
             how[c[:2]](c).over(up).alias("c" + c) for c in per.columns if c not in keys + ["_blk"]])
 
@@ -235,25 +224,17 @@ def _blocked(df, keys, order, feats, block_rows, bucket):
     w = Window.partitionBy(*keys, "_in").orderBy("_rn")
     out = []
     for f in feats:
-        if f in medians:
-            continue
         if f.frame.lo is not None:
             c = _over(f, w)
         else:
-            c = _carried(f, w.rowsBetween(Window.unboundedPreceding, -f.frame.hi), own)
+            c = _carried(f, w.rowsBetween(Window.unboundedPreceding, -f.frame.hi), own, kinds[f.name])
         if f.need_prev:
             c = F.when(F.lag(f.col, 1).over(w).isNotNull(), c)
-        out.append(c.alias(f.name))
-    d = d.select("*", *out).filter(own)
-    names = [f.name for f in feats if f not in medians]
-    if medians:
-        from lagwell.plans.prefix_median import add_prefix_medians
-        d = add_prefix_medians(d, keys, medians, size)
-    d = d.select(*keep, *names, *[f.name for f in medians])
-    return d.select(*keep, *[f.name for f in feats])
+        out.append(c.cast(kinds[f.name]).alias(f.name))
+    return d.select("*", *out).filter(own).select(*keep, *[f.name for f in feats])
 
 
-def _carried(f: Feature, w, own) -> Column:
+def _carried(f: Feature, w, own, kind) -> Column:
     """In-block aggregate merged with what the earlier blocks carried in."""
     def mine(x):
         return F.when(own, x)
@@ -268,15 +249,18 @@ def _carried(f: Feature, w, own) -> Column:
     if f.agg in ("max", "min"):
         fn, pick, tag = (F.max, F.greatest, "x") if f.agg == "max" else (F.min, F.least, "i")
         return pick(fn(mine(x)).over(w), F.col(f"c_{tag}_{f.col}"))
+    if f.agg == "std":
+        off = x.cast("double") - F.col(f"_m_{f.col}")
+        s, q = (F.coalesce(F.sum(mine(v)).over(w), F.lit(0.0)) + F.coalesce(F.col(f"c_{t}_{f.col}"), F.lit(0.0))
+                for v, t in ((off, "d"), (off * off, "q")))
+        n = n.cast("double")
+        return F.when(n > 1, F.sqrt(F.greatest(F.lit(0.0), q - F.try_divide(s * s, n)) / (n - 1)))
     s = F.coalesce(F.sum(mine(x)).over(w), zero) + F.coalesce(F.col(f"c_s_{f.col}"), zero)
     if f.agg == "sum":
         return F.when(n > 0, s)
-    if f.agg == "avg":
-        return F.try_divide(s.cast("double"), n.cast("double"))
-    xx = x.cast("double") * x.cast("double")
-    q = (F.coalesce(F.sum(mine(xx)).over(w), F.lit(0.0))
-         + F.coalesce(F.col(f"c_q_{f.col}"), F.lit(0.0)))
-    return pooled_std(n, s, q)
+    if isinstance(kind, T.DecimalType):  # a bounded divisor leaves the quotient its decimal places
+        s, n = s.cast(T.DecimalType(min(38, kind.precision + 6), max(0, kind.scale - 4))), n.cast("decimal(12,0)")
+    return F.try_divide(s, n)
 
 
 def pooled_std(n: Column, s: Column, q: Column) -> Column:
@@ -298,27 +282,21 @@ def pooled_std_sql(n: str, s: str, q: str) -> str:
             f"ELSE {var} END) END")
 
 
-def totals(df: DataFrame, keys, aggs: dict[str, Column], hot: HotPolicy | None = None) -> DataFrame:
-    """Whole-group aggregates on every row. Above the size floor they are pre-aggregated
-    map-side and joined back, so a hot group is never gathered in one task."""
+def totals(df: DataFrame, keys, aggs: dict[str, Column]) -> DataFrame:
+    """Whole-group aggregates on every row, pre-aggregated map-side and joined back, so no group is gathered in one task."""
     keys = [keys] if isinstance(keys, str) else list(keys)
-    hot = hot or HotPolicy.of(df.sparkSession)
-    if hot.can_skip(df):
-        w = Window.partitionBy(*keys)
-        return df.select("*", *[a.over(w).alias(n) for n, a in aggs.items()])
-    side = df.groupBy(*keys).agg(*[a.alias(n) for n, a in aggs.items()])
-    return _attach(df, side, keys)
+    return _attach(df, df.groupBy(*keys).agg(*[a.alias(n) for n, a in aggs.items()]), keys)
 
 
 def seven_day_sum(df: DataFrame, entity: str, date: str, order, col: str, name: str,
-                  days: int = 7, hot: HotPolicy | None = None) -> DataFrame:
+                  days: int = 7, split: Split | None = None) -> DataFrame:
     """Sum of the previous row's value over dates in (date - days, date], rows so far.
 
     Values are shifted by one row first, so the previous start always counts; an empty
     frame gives 0. Rows later on the same date are left out.
     """
     order = [order] if isinstance(order, str) else list(order)
-    d = lagged(df, entity, [date] + order, [Feature("_prev", "value", col, back(1))], hot)
+    d = lagged(df, entity, [date] + order, [Feature("_prev", "value", col, back(1))], split)
     d = d.withColumn("_day", F.datediff(F.col(date), F.lit("1970-01-01").cast("date")))
     per_day = d.groupBy(entity, "_day").agg(F.sum("_prev").alias("_d"))
     span = Window.partitionBy(entity).orderBy("_day").rangeBetween(-(days - 1), -1)

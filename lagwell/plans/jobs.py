@@ -64,7 +64,7 @@ def create_features(spark: SparkSession, transforms: dict[str, Callable[[], Data
         try:
             status, error = T.write_snapshot(T.snapshot(make(), date), f"{path}/{name}"), None
         except Exception as e:
-            status, error, code = "error", str(e)[:500], 207
+            status, error, code = "error", str(e), 207
         rows.append((name, date, status, error))
     return code, spark.createDataFrame(rows, "transform string, date string, status string, error string")
 

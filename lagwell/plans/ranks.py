@@ -1,36 +1,19 @@
 """Exact quantiles and global running totals without gathering values in one task.
 
-Equal values are folded into counts first. Distinct values are then placed in monotone
-buckets between the group's minimum and maximum, bucket totals (a bounded table) are
-accumulated, and only single buckets are ordered value by value.
+Both start from a mergeable quantile sketch, whose error is one of ranks, not of values: outliers and concentrated values
+don't matter. For quantiles the sketch brackets each wanted rank; the exact counts below the bracket and the values
+inside it settle the answer. For running totals it gives the bounds of buckets of nearly equal row counts.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lagwell.plans.scale import HotPolicy, one_row
+from lagwell.plans.scale import one_row
 
-BUCKETS = 8192
-
-
-def _grid(v: Column, lo: Column, hi: Column, n) -> Column:
-    """Monotone bucket 0..n-1 of v between lo and hi."""
-    span = hi - lo
-    b = F.floor((v - lo) / F.when(span > 0, span) * n)
-    return F.coalesce(F.when(b >= n, n - 1).otherwise(b), F.lit(0)).cast("int")
-
-
-def value_buckets(df: DataFrame, by, value: str, name: str, rows_per_bucket: int) -> DataFrame:
-    """Monotone value bucket per group, about rows_per_bucket rows each when values are even."""
-    by = list(by)
-    ends = df.groupBy(*by).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"),
-                               F.count(F.lit(1)).alias("_n"))
-    n = F.greatest(F.ceil(F.col("_n") / rows_per_bucket), F.lit(1))
-    d = df.join(ends, by)
-    return d.withColumn(name, _grid(F.col(value), F.col("_lo"), F.col("_hi"), n)).drop("_lo", "_hi", "_n")
+BUCKETS, ACCURACY = 1024, 20_000
 
 
 def running_totals(df: DataFrame, value: str, measures: list[str], prefix: str = "before_",
@@ -42,8 +25,11 @@ def running_totals(df: DataFrame, value: str, measures: list[str], prefix: str =
     v = F.col(value).cast("double")
     sign = -v if descending else v
     d = df.withColumn("_v", sign)
-    ends = d.agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-    d = d.crossJoin(one_row(ends)).withColumn("_b", _grid(F.col("_v"), F.col("_lo"), F.col("_hi"), BUCKETS))
+    bounds = F.percentile_approx("_v", F.array(*[F.lit(i / BUCKETS) for i in range(1, BUCKETS)]), F.lit(ACCURACY))
+    steps = ", ".join(str(1 << k) for k in reversed(range(BUCKETS.bit_length() - 1)))
+    # binary search: how many of the bounds are at most the value
+    bucket = f"aggregate(array({steps}), 0, (a, s) -> a + if(_v >= _e[a + s - 1], s, 0))"
+    d = d.crossJoin(one_row(d.agg(bounds.alias("_e")))).withColumn("_b", F.expr(bucket)).drop("_e")
     per = d.groupBy("_b").agg(*[F.sum(m).alias(f"_t_{m}") for m in measures])
     # at most BUCKETS rows: one array, folded in order, broadcast back
     up = Window.partitionBy(F.lit(1)).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
@@ -55,60 +41,36 @@ def running_totals(df: DataFrame, value: str, measures: list[str], prefix: str =
     return d.select(*df.columns, *out)
 
 
-def exact_quantiles(df: DataFrame, value: str, qs: list[float], by=(), name: str = "value",
-                    hot: HotPolicy | None = None) -> DataFrame:
+def exact_quantiles(df: DataFrame, value: str, qs: list[float], by=(), name: str = "value") -> DataFrame:
     """One row per group and q: (by..., q, name), linear interpolation, NULLs ignored."""
     by = list(by)
-    hot = hot or HotPolicy.of(df.sparkSession)
     src = df.select(*by, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
-    if hot.can_skip(df):
-        return _small(src, by, qs, name)
-    return _ranked(src, by, qs, name)
-
-
-def _small(src, by, qs, name):
-    levels = F.array(*[F.lit(float(q)) for q in qs])
-    g = src.groupBy(*by).agg(F.percentile("_v", levels).alias("_a"))
-    g = g.filter(F.col("_a").isNotNull())
-    return g.select(*by, F.explode(F.arrays_zip(levels.alias("q"), F.col("_a").alias("v"))).alias("_z")) \
-        .select(*by, F.col("_z.q").alias("q"), F.col("_z.v").alias(name))
-
-
-def _ranked(src, by, qs, name):
-    one = F.lit(1).alias("_g")
-    keys = by + ["_g"]
-    vc = src.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_c")).select("*", one)
-    size = vc.groupBy(*keys).agg(F.sum("_c").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-    want = size.select(*keys, "_n", F.explode(F.array(*[F.lit(float(q)) for q in qs])).alias("q"))
+    off = 3 / ACCURACY
+    near = [p for q in qs for p in (max(0.0, q - off), min(1.0, q + off))]
+    ends = src.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"),
+        F.percentile_approx("_v", F.array(*map(F.lit, near)), F.lit(ACCURACY)).alias("_p"))
+    wanted = ", ".join(
+        f"named_struct('q', {q!r}D, 'lo', {'_min' if q <= off else f'_p[{2 * i}]'}, 'hi', {'_max' if q >= 1 - off else f'_p[{2 * i + 1}]'})"
+        for i, q in enumerate(qs))
+    ends = ends.filter("_n > 0").select(*by, "_n", F.expr(f"array({wanted})").alias("_w"))
+    counted = src.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    d = counted.join(ends, by) if by else counted.crossJoin(one_row(ends))
+    # the bracket is widened by the next value on both sides, as a sketch of few values may miss a rank by one
+    parts = []
+    for i in range(len(qs)):
+        lo, hi, pair = F.col("_w")[i]["lo"], F.col("_w")[i]["hi"], F.struct(F.col("_v").alias("v"), F.col("_c").alias("c"))
+        parts += [F.sum(F.when(F.col("_v") < lo, F.col("_c"))).alias(f"_b{i}"), F.max(F.when(F.col("_v") < lo, pair)).alias(f"_l{i}"), F.min(F.when(F.col("_v") > hi, F.col("_v"))).alias(f"_h{i}")]
+    wide = d.groupBy(*by).agg(F.first("_w").alias("_w"), F.first("_n").alias("_n"), *parts)
+    wide = wide.select(*by, "_n", F.array(*[F.struct(
+        F.lit(float(q)).alias("q"), (F.coalesce(f"_b{i}", F.lit(0)) - F.coalesce(F.col(f"_l{i}.c"), F.lit(0))).alias("b"),
+        F.coalesce(F.col(f"_l{i}.v"), F.col("_w")[i]["lo"]).alias("lo"), F.coalesce(f"_h{i}", F.col("_w")[i]["hi"]).alias("hi")) for i, q in enumerate(qs)]).alias("_w"))
+    d = counted.join(wide, by) if by else counted.crossJoin(one_row(wide))
+    inside = d.select(*by, "_v", "_c", "_n", F.explode(F.expr("filter(_w, z -> _v >= z.lo AND _v <= z.hi)")).alias("_z")).select(*by, "_v", "_c", "_n", "_z.q", "_z.b")
+    up = Window.partitionBy(*by, "q").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    inside = inside.withColumn("_o", F.coalesce(F.sum("_c").over(up), F.lit(0)))
     pos = F.col("q") * (F.col("_n") - 1)
-    want = want.select(*keys, "q", (pos - F.floor(pos)).alias("_f"),
-                       F.explode(F.array(F.floor(pos), F.ceil(pos))).alias("_r")).distinct()
-    # level 1: buckets of the whole range; level 2: buckets of the one that holds the rank
-    l1 = vc.join(size, keys).withColumn("_b1", _grid(F.col("_v"), F.col("_lo"), F.col("_hi"), BUCKETS))
-    l1 = l1.drop("_lo", "_hi", "_n")
-    hit1 = _holding(l1, keys, ["_b1"], want, "_r", "_r1")
-    need1 = hit1.select(*keys, "_b1").distinct()
-    l2 = l1.join(need1, keys + ["_b1"], "left_semi")
-    ends = l2.groupBy(*keys, "_b1").agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-    l2 = l2.join(ends, keys + ["_b1"]).withColumn("_b2", _grid(F.col("_v"), F.col("_lo"), F.col("_hi"), BUCKETS))
-    l2 = l2.drop("_lo", "_hi")
-    hit2 = _holding(l2, keys + ["_b1"], ["_b2"], hit1, "_r1", "_r2")
-    need2 = hit2.select(*keys, "_b1", "_b2").distinct()
-    leaf = l2.join(need2, keys + ["_b1", "_b2"], "left_semi")
-    up = Window.partitionBy(*keys, "_b1", "_b2").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    leaf = leaf.withColumn("_o", F.coalesce(F.sum("_c").over(up), F.lit(0)))
-    got = hit2.join(leaf, keys + ["_b1", "_b2"]).filter(
-        (F.col("_r2") >= F.col("_o")) & (F.col("_r2") < F.col("_o") + F.col("_c")))
-    lo = F.min_by("_v", "_r")
-    hi = F.max_by("_v", "_r")
-    return got.groupBy(*by, "q").agg((lo + (hi - lo) * F.max("_f")).alias(name))
-
-
-def _holding(rows, keys, bucket, want, rank, rest):
-    """For each wanted rank, the bucket holding it and the rank inside that bucket."""
-    per = rows.groupBy(*keys, *bucket).agg(F.sum("_c").alias("_t"))
-    up = Window.partitionBy(*keys).orderBy(*bucket).rowsBetween(Window.unboundedPreceding, -1)
-    per = per.withColumn("_o", F.coalesce(F.sum("_t").over(up), F.lit(0)))
-    return (want.join(per, keys)
-            .filter((F.col(rank) >= F.col("_o")) & (F.col(rank) < F.col("_o") + F.col("_t")))
-            .withColumn(rest, F.col(rank) - F.col("_o")).drop("_o", "_t"))
+    first = F.col("_o") + F.col("b")
+    covers = lambda r: (r >= first) & (r < first + F.col("_c"))
+    lo, hi = F.max(F.when(covers(F.floor(pos)), F.col("_v"))), F.max(F.when(covers(F.ceil(pos)), F.col("_v")))
+    return inside.groupBy(*by, "q").agg((lo + (hi - lo) * F.max(pos - F.floor(pos))).alias(name))

@@ -1,20 +1,16 @@
 """Size checks and session settings shared by the plans.
 
-Nothing here touches rows: estimates come from the optimizer's statistics of the
-scanned files, and intermediates are staged in the shared checkpoint folder.
+Intermediates are staged in the shared checkpoint folder.
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
-from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-GIB = 1 << 30
-
 
 def session(app: str = "lagwell", cores: str = "*", shuffle_partitions: int | None = None,
             **conf) -> SparkSession:
@@ -36,48 +32,6 @@ def session(app: str = "lagwell", cores: str = "*", shuffle_partitions: int | No
     return b.getOrCreate()
 
 
-def scanned_bytes(df: DataFrame) -> int | None:
-    """Bytes of all leaves under a plan, or None when the plan cannot be inspected.
-
-    Joins to unique keys, projections and aggregations do not add rows, so this bounds
-    what one group can hold; operators that fan out stage their input first.
-    """
-    try:
-        leaves = df._jdf.queryExecution().analyzed().collectLeaves()
-        total = 0
-        for i in range(leaves.size()):
-            total += int(str(leaves.apply(i).stats().sizeInBytes()))
-        return total
-    except Exception:
-        return None
-
-
-@dataclass(frozen=True)
-class HotPolicy:
-    """When a group counts as hot, and from which input size on that is checked.
-
-    floor_bytes: below this scan size no group can be too big for one task.
-    rows: a group above this many rows is split into blocks of block_rows.
-    """
-
-    rows: int = 5_000_000
-    block_rows: int = 1_000_000
-    floor_bytes: int = 2 * GIB
-
-    @staticmethod
-    def of(spark: SparkSession) -> "HotPolicy":
-        get = spark.conf.get
-        return HotPolicy(
-            int(get("spark.lagwell.hot.rows", "5000000")),
-            int(get("spark.lagwell.hot.blockRows", "1000000")),
-            int(get("spark.lagwell.hot.floorBytes", str(2 * GIB))),
-        )
-
-    def can_skip(self, df: DataFrame) -> bool:
-        size = scanned_bytes(df)
-        return size is not None and size < self.floor_bytes
-
-
 def scratch(spark: SparkSession) -> str:
     """The shared folder the session names; a temporary one only for local sessions."""
     folder = spark.conf.get("spark.checkpoint.dir", None)

@@ -11,47 +11,107 @@ from lagwell.sources.tables import latest_per_key, write_dates
 
 
 def new_files(spark: SparkSession, path: str, ddl: str, fmt: str = "parquet") -> DataFrame:
-    return spark.readStream.format(fmt).schema(ddl).option("recursiveFileLookup", True).load(path)
+    out = spark.readStream.format(fmt).schema(ddl).option("recursiveFileLookup", True).load(path)
+    out.opened = (path, fmt)
+    return out
 
 
 def daily_increment(stream: DataFrame, transform: Callable[[DataFrame], DataFrame], out: str, checkpoint: str,
-                    date: str = "game_date"):
-    """Run a transform over whatever arrived and replace the dates it yields; then stop.
+                    date: str = "game_date", source: Callable[[], DataFrame] | None = None, history: str | None = None):
+    """Recompute and replace the dates of the rows that arrived; then stop.
 
-    Replacing whole dates makes a repeated batch harmless.
+    The batch only names the dates. Their rows, and those before them that the transform's frames need (since `history`, an
+    interval such as "400 days"; all earlier rows by default), are read from `source`, the table at rest, which
+    holds the arrived files as well. Replacing whole dates makes a repeated batch harmless, and rows that
+    earlier batches brought for a date stay. source defaults to the files the stream itself reads.
     """
+    at_rest = source or _files_of(stream)
+
+    def replace(batch: DataFrame, epoch: int) -> None:
+        days = [r[0] for r in batch.select(F.to_date(date)).distinct().collect() if r[0] is not None]  # the dates of one batch
+        if not days:
+            return
+        day, first = F.to_date(F.col(date)), F.lit(min(days))
+        rows = at_rest().filter(day <= F.lit(max(days)))
+        if history is not None:
+            rows = rows.filter(day >= (first.cast("timestamp_ntz") - F.expr(f"INTERVAL {history}")).cast("date"))
+        write_dates(transform(rows).filter(F.to_date(date).isin(days)), out, date)
+
     return (stream.writeStream.trigger(availableNow=True).option("checkpointLocation", checkpoint)
-            .foreachBatch(lambda df, epoch: write_dates(transform(df), out, date)).start())
+            .foreachBatch(replace).start())
+
+
+def _files_of(stream: DataFrame) -> Callable[[], DataFrame]:
+    """A batch reader of the folder and format that `new_files` opened."""
+    spark, schema = stream.sparkSession, stream.schema
+    opened = getattr(stream, "opened", None)
+    if opened is None:
+        raise ValueError("name the source table of a stream that new_files didn't open")
+    path, fmt = opened
+    return lambda: spark.read.format(fmt).schema(schema).option("recursiveFileLookup", True).load(path)
+
+
+BUCKETS = 64
 
 
 def latest_rows(stream: DataFrame, keys: list[str], time: str, out: str, checkpoint: str):
     """Keep the newest row per key in a table, batch by batch.
 
-    Each batch writes a new version of the table beside the old one, so a lost executor or
-    a repeated batch never leaves it half written; `current` reads the newest version.
+    The table is cut by key hash into `BUCKETS` parts. A batch writes new files for the parts its keys fall in, and then a
+    manifest (version, run, epoch, folder of each part), so a lost executor or a repeated batch never leaves
+    the table half written. Versions follow the newest manifest, whatever checkpoint the stream has; the run (the stream's
+    checkpoint folder) and epoch beside it make a replayed batch a no-op. `current` reads the newest manifest.
     """
-
-    def merge(df: DataFrame, epoch: int):
-        spark = df.sparkSession
-        old = current(spark, out)
-        both = latest_per_key(df, keys, time) if old is None else latest_per_key(old.unionByName(df), keys, time)
-        both.write.mode("overwrite").parquet(f"{out}/version={epoch}")
+    part = F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
+
+    def merge(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        last = _manifest(spark, out)
+        if last is not None and (checkpoint, epoch) in {(r["run"], r["epoch"]) for r in last["done"]}:
+            return
+        version = 0 if last is None else last["version"] + 1
+        parts = dict(last["parts"]) if last else {}
+        new = batch.withColumn("_part", part)
+        touched = [r[0] for r in new.select("_part").distinct().collect()]  # at most BUCKETS numbers
+        if touched:
+            old = sorted({parts[p] for p in touched if p in parts})
+            if old:
+                kept = spark.read.option("basePath", out).parquet(*[f"{out}/{f}" for f in old]).select(*batch.columns)
+                kept = kept.withColumn("_part", part).filter(F.col("_part").isin(touched))
+                new = kept.unionByName(new)
+            folder = f"rows-{version}"
+            rows = latest_per_key(new.drop("_part"), keys, time).withColumn("_part", part)
+            rows.write.mode("overwrite").partitionBy("_part").parquet(f"{out}/{folder}")
+            parts |= {p: f"{folder}/_part={p}" for p in touched}
+        done = [(r["run"], r["epoch"]) for r in last["done"] if r["run"] != checkpoint] if last else []
+        entry = spark.createDataFrame(
+            [(version, [*done, (checkpoint, epoch)], parts)],
+            "version bigint, done array<struct<run:string,epoch:bigint>>, parts map<int,string>")
+        entry.coalesce(1).write.mode("overwrite").parquet(f"{out}/manifest-{version}")
 
     return (stream.writeStream.trigger(availableNow=True).option("checkpointLocation", checkpoint)
             .foreachBatch(merge).start())
 
 
-def current(spark: SparkSession, out: str) -> DataFrame | None:
-    """The newest complete version of a table kept by `latest_rows`."""
+def _manifest(spark: SparkSession, out: str) -> dict | None:
+    """The newest complete manifest."""
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(out)
     fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(p):
         return None
     names = [s.getPath().getName() for s in fs.listStatus(p)]
-    done = [int(n.split("=")[1]) for n in names if n.startswith("version=")
+    done = [int(n.split("-")[1]) for n in names if n.startswith("manifest-")
             and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{out}/{n}/_SUCCESS"))]
-    return spark.read.parquet(f"{out}/version={max(done)}") if done else None
+    return spark.read.parquet(f"{out}/manifest-{max(done)}").first().asDict() if done else None
+
+
+def current(spark: SparkSession, out: str) -> DataFrame | None:
+    """The newest complete version of a table kept by `latest_rows`."""
+    last = _manifest(spark, out)
+    if last is None or not last["parts"]:
+        return None
+    return spark.read.parquet(*[f"{out}/{f}" for f in last["parts"].values()])
 
 
 def stamp(df: DataFrame, time: str = "game_date") -> DataFrame:

@@ -3,6 +3,7 @@
 import datetime as dt
 
 from conftest import rows
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lagwell.streaming import increments as I
@@ -75,6 +76,27 @@ def test_latest_rows_increment(spark, tmp_path):
     assert [(r["k"], r["v"]) for r in rows(I.current(spark, out), "k")] == [("a", 3), ("b", 2)]
 
 
+def test_latest_rows_follow_versions_of_a_new_checkpoint_and_skip_replays(spark, tmp_path):
+    ddl, out = "k string, t timestamp, v int", str(tmp_path / "out")
+    for i, batch in enumerate(([("a", DAY, 1)], [("a", DAY + dt.timedelta(days=1), 5)], [("b", DAY, 7), ("a", DAY, 0)])):
+        src = str(tmp_path / f"src{i}")
+        spark.createDataFrame(batch, ddl).coalesce(1).write.parquet(src)
+        for _ in range(2):  # the second start finds nothing new
+            I.latest_rows(I.new_files(spark, src, ddl), ["k"], "t", out, str(tmp_path / f"cp{i}")).awaitTermination()
+    assert [(r["k"], r["v"]) for r in rows(I.current(spark, out), "k")] == [("a", 5), ("b", 7)]
+
+
+def test_daily_increment_keeps_rows_of_earlier_batches(spark, tmp_path):
+    src, out, cp = (str(tmp_path / x) for x in ("src", "out", "cp"))
+    ddl = "k string, game_date timestamp_ntz"
+    seen = lambda d: d.withColumn("n", F.count("*").over(W.partitionBy("k").orderBy("game_date").rowsBetween(W.unboundedPreceding, 0)))
+    for batch in ([("a", DAY)], [("b", DAY)], [("a", DAY + dt.timedelta(days=1))]):
+        spark.createDataFrame(batch, ddl).coalesce(1).write.mode("append").parquet(src)
+        I.daily_increment(I.new_files(spark, src, ddl), seen, out, cp).awaitTermination()
+    got = sorted((r["k"], r["game_date"].day, r["n"]) for r in spark.read.parquet(out).collect())
+    assert got == [("a", 1, 1), ("a", 2, 2), ("b", 1, 1)]
+
+
 def test_daily_increment_replaces_dates(spark, tmp_path):
     src, out = str(tmp_path / "src"), str(tmp_path / "out")
     ddl = "k string, game_date timestamp_ntz"
