@@ -217,7 +217,9 @@ def near_duplicates(docs: DataFrame, n: int = WORDS) -> DataFrame:
     # leaders: members against the group's first, groups against one leading group per n-gram and seed
     lead = members.filter("gid <> vid").select(F.col("gid").alias("a"), F.col("vid").alias("b"))
     for seed in range(LEADERS):
-        top = entries.groupBy("token").agg(F.min_by("gid", F.xxhash64(F.lit(seed), "gid")).alias("a"), F.min_by("n", F.xxhash64(F.lit(seed), "gid")).alias("m"), F.count("*").alias("k")).filter("k > 1")
+        # the first leader has the fewest n-grams of its own, so it is nearest to what the texts of a cluster share
+        rank = F.struct(F.lit(0.0) if seed else F.col("own") / F.col("n"), F.xxhash64(F.lit(seed), "gid"))
+        top = entries.groupBy("token").agg(F.min_by("gid", rank).alias("a"), F.min_by("n", rank).alias("m"), F.count("*").alias("k")).filter("k > 1")
         met = entries.join(top, "token").filter("a <> gid AND 3 * n <= 4 * m AND 3 * m <= 4 * n")
         lead = lead.unionByName(met.select("a", F.col("gid").alias("b")))
     links = staged(linked(lead, whole))
