@@ -115,17 +115,23 @@ def test_vectors_equal_brute_force(spark, monkeypatch, per, block):
     assert [(x.n_links, x.component_id) for x in twice] == [(1, 1)] * 2
 
 
-def test_recall_on_the_given_vectors(spark):
-    from lagwell.llm.queries import table
-
-    df = table(spark, "/root/testdata/sf0.1", "embeddings")
-    rows = [(x.vec_id, x.embedding) for x in df.collect()]
-    ids = np.array([i for i, e in rows])
-    x = np.array([e for _, e in rows], float)
+def test_recall_on_copies_of_the_given_vectors(spark, monkeypatch):
+    monkeypatch.setattr(cells, "PER_CELL", 100)
+    r = np.random.default_rng(6)
+    given = [x.embedding for x in spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").collect()]
+    x = np.array(given, float)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    count = dict(zip(ids.tolist(), ((x @ x.T >= 0.95).sum(axis=1) - 1).tolist(), strict=True))
+    # copies of cosine 0.95 to 0.999 with their vector
+    noise = r.normal(size=(4, *x.shape))
+    noise /= np.linalg.norm(noise, axis=2, keepdims=True)
+    every = np.concatenate([x, *(x + n * a for n, a in zip(noise, (0.05, 0.2, 0.3, 0.32), strict=True))]).astype(np.float32)
+    df = spark.createDataFrame([(i, e.tolist()) for i, e in enumerate(every)], "vec_id bigint, embedding array<float>")
+    y = every.astype(float)
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    count = (y @ y.T >= 0.95).sum(axis=1) - 1
     got = {r.vec_id: r.n_links for r in cells.near_duplicates(df).collect()}
-    assert all(got[i] <= count[i] for i in count) and sum(got.values()) >= 0.9 * sum(count.values()) > 0
+    assert all(got[i] <= c for i, c in enumerate(count.tolist()))
+    assert sum(got.values()) >= 0.9 * count.sum() > 1000
 
 
 def test_raking_meets_margins_in_both_forms(spark):
