@@ -64,9 +64,8 @@ SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, p, l AS loss FROM (
   SELECT *, {LOSS} AS l FROM preds) ORDER BY round(l, 9) DESC, l_orderkey, l_linenumber, l_partkey, l_suppkey LIMIT 20""",
        ["preds"])
 def top_losses(spark, d):
-    x = E.with_loss(preds(spark, d), "y", "p")
-    return x.orderBy(F.desc(F.round("loss", 9)), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").limit(20).select(
-        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "p", "loss")
+    key = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    return E.top_losses(preds(spark, d), "y", "p", key).select(*key, "p", "loss")
 
 
 @query("confidently_wrong", ["l_linestatus"], """

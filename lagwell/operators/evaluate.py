@@ -27,8 +27,8 @@ def confidently_wrong(df: DataFrame, y: str, p: str) -> DataFrame:
 
 
 def top_losses(df: DataFrame, y: str, p: str, key: list[str], n: int = 20) -> DataFrame:
-    """The n worst rows, ties by key."""
-    return with_loss(df, y, p).orderBy(F.desc("loss"), *key).limit(n)
+    """The n worst rows; losses equal to nine places are ties, ordered by key."""
+    return with_loss(df, y, p).orderBy(F.desc(F.round("loss", 9)), *key).limit(n)
 
 
 # ---- slices -----------------------------------------------------------------------------
