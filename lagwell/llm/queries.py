@@ -129,7 +129,7 @@ def op4_html_mincut(spark: SparkSession, d: str) -> DataFrame:
 @query
 def op9_warc_derivatives(spark: SparkSession, d: str) -> DataFrame:
     """All pages as responses, their derivatives written as gzip members and read back."""
-    made = warc.parsed(warc.serialised(warc.derive(warc.responses(table(spark, d, "pages")))))
+    made = warc.parsed(warc.archived(table(spark, d, "pages")))
     value = lambda name: F.expr(f"filter(headers, h -> h.name = '{name}')[0].value")
     return made.select(
         "page_id", "warc_type", "record_id", "refers_to", "target_uri", value("WARC-Date").alias("warc_date"), value("WARC-Source-Payload-Digest").alias("source_payload_digest"),

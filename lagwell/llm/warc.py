@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 
 from lagwell.llm.markup import read
 
+#: Level of the gzip members; higher ones take several times as long for a few percent.
+LEVEL = 1
 NAMES = uuid.UUID("6d0f6f1e-3d53-4b62-9f0a-5c1a2f9f7d11")
 HEADER = "array<struct<name:string,value:string>>"
 RECORD = f"page_id bigint, warc_type string, record_id string, refers_to string, target_uri string, headers {HEADER}, block binary"
@@ -61,16 +63,20 @@ def _mapped(df: DataFrame, one) -> DataFrame:
     return df.mapInArrow(run, RECORD)
 
 
-def responses(pages: DataFrame, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
-    """Response records of pages (page_id, url, html)."""
+DATE = "2024-01-01T00:00:00Z"
 
-    def one(row):
-        payload, url = (row["html"] or "").encode(), row["url"] or ""
-        block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode() + payload
-        rid = identifier("response", str(row["page_id"]), url, digest(payload))
-        yield _record(row["page_id"], "response", rid, None, url, date, [("WARC-Payload-Digest", digest(payload))], "application/http; msgtype=response", block)
 
-    return _mapped(pages.select("page_id", "url", "html"), one)
+def _response(row: dict, date: str):
+    payload, url = (row["html"] or "").encode(), row["url"] or ""
+    block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode() + payload
+    payload_digest = digest(payload)
+    rid = identifier("response", str(row["page_id"]), url, payload_digest)
+    yield _record(row["page_id"], "response", rid, None, url, date, [("WARC-Payload-Digest", payload_digest)], "application/http; msgtype=response", block)
+
+
+def responses(pages: DataFrame, date: str = DATE) -> DataFrame:
+    """Response records of pages (page_id, url, html)."""
+    return _mapped(pages.select("page_id", "url", "html"), lambda row: _response(row, date))
 
 
 def _http(block: bytes) -> tuple[dict[str, str], bytes]:
@@ -81,41 +87,41 @@ def _http(block: bytes) -> tuple[dict[str, str], bytes]:
     return {k.strip().lower(): v.strip() for k, _, v in lines}, payload
 
 
+def _derived(row: dict):
+    if row["warc_type"] != "response":
+        return
+    head = {x["name"]: x["value"] for x in row["headers"]}
+    http, payload = _http(row["block"] or b"")
+    kind = http.get("content-type", "text/html")
+    charset = (re.search(r"charset=([\w-]+)", kind) or [None, "utf-8"])[1]
+    try:
+        source = payload.decode(charset, "replace")
+    except LookupError:
+        source = payload.decode("utf-8", "replace")
+    page = read(source)
+    rid, date, target = row["record_id"], head.get("WARC-Date", ""), row["target_uri"] or ""
+    payload_digest = head.get("WARC-Payload-Digest") or digest(payload)
+    linked = [("WARC-Refers-To", rid), ("WARC-Refers-To-Target-URI", target), ("WARC-Refers-To-Date", date), ("WARC-Source-Payload-Digest", payload_digest), ("WARC-Source-Content-Type", kind)]
+    lang = re.search(r"<html[^>]*\blang\s*=\s*[\"']?([\w-]+)", source, re.I)
+    fields = [("title", page.title), ("language", lang[1] if lang else ""), ("charset", charset), ("payload-length", str(len(payload))), *(("outlink", " ".join(x.split())) for x in page.links)]
+    meta = "".join(f"{a}: {b}\r\n" for a, b in fields).encode()
+    text = "\n".join(b.text for b in page.blocks).encode()
+    for type_, content_type, block in (("metadata", "application/warc-fields", meta), ("conversion", "text/plain; charset=utf-8", text)):
+        own = identifier(type_, rid)
+        more = [("WARC-Concurrent-To", identifier("conversion", rid))] if type_ == "metadata" else []
+        yield _record(row["page_id"], type_, own, rid, target, date, linked + more, content_type, block)
+
+
 def derive(records: DataFrame) -> DataFrame:
     """Metadata and conversion records of response records; other record types give nothing."""
-
-    def one(row):
-        if row["warc_type"] != "response":
-            return
-        head = {x["name"]: x["value"] for x in row["headers"]}
-        http, payload = _http(row["block"] or b"")
-        kind = http.get("content-type", "text/html")
-        charset = (re.search(r"charset=([\w-]+)", kind) or [None, "utf-8"])[1]
-        try:
-            source = payload.decode(charset, "replace")
-        except LookupError:
-            source = payload.decode("utf-8", "replace")
-        page = read(source)
-        rid, date, target = row["record_id"], head.get("WARC-Date", ""), row["target_uri"] or ""
-        payload_digest = head.get("WARC-Payload-Digest") or digest(payload)
-        linked = [("WARC-Refers-To", rid), ("WARC-Refers-To-Target-URI", target), ("WARC-Refers-To-Date", date), ("WARC-Source-Payload-Digest", payload_digest), ("WARC-Source-Content-Type", kind)]
-        lang = re.search(r"<html[^>]*\blang\s*=\s*[\"']?([\w-]+)", source, re.I)
-        fields = [("title", page.title), ("language", lang[1] if lang else ""), ("charset", charset), ("payload-length", str(len(payload))), *(("outlink", " ".join(x.split())) for x in page.links)]
-        meta = "".join(f"{a}: {b}\r\n" for a, b in fields).encode()
-        text = "\n".join(b.text for b in page.blocks).encode()
-        for type_, content_type, block in (("metadata", "application/warc-fields", meta), ("conversion", "text/plain; charset=utf-8", text)):
-            own = identifier(type_, rid)
-            more = [("WARC-Concurrent-To", identifier("conversion", rid))] if type_ == "metadata" else []
-            yield _record(row["page_id"], type_, own, rid, target, date, linked + more, content_type, block)
-
-    return _mapped(records, one)
+    return _mapped(records, _derived)
 
 
 def member(headers: list[dict], block: bytes) -> bytes:
     """One record as a gzip member without a time stamp; members can be concatenated to a file."""
     # a header value never holds a line break, whatever a url held
     head = "WARC/1.1\r\n" + "".join(f"{h['name']}: {re.sub(r'[\r\n]+', ' ', h['value'])}\r\n" for h in headers) + "\r\n"
-    return gzip.compress(head.encode() + block + b"\r\n\r\n", 6, mtime=0)
+    return gzip.compress(head.encode() + block + b"\r\n\r\n", LEVEL, mtime=0)
 
 
 def unpacked(data: bytes) -> tuple[list[tuple[str, str]], bytes]:
@@ -140,6 +146,21 @@ def serialised(records: DataFrame) -> DataFrame:
     return records.mapInArrow(run, "page_id bigint, member binary")
 
 
+_FIELDS = ["page_id", "warc_type", "record_id", "refers_to", "target_uri", "headers", "block"]
+
+
+def archived(pages: DataFrame, date: str = DATE) -> DataFrame:
+    """serialised(derive(responses(pages))) in one pass over the pages: page_id and member of each derivative."""
+
+    def run(batches):
+        for batch in batches:
+            for i in range(0, len(batch), 200):
+                made = [d for row in batch.slice(i, 200).to_pylist() for r in _response(row, date) for d in _derived(dict(zip(_FIELDS, r, strict=True)))]
+                yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in made], pa.int64()), pa.array([member(d[5], d[6]) for d in made], pa.binary())], ["page_id", "member"])
+
+    return pages.select("page_id", "url", "html").mapInArrow(run, "page_id bigint, member binary")
+
+
 def parsed(members: DataFrame) -> DataFrame:
     """Records (schema RECORD) of gzip members (page_id, member)."""
 

@@ -105,5 +105,6 @@ def test_warc_records_link_and_round_trip(spark):
     first = next(r for r in got if r.warc_type == "conversion" and bytes(r.block) == b"one\ntwo l")
     assert first.target_uri == "http://a/?x=1"
     assert any(b"title: T & t\r\nlanguage: de\r\n" in bytes(r.block) and b"outlink: /l\r\n" in bytes(r.block) for r in got)
+    assert sorted(bytes(r.member) for r in warc.archived(pages).collect()) == sorted(bytes(r.member) for r in warc.serialised(made).collect())
     assert warc.derive(made).count() == 0 and warc.responses(pages.limit(0)).count() == 0
     assert got[0].record_id in {r.record_id for r in warc.derive(answers).collect()}
