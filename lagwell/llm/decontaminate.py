@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lagwell.llm.stage import staged
+
 WINDOW, KGRAM = 13, 6
 BROADCAST_BYTES = 64 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -108,7 +110,7 @@ def _run() -> str:
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, k: int = KGRAM, share: int = 20) -> DataFrame:
     """Per row of docs: doc_id, n_words, n_hit, n_items, items_sha256, contaminated. docs: doc_id, text; items: item_id, text."""
     keyed = docs.select("doc_id", F.xxhash64("text").alias("__x"), "text")
-    found = intervals(keyed, items, window, k).distinct()
+    found = staged(intervals(keyed, items, window, k).distinct())  # read twice below
     key = ["doc_id", "__x"]
     before = Window.partitionBy(*key).orderBy("begin", "end").rowsBetween(Window.unboundedPreceding, -1)
     spans = found.select(*key, "begin", "end").distinct().withColumn("from", F.greatest("begin", F.coalesce(F.max("end").over(before) + 1, "begin")))
