@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from lagwell.llm import decontaminate, jaccard, kneser, mixing, tokens
 from lagwell.llm.queries import tokenizer_path
-from lagwell.llm.stage import staged
+from lagwell.llm.stage import release, staged
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,7 +25,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest doc_id of each group of similar ones."""
-    first = jaccard.near_duplicates(docs.select("doc_id", "text")).filter("doc_id = component_id").select("doc_id").distinct()
+    first = staged(jaccard.near_duplicates(docs.select("doc_id", "text")).filter("doc_id = component_id").select("doc_id").distinct())
+    release(spark)  # the texts are shuffled once more below
     kept = docs.join(first, "doc_id", "left_semi")
     # rows that repeat a doc_id are one document: the one whose text has the smallest hash stays
     once = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
