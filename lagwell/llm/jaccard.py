@@ -30,7 +30,7 @@ from lagwell.llm.stage import components, discard, release, staged
 
 WORDS = 5
 #: Hashes a bucket should hold, hashes in a block, and leaders each n-gram list is verified against.
-BUCKET, BLOCK, LEADERS = 3_000_000, 700_000, 3
+BUCKET, BLOCK, LEADERS = 1_000_000, 700_000, 3
 _U = np.uint64
 _LOW = 40
 
