@@ -153,6 +153,23 @@ def test_raking_meets_margins_in_both_forms(spark):
     assert mixing.mixed(df.limit(0)).count() == 0
 
 
+def test_kept_tokens_meet_targets(spark):
+    r = random.Random(12)
+    docs = [(i, r.choice(["ab cd ", "ab cd ", "ab cd ", "1 2 3 "]) * r.randint(1, 20), "en" if r.random() < 0.8 else "de", "s1" if r.random() < 0.85 else "s2") for i in range(1500)]
+    df = spark.createDataFrame([*docs, (None, None, None, None)], "doc_id bigint, text string, lang string, source string")
+    o = mixing.mixed(df).toPandas()
+    assert o.mix_p.max() <= 1 and 0.4 < (o.mix_p * o.mix_tokens).sum() / o.mix_tokens.sum() <= mixing.SHARE
+    for c, power in (("source", 0.7), ("lang", 0.7), ("mix_topic", 0.9)):
+        key = o[c].fillna("")
+        share = lambda w: w.groupby(key).sum() / w.sum()  # noqa: B023, E731
+        target = share(o.mix_tokens) ** power
+        got, drawn = share(o.mix_p * o.mix_tokens), share(o.mix_tokens * o.mix_kept)
+        for k, t in (target / target.sum()).items():
+            if k not in ("", "empty"):
+                assert abs(got[k] / t - 1) < 0.012 and abs(drawn[k] / t - 1) < 0.2
+    assert o[o.source.isna()].mix_p.min() > 0.99  # too few tokens for their target: kept whole
+
+
 def corpus(r):
     """Documents with toxic words, copies and benchmark passages; most are labelled."""
     word = lambda: "".join(r.choice(["ba", "ko", "ri", "tun", "es", "lo"]) for _ in range(r.randint(1, 4)))
