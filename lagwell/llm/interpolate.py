@@ -1,8 +1,8 @@
 """Language-model scores by deleted interpolation of bigram, unigram and uniform estimates.
 
 P(w | v) = l2(b) c(v, w) / c(v) + l1(b) c(w) / N + l0(b) / (V + 1), with b the bucket (power of two) of the context's count c(v).
-The weights of each bucket are learned by expectation-maximisation on held-out counts: for training documents of one block in
-`HELD`, events are weighed by the counts that remain when the document's own are deleted.
+The weights of each bucket are learned by expectation-maximisation on held-out counts: for every training document, events
+are weighed by the counts that remain when the document's own are deleted.
 
 Documents are dealt to blocks of about `BLOCK` bytes by a hash. A block sends its distinct n-grams with its training counts,
 packed and cut by key range, to count buckets; a bucket adds them and answers each block in the order it was asked. So what
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from lagwell.llm import scan
 from lagwell.llm.stage import release, staged
 
-BLOCK, ENTRIES, HELD, ROUNDS = 3_000_000, 2_000_000, 8, 60
+BLOCK, ENTRIES, ROUNDS = 3_000_000, 2_000_000, 60
 _U = np.uint64
 _END, _START = _U(0x5BF03635D1E7A9C3), _U(0xA24BAED4963EE407)
 #: Key bytes of a unigram and of a bigram that are sent besides the bucket number.
@@ -196,8 +196,7 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
     answers = staged(asked.groupBy("bucket").applyInArrow(_answer, "bucket bigint, block bigint, one binary, two binary, tokens bigint, types bigint"))
     release(spark)
     total, types = (x or 0 for x in answers.agg(F.sum("tokens"), F.sum("types")).first())
-    part = F.col("block") % HELD == 0
-    both = rows.filter(part).groupBy("block").cogroup(answers.filter(part).groupBy("block"))
+    both = rows.groupBy("block").cogroup(answers.groupBy("block"))
     cells = both.applyInArrow(_histogram(total), "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
     release(spark)
     mixed = weights(cells.column("code").to_numpy(), cells.column("n").to_numpy(), types)

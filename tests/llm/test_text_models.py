@@ -133,6 +133,19 @@ def test_interpolation_counts_and_improves(spark, monkeypatch):
     assert interpolate.score(df.limit(0)).count() == 0
 
 
+def test_weights_are_learned_from_every_training_document(spark, monkeypatch):
+    r = random.Random(4)
+    docs = [(i, " ".join(r.choices("abcdefgh", k=r.randint(1, 30)))) for i in range(300)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    events = sum(len(t.split()) + 1 for i, t in docs if zlib.crc32(str(i).encode()) % 7 != 2)
+    seen, learn = [], interpolate.weights
+    monkeypatch.setattr(interpolate, "weights", lambda code, n, types: seen.append((dict(zip(code.tolist(), n.tolist(), strict=True)), n.sum())) or learn(code, n, types))
+    for size in (interpolate.BLOCK, 1000):
+        monkeypatch.setattr(interpolate, "BLOCK", size)
+        interpolate.score(df).count()
+    assert seen[0] == seen[1] and seen[0][1] == events
+
+
 def test_mixture_weights_climb():
     code, n = interpolate.np.array([3 * 4096 * 4096 + 4 * 4096 + 20 + 4097]), np.array([10])
     w = interpolate.weights(code, n, 1000)
