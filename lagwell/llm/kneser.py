@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from lagwell.llm import scan
 
-ORDER, SAMPLE, FOLDS, TEXTS, CUT = 6, 60_000, 5, 4, 0.3
+ORDER, SAMPLE, FOLDS, CUT = 6, 60_000, 5, 0.3
 _U = np.uint64
 _FLUSH = 1_500_000
 
@@ -99,7 +99,7 @@ def _counted(batches):
 
 
 class Model:
-    """Log-likelihood ratios (toxic to ordinary) of grams in at least `TEXTS` texts; rarer ones rest on the shared counts alone: ratio 0."""
+    """Log-likelihood ratios (toxic to ordinary) of all grams of the training texts; one that none of them has gets the ratio 0."""
 
     def __init__(self, table: pa.Table):
         gram, context = (table.column(c).to_numpy().view(np.uint64) for c in ("gram", "context"))
@@ -187,7 +187,7 @@ def fit(docs: DataFrame, labels: DataFrame):
     # at most about SAMPLE rows of two numbers: small enough for every task
     known = docs.select("doc_id", "text").join(F.broadcast(marked), "doc_id").withColumn("fold", F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(FOLDS)))
     counted = known.filter("fold > 0").select("text", "toxic").mapInArrow(_counted, "gram bigint, context bigint, low bigint, c0 bigint, c1 bigint")
-    table = counted.groupBy("gram").agg(F.first("context").alias("context"), F.first("low").alias("low"), F.sum("c0").alias("c0"), F.sum("c1").alias("c1")).filter(f"c0 + c1 >= {TEXTS}").toArrow()
+    table = counted.groupBy("gram").agg(F.first("context").alias("context"), F.first("low").alias("low"), F.sum("c0").alias("c0"), F.sum("c1").alias("c1")).toArrow()
     model = Model(table)
 
     def described(batches):

@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lagwell.llm import decontaminate, interpolate, kneser, mincut
 
@@ -77,6 +78,19 @@ def test_toxicity_held_out_and_edges(spark):
     assert kneser.scored(docs.limit(0), labels).count() == 0
 
 
+def test_expressions_of_few_training_texts_count(spark):
+    rows = labelled(random.Random(6), 1500)
+    ids = spark.range(1500).select("id", kneser.held_out("id").alias("h"), F.pmod(F.xxhash64(F.lit(11), "id"), F.lit(kneser.FOLDS)).alias("fold"))
+    train = {r.id for r in ids.filter("NOT h AND fold > 0").collect()}
+    for n in (1, 3):
+        rare = [i for i, _, bad in rows if bad and i in train][:n]
+        texts = [(i, t + " qyxjugw" * (i in rare), c) for i, t, c in rows]
+        extra = [(9001, "ba ko ri qyxjugw tun", None), (9002, "ba ko ri fhmcpdg tun", None)]
+        docs = spark.createDataFrame([(a, b) for a, b, _ in texts + extra], "doc_id bigint, text string")
+        out = {r.doc_id: r.toxic_score for r in kneser.scored(docs, spark.createDataFrame([(a, c) for a, _, c in texts], "doc_id bigint, toxic int")).collect()}
+        assert out[9001] > out[9002] + 0.05
+
+
 def test_cut_is_minimal():
     r = random.Random(1)
     for _ in range(150):
