@@ -217,8 +217,8 @@ def _model(name, fn):
 
 
 _model("logreg", lambda ml, s, a, b: ml.logistic(a, b, "y", COLS)[1].select("o_orderkey", "y", "probability"))
-_model("random_forest", lambda ml, s, a, b: ml.forest(a, b, "y", COLS, trees=100, depth=5)[1].select("o_orderkey", "y", "probability"))
-_model("gbt", lambda ml, s, a, b: ml.boosted(a, b, "y", COLS, rounds=10, depth=3)[1].select("o_orderkey", "y", "probability"))
+_model("random_forest", lambda ml, s, a, b: ml.forest(a, b, "y", COLS)[1].select("o_orderkey", "y", "probability"))
+_model("gbt", lambda ml, s, a, b: ml.boosted(a, b, "y", COLS)[1].select("o_orderkey", "y", "probability"))
 _model("poisson_glm", lambda ml, s, a, b: ml.residuals(ml.poisson(a, b, "lines", ["quantity", "discount"])[1], "lines", "prediction").select(
     "o_orderkey", "lines", "prediction", "residual", "abs_residual"))
 
@@ -228,14 +228,14 @@ def permutation_importance(spark, d):
     from lagwell.operators import ml
     a, b = _xy(spark, d)
     model, _ = ml.poisson(a, b, "lines", ["quantity", "discount"])
-    return ml.permutation_importance(model, b, "lines", ["quantity", "discount"], ["o_orderkey"], repeats=3)
+    return ml.permutation_importance(model, b, "lines", ["quantity", "discount"], ["o_orderkey"])
 
 
 @query("tree_importances", ["feature"])
 def tree_importances(spark, d):
     from lagwell.operators import ml
     a, b = _xy(spark, d)
-    return ml.importances(ml.forest(a, b, "y", COLS, trees=100, depth=5)[0], COLS, spark)
+    return ml.importances(ml.forest(a, b, "y", COLS)[0], COLS, spark)
 
 
 # the frame's oracle joins the oracles of its parts

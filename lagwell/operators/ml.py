@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -89,13 +91,12 @@ def permutation_importance(model, val: DataFrame, target: str, cols: list[str],
                            seed: int = 42) -> DataFrame:
     """Mean and deviation of the rise in absolute error when a column is shuffled."""
     mae = lambda d: model.transform(d).agg(F.avg(F.abs(F.col(target) - F.col("prediction"))).alias("mae"))
-    base = mae(val).withColumnRenamed("mae", "_base")
-    runs = None
-    for i, c in enumerate(cols):
-        for r in range(repeats):
-            one = mae(shuffled(val, c, key, seed + 10_000 * i + 10 * r)).select(F.lit(c).alias("feature"), "mae")
-            runs = one if runs is None else runs.unionByName(one)
-    d = runs.crossJoin(one_row(base)).withColumn("rise", F.col("mae") - F.col("_base"))
+    base = mae(val).first()[0]
+    runs = []
+    for i, c in enumerate(cols):  # one job per column
+        draws = [mae(shuffled(val, c, key, seed + 10_000 * i + 10 * r)) for r in range(repeats)]
+        runs += [(c, row["mae"]) for row in reduce(DataFrame.unionAll, draws).collect()]
+    d = val.sparkSession.createDataFrame(runs, "feature string, mae double").withColumn("rise", F.col("mae") - F.lit(base))
     return d.groupBy("feature").agg(F.avg("rise").alias("importance"), F.stddev_pop("rise").alias("std")).orderBy(
         F.desc("importance"), "feature")
 

@@ -175,3 +175,22 @@ def test_finite_and_order(spark):
     d = spark.createDataFrame([(float("nan"),), (float("inf"),), (1.0,)], "x double")
     assert sorted(str(r["x"]) for r in C.finite(d, ["x"]).collect()) == ["1.0", "None", "None"]
     assert close(1.0, 1.0)
+
+
+def test_model_queries_run_the_whole_job(spark, sf, monkeypatch):
+    from harness import q_modelling  # noqa: F401
+    from harness.registry import QUERIES
+    from lagwell.operators import ml
+
+    class Called(Exception):
+        pass
+
+    def called(*given, **more):
+        raise Called(more)
+
+    for name in ("boosted", "forest", "permutation_importance"):
+        monkeypatch.setattr(ml, name, called)
+    for q in ("random_forest", "gbt", "permutation_importance", "tree_importances"):
+        with pytest.raises(Called) as found:
+            QUERIES[q](spark, sf)
+        assert found.value.args == ({},)  # the operator's own trees, rounds, depth and repeats
