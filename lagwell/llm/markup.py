@@ -7,15 +7,15 @@ import re
 from dataclasses import dataclass, field
 
 # Element names of HTML by role, and common class and id words.
-RAW = "script|style|noscript|template|textarea|title|svg|math|iframe|object|canvas|audio|video|select"
+RAW = "script|style|noscript|template|textarea|title|iframe"
 BREAKING = frozenset(
     "address article aside blockquote body caption center col colgroup dd details dialog dir div dl dt fieldset figcaption figure footer form frameset "
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th "
-    "thead tr ul button input label".split()
+    "thead tr ul button input label select".split()
 )
 VOID = frozenset("br hr img input meta link area base col embed source track wbr".split())
-CLOSES_P = BREAKING - {"label", "button", "input"}
-AWAY_TAGS = frozenset("nav aside footer form menu dialog button label fieldset search input head".split())
+CLOSES_P = BREAKING - {"label", "button", "input", "select"}
+AWAY_TAGS = frozenset("nav aside footer form menu dialog button label fieldset search input head option optgroup".split())
 AWAY_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar".split())
 AWAY_WORDS = frozenset(
     "nav navbar navigation menu menubar header masthead footer sidebar rail ad ads adv advert adverts advertisement advertising adsense banner promo promotion sponsor "
@@ -26,7 +26,7 @@ HOME_TAGS = frozenset("article main".split())
 HOME_WORDS = frozenset("article content post entry story main".split())
 
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<close>/?)(?P<tag>[a-z][a-z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|[^<]+|<",
+    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})(?=[\s/>])[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<close>/?)(?P<tag>[a-z][a-z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|[^<]+|<",
     re.I | re.S,
 )
 _ATTR = re.compile(r"""([a-z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -87,7 +87,7 @@ def read(source: str) -> Page:
             if m["raw"]:
                 if m["raw"].lower() == "title" and not page.title:
                     page.title = " ".join(html.unescape(re.sub(r"^<[^>]*>|</title\s*>\Z", "", m[0], flags=re.I)).split())
-                elif m["raw"].lower() in ("textarea", "select"):
+                elif m["raw"].lower() == "textarea":
                     text.append(" ")
             elif m[0][0] != "<" or len(m[0]) == 1:
                 piece = html.unescape(m[0]) if "&" in m[0] else m[0]

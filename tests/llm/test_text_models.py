@@ -120,6 +120,18 @@ def test_main_text(spark):
     assert out[5].text.startswith("just") and out[6].n_chars == 3000 * 5 - 1
 
 
+@pytest.mark.parametrize("piece", ["<video-player src=x></video-player>", "<title-card></title-card>", "<svg width=1/>", "<svg width=1>", "<math/>", "<object data=x>", "<canvas>", "<audio src=x>", "<select>", "<select><option>a</option></select>"])
+def test_elements_do_not_swallow_what_follows(piece):
+    one, two = "A first paragraph, long enough to be content of the page.", "A second paragraph, long enough to be content of the page."
+    text = mincut.main_text(f"<article><p>{one}</p>{piece}<p>{two}</p></article>")
+    assert text.startswith(one) and text.endswith(two)
+
+
+def test_text_inside_math_and_object_stays():
+    page = "<article><p>The area is <math><mi>xyz</mi></math> of <object data=x>some shape</object> here, as everybody knows well.</p></article>"
+    assert mincut.main_text(page) == "The area is xyz of some shape here, as everybody knows well."
+
+
 def test_interpolation_counts_and_improves(spark, monkeypatch):
     r = random.Random(2)
     words = [f"W{i}é" for i in range(60)]
