@@ -25,11 +25,12 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest doc_id of each group of similar ones."""
-    first = staged(jaccard.near_duplicates(docs.select("doc_id", "text")).filter("doc_id = component_id").select("doc_id").distinct())
+    rows = jaccard.grouped(docs.select("doc_id", "text")).filter("doc_id = component_id")
+    # of a component's rows of its smallest doc_id, those with the smallest text hash; ids may repeat in other components
+    first = staged(rows.groupBy("doc_id", "c").agg(F.min("text_hash").alias("__x")).select(F.col("doc_id").alias("__d"), "__x").distinct())
     release(spark)  # the texts are shuffled once more below
-    kept = docs.join(first, "doc_id", "left_semi")
-    # rows that repeat a doc_id are one document: the one whose text has the smallest hash stays
-    once = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
+    kept = docs.join(first, (F.col("doc_id") == F.col("__d")) & (F.xxhash64("text") == F.col("__x")), "left_semi")
+    once = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(0))
     kept = kept.withColumn("__n", F.row_number().over(once)).filter("__n = 1").select(*docs.columns)
     return kept.unionByName(docs.filter("doc_id IS NULL"))
 

@@ -1,6 +1,7 @@
 """N-gram Jaccard join with grouped prefixes.
 
-1. Each text's distinct word n-gram hashes are its set; texts of equal sets become one vertex, named by its smallest doc_id.
+1. Each text's distinct word n-gram hashes are its set; texts of equal sets become one vertex, named by
+   a hash of the set; a component gets its smallest doc_id at the end.
 2. Which n-grams are shared: tasks send their distinct n-gram hashes, packed in blocks, to hash buckets; a bucket returns
    (n-gram, block, set) rows for hashes seen in two sets. An n-gram frequent inside a block is sent as one mark, and its rows
    pass straight through, so a passage that a third of all documents hold costs a bucket one entry per block.
@@ -54,7 +55,7 @@ def set_keys(row: np.ndarray, g: np.ndarray, rows: int) -> tuple[np.ndarray, np.
 
 
 def sets(docs: DataFrame, n: int = WORDS) -> DataFrame:
-    """doc_id, size and s (hash) of each row's n-gram set."""
+    """doc_id, size and s (hash) of each row's n-gram set, and the text's hash."""
 
     def run(batches):
         for batch in batches:
@@ -62,9 +63,9 @@ def sets(docs: DataFrame, n: int = WORDS) -> DataFrame:
             for first, texts in scan.chunks(batch.column(1)):
                 row, g = row_sets(texts, n)
                 size, key = set_keys(row, g, len(texts))
-                yield pa.RecordBatch.from_arrays([ids.slice(first, len(texts)), pa.array(size, pa.int64()), pa.array(key.view(np.int64))], ["doc_id", "n", "s"])
+                yield pa.RecordBatch.from_arrays([ids.slice(first, len(texts)), pa.array(size, pa.int64()), pa.array(key.view(np.int64)), batch.column(2).slice(first, len(texts))], ["doc_id", "n", "s", "text_hash"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n bigint, s bigint")
+    return docs.select("doc_id", "text", F.xxhash64("text")).mapInArrow(run, "doc_id bigint, n bigint, s bigint, text_hash bigint")
 
 
 def _packed(n: int, bits: int):
@@ -199,9 +200,14 @@ def linked(edges: DataFrame, whole: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, n: int = WORDS) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, n_shingles, component_id."""
+    return grouped(docs, n).select("doc_id", "n_shingles", "component_id")
+
+
+def grouped(docs: DataFrame, n: int = WORDS) -> DataFrame:
+    """Per row of docs: doc_id, n_shingles, component_id, text_hash and c, which names the component where ids repeat (null: an empty set)."""
     spark = docs.sparkSession
     each = staged(sets(docs, n))
-    named = each.filter("n > 0 AND doc_id IS NOT NULL").groupBy("s", "n").agg(F.min("doc_id").alias("vid"))
+    named = each.filter("n > 0 AND doc_id IS NOT NULL").groupBy("s", "n").agg(F.min("doc_id").alias("least")).withColumn("vid", F.xxhash64("s", "n"))
     total = named.agg(F.sum("n")).first()[0] or 0
     grams = shared_grams(docs.filter("doc_id IS NOT NULL"), total, n)
     whole = staged(grams.join(named, ["s", "n"]).select("vid", "n", "tokens"))
@@ -239,7 +245,8 @@ def near_duplicates(docs: DataFrame, n: int = WORDS) -> DataFrame:
     rest = pairs.join(p1, ["g1", "c1"]).join(p2, ["g2", "c2"]).select(F.explode("v1").alias("a"), "v2").select("a", F.explode("v2").alias("b"))
     more = staged(linked(rest, whole))
     label = components(links.unionByName(more))
-    out = named.join(label.withColumnRenamed("v", "vid"), "vid", "left").select("s", "n", F.coalesce("c", "vid").alias("c"))
-    joined = each.filter("n > 0").join(out, ["s", "n"], "left").select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("c")).alias("component_id"))
-    alone = each.filter("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
-    return joined.unionByName(alone).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    out = named.join(label.withColumnRenamed("v", "vid"), "vid", "left").select("s", "n", "least", F.coalesce("c", "vid").alias("c"))
+    out = out.drop("least").join(out.groupBy("c").agg(F.min("least").alias("component_id")), "c")
+    joined = each.filter("n > 0").join(out, ["s", "n"], "left").select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"), "text_hash", "c")
+    alone = each.filter("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"), "text_hash", F.lit(None).cast("bigint").alias("c"))
+    return joined.unionByName(alone).withColumnRenamed("n", "n_shingles")

@@ -85,6 +85,18 @@ def test_jaccard_null_ids_repeats_and_nothing(spark):
     assert jaccard.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_repeated_ids_with_unrelated_texts(spark):
+    x, y, z = (" ".join(f"{c}{i}" for i in range(30)) for c in "xyz")
+    rows = [(4, x), (4, y), (4, y), (2, y + " end"), (7, z), (7, x + " end"), (9, z), (5, ""), (5, "alone"), (None, x)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted([(r.doc_id, r.component_id) for r in jaccard.near_duplicates(df).collect()], key=str)
+    assert got == sorted([(4, 4), (4, 2), (4, 2), (2, 2), (7, 7), (7, 4), (9, 7), (5, 5), (5, 5), (None, None)], key=str)
+    kept = corpus_pipeline.near_duplicates(spark, df, "").collect()
+    assert sorted([tuple(r) for r in kept], key=str) == sorted([(4, x), (2, y + " end"), (7, z), (5, ""), (5, "alone"), (None, x)], key=str)
+    two = df.filter("doc_id = 4")  # both components have the smallest id 4
+    assert sorted(r.text for r in corpus_pipeline.near_duplicates(spark, two, "").collect()) == [x, y]
+
+
 def brute_vectors(rows):
     good = {i: np.array(e, float) for i, e in rows if e and all(x is not None and np.isfinite(x) for x in e) and any(e)}
     links = {(a, b) for a in good for b in good if a != b and len(good[a]) == len(good[b]) and good[a] @ good[b] / np.linalg.norm(good[a]) / np.linalg.norm(good[b]) >= 0.95}
