@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lagwell.llm import cells, chat, decontaminate, interpolate, jaccard, kneser, mincut, mixing, tokens, warc
+from lagwell.llm import cells, chat, decontaminate, infill, interpolate, jaccard, kneser, mincut, mixing, secrets, spelling, tokens, warc
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -148,3 +148,97 @@ def op3_toxicity_kneser_ney(spark: SparkSession, d: str) -> DataFrame:
 def op10_mix_to_targets(spark: SparkSession, d: str) -> DataFrame:
     df = mixing.mixed(table(spark, d, "documents"))
     return df.select("doc_id", "source", "lang", "mix_topic", "mix_tokens", "mix_factor", "mix_p", "mix_draw", "mix_kept")
+
+
+@query
+def op11_secret_scan(spark: SparkSession, d: str) -> DataFrame:
+    df = secrets.found(table(spark, d, "documents"))
+    count = lambda kind: F.expr(f"cast(size(filter(spans, x -> x.kind = '{kind}')) as bigint)").alias(f"n_{kind}")
+    base = secrets.listed("spans", ("assign", "access", "hex"))
+    return df.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(base, 256).alias("base_sha256"), secrets.listed("spans").alias("spans"))
+
+
+def _found(kind: str, at: int, pattern: str, test: str) -> str:
+    """Finds of one kind by the lengths of what lies between them."""
+    return f"""SELECT doc_id, '{kind}' AS kind, {at} AS place, x, start, start + length(x) AS stop FROM (
+  SELECT doc_id, hits[i] AS x, CAST(length(array_to_string(gaps[1:i], '')) + length(array_to_string(hits[1:i - 1], '')) AS BIGINT) AS start
+  FROM (SELECT doc_id, regexp_extract_all(t, '{pattern}') AS hits, regexp_split_to_array(t, '{pattern}') AS gaps FROM d WHERE regexp_matches(t, '{pattern}')),
+    unnest(range(1, len(hits) + 1)) AS u(i)) WHERE {test}"""
+
+
+_ASSIGN = """([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+_CRC_BITS = "list_transform(range(240), lambda k: CAST((ord(substr(x, CAST(5 + k // 8 AS BIGINT), 1)) >> (k % 8)) & 1 AS BIGINT))"
+_CRC = f"xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {_CRC_BITS}), lambda c, b: xor(c >> 1, 3988292384 * (xor(c, b) & 1))))"
+_BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+_CRC_HOLDS = f"length(x) = 40 AND substr(x, 35) = list_aggregate(list_transform([916132832, 14776336, 238328, 3844, 62, 1], lambda p: substr('{_BASE62}', CAST(({_CRC}) // p % 62 + 1 AS BIGINT), 1)), 'string_agg', '')"
+
+
+def _bech32(text: str, human: str) -> str:
+    data = f"list_transform(range(1, length({text}) - {len(human)}), lambda k: CAST(strpos('qpzry9x8gf2tvdw0s3jn54khce6mua7l', substr({text}, CAST({len(human) + 1} + k AS BIGINT), 1)) - 1 AS BIGINT))"
+    head = [ord(c) >> 5 for c in human] + [0] + [ord(c) & 31 for c in human]
+    step = "xor((c & 33554431) << 5, v)"
+    for i, g in enumerate((0x3B6A57B2, 0x26508E6D, 0x1EA119FA, 0x3D4233DD, 0x2A1462B3)):
+        step = f"xor({step}, {g} * ((c >> {25 + i}) & 1))"
+    values = f"list_concat([{', '.join(f'CAST({v} AS BIGINT)' for v in [1, *head])}], {data})"
+    return f"NOT list_contains({data}, -1) AND list_reduce({values}, lambda c, v: {step}) = 1"
+
+
+ORACLES["op11_secret_scan"] = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+f AS ({_found('assign', 0, _ASSIGN, "length(regexp_extract(x, '" + _ASSIGN + "', 2)) >= 6")}
+UNION ALL {_found('access', 1, 'AKIA[A-Z0-9]+', 'length(x) >= 20')}
+UNION ALL {_found('hex', 2, '[0-9a-f]+', 'length(x) >= 24')}
+UNION ALL {_found('github', 3, 'gh[pousr]_[A-Za-z0-9]+', _CRC_HOLDS)}
+UNION ALL {_found('npm', 4, 'npm_[A-Za-z0-9]+', _CRC_HOLDS)}
+UNION ALL {_found('age', 5, 'AGE-SECRET-KEY-1[A-Z0-9]+', 'length(x) = 74 AND ' + _bech32('lower(x)', 'age-secret-key-'))}
+UNION ALL {_found('nsec', 6, 'nsec1[a-z0-9]+', 'length(x) = 63 AND ' + _bech32('x', 'nsec'))}),
+s AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS a, count(*) FILTER (kind = 'access') AS k, count(*) FILTER (kind = 'hex') AS h,
+  string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, place) FILTER (place < 3) AS base,
+  string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, place) AS every FROM f GROUP BY doc_id)
+SELECT d.doc_id, coalesce(a, 0) AS n_assign, coalesce(k, 0) AS n_access, coalesce(h, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(every, '') AS spans
+FROM d LEFT JOIN s ON d.doc_id = s.doc_id"""
+
+
+@query
+def op12_fill_in_middle(spark: SparkSession, d: str) -> DataFrame:
+    df = infill.transformed(table(spark, d, "documents"))
+    return df.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(infill.restored(), 256).alias("restored_sha256"))
+
+
+ORACLES["op12_fill_in_middle"] = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u,
+  sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS x FROM documents),
+h AS (SELECT doc_id, t, u, len(u) AS n, CAST('0x' || substr(x, 1, 8) AS BIGINT) % (len(u) + 1) AS a, CAST('0x' || substr(x, 9, 8) AS BIGINT) % (len(u) + 1) AS b,
+  CAST('0x' || substr(x, 25, 8) AS BIGINT) % 100 AS o FROM d),
+c AS (SELECT *, array_to_string(u[1:least(a, b)], '') AS p, array_to_string(u[least(a, b) + 1:greatest(a, b)], '') AS m, array_to_string(u[greatest(a, b) + 1:], '') AS s,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') THEN 'plain' WHEN o < 50 THEN 'spm' ELSE 'psm' END AS form FROM h)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(t) AS restored_sha256 FROM c"""
+
+
+@query
+def op13_spelling_variants(spark: SparkSession, d: str) -> DataFrame:
+    return spelling.variants(table(spark, d, "documents"))
+
+
+ORACLES["op13_spelling_variants"] = f"""
+WITH RECURSIVE crc AS (SELECT list(list_reduce(list_prepend(CAST(i AS BIGINT), [CAST(0 AS BIGINT), 0, 0, 0, 0, 0, 0, 0]), lambda c, b: xor(c >> 1, 3988292384 * (c & 1))) ORDER BY i) AS steps
+  FROM range(256) AS r(i)),
+r AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{decontaminate.UPPER}', '{decontaminate.LOWER}'), '[A-Za-zÀ-ÿ]+')) AS w FROM documents),
+k AS (SELECT doc_id, w, count(*) AS n, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || w)) AS x FROM r GROUP BY doc_id, w),
+h AS (SELECT w, n, xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT),
+  list_transform(range(length(x) // 2), lambda i: CAST('0x' || substr(x, CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT))),
+  lambda c, b: xor(c >> 8, steps[CAST((xor(c, b) & 255) + 1 AS BIGINT)]))) AS h FROM k, crc),
+o AS (SELECT CASE WHEN h % 97 = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, n FROM h),
+c AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM o WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+e AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS cut FROM c, unnest(range(1, length(word) + 1)) AS u(i)),
+p AS (SELECT a.word, b.word AS near, b.n FROM e a JOIN e b ON a.i = b.i AND a.cut = b.cut AND a.word <> b.word
+  UNION SELECT e.word, c.word, c.n FROM e JOIN c ON e.cut = c.word UNION SELECT c.word, e.word, e.n FROM e JOIN c ON e.cut = c.word),
+b AS (SELECT word, count(*) AS k, max(n) AS m FROM p GROUP BY word),
+f AS (SELECT p.word, min(p.near) AS near, any_value(p.n) AS m FROM p JOIN b ON p.word = b.word AND p.n = b.m GROUP BY p.word),
+s AS (SELECT c.word, c.n, coalesce(b.k, 0) AS n_near, CASE WHEN f.m >= 2 * c.n THEN f.near END AS form, CASE WHEN f.m >= 2 * c.n THEN f.m END AS form_n
+  FROM c LEFT JOIN b ON b.word = c.word LEFT JOIN f ON f.word = c.word),
+g AS (SELECT word, word AS top, 0 AS step FROM s UNION ALL SELECT g.word, s.form, step + 1 FROM g JOIN s ON s.word = g.top WHERE s.form IS NOT NULL),
+z AS (SELECT word, arg_max(top, step) AS root FROM g GROUP BY word)
+SELECT s.word, form, root, n, n_near, form_n FROM s JOIN z ON z.word = s.word"""
