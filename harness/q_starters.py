@@ -8,19 +8,40 @@ from harness import tables as t
 from harness.oracle import cte
 from harness.q_lagging import PRIOR, frame_sql, same, windows_sql
 from harness.registry import query
-from lagwell.functions import constants as K
-from lagwell.operators import pitches as PT
+from lagwell.operators import appearances as P
 from lagwell.operators import starter_pa as A
+from lagwell.plans.scale import stage
 
 
-def arr(xs):
-    return "(" + ", ".join(str(x) if isinstance(x, int) else f"'{x}'" for x in xs) + ")"
-
-
-SWING, MISS = f"pitch_call_code IN {arr(K.SWING_CODES)}", f"pitch_call_code IN {arr(K.MISS_CODES)}"
-CONTACT, CALLED = f"pitch_call_code IN {arr(K.CONTACT_CODES)}", "pitch_call_code = 'C'"
+# Fixed values, stated apart from the library so that a wrong list there shows.
+SWING = "pitch_call_code IN ('S', 'W', 'T', 'F', 'X', 'D', 'E', 'L', 'M')"
+MISS, CONTACT = "pitch_call_code IN ('S', 'W', 'T')", "pitch_call_code IN ('F', 'X', 'T', 'D', 'E')"
+CALLED = "pitch_call_code = 'C'"
 INZ, OUTZ = "coalesce(zone BETWEEN 1 AND 9, false)", "coalesce(zone BETWEEN 11 AND 14, false)"
-KS, BB, ON = arr(K.STRIKEOUTS), arr(K.WALKS), arr(K.ON_BASE)
+KS, BB = "('Strikeout', 'Strikeout Double Play')", "('Walk', 'Intent Walk')"
+ON = ("('Single', 'Double', 'Triple', 'Home Run', 'Walk', 'Intent Walk', 'Hit By Pitch', 'Field Error', "
+      "'Catcher Interference')")
+BASES = ("CASE WHEN play_result IN ('Single', 'Walk', 'Intent Walk', 'Hit By Pitch', 'Field Error', 'Catcher Interference') THEN 1 "
+         "WHEN play_result = 'Double' THEN 2 WHEN play_result = 'Triple' THEN 3 WHEN play_result = 'Home Run' THEN 4 ELSE 0 END")
+SP = ["k_rate", "bb_rate", "hr_rate", "gb_pct", "csw_pct", "whiff_rate", "barrel_pct", "hard_hit_pct", "first_pitch_strike_pct",
+      "p_per_pa"]
+BAT = ["k_rate", "bb_rate", "hr_rate", "iso", "tb_rate", "chase_rate", "z_contact_pct", "o_contact_pct"]
+PROCESS = {"avg_velo": "avg_velo", "avg_spin_rate": "avg_spin_rate", "avg_extension": "avg_extension",
+           "contact_exit_velo": "contact_exit_velo", "hard_contact_pct": "contact_hard_hit_pct",
+           "sweet_spot_pct": "contact_sweet_spot_pct", "zone_pct": "zone_pct", "chase_induced_pct": "chase_induced_pct",
+           "whiff_rate_ahead": "whiff_rate_ahead", "whiff_rate_behind": "whiff_rate_behind",
+           "called_strike_edge_pct": "called_strike_edge_pct"}
+SP_LAST = ({c: c for c in SP} | {"ip": "ip", "pitches": "total_pitches"} | PROCESS
+           | {c: c for c in ("avg_h_break", "avg_v_break", "inplay_exit_velo", "two_strike_whiff_pct")})
+SP_MEAN = ({c: c for c in SP if c != "first_pitch_strike_pct"}
+           | {"k_bb": "k_bb_ratio", "fps_pct": "first_pitch_strike_pct", "avg_ip": "ip", "avg_pitches": "total_pitches",
+              "avg_batters_faced": "pa_count"} | PROCESS)
+BC = {c: c for c in BAT[:6]} | {"z_contact": "z_contact_pct", "o_contact": "o_contact_pct"}
+TC = {c: f"team_{c}" for c in ("k_rate", "bb_rate", "hr_rate", "obp", "iso", "tb_rate", "chase_rate", "z_contact_pct", "p_per_pa")}
+SP_SPLITS = [f"{s}_vs_{h}" for s in ("k_rate", "bb_rate", "obp_allowed", "whiff_rate") for h in "LR"]
+BAT_SPLITS = [f"{s}_vs_{h}" for s in ("obp", "k_rate", "iso", "tb_rate") for h in "LR"]
+SHRINK = {"spytd": {"k_rate": 50, "bb_rate": 120, "obp_allowed": 150, "whiff_rate": 75},
+          "batytd": {"obp": 150, "k_rate": 50, "iso": 200, "tb_rate": 150}}
 
 
 def n(cond):
@@ -31,6 +52,18 @@ def over1(a, b):
     return f"({a})::DOUBLE / greatest({b}, 1)"
 
 
+def _people(spark, d):
+    return t.players(spark, d).withColumnRenamed("person_id", "personId")
+
+
+def _parts(spark, d):
+    return P.play_partials(P.events(t.pitches_raw(spark, d), _people(spark, d)))
+
+
+def _pitchers(spark, d):
+    return P.pitcher_measures(_parts(spark, d))
+
+
 cte("quality", ("raw",), f"""
 SELECT gamepk, pitcher_id, nullif(pa, 0) AS pa_count, total_pitches, {over1("gb", "play")} AS gb_pct,
   {over1("called + miss", "total_pitches")} AS csw_pct, {over1("miss", "swing")} AS whiff_rate,
@@ -50,7 +83,7 @@ FROM (SELECT gamepk, pitcher_id, {n("is_pitch")} AS total_pitches, {n(f"is_pitch
 
 @query("game_quality", ["gamepk", "pitcher_id"], "SELECT * FROM quality", ["quality"])
 def game_quality(spark, d):
-    return A.pitcher_quality(t.pitches_raw(spark, d))
+    return P.quality(_pitchers(spark, d))
 
 
 cte("discipline", ("raw",), f"""
@@ -64,7 +97,7 @@ FROM (SELECT gamepk, batter_id, {n(OUTZ)} AS out_zone_n, {n(f"{OUTZ} AND {SWING}
 
 @query("game_discipline", ["gamepk", "batter_id"], "SELECT * FROM discipline", ["discipline"])
 def game_discipline(spark, d):
-    return A.batter_discipline(t.pitches_raw(spark, d))
+    return P.discipline(P.batter_measures(_parts(spark, d)))
 
 
 cte("inn45", ("raw",), f"""
@@ -79,7 +112,7 @@ ON a.gamepk = b.gamepk AND a.pitcher_id = b.pitcher_id""")
 
 @query("subset_counts_outer", ["gamepk", "pitcher_id"], "SELECT * FROM inn45", ["inn45"])
 def subset_counts_outer(spark, d):
-    return A.innings_four_five(t.pitches_raw(spark, d))
+    return P.innings_four_five(_pitchers(spark, d))
 
 
 cte("process", ("raw", "starters"), f"""
@@ -105,8 +138,7 @@ FROM (SELECT gamepk, pitcher_id, avg(start_speed) AS avg_velo, avg(spin_rate) AS
 
 @query("process_quality", ["gamepk", "pitcher_id"], "SELECT * FROM process", ["process"])
 def process_quality(spark, d):
-    p = t.pitches_raw(spark, d)
-    return A.pitcher_process(p, PT.starters(p))
+    return P.process(_pitchers(spark, d))
 
 
 cte("resolved", ("raw", "players"), """
@@ -135,10 +167,9 @@ FROM ({split_sql("L")}) FULL JOIN ({split_sql("R")}) USING (gamepk, pitcher_id)"
 
 @query("platoon_weighted_obp", ["gamepk", "pitcher_id"], "SELECT * FROM pitcher_split", ["pitcher_split"])
 def platoon_weighted_obp(spark, d):
-    return A.pitcher_platoon(t.pitches_raw(spark, d), t.players(spark, d).withColumnRenamed("person_id", "personId"))
+    return P.pitcher_splits(_pitchers(spark, d))
 
 
-BASES = "CASE play_result " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in K.BASES.items()) + " ELSE 0 END"
 XB = "CASE play_result WHEN 'Double' THEN 1 WHEN 'Triple' THEN 2 WHEN 'Home Run' THEN 3 ELSE 0 END"
 
 
@@ -159,7 +190,7 @@ FROM ({bsplit_sql("L")}) FULL JOIN ({bsplit_sql("R")}) USING (gamepk, batter_id)
 
 @query("platoon_batter", ["gamepk", "batter_id"], "SELECT * FROM batter_split", ["batter_split"])
 def platoon_batter(spark, d):
-    return A.batter_platoon(t.pitches_raw(spark, d), t.players(spark, d).withColumnRenamed("person_id", "personId"))
+    return P.batter_splits(P.batter_measures(_parts(spark, d)))
 
 
 cte("sp_pa", ("raw", "starters"), """
@@ -175,23 +206,22 @@ WHERE play_result IS NOT NULL AND (gamepk, pitcher_id) IN (SELECT (gamepk, start
 
 
 def _sp_pa(spark, d):
-    p = t.pitches_raw(spark, d)
-    return A.starter_appearances(p, PT.starters(p)), p
+    return P.appearances(P.events(t.pitches_raw(spark, d), _people(spark, d)))
 
 
 @query("last_nonnull_row", ["gamepk", "play_id", "batter_id", "pitcher_id", "play_result"], f"""
 SELECT gamepk, play_id, batter_id, pitcher_id, play_result, launch_speed, event_index, {BASES} AS target_bases,
   CASE WHEN {BASES} > 0 THEN 1 ELSE 0 END AS reached_base FROM sp_pa""", ["sp_pa"])
 def last_nonnull_row(spark, d):
-    return A.bases_target(_sp_pa(spark, d)[0]).select("gamepk", "play_id", "batter_id", "pitcher_id", "play_result",
-                                                      "launch_speed", "event_index", "target_bases", "reached_base")
+    return _sp_pa(spark, d).select("gamepk", "play_id", "batter_id", "pitcher_id", "play_result",
+                                   "launch_speed", "event_index", "target_bases", "reached_base")
 
 
 @query("running_number", ["gamepk", "play_id"], """
 SELECT gamepk, play_id, least(row_number() OVER (PARTITION BY gamepk, pitcher_id, batter_id ORDER BY event_index), 3)
   AS times_through_order FROM sp_pa""", ["sp_pa"])
 def running_number(spark, d):
-    return A.times_through_order(_sp_pa(spark, d)[0]).select("gamepk", "play_id", "times_through_order")
+    return _sp_pa(spark, d).select("gamepk", "play_id", "times_through_order")
 
 
 @query("exclusive_cumsum", ["gamepk", "play_id"], f"""
@@ -201,8 +231,7 @@ SELECT p.gamepk, p.play_id, c.pitch_count_in_game FROM sp_pa p LEFT JOIN (
   FROM (SELECT gamepk, pitcher_id, play_id, count(*) AS x FROM raw WHERE is_pitch GROUP BY ALL)) c
 ON p.gamepk = c.gamepk AND p.pitcher_id = c.pitcher_id AND p.play_id = c.play_id""", ["sp_pa"])
 def exclusive_cumsum(spark, d):
-    pa, p = _sp_pa(spark, d)
-    return A.pitch_count_before(pa, p).select("gamepk", "play_id", "pitch_count_in_game")
+    return _sp_pa(spark, d).select("gamepk", "play_id", "pitch_count_in_game")
 
 
 OUTS, ONB = "s // 8", "s % 8"
@@ -216,7 +245,7 @@ STEP = f"""CASE
   WHEN e = 'field_error' THEN s | 1 ELSE s END"""
 
 
-@query("state_machine", ["gamepk", "half_inning", "inning", "event_index"], f"""
+cte("states", ("sp_pa",), f"""
 WITH RECURSIVE q AS (SELECT gamepk, half_inning, inning, event_index, event_type AS e,
     row_number() OVER (PARTITION BY gamepk, half_inning, inning ORDER BY event_index) AS rn FROM sp_pa),
 w AS (SELECT gamepk, half_inning, inning, event_index, e, rn, 0::BIGINT AS s FROM q WHERE rn = 1
@@ -224,10 +253,13 @@ w AS (SELECT gamepk, half_inning, inning, event_index, e, rn, 0::BIGINT AS s FRO
   SELECT q.gamepk, q.half_inning, q.inning, q.event_index, q.e, q.rn, x.s2 FROM
     (SELECT gamepk, half_inning, inning, rn, ({STEP})::BIGINT AS s2 FROM w) x JOIN q
   ON q.gamepk = x.gamepk AND q.half_inning = x.half_inning AND q.inning = x.inning AND q.rn = x.rn + 1)
-SELECT gamepk, half_inning, inning, event_index, s AS base_out_state, s // 8 AS outs_when_up FROM w""", ["sp_pa"])
+SELECT gamepk, half_inning, inning, event_index, s AS base_out_state, s // 8 AS outs_when_up FROM w""")
+
+
+@query("state_machine", ["gamepk", "half_inning", "inning", "event_index"], "SELECT * FROM states", ["states"])
 def state_machine(spark, d):
     from lagwell.operators.base_out import base_out_state
-    return base_out_state(_sp_pa(spark, d)[0]).select("gamepk", "half_inning", "inning", "event_index",
+    return base_out_state(_sp_pa(spark, d)).select("gamepk", "half_inning", "inning", "event_index",
                                                       "base_out_state", "outs_when_up")
 
 
@@ -237,9 +269,7 @@ SELECT p.gamepk, p.play_id,
   CASE WHEN bside = ph THEN 1 ELSE 0 END AS same_hand
 FROM sp_pa p JOIN resolved r ON p.gamepk = r.gamepk AND p.event_index = r.event_index""", ["sp_pa", "resolved"])
 def hand_resolution(spark, d):
-    pa = _sp_pa(spark, d)[0]
-    return PT.platoon(pa, t.players(spark, d).withColumnRenamed("person_id", "personId")).select(
-        "gamepk", "play_id", "platoon_advantage", "same_hand")
+    return _sp_pa(spark, d).select("gamepk", "play_id", "platoon_advantage", "same_hand")
 
 
 # ---- game tables and windows ------------------------------------------------------------
@@ -263,24 +293,13 @@ LEFT JOIN batter_split sp ON b.gamepk = sp.gamepk AND b.personId = sp.batter_id"
 
 def _pg(spark, d):
     from lagwell.functions.text import innings
-    p = t.pitches_raw(spark, d)
-    st = PT.starters(p)
-    pl = t.players(spark, d).withColumnRenamed("person_id", "personId")
-    box = t.pitcher_box(spark, d).withColumn("ip", innings("ip"))
-    g = A.pitcher_game(box, A.pitcher_quality(p), st)
-    g = g.join(A._as_person(A.pitcher_process(p, st), "pitcher_id"), ["gamepk", "personId"], "left")
-    return g.join(A._as_person(A.pitcher_platoon(p, pl), "pitcher_id"), ["gamepk", "personId"], "left")
+    return A.pitcher_game(t.pitcher_box(spark, d).withColumn("ip", innings("ip")), _pitchers(spark, d))
 
 
 def _bg(spark, d):
-    p = t.pitches_raw(spark, d)
-    pl = t.players(spark, d).withColumnRenamed("person_id", "personId")
-    g = A.batter_game(t.batter_box(spark, d), A.batter_discipline(p))
-    return g.join(A._as_person(A.batter_platoon(p, pl), "batter_id"), ["gamepk", "personId"], "left")
+    return A.batter_game(t.batter_box(spark, d), P.batter_measures(_parts(spark, d)))
 
 
-SP_LAST = {c: c for c in A.STARTER_STATS} | {"ip": "ip", "pitches": "total_pitches"} | A.PROCESS_LAST
-SP_MEAN = A.MEANS | A.PROCESS
 LAG = "(PARTITION BY personId ORDER BY game_date, gamepk)"
 cte("pw", ("pg", "inn45"), f"""
 SELECT *, (sp_last_start_pitches)::DOUBLE / CASE WHEN days_rest < 1 THEN 1 ELSE days_rest END AS fatigue_score,
@@ -300,7 +319,7 @@ SELECT g.personId, g.gamepk, g.game_date, g.game_season, g.team_id,
   count(*) OVER wytd AS spytd_n_starts,
   datediff('day', lag(game_date, 3) OVER {LAG}, lag(game_date, 1) OVER {LAG}) / 2.0 AS sp_avg_days_between_starts_3,
   datediff('day', lag(game_date, 10) OVER {LAG}, lag(game_date, 1) OVER {LAG}) / 9.0 AS sp_avg_days_between_starts_10,
-  {", ".join(A.STARTER_STATS)}, pa_count, ip
+  {", ".join(SP)}, pa_count, ip
 FROM (SELECT *, lag(ip) OVER {LAG} AS prev FROM pg) g LEFT JOIN
   (SELECT gamepk AS i_game, pitcher_id AS i_pitcher, inn45_pitches, inn45_pa, inn45_onbase FROM inn45) i
   ON g.gamepk = i.i_game AND g.personId = i.i_pitcher
@@ -309,7 +328,7 @@ FROM (SELECT *, lag(ip) OVER {LAG} AS prev FROM pg) g LEFT JOIN
 
 @query("pitcher_windows", ["personId", "gamepk", "team_id"], "SELECT * EXCLUDE (game_date) FROM pw", ["pw"])
 def pitcher_windows(spark, d):
-    return A.pitcher_windows(_pg(spark, d), A.innings_four_five(t.pitches_raw(spark, d))).drop("game_date")
+    return A.pitcher_windows(_pg(spark, d)).drop("game_date")
 
 
 for _name, _cols in {"days_rest": ["days_rest"], "range_7d": ["cumulative_ip_last_7d"],
@@ -320,32 +339,36 @@ for _name, _cols in {"days_rest": ["days_rest"], "range_7d": ["cumulative_ip_las
     query(_name, ["personId", "gamepk"], f"SELECT personId, gamepk, {', '.join(_cols)} FROM pw", ["pw"])(_fn)
 
 
-@query("platoon_windows", ["personId", "gamepk"], f"""
-SELECT *, {", ".join(
-    f"(coalesce(spytd_pa_count_vs_{h}, 0) / (coalesce(spytd_pa_count_vs_{h}, 0) + 150.0)) * spytd_obp_allowed_vs_{h} + "
-    f"(1 - coalesce(spytd_pa_count_vs_{h}, 0) / (coalesce(spytd_pa_count_vs_{h}, 0) + 150.0)) * spytd_obp_allowed "
-    f"AS spytd_obp_allowed_vs_{h}_shrunk" for h in "LR")}
-FROM (SELECT personId, gamepk, {frame_sql(same(*[f"{s}_vs_{h}" for s in ("k_rate", "bb_rate", "obp_allowed", "whiff_rate")
-      for h in "LR"]), ("avg",), "w1", "sp_last_start_{col}")},
-    {frame_sql(same(*[f"{s}_vs_{h}" for s in ("k_rate", "bb_rate", "obp_allowed", "whiff_rate") for h in "LR"]),
-               ("avg",), "w10", "sp10_{col}")},
-    {frame_sql(same(*[f"{s}_vs_{h}" for s in ("k_rate", "bb_rate", "obp_allowed", "whiff_rate") for h in "LR"]),
-               ("avg",), "wytd", "spytd_{col}")},
-    {frame_sql(same("pa_count_vs_L", "pa_count_vs_R"), ("sum",), "wytd", "spytd_{col}")},
-    avg(obp_allowed) OVER wytd AS spytd_obp_allowed
-  FROM pg {windows_sql("personId", {"w1": 1, "w10": 10, "wytd": None})})""", ["pg"])
+cte("pplat", ("pg",), f"""
+SELECT personId, gamepk, {frame_sql(same(*SP_SPLITS), ("avg",), "w1", "sp_last_start_{col}")},
+  {frame_sql(same(*SP_SPLITS), ("avg",), "w10", "sp10_{col}")}, {frame_sql(same(*SP_SPLITS), ("avg",), "wytd", "spytd_{col}")},
+  {frame_sql(same("pa_count_vs_L", "pa_count_vs_R"), ("sum",), "wytd", "spytd_{col}")}, avg(obp_allowed) OVER wytd AS spytd_obp_allowed
+FROM pg {windows_sql("personId", {"w1": 1, "w10": 10, "wytd": None})}""")
+cte("bplat", ("bg",), f"""
+SELECT personId, gamepk, {frame_sql(same(*BAT_SPLITS), ("avg",), "wytd", "batytd_{col}")},
+  {frame_sql(same("pa_count_vs_L", "pa_count_vs_R"), ("sum",), "wytd", "batytd_{col}")}, avg(obp_per_game) OVER wytd AS batytd_obp
+FROM bg {windows_sql("personId", {"wytd": None})}""")
+
+
+def shrunk(tag, *stats):
+    return ", ".join(
+        f"(coalesce({tag}_pa_count_vs_{h}, 0) / (coalesce({tag}_pa_count_vs_{h}, 0) + {SHRINK[tag][s]}.0)) * {tag}_{s}_vs_{h} + "
+        f"(1 - coalesce({tag}_pa_count_vs_{h}, 0) / (coalesce({tag}_pa_count_vs_{h}, 0) + {SHRINK[tag][s]}.0)) * {tag}_{s} "
+        f"AS {tag}_{s}_vs_{h}_shrunk" for s in stats for h in "LR")
+
+
+@query("platoon_windows", ["personId", "gamepk"], f"SELECT *, {shrunk('spytd', 'obp_allowed')} FROM pplat", ["pplat"])
 def platoon_windows(spark, d):
     return A.shrink_splits(A.pitcher_platoon_windows(_pg(spark, d)), "spytd_", ["obp_allowed"])
 
 
-BC = {c: c for c in A.BATTER_STATS[:6]} | {"z_contact": "z_contact_pct", "o_contact": "o_contact_pct"}
 cte("bw", ("bg",), f"""
 SELECT personId, gamepk, game_date, game_season, TRY_CAST(batting_order AS INTEGER) AS batting_order_int,
   datediff('day', lag(game_date) OVER {LAG}, game_date) AS bat_days_since_last_game,
   {frame_sql(BC, ("avg",), "w1", "bat_last_game_{col}")},
   {", ".join(frame_sql(BC, ("avg",), w, p + "_{col}") + f", sum(plate_appearances) OVER {w} AS {p}_pa_count, count(*) OVER {w} AS {p}_n_games"
              for w, p in (("w15", "bat15"), ("w50", "bat50"), ("wytd", "batytd")))},
-  {", ".join(A.BATTER_STATS)}, plate_appearances
+  {", ".join(BAT)}, plate_appearances
 FROM bg {windows_sql("personId", {"w1": 1, "w15": 15, "w50": 50, "wytd": None})}""")
 
 
@@ -354,15 +377,7 @@ def batter_windows(spark, d):
     return A.batter_windows(_bg(spark, d)).drop("game_date")
 
 
-@query("batter_platoon_shrunk", ["personId", "gamepk"], f"""
-SELECT *, {", ".join(
-    f"(coalesce(batytd_pa_count_vs_{h}, 0) / (coalesce(batytd_pa_count_vs_{h}, 0) + {k}.0)) * batytd_{s}_vs_{h} + "
-    f"(1 - coalesce(batytd_pa_count_vs_{h}, 0) / (coalesce(batytd_pa_count_vs_{h}, 0) + {k}.0)) * batytd_{s} "
-    f"AS batytd_{s}_vs_{h}_shrunk" for s, k in (("obp", 150),) for h in "LR")}
-FROM (SELECT personId, gamepk, {frame_sql(same(*[f"{s}_vs_{h}" for s in ("obp", "k_rate", "iso", "tb_rate") for h in "LR"]),
-      ("avg",), "wytd", "batytd_{col}")}, {frame_sql(same("pa_count_vs_L", "pa_count_vs_R"), ("sum",), "wytd", "batytd_{col}")},
-    avg(obp_per_game) OVER wytd AS batytd_obp
-  FROM bg {windows_sql("personId", {"wytd": None})})""", ["bg"])
+@query("batter_platoon_shrunk", ["personId", "gamepk"], f"SELECT *, {shrunk('batytd', 'obp')} FROM bplat", ["bplat"])
 def batter_platoon_shrunk(spark, d):
     return A.shrink_splits(A.batter_platoon_windows(_bg(spark, d)), "batytd_", ["obp"])
 
@@ -385,8 +400,7 @@ ON g.team_id = p.team_id AND g.gamepk = p.gamepk""")
 
 
 def _tg(spark, d):
-    pa, p = _sp_pa(spark, d)
-    return A.team_game(t.batter_box(spark, d), A.batter_discipline(p), pa)
+    return A.team_game(t.batter_box(spark, d), P.discipline(P.batter_measures(_parts(spark, d))), _sp_pa(spark, d))
 
 
 @query("team_rates_from_sums", ["team_id", "gamepk"], "SELECT * EXCLUDE (game_date) FROM tg", ["tg"])
@@ -394,14 +408,14 @@ def team_rates_from_sums(spark, d):
     return _tg(spark, d).drop("game_date")
 
 
-TC = {c: f"team_{c}" for c in A.TEAM_RATES}
-
-
-@query("team_windows", ["team_id", "gamepk"], f"""
+cte("tw", ("tg",), f"""
 SELECT team_id, gamepk, game_season, {frame_sql(TC, ("avg",), "w1", "team_last_game_{col}")},
   {frame_sql(TC, ("avg",), "w10", "team_10g_{col}")}, count(*) OVER w10 AS team_10g_n_games,
   {frame_sql(TC, ("avg",), "wytd", "team_ytd_{col}")}, sum(team_pa) OVER wytd AS team_ytd_pa_count,
-  count(*) OVER wytd AS team_ytd_n_games FROM tg {windows_sql("team_id", {"w1": 1, "w10": 10, "wytd": None})}""", ["tg"])
+  count(*) OVER wytd AS team_ytd_n_games FROM tg {windows_sql("team_id", {"w1": 1, "w10": 10, "wytd": None})}""")
+
+
+@query("team_windows", ["team_id", "gamepk"], "SELECT * FROM tw", ["tw"])
 def team_windows(spark, d):
     return A.team_windows(_tg(spark, d)).drop("game_date")
 
@@ -418,35 +432,39 @@ LEFT JOIN {means} s1 ON s0.personId = s1.personId AND s0.game_season = s1.game_s
 LEFT JOIN {means} s2 ON s0.personId = s2.personId AND s0.game_season = s2.game_season + 2"""
 
 
-@query("career_321", ["personId"], career_sql("bg", A.BATTER_STATS, "bat_"), ["bg"])
+@query("career_321", ["personId"], career_sql("bg", BAT, "bat_"), ["bg"])
 def career_321(spark, d):
     return A.career_weighted(_bg(spark, d), A.BATTER_STATS, "bat_")
 
 
-FALL = [c for c in A.BATTER_STATS if f"batytd_{c}" in [f"batytd_{x}" for x in BC]]
+FALL = [c for c in BAT if c in BC]
 
 
 @query("career_fallback", ["personId", "gamepk"], f"""
 SELECT w.personId, w.gamepk, {", ".join(
     f"CASE WHEN coalesce(batytd_pa_count, 0) < 30 THEN c.bat_3yr_wtd_{c} ELSE batytd_{c} END AS batytd_{c}" if c in FALL
-    else f"batytd_{c}" for c in BC)}, {", ".join(f"bat_3yr_wtd_{c}" for c in A.BATTER_STATS)},
-  {", ".join(f"l.{c} AS bat_last_szn_{c}" for c in A.BATTER_STATS)}
-FROM bw w LEFT JOIN ({career_sql("bg", A.BATTER_STATS, "bat_")}) c ON w.personId = c.personId AND w.game_season = c.game_season
-LEFT JOIN (SELECT personId, game_season, {", ".join(f"avg({c}) AS {c}" for c in A.BATTER_STATS)} FROM bg GROUP BY ALL) l
+    else f"batytd_{c}" for c in BC)}, {", ".join(f"bat_3yr_wtd_{c}" for c in BAT)},
+  {", ".join(f"l.{c} AS bat_last_szn_{c}" for c in BAT)}
+FROM bw w LEFT JOIN ({career_sql("bg", BAT, "bat_")}) c ON w.personId = c.personId AND w.game_season = c.game_season
+LEFT JOIN (SELECT personId, game_season, {", ".join(f"avg({c}) AS {c}" for c in BAT)} FROM bg GROUP BY ALL) l
 ON w.personId = l.personId AND w.game_season = l.game_season + 1""", ["bw"])
 def career_fallback(spark, d):
-    g = _bg(spark, d)
-    w = A.career_fallback(A.batter_windows(g), g, A.BATTER_STATS, "batytd_pa_count", "batytd_", "bat_")
-    w = A.last_season_means(w, g, A.BATTER_STATS, "bat_")
-    return w.select("personId", "gamepk", *[f"batytd_{c}" for c in BC], *[f"bat_3yr_wtd_{c}" for c in A.BATTER_STATS],
-                    *[f"bat_last_szn_{c}" for c in A.BATTER_STATS])
+    w = A.career_fallback(A.batter_windows(_bg(spark, d), seasons=A.BATTER_STATS), A.BATTER_STATS, "batytd_pa_count", "batytd_", "bat_")
+    return w.select("personId", "gamepk", *[f"batytd_{c}" for c in BC], *[f"bat_3yr_wtd_{c}" for c in BAT],
+                    *[f"bat_last_szn_{c}" for c in BAT])
 
 
 def _starter_frame(spark, d, complete):
     from lagwell.functions.text import innings
-    pl = t.players(spark, d).withColumnRenamed("person_id", "personId")
-    return A.build(t.pitches_raw(spark, d), t.pitcher_box(spark, d).withColumn("ip", innings("ip")), t.batter_box(spark, d),
-                   t.schedule_raw(spark, d), pl, complete_only=complete)
+    box = stage(t.pitcher_box(spark, d).withColumn("ip", innings("ip")))
+    return A.build(stage(t.pitches_raw(spark, d)), box, stage(t.batter_box(spark, d)), t.schedule_raw(spark, d), _people(spark, d),
+                   complete_only=complete)
+
+
+def l5_item(s, dflt):
+    lg, b, p = f"coalesce(lg_{s}_rate, {dflt})", f"batytd_{s}_rate", f"spytd_{s}_rate"
+    top = f"({b} * {p} / {lg})"
+    return f"CASE WHEN {top} + (1 - {b}) * (1 - {p}) / (1 - {lg}) > 0 THEN {top} / ({top} + (1 - {b}) * (1 - {p}) / (1 - {lg})) END AS log5_expected_{s}"
 
 
 def l5(s, dflt):
@@ -464,21 +482,94 @@ SELECT gamepk, play_id, {l5("k", 0.220)}, {l5("bb", 0.085)}, {l5("hr", 0.034)} F
   FROM sp_pa a LEFT JOIN games g ON a.gamepk = g.gamepk
   LEFT JOIN pw p ON a.gamepk = p.gamepk AND a.pitcher_id = p.personId
   LEFT JOIN bw b ON a.gamepk = b.gamepk AND a.batter_id = b.personId
-  LEFT JOIN ({career_sql("pg", A.STARTER_STATS, "sp_")}) pc ON a.pitcher_id = pc.personId AND g.game_season = pc.game_season
-  LEFT JOIN ({career_sql("bg", A.BATTER_STATS, "bat_")}) bc ON a.batter_id = bc.personId AND g.game_season = bc.game_season
+  LEFT JOIN ({career_sql("pg", SP, "sp_")}) pc ON a.pitcher_id = pc.personId AND g.game_season = pc.game_season
+  LEFT JOIN ({career_sql("bg", BAT, "bat_")}) bc ON a.batter_id = bc.personId AND g.game_season = bc.game_season
   LEFT JOIN (SELECT game_season + 1 AS game_season, avg(k_rate) AS lg_k, avg(bb_rate) AS lg_bb, avg(hr_rate) AS lg_hr
              FROM pg GROUP BY ALL) l ON g.game_season = l.game_season)""", ["sp_pa", "games", "pw", "bw"])
 def log5_features(spark, d):
     return _starter_frame(spark, d, False).select("gamepk", "play_id", "log5_expected_k", "log5_expected_bb", "log5_expected_hr")
 
 
-@query("starter_pa_frame", ["gamepk", "play_id"])
+TEXT = ["batter_id", "batter_name", "batter_team_id", "pitcher_id", "pitcher_name", "pitcher_team_id", "half_inning", "play_result",
+        "event_type", "pitch_call", "pitch_call_code", "trajectory", "hardness"]
+NUMBERS = {"pitch_number": "pitch_number", "inning": "inning", "post_balls": "count_balls", "post_strikes": "count_strikes",
+           **same("count_outs", "is_pitch", "is_in_play", "is_strike", "is_ball", "zone", "start_speed", "end_speed", "extension",
+                  "spin_rate", "pfx_x", "pfx_z", "break_horizontal", "break_vertical_induced", "release_pos_y", "plate_x", "plate_z",
+                  "strike_zone_bottom", "strike_zone_top", "launch_speed", "launch_angle")}
+cte("sp_all", ("raw", "starters"), f"""
+SELECT * FROM (SELECT gamepk, play_id, max(event_index) AS event_index, {", ".join(
+    f"arg_max({c}, event_index) FILTER ({c} IS NOT NULL) AS {o}" for c, o in (same(*TEXT) | NUMBERS).items())} FROM raw GROUP BY ALL)
+WHERE play_result IS NOT NULL AND (gamepk, pitcher_id) IN (SELECT (gamepk, starter_id) FROM starters)""")
+
+
+def side_sql(windows, plat, src, stats, swapped, pre, ytd):
+    """A side's windows with the career fallback, last season and shrunk hand splits; rates of the game itself left out."""
+    swap = ", ".join(f"CASE WHEN coalesce({ytd}_pa_count, 0) < 30 THEN c.{pre}_3yr_wtd_{x} ELSE {ytd}_{x} END AS {ytd}_{x}" for x in swapped)
+    means = f"(SELECT personId, game_season, {', '.join(f'avg({x}) AS {pre}_last_szn_{x}' for x in stats)} FROM {src} GROUP BY ALL)"
+    return f"""SELECT *, {shrunk(ytd, *SHRINK[ytd])} FROM (
+  SELECT w.* EXCLUDE (game_date, game_season, {", ".join(stats)}) REPLACE ({swap}),
+    c.* EXCLUDE (personId, game_season), l.* EXCLUDE (personId, game_season), p.* EXCLUDE (personId, gamepk)
+  FROM {windows} w LEFT JOIN ({career_sql(src, stats, pre + "_")}) c ON w.personId = c.personId AND w.game_season = c.game_season
+  LEFT JOIN {means} l ON w.personId = l.personId AND w.game_season = l.game_season + 1
+  LEFT JOIN {plat} p ON w.personId = p.personId AND w.gamepk = p.gamepk)"""
+
+
+cte("sp_side", ("pw", "pplat"), side_sql("pw", "pplat", "pg", SP, [x for x in SP if x != "first_pitch_strike_pct"], "sp", "spytd"))
+cte("bat_side", ("bw", "bplat"), side_sql("bw", "bplat", "bg", BAT, FALL, "bat", "batytd"))
+TW = [f"team_{w}_{c}" for w in ("last_game", "10g", "ytd") for c in TC] + ["team_10g_n_games", "team_ytd_pa_count", "team_ytd_n_games"]
+cte("frame", ("sp_all", "raw", "pitcher_box", "sched_raw", "states", "resolved", "sp_side", "bat_side", "tw", "pg"), f"""
+SELECT *, {", ".join(l5_item(s, dflt) for s, dflt in (("k", 0.220), ("bb", 0.085), ("hr", 0.034)))} FROM (
+SELECT a.*, {BASES} AS target_bases, CASE WHEN {BASES} > 0 THEN 1 ELSE 0 END AS reached_base,
+  least(row_number() OVER (PARTITION BY a.gamepk, a.pitcher_id, a.batter_id ORDER BY a.event_index), 3) AS times_through_order,
+  n.pitch_count_in_game, CASE WHEN (r.bside = 'L' AND r.ph = 'R') OR (r.bside = 'R' AND r.ph = 'L') THEN 1 ELSE 0 END AS platoon_advantage,
+  CASE WHEN r.bside = r.ph THEN 1 ELSE 0 END AS same_hand, st.base_out_state, st.outs_when_up, m.game_date, m.game_season,
+  v.venue_id, CASE WHEN v.gamepk IS NOT NULL THEN CASE v.venue_id WHEN '1' THEN 103 WHEN '3' THEN 96 WHEN '4' THEN 102 WHEN '5' THEN 100 WHEN '7' THEN 98 WHEN '10' THEN 97
+    WHEN '12' THEN 103 WHEN '14' THEN 101 WHEN '15' THEN 97 WHEN '17' THEN 102 WHEN '19' THEN 98 WHEN '20' THEN 100 WHEN '21' THEN 96
+    WHEN '22' THEN 102 WHEN '28' THEN 97 WHEN '31' THEN 100 WHEN '32' THEN 97 WHEN '34' THEN 100 WHEN '36' THEN 98 ELSE 100 END END AS park_factor,
+  {", ".join(f"{t}.{c} AS {tag}_{c}" for t, tag in (("o", "opp"), ("w", "own")) for c in TW)},
+  s.* EXCLUDE (personId, gamepk, team_id, pa_count, ip), b.* EXCLUDE (personId, gamepk, plate_appearances), lg_k_rate, lg_bb_rate, lg_hr_rate,
+  CASE WHEN m.game_date >= TIMESTAMP '2023-03-30' THEN 1 ELSE 0 END AS post_shift_ban, CAST(NULL AS DOUBLE) AS team_oaa_season
+FROM sp_all a
+LEFT JOIN (SELECT gamepk, min(game_date) AS game_date, min(game_season) AS game_season FROM pitcher_box GROUP BY ALL) m ON a.gamepk = m.gamepk
+LEFT JOIN (SELECT gamepk, min(venue_id) AS venue_id FROM sched_raw GROUP BY ALL) v ON a.gamepk = v.gamepk
+LEFT JOIN (SELECT gamepk, pitcher_id, play_id, coalesce(sum(x) OVER (PARTITION BY gamepk, pitcher_id ORDER BY play_id {PRIOR}), 0) AS pitch_count_in_game
+  FROM (SELECT gamepk, pitcher_id, play_id, count(*) AS x FROM raw WHERE is_pitch GROUP BY ALL)) n
+  ON a.gamepk = n.gamepk AND a.pitcher_id = n.pitcher_id AND a.play_id = n.play_id
+LEFT JOIN states st ON a.gamepk = st.gamepk AND a.half_inning = st.half_inning AND a.inning = st.inning AND a.event_index = st.event_index
+LEFT JOIN (SELECT gamepk AS r_game, event_index AS r_event, bside, ph FROM resolved) r ON a.gamepk = r_game AND a.event_index = r_event
+LEFT JOIN tw o ON a.gamepk = o.gamepk AND a.batter_team_id = o.team_id
+LEFT JOIN tw w ON a.gamepk = w.gamepk AND a.pitcher_team_id = w.team_id
+LEFT JOIN sp_side s ON a.gamepk = s.gamepk AND a.pitcher_id = s.personId
+LEFT JOIN bat_side b ON a.gamepk = b.gamepk AND a.batter_id = b.personId
+LEFT JOIN (SELECT game_season + 1 AS game_season, avg(k_rate) AS lg_k_rate, avg(bb_rate) AS lg_bb_rate, avg(hr_rate) AS lg_hr_rate
+  FROM pg WHERE game_season IS NOT NULL GROUP BY ALL) l ON m.game_season = l.game_season)""")
+
+
+@query("starter_pa_frame", ["gamepk", "play_id", "game_date", "venue_id", *TEXT], "SELECT * FROM frame", ["frame"])
 def starter_pa_frame(spark, d):
-    f = _starter_frame(spark, d, False)
-    keep = [c for c, ty in f.dtypes if ty in ("int", "bigint", "double")]
-    return f.select("gamepk", *keep)
+    return _starter_frame(spark, d, False)
+
 
+REQUIRED = ([f"sp10_{c}" for c in [*SP_MEAN, *SP_SPLITS, "total_pitches", "pa_count", "n_starts", "p_per_pa_inn4_5", "obp_allowed_inn4_5"]]
+            + [f"spytd_{c}" for c in [*SP_MEAN, *SP_SPLITS, "pa_count_vs_L", "pa_count_vs_R", "obp_allowed", "pa_count", "n_starts"]]
+            + [f"spytd_{s}_vs_{h}_shrunk" for s in SHRINK["spytd"] for h in "LR"] + [f"bat_last_game_{c}" for c in BC]
+            + [f"bat{w}_{c}" for w in ("15", "50", "ytd") for c in [*BC, "pa_count", "n_games"]]
+            + [f"batytd_{c}" for c in [*BAT_SPLITS, "pa_count_vs_L", "pa_count_vs_R", "obp"]]
+            + [f"batytd_{s}_vs_{h}_shrunk" for s in SHRINK["batytd"] for h in "LR"])
+GONE = "CASE WHEN " + " OR ".join(f"{c} IS NULL" for c in REQUIRED) + " THEN 1 ELSE 0 END"
 
-@query("dropped_rows_report", [])
+
+@query("dropped_rows_report", ["part", "key"], f"""
+WITH f AS (SELECT *, {GONE} AS gone FROM frame)
+SELECT 'season' AS part, CAST(game_season AS VARCHAR) AS key, sum(gone) AS dropped, count(*) AS rows FROM f GROUP BY ALL
+UNION ALL SELECT 'month', CAST(month(game_date) AS VARCHAR), sum(gone), count(*) FROM f GROUP BY ALL
+UNION ALL SELECT * FROM (SELECT 'pitcher', pitcher_id, sum(gone) AS g, count(*) FROM f GROUP BY ALL HAVING sum(gone) > 0 ORDER BY g DESC, pitcher_id LIMIT 10)
+UNION ALL SELECT 'column', key, sum(gone), count(*) FROM (
+  {" UNION ALL ".join(f"SELECT '{c}' AS key, CASE WHEN {c} IS NULL THEN 1 ELSE 0 END AS gone FROM frame" for c in REQUIRED)}) GROUP BY key""", ["frame"])
 def dropped_rows_report(spark, d):
     return A.dropped_report(_starter_frame(spark, d, False))
+
+
+@query("starter_pa_complete", ["gamepk", "play_id"], f"SELECT gamepk, play_id, target_bases FROM (SELECT *, {GONE} AS gone FROM frame) WHERE gone = 0", ["frame"])
+def starter_pa_complete(spark, d):
+    return _starter_frame(spark, d, True).select("gamepk", "play_id", "target_bases")

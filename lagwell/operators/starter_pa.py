@@ -1,4 +1,7 @@
-"""Plate-appearance features for starting pitchers: game aggregates, windows, blends."""
+"""Plate-appearance features for starting pitchers: game tables, windows, blends and the whole frame.
+
+Measures of a game come from `appearances`, in one pass over its pitches.
+"""
 
 from __future__ import annotations
 
@@ -8,210 +11,37 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lagwell.functions import constants as K
-from lagwell.functions.rates import (
-    count_sql, in_sql, log5, lookup, named, named_columns, ratio1_sql, ratio_sql, shrink,
-)
+from lagwell.functions.rates import log5, named, named_columns, ratio1_sql, ratio_sql, shrink
+from lagwell.operators import appearances as P
 from lagwell.operators.base_out import base_out_state
 from lagwell.operators.clean import park_factor, rule_era
-from lagwell.operators.pitches import lag_or_zero, platoon, resolve_hands, starters as find_starters
 from lagwell.plans.scale import stage
-from lagwell.plans.frames import Feature, back, lagged, last, prior, seven_day_sum, spread, through
+from lagwell.plans.frames import Feature, back, lagged, last, prior, seven_day_sum, spread
 
-GP, GB = ["gamepk", "pitcher_id"], ["gamepk", "batter_id"]
+GP, GB = P.GP, P.GB
 ORDER = ["game_date", "gamepk"]
 YTD = prior("game_season")
 STARTER_STATS = ["k_rate", "bb_rate", "hr_rate", "gb_pct", "csw_pct", "whiff_rate", "barrel_pct", "hard_hit_pct",
                  "first_pitch_strike_pct", "p_per_pa"]
 BATTER_STATS = ["k_rate", "bb_rate", "hr_rate", "iso", "tb_rate", "chase_rate", "z_contact_pct", "o_contact_pct"]
-SWING, MISS = in_sql("pitch_call_code", K.SWING_CODES), in_sql("pitch_call_code", K.MISS_CODES)
-CONTACT = in_sql("pitch_call_code", K.CONTACT_CODES)
-CALLED = f"coalesce(pitch_call_code = '{K.CALLED_CODE}', false)"
-INZ, OUTZ = in_sql("zone", K.IN_ZONE), in_sql("zone", K.OUT_ZONE)
-HARD = "coalesce(launch_speed >= 95, false)"
-
-
-# ---- plate appearances ------------------------------------------------------------------
-
-def last_values(pbp: DataFrame, keys=("gamepk", "play_id"), order: str = "event_index") -> DataFrame:
-    """One row per group holding the last non-NULL value of every column."""
-    keys = list(keys)
-    rest = [c for c in pbp.columns if c not in keys]
-    return pbp.na.drop(subset=keys).groupBy(*keys).agg(
-        *named_columns({c: f"max_by({c}, CASE WHEN {c} IS NOT NULL THEN {order} END)" for c in rest if c != order}),
-        F.max(order).alias(order))
-
-
-def starter_appearances(pbp: DataFrame, starters: DataFrame) -> DataFrame:
-    pa = last_values(pbp).filter(F.col("play_result").isNotNull())
-    return pa.join(starters.select("gamepk", F.col("starter_id").alias("pitcher_id")), GP, "left_semi")
-
-
-def bases_target(pa: DataFrame) -> DataFrame:
-    bases = lookup(F.col("play_result"), K.BASES, 0)
-    return pa.withColumns({"target_bases": bases, "reached_base": (bases > 0).cast("int")})
-
-
-def times_through_order(pa: DataFrame) -> DataFrame:
-    d = lagged(pa, ["gamepk", "pitcher_id", "batter_id"], "event_index", [Feature("_t", "rows", None, through())])
-    return d.withColumn("times_through_order", F.least(F.col("_t"), F.lit(3))).drop("_t")
-
-
-def pitch_count_before(pa: DataFrame, pbp: DataFrame) -> DataFrame:
-    """Pitches thrown in the game before the appearance."""
-    n = pbp.filter("is_pitch").groupBy(*GP, "play_id").agg(F.count(F.lit(1)).alias("_n"))
-    n = lagged(n, GP, "play_id", [Feature("_s", "sum", "_n", prior())])
-    n = n.select(*GP, "play_id", F.coalesce("_s", F.lit(0)).alias("pitch_count_in_game"))
-    return pa.join(n, [*GP, "play_id"], "left")
-
-
-# ---- per-game aggregates ----------------------------------------------------------------
-
-def pitcher_quality(pbp: DataFrame) -> DataFrame:
-    """Ground-ball, called-plus-swinging, whiff, barrel, hard-hit and first-strike rates per game."""
-    on = lambda cond: count_sql(f"is_pitch AND {cond}")
-    first = "pitch_number = 1"
-    g = pbp.groupBy(*GP).agg(*named_columns({
-        "total_pitches": count_sql("is_pitch"), "_called": on(CALLED), "_miss": on(MISS), "_swing": on(SWING),
-        "_gb": on("lower(trajectory) = 'ground_ball'"), "_play": on("is_in_play"),
-        "_barrel": on("launch_speed >= 98 AND launch_angle BETWEEN 26 AND 30"), "_hard": on(HARD),
-        "_fps": on(f"{first} AND ({CALLED} OR {MISS} OR {CONTACT})"), "_fp": on(first),
-        "_pa": "count(DISTINCT CASE WHEN play_result IS NOT NULL THEN play_id END)"}))
-    return g.filter("total_pitches > 0").selectExpr(*GP, "nullif(_pa, 0) AS pa_count", "total_pitches", *named({
-        "gb_pct": ratio1_sql("_gb", "_play"), "csw_pct": ratio1_sql("(_called + _miss)", "total_pitches"),
-        "whiff_rate": ratio1_sql("_miss", "_swing"), "barrel_pct": ratio1_sql("_barrel", "_play"),
-        "hard_hit_pct": ratio1_sql("_hard", "_play"), "first_pitch_strike_pct": ratio1_sql("_fps", "_fp"),
-        "p_per_pa": ratio1_sql("total_pitches", "nullif(_pa, 0)")}))
-
-
-def batter_discipline(pbp: DataFrame) -> DataFrame:
-    g = pbp.filter("is_pitch").groupBy(*GB).agg(*named_columns({
-        "out_zone_n": count_sql(OUTZ), "chase_n": count_sql(f"{OUTZ} AND {SWING}"),
-        "z_swing_n": count_sql(f"{INZ} AND {SWING}"), "z_contact_n": count_sql(f"{INZ} AND {SWING} AND {CONTACT}"),
-        "_o_contact": count_sql(f"{OUTZ} AND {SWING} AND {CONTACT}"), "pitches_seen": "count(1)"}))
-    return g.selectExpr(*GB, *named({
-        "chase_rate": ratio1_sql("chase_n", "out_zone_n"), "z_contact_pct": ratio1_sql("z_contact_n", "z_swing_n"),
-        "o_contact_pct": ratio1_sql("_o_contact", "chase_n")}),
-        "chase_n", "out_zone_n", "z_swing_n", "z_contact_n", "pitches_seen")
-
-
-def _first_result(extra: str = "") -> str:
-    """The first event of a play that has a result, with anything carried along."""
-    return f"min_by(struct(play_result{extra}), CASE WHEN play_result IS NOT NULL THEN event_index END)"
-
-
-def innings_four_five(pbp: DataFrame) -> DataFrame:
-    """Pitches, appearances and times on base in innings 4 and 5; absent sides stay NULL."""
-    per = pbp.filter("inning IN (4, 5)").groupBy(*GP, "play_id").agg(*named_columns({
-        "_n": count_sql("is_pitch"), "_r": _first_result()}))
-    g = per.groupBy(*GP).agg(*named_columns({
-        "_n": "sum(_n)", "_pa": "count(_r.play_result)", "_on": count_sql(in_sql("_r.play_result", K.ON_BASE))}))
-    return g.filter("_n > 0 OR _pa > 0").selectExpr(
-        *GP, "nullif(_n, 0) AS inn45_pitches", "nullif(_pa, 0) AS inn45_pa",
-        "CASE WHEN _pa > 0 THEN _on END AS inn45_onbase")
-
-
-def pitcher_process(pbp: DataFrame, starters: DataFrame) -> DataFrame:
-    """Velocity, spin, break, zone, chase, two-strike, ahead/behind and contact measures per start."""
-    keys = starters.select("gamepk", F.col("starter_id").alias("pitcher_id"))
-    p = lag_or_zero(pbp.filter("is_pitch").join(keys, GP, "left_semi"))
-    two, ahead = "pre_count_strikes = 2", "pre_count_strikes > pre_count_balls"
-    behind, edge = "pre_count_balls > pre_count_strikes", in_sql("zone", K.EDGE_ZONE)
-    g = p.groupBy(*GP).agg(*named_columns({
-        "avg_velo": "avg(start_speed)", "avg_spin_rate": "avg(spin_rate)", "avg_extension": "avg(release_pos_y)",
-        "avg_h_break": "avg(break_horizontal)", "avg_v_break": "avg(break_vertical_induced)",
-        "_in": count_sql(INZ), "_all": "count(1)", "_out": count_sql(OUTZ), "_chase": count_sql(f"{OUTZ} AND {SWING}"),
-        "_2s": count_sql(f"{two} AND {SWING}"), "_2m": count_sql(f"{two} AND {MISS}"), "_c": count_sql("is_in_play"),
-        "_ch": count_sql(f"is_in_play AND {HARD}"),
-        "_cs": count_sql("is_in_play AND launch_angle BETWEEN 8 AND 32"),
-        "_as": count_sql(f"{ahead} AND {SWING}"), "_am": count_sql(f"{ahead} AND {MISS}"),
-        "_bs": count_sql(f"{behind} AND {SWING}"), "_bm": count_sql(f"{behind} AND {MISS}"),
-        "_e": count_sql(edge), "_ec": count_sql(f"{edge} AND {CALLED}"),
-        "_ev": "avg(CASE WHEN is_in_play THEN launch_speed END)"}))
-    enough = lambda e: f"CASE WHEN _c >= 2 THEN {e} END"
-    return g.selectExpr(*GP, "avg_velo", "avg_spin_rate", "avg_extension", "avg_h_break", "avg_v_break", *named({
-        "inplay_exit_velo": enough("_ev"), "inplay_hard_hit_pct": enough(ratio1_sql("_ch", "_c")),
-        "contact_exit_velo": enough("_ev"), "contact_hard_hit_pct": enough(ratio1_sql("_ch", "_c")),
-        "contact_sweet_spot_pct": enough(ratio1_sql("_cs", "_c")), "contact_count": "CAST(_c AS DOUBLE)",
-        "zone_pct": ratio1_sql("_in", "_all"), "chase_induced_pct": ratio1_sql("_chase", "_out"),
-        "two_strike_whiff_pct": ratio1_sql("_2m", "_2s"), "whiff_rate_ahead": ratio1_sql("_am", "_as"),
-        "whiff_rate_behind": ratio1_sql("_bm", "_bs"), "called_strike_edge_pct": ratio1_sql("_ec", "_e")}))
-
-
-def pitcher_platoon(pbp: DataFrame, players: DataFrame) -> DataFrame:
-    """Both sides' game rates of a pitcher and the appearance-weighted OBP, in one pass."""
-    d = resolve_hands(pbp, players)
-    side = "bat_side_resolved"
-    m = {"_r": _first_result(f", {side}")}
-    for s in "LR":
-        at = f"is_pitch AND {side} = '{s}'"
-        m.update({f"_p{s}": count_sql(at), f"_m{s}": count_sql(f"{at} AND {MISS}"),
-                  f"_s{s}": count_sql(f"{at} AND {SWING}")})
-    per = d.groupBy(*GP, "play_id").agg(*named_columns(m))
-    agg = {}
-    for s in "LR":
-        at = f"_r.{side} = '{s}'"
-        agg.update({f"_n{s}": count_sql(at), f"_k{s}": count_sql(f"{at} AND {in_sql('_r.play_result', K.STRIKEOUTS)}"),
-                    f"_b{s}": count_sql(f"{at} AND {in_sql('_r.play_result', K.WALKS)}"),
-                    f"_o{s}": count_sql(f"{at} AND {in_sql('_r.play_result', K.ON_BASE)}"),
-                    **{f"_{x}{s}": f"sum(_{x}{s})" for x in "pms"}})
-    g = per.groupBy(*GP).agg(*named_columns(agg)).filter("_nL > 0 OR _nR > 0")
-    out = {}
-    for s in "LR":
-        on = lambda e: f"CASE WHEN _n{s} > 0 THEN {e} END"
-        out.update({f"k_rate_vs_{s}": on(ratio1_sql(f"_k{s}", f"_n{s}")), f"bb_rate_vs_{s}": on(ratio1_sql(f"_b{s}", f"_n{s}")),
-                    f"obp_allowed_vs_{s}": on(ratio1_sql(f"_o{s}", f"_n{s}")),
-                    f"whiff_rate_vs_{s}": f"CASE WHEN _n{s} > 0 AND _p{s} > 0 THEN {ratio1_sql(f'_m{s}', f'_s{s}')} END",
-                    f"pa_count_vs_{s}": on(f"CAST(_n{s} AS DOUBLE)")})
-    out["obp_allowed"] = ratio1_sql("(_oL + _oR)", "(_nL + _nR)")
-    return g.selectExpr(*GP, *named(out))
-
-
-def batter_platoon(pbp: DataFrame, players: DataFrame) -> DataFrame:
-    """Both hands' game rates of a batter and the weighted OBP, in one pass."""
-    hand = "pitch_hand_resolved"
-    per = resolve_hands(pbp, players).groupBy(*GB, "play_id").agg(*named_columns({"_r": _first_result(f", {hand}")}))
-    r = "_r.play_result"
-    extra = f"CASE {r} WHEN 'Double' THEN 1 WHEN 'Triple' THEN 2 WHEN 'Home Run' THEN 3 ELSE 0 END"
-    cases = " ".join(f"WHEN '{k}' THEN {v}" for k, v in K.BASES.items())
-    agg = {}
-    for s in "LR":
-        at = f"_r.{hand} = '{s}'"
-        agg.update({f"_n{s}": count_sql(at), f"_k{s}": count_sql(f"{at} AND {in_sql(r, K.STRIKEOUTS)}"),
-                    f"_o{s}": count_sql(f"{at} AND {in_sql(r, K.ON_BASE)}"),
-                    f"_t{s}": f"sum(CASE WHEN {at} THEN CASE {r} {cases} ELSE 0 END END)",
-                    f"_x{s}": f"sum(CASE WHEN {at} THEN {extra} END)"})
-    g = per.groupBy(*GB).agg(*named_columns(agg)).filter("_nL > 0 OR _nR > 0")
-    out = {}
-    for s in "LR":
-        on = lambda e: f"CASE WHEN _n{s} > 0 THEN {e} END"
-        out.update({f"k_rate_vs_{s}": on(ratio1_sql(f"_k{s}", f"_n{s}")), f"obp_vs_{s}": on(ratio1_sql(f"_o{s}", f"_n{s}")),
-                    f"iso_vs_{s}": on(ratio1_sql(f"_x{s}", f"_n{s}")), f"tb_rate_vs_{s}": on(ratio1_sql(f"_t{s}", f"_n{s}")),
-                    f"pa_count_vs_{s}": on(f"CAST(_n{s} AS DOUBLE)")})
-    out["obp_per_game"] = ratio1_sql("(_oL + _oR)", "(_nL + _nR)")
-    return g.selectExpr(*GB, *named(out))
 
 
 # ---- per-game stat tables ---------------------------------------------------------------
 
-def _as_person(df: DataFrame, col: str) -> DataFrame:
-    return df.withColumnRenamed(col, "personId")
-
-
-def pitcher_game(box: DataFrame, quality: DataFrame, starters: DataFrame) -> DataFrame:
-    """Starters' boxscore lines with pitch-quality rates and rates per batter faced."""
-    s = starters.select("gamepk", F.col("starter_id").alias("personId")).distinct()
-    d = box.join(s, ["gamepk", "personId"], "left_semi").join(_as_person(quality, "pitcher_id"), ["gamepk", "personId"], "left")
-    return d.selectExpr("*", *named({
+def pitcher_game(box: DataFrame, measures: DataFrame) -> DataFrame:
+    """Starters' boxscore lines with all their measures and rates per batter faced."""
+    m = measures.filter("is_starter").drop("is_starter").withColumnRenamed("pitcher_id", "personId")
+    return box.join(m, ["gamepk", "personId"]).selectExpr("*", *named({
         "k_rate": ratio1_sql("k", "pa_count"), "bb_rate": ratio1_sql("bb", "pa_count"),
         "hr_rate": ratio1_sql("hr", "pa_count"), "k_bb_ratio": ratio_sql("k", "bb")}))
 
 
-def batter_game(box: DataFrame, discipline: DataFrame) -> DataFrame:
+def batter_game(box: DataFrame, measures: DataFrame) -> DataFrame:
     pa = "plate_appearances"
     d = box.selectExpr("*", *named({
         "k_rate": ratio1_sql("k", pa), "bb_rate": ratio1_sql("bb", pa), "hr_rate": ratio1_sql("hr", pa),
         "iso": ratio1_sql("(doubles + 2 * triples + 3 * hr)", pa), "tb_rate": ratio1_sql("total_bases", pa)}))
-    return d.join(_as_person(discipline, "batter_id"), ["gamepk", "personId"], "left")
+    return d.join(measures.withColumnRenamed("batter_id", "personId"), ["gamepk", "personId"], "left")
 
 
 def team_game(box: DataFrame, discipline: DataFrame, appearances: DataFrame) -> DataFrame:
@@ -224,7 +54,8 @@ def team_game(box: DataFrame, discipline: DataFrame, appearances: DataFrame) ->
         sums["team_hits"] = "hits"
     if has_hbp:
         sums["team_hbp"] = "hbp"
-    g = box.groupBy(*keys).agg(*named_columns({n: f"coalesce(sum({c}), 0)" for n, c in sums.items()}))
+    # dealt by team and game once: the sums, the join and the discipline of the same game share it
+    g = box.repartition("team_id", "gamepk").groupBy(*keys).agg(*named_columns({n: f"coalesce(sum({c}), 0)" for n, c in sums.items()}))
     rates = {"team_k_rate": ratio1_sql("team_k", "team_pa"), "team_bb_rate": ratio1_sql("team_bb", "team_pa"),
              "team_hr_rate": ratio1_sql("team_hr", "team_pa"),
              "team_iso": ratio1_sql("(team_doubles + 2 * team_triples + 3 * team_hr)", "team_pa"),
@@ -236,8 +67,8 @@ def team_game(box: DataFrame, discipline: DataFrame, appearances: DataFrame) ->
     else:
         rates["team_obp"] = rates["team_tb_rate"]
     g = g.selectExpr("*", *named(rates))
-    who = appearances.select("gamepk", "batter_id", F.col("batter_team_id").alias("team_id")).distinct()
-    p = discipline.join(who, GB).groupBy("team_id", "gamepk").agg(*named_columns({
+    who = appearances.select("gamepk", "batter_id", F.col("batter_team_id").alias("team_id")).repartition(*GB).distinct()
+    p = discipline.join(who, GB).repartition("team_id", "gamepk").groupBy("team_id", "gamepk").agg(*named_columns({
         "team_chase_n": "sum(chase_n)", "team_out_zone_n": "sum(out_zone_n)", "team_z_swing_n": "sum(z_swing_n)",
         "team_z_contact_n": "sum(z_contact_n)", "team_pitches_seen": "sum(pitches_seen)"}))
     p = p.selectExpr("*", *named({"team_chase_rate": ratio1_sql("team_chase_n", "team_out_zone_n"),
@@ -271,14 +102,44 @@ MEANS = {**{c: c for c in STARTER_STATS if c != "first_pitch_strike_pct"}, "k_bb
          "avg_batters_faced": "pa_count"}
 
 
-def pitcher_windows(games: DataFrame, inn45: DataFrame | None = None) -> DataFrame:
-    """Last start, ten starts and season so far, with rest, spacing, seven-day innings and trends."""
-    if inn45 is None:
-        d = games.withColumns({"inn45_p_per_pa_rate": F.lit(None).cast("double"), "inn45_obp_rate": F.lit(None).cast("double")})
-    else:
-        d = games.join(_as_person(inn45, "pitcher_id"), ["gamepk", "personId"], "left").selectExpr(
-            "*", f"{ratio_sql('inn45_pitches', 'inn45_pa')} AS inn45_p_per_pa_rate",
-            f"{ratio_sql('inn45_onbase', 'inn45_pa')} AS inn45_obp_rate")
+PITCHER_SPLITS = [f"{s}_vs_{h}" for s in ("k_rate", "bb_rate", "obp_allowed", "whiff_rate") for h in "LR"]
+BATTER_SPLITS = [f"{s}_vs_{h}" for s in ("obp", "k_rate", "iso", "tb_rate") for h in "LR"]
+
+
+def pitcher_split_features() -> list[Feature]:
+    return (spread(PITCHER_SPLITS, ("avg",), last(1), "sp_last_start_{col}") + spread(PITCHER_SPLITS, ("avg",), last(10), "sp10_{col}")
+            + spread(PITCHER_SPLITS, ("avg",), YTD, "spytd_{col}")
+            + spread(["pa_count_vs_L", "pa_count_vs_R"], ("sum",), YTD, "spytd_{col}")
+            + [Feature("spytd_obp_allowed", "avg", "obp_allowed", YTD)])
+
+
+def batter_split_features() -> list[Feature]:
+    return (spread(BATTER_SPLITS, ("avg",), YTD, "batytd_{col}")
+            + spread(["pa_count_vs_L", "pa_count_vs_R"], ("sum",), YTD, "batytd_{col}")
+            + [Feature("batytd_obp", "avg", "obp_per_game", YTD)])
+
+
+def season_means(stats, back_by: int) -> list:
+    """Means of whole seasons as frames over the season's number: back_by 0 is the row's own season, 1 the one before."""
+    over = f"OVER (PARTITION BY personId ORDER BY game_season RANGE BETWEEN {back_by} PRECEDING AND {back_by} PRECEDING)"
+    if not back_by:
+        over = "OVER (PARTITION BY personId ORDER BY game_season RANGE BETWEEN CURRENT ROW AND CURRENT ROW)"
+    known = "personId IS NOT NULL AND game_season IS NOT NULL"
+    return [f"CASE WHEN {known} THEN avg({c}) {over} END AS _s{back_by}_{c}" for c in stats]
+
+
+def _seasons(stats) -> list:
+    return [e for k in (0, 1, 2) for e in season_means(stats, k)]
+
+
+def pitcher_windows(games: DataFrame, also: list[Feature] | None = None, seasons=()) -> DataFrame:
+    """Last start, ten starts and season so far, with rest, spacing, seven-day innings and trends.
+
+    also: further features in the same pass. seasons: statistics whose season means are added for `career_fallback`.
+    """
+    also = also or []
+    d = games.selectExpr("*", f"{ratio_sql('inn45_pitches', 'inn45_pa')} AS inn45_p_per_pa_rate",
+                         f"{ratio_sql('inn45_onbase', 'inn45_pa')} AS inn45_obp_rate", *_seasons(seasons))
     d = seven_day_sum(d, "personId", "game_date", "gamepk", "ip", "cumulative_ip_last_7d")
     last1 = {c: c for c in STARTER_STATS} | {"ip": "ip", "pitches": "total_pitches"} | PROCESS_LAST
     feats = spread(last1, ("avg",), last(1), "sp_last_start_{col}")
@@ -290,12 +151,12 @@ def pitcher_windows(games: DataFrame, inn45: DataFrame | None = None) -> DataFra
     feats += spread(MEANS | PROCESS, ("avg",), YTD, "spytd_{col}")
     feats += [Feature("spytd_pa_count", "sum", "pa_count", YTD), Feature("spytd_n_starts", "rows", None, YTD)]
     lags = [Feature(f"_d{n}", "value", "game_date", back(n)) for n in (1, 3, 10)]
-    w = lagged(d, "personId", ORDER, feats + lags)
+    w = lagged(d, "personId", ORDER, feats + also + lags)
     raw = ["k_rate", "bb_rate", "hr_rate", *STARTER_STATS[3:], "pa_count", "ip"]
     rest = "(datediff(game_date, _d1) - 1)"
     return w.selectExpr(
         "personId", *ORDER, "game_season", "team_id", f"{rest} AS days_rest", "cumulative_ip_last_7d",
-        *[f.name for f in feats], "datediff(_d1, _d3) / 2.0D AS sp_avg_days_between_starts_3",
+        *[f.name for f in feats + also], *_season_names(seasons), "datediff(_d1, _d3) / 2.0D AS sp_avg_days_between_starts_3",
         "datediff(_d1, _d10) / 9.0D AS sp_avg_days_between_starts_10", *raw, *named({
             "fatigue_score": ratio1_sql("sp_last_start_pitches", rest),
             "sp_velo_trend": "sp_last_start_avg_velo - sp10_avg_velo",
@@ -303,78 +164,68 @@ def pitcher_windows(games: DataFrame, inn45: DataFrame | None = None) -> DataFra
             "sp_contact_velo_trend": "sp_last_start_contact_exit_velo - sp10_contact_exit_velo"}))
 
 
-def batter_windows(games: DataFrame) -> DataFrame:
+def _season_names(stats) -> list[str]:
+    return [f"_s{k}_{c}" for k in (0, 1, 2) for c in stats]
+
+
+def batter_windows(games: DataFrame, also: list[Feature] | None = None, seasons=()) -> DataFrame:
     """Last game, 15 and 50 games, season so far, and days since the previous game."""
     cols = {c: c for c in BATTER_STATS[:6]} | {"z_contact": "z_contact_pct", "o_contact": "o_contact_pct"}
     feats = spread(cols, ("avg",), last(1), "bat_last_game_{col}")
     for tag, frame in (("bat15", last(15)), ("bat50", last(50)), ("batytd", YTD)):
         feats += spread(cols, ("avg",), frame, tag + "_{col}")
         feats += [Feature(f"{tag}_pa_count", "sum", "plate_appearances", frame), Feature(f"{tag}_n_games", "rows", None, frame)]
-    w = lagged(games, "personId", ORDER, feats + [Feature("_d1", "value", "game_date", back(1))])
+    feats += also or []
+    d = games.selectExpr("*", *_seasons(seasons))
+    w = lagged(d, "personId", ORDER, feats + [Feature("_d1", "value", "game_date", back(1))])
     return w.selectExpr("personId", *ORDER, "game_season", "try_cast(batting_order AS INT) AS batting_order_int",
                         "datediff(game_date, _d1) AS bat_days_since_last_game", *[f.name for f in feats],
-                        *BATTER_STATS, "plate_appearances")
+                        *_season_names(seasons), *BATTER_STATS, "plate_appearances")
 
 
 def pitcher_platoon_windows(games: DataFrame) -> DataFrame:
-    cols = [f"{s}_vs_{h}" for s in ("k_rate", "bb_rate", "obp_allowed", "whiff_rate") for h in "LR"]
-    feats = (spread(cols, ("avg",), last(1), "sp_last_start_{col}") + spread(cols, ("avg",), last(10), "sp10_{col}")
-             + spread(cols, ("avg",), YTD, "spytd_{col}")
-             + spread(["pa_count_vs_L", "pa_count_vs_R"], ("sum",), YTD, "spytd_{col}")
-             + [Feature("spytd_obp_allowed", "avg", "obp_allowed", YTD)])
+    feats = pitcher_split_features()
     return lagged(games, "personId", ORDER, feats).select("personId", "gamepk", *[f.name for f in feats])
 
 
 def batter_platoon_windows(games: DataFrame) -> DataFrame:
-    cols = [f"{s}_vs_{h}" for s in ("obp", "k_rate", "iso", "tb_rate") for h in "LR"]
-    feats = (spread(cols, ("avg",), YTD, "batytd_{col}")
-             + spread(["pa_count_vs_L", "pa_count_vs_R"], ("sum",), YTD, "batytd_{col}")
-             + [Feature("batytd_obp", "avg", "obp_per_game", YTD)])
+    feats = batter_split_features()
     return lagged(games, "personId", ORDER, feats).select("personId", "gamepk", *[f.name for f in feats])
 
 
 # ---- blends -----------------------------------------------------------------------------
 
-def _season_means(games: DataFrame, stats) -> DataFrame:
-    return games.na.drop(subset=["personId", "game_season"]).groupBy("personId", "game_season").agg(
-        *[F.avg(c).alias(c) for c in stats])
-
-
-def career_weighted(games: DataFrame, stats, out: str, mode: str = "reference") -> DataFrame:
-    """3-2-1 weighted season means. mode 'reference' weighs the current full season too,
-    which sees the future; 'strict' uses only the two seasons before, weighted 2-1."""
+def _weighted(stats, out: str, mode: str) -> dict[str, str]:
     if mode not in ("reference", "strict"):
         raise ValueError(f"mode must be reference or strict, got {mode!r}")
-    m = _season_means(games, stats)
-    shift = lambda k: m.select("personId", (F.col("game_season") + k).alias("game_season"),
-                               *[F.col(c).alias(f"s{k}_{c}") for c in stats])
-    d = m.select("personId", "game_season", *[F.col(c).alias(f"s0_{c}") for c in stats])
-    d = d.join(shift(1), ["personId", "game_season"], "left").join(shift(2), ["personId", "game_season"], "left")
     weights = {0: 3, 1: 2, 2: 1} if mode == "reference" else {1: 2, 2: 1}
     cols = {}
     for c in stats:
-        top = " + ".join(f"coalesce(s{k}_{c}, 0) * {w}" for k, w in weights.items())
-        low = " + ".join(f"CASE WHEN s{k}_{c} IS NULL THEN 0 ELSE {w} END" for k, w in weights.items())
+        top = " + ".join(f"coalesce(_s{k}_{c}, 0) * {w}" for k, w in weights.items())
+        low = " + ".join(f"CASE WHEN _s{k}_{c} IS NULL THEN 0 ELSE {w} END" for k, w in weights.items())
         cols[f"{out}3yr_wtd_{c}"] = ratio_sql(f"({top})", f"({low})")
-    return d.selectExpr("personId", "game_season", *named(cols))
+    return cols
 
 
-def career_fallback(windows: DataFrame, games: DataFrame, stats, pa: str, ytd: str, out: str,
-                    threshold: int = 30, mode: str = "reference") -> DataFrame:
-    """Season-to-date means under `threshold` appearances take the career mean instead.
+def career_weighted(games: DataFrame, stats, out: str, mode: str = "reference") -> DataFrame:
+    """3-2-1 weighted season means. mode 'reference' weighs the current full season too,
+    which sees the future; 'strict' uses only the two seasons before, weighted 2-1."""
+    m = games.na.drop(subset=["personId", "game_season"]).repartition("personId").groupBy("personId", "game_season").agg(
+        *[F.avg(c).alias(c) for c in stats])
+    d = m.selectExpr("personId", "game_season", *_seasons(stats))
+    return d.selectExpr("personId", "game_season", *named(_weighted(stats, out, mode)))
 
-    Only statistics whose season column carries the same name are replaced.
+
+def career_fallback(windows: DataFrame, stats, pa: str, ytd: str, out: str, threshold: int = 30, mode: str = "reference") -> DataFrame:
+    """Season-to-date means under `threshold` appearances take the career mean instead; adds career and last-season means.
+
+    windows holds the season means of stats (`seasons=`). Only statistics whose season column carries the same name are
+    replaced.
     """
-    d = windows.join(career_weighted(games, stats, out, mode), ["personId", "game_season"], "left")
+    d = windows.selectExpr("*", *named(_weighted(stats, out, mode)), *[f"_s1_{c} AS {out}last_szn_{c}" for c in stats])
     swap = {ytd + c: f"CASE WHEN coalesce({pa}, 0) < {threshold} THEN {out}3yr_wtd_{c} ELSE {ytd}{c} END"
             for c in stats if ytd + c in windows.columns}
-    return d.selectExpr(*[f"{swap[c]} AS {c}" if c in swap else c for c in d.columns])
-
-
-def last_season_means(windows: DataFrame, games: DataFrame, stats, out: str) -> DataFrame:
-    m = _season_means(games, stats).select("personId", (F.col("game_season") + 1).alias("game_season"),
-                                           *[F.col(c).alias(f"{out}last_szn_{c}") for c in stats])
-    return windows.join(m, ["personId", "game_season"], "left")
+    return d.selectExpr(*[f"{swap[c]} AS {c}" if c in swap else c for c in d.columns if not c.startswith("_s")])
 
 
 def shrink_splits(df: DataFrame, ytd: str, stats) -> DataFrame:
@@ -404,49 +255,46 @@ def team_oaa(rows: DataFrame) -> DataFrame:
 
 # ---- the whole frame --------------------------------------------------------------------
 
+def per_game(df: DataFrame, names: list[str]) -> DataFrame:
+    """One row per game: `sides`, its two teams' columns as an array of (team_id, names)."""
+    rows = df.filter("team_id IS NOT NULL").groupBy("gamepk")
+    return rows.agg(F.collect_list(F.struct("team_id", F.struct(*names).alias("v"))).alias("sides"))
+
+
 def build(pbp: DataFrame, pitcher_box: DataFrame, batter_box: DataFrame, schedule: DataFrame, players: DataFrame,
           oaa: DataFrame | None = None, complete_only: bool = True, mode: str = "reference") -> DataFrame:
     """Every plate appearance faced by a starter, with pitcher, batter, team and matchup features.
 
-    players holds personId, batSide, pitchHand; innings in pitcher_box are decimal. Tables
-    read by several branches are staged once.
+    players holds personId, batSide, pitchHand; innings in pitcher_box are decimal. Pitches are read twice, for the partials of
+    each play and for the appearances; both are staged, as several branches read them. A pitch table that is itself derived is
+    best staged by the caller.
     """
-    pbp = stage(pbp)
-    st = find_starters(pbp, "inning")
-    pa = starter_appearances(pbp, st)
+    parts = stage(P.play_partials(P.events(pbp, players)))
+    pa = stage(base_out_state(P.appearances(P.events(pbp, players)).drop("game_date", "game_season")))
+    pg = stage(pitcher_game(pitcher_box, P.pitcher_measures(parts)))
+    measures = P.batter_measures(parts)
+
+    sp = pitcher_windows(pg, pitcher_split_features(), STARTER_STATS)
+    sp = career_fallback(sp, STARTER_STATS, "spytd_pa_count", "spytd_", "sp_", mode=mode)
+    sp = shrink_splits(sp, "spytd_", ["k_rate", "bb_rate", "obp_allowed", "whiff_rate"])
+    sp = sp.drop(*STARTER_STATS, "pa_count", "ip", "game_date", "game_season", "team_id")
+    bat = batter_windows(batter_game(batter_box, measures), batter_split_features(), BATTER_STATS)
+    bat = career_fallback(bat, BATTER_STATS, "batytd_pa_count", "batytd_", "bat_", mode=mode)
+    bat = shrink_splits(bat, "batytd_", ["obp", "k_rate", "iso", "tb_rate"])
+    bat = bat.drop(*BATTER_STATS, "plate_appearances", "game_date", "game_season")
+    tw = team_windows(team_game(batter_box, P.discipline(measures), pa))
+
+    # what a game alone decides is joined first, while the appearances are dealt by game
     meta = pitcher_box.select("gamepk", "game_date", "game_season").groupBy("gamepk").agg(
         F.min("game_date").alias("game_date"), F.min("game_season").alias("game_season"))
-    pa = pa.drop("game_date", "game_season").join(meta, "gamepk", "left")
-    pa = platoon(base_out_state(pitch_count_before(times_through_order(bases_target(pa)), pbp)), players)
     venue = schedule.select("gamepk", "venue_id").groupBy("gamepk").agg(F.min("venue_id").alias("venue_id"))
-    pa = pa.join(park_factor(venue), "gamepk", "left")
-
-    disc = batter_discipline(pbp)
-    person = lambda df, c: _as_person(df, c)
-    on = ["gamepk", "personId"]
-    pg = pitcher_game(pitcher_box, pitcher_quality(pbp), st)
-    pg = pg.join(person(pitcher_platoon(pbp, players), "pitcher_id"), on, "left")
-    pg = pg.join(person(pitcher_process(pbp, st), "pitcher_id"), on, "left")
-    bg = batter_game(batter_box, disc).join(person(batter_platoon(pbp, players), "batter_id"), on, "left")
-    pg, bg = stage(pg), stage(bg)
-    tw = team_windows(team_game(batter_box, disc, pa))
-
-    sp = pitcher_windows(pg, innings_four_five(pbp)).join(pitcher_platoon_windows(pg), ["personId", "gamepk"], "left")
-    bat = batter_windows(bg).join(batter_platoon_windows(bg), ["personId", "gamepk"], "left")
-    sp = career_fallback(sp, pg, STARTER_STATS, "spytd_pa_count", "spytd_", "sp_", mode=mode)
-    bat = career_fallback(bat, bg, BATTER_STATS, "batytd_pa_count", "batytd_", "bat_", mode=mode)
-    sp = shrink_splits(sp, "spytd_", ["k_rate", "bb_rate", "obp_allowed", "whiff_rate"])
-    bat = shrink_splits(bat, "batytd_", ["obp", "k_rate", "iso", "tb_rate"])
-    sp = last_season_means(sp, pg, STARTER_STATS, "sp_").drop(*STARTER_STATS, "pa_count", "ip", "game_date",
-                                                             "game_season", "team_id")
-    bat = last_season_means(bat, bg, BATTER_STATS, "bat_").drop(*BATTER_STATS, "plate_appearances", "game_date",
-                                                                "game_season")
-    d = pa.join(sp.withColumnRenamed("personId", "pitcher_id"), GP, "left")
-    d = d.join(bat.withColumnRenamed("personId", "batter_id"), GB, "left")
     names = [c for c in tw.columns if c.startswith("team_") and c != "team_id"]
-    for role, tag in (("batter_team_id", "opp_"), ("pitcher_team_id", "own_")):
-        side = tw.select("gamepk", F.col("team_id").alias(role), *[F.col(c).alias(tag + c) for c in names])
-        d = d.join(side, ["gamepk", role], "left")
+    d = pa.join(meta, "gamepk", "left").join(park_factor(venue), "gamepk", "left").join(per_game(tw, names), "gamepk", "left")
+    side = lambda role: f"get(filter(sides, x -> x.team_id = {role}), 0).v"
+    d = d.selectExpr("* EXCEPT (sides)", f"{side('batter_team_id')} AS _opp", f"{side('pitcher_team_id')} AS _own")
+    d = d.selectExpr("* EXCEPT (_opp, _own)", *[f"_{tag}.{c} AS {tag}_{c}" for tag in ("opp", "own") for c in names])
+    d = d.join(sp.withColumnRenamed("personId", "pitcher_id"), GP, "left")
+    d = d.join(bat.withColumnRenamed("personId", "batter_id"), GB, "left")
     d = rule_era(add_log5(d, pg))
     if oaa is not None:
         d = d.join(team_oaa(oaa).withColumnRenamed("team_id", "pitcher_team_id"), ["pitcher_team_id", "game_season"], "left")
@@ -460,7 +308,22 @@ def required_columns(df: DataFrame) -> list[str]:
     return [c for c in df.columns if c.startswith(tags)]
 
 
-def dropped_report(df: DataFrame, cols=None, by: str = "game_season") -> DataFrame:
-    """Rows lacking a required column, counted per group."""
-    missing = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in (cols or required_columns(df))])
-    return df.groupBy(by).agg(F.count(F.when(missing, 1)).alias("dropped"), F.count(F.lit(1)).alias("rows"))
+def dropped_report(df: DataFrame, cols=None, top: int = 10) -> DataFrame:
+    """Rows that lack a required column, counted per season, per month and for the pitchers who lose most, and how often each column is missing.
+
+    Rows are (part, key, dropped, rows): 'season', 'month', the `top` of 'pitcher' (ties by id) and 'column'. One pass counts
+    each (season, month, pitcher); the parts add those counts up.
+    """
+    cols = cols or required_columns(df)
+    missing = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in cols])
+    keys = [F.col("game_season").cast("string").alias("season"), F.month("game_date").cast("string").alias("month"), F.col("pitcher_id").alias("pitcher")]
+    base = stage(df.groupBy(*keys).agg(F.count(F.when(missing, 1)).alias("dropped"), F.count(F.lit(1)).alias("rows"),
+                                       *[F.count(F.when(F.col(c).isNull(), 1)).alias(f"c_{c}") for c in cols]))
+    part = lambda name: base.groupBy(F.col(name).alias("key")).agg(F.sum("dropped").alias("dropped"), F.sum("rows").alias("rows"))
+    tag = lambda d, name: d.select(F.lit(name).alias("part"), "key", "dropped", "rows")
+    worst = part("pitcher").filter("dropped > 0").orderBy(F.desc("dropped"), "key").limit(top)
+    whole = base.agg(F.sum("rows").alias("rows"), *[F.sum(f"c_{c}").alias(c) for c in cols])
+    pairs = ", ".join(f"struct('{c}' AS key, {c} AS dropped)" for c in cols)
+    columns = whole.select("rows", F.explode(F.expr(f"array({pairs})")).alias("x")).select("x.key", "x.dropped", "rows")
+    out = tag(part("season"), "season").unionByName(tag(part("month"), "month"))
+    return out.unionByName(tag(worst, "pitcher")).unionByName(tag(columns, "column"))

@@ -298,11 +298,13 @@ def seven_day_sum(df: DataFrame, entity: str, date: str, order, col: str, name:
     order = [order] if isinstance(order, str) else list(order)
     d = lagged(df, entity, [date] + order, [Feature("_prev", "value", col, back(1))], split)
     d = d.withColumn("_day", F.datediff(F.col(date), F.lit("1970-01-01").cast("date")))
-    per_day = d.groupBy(entity, "_day").agg(F.sum("_prev").alias("_d"))
     span = Window.partitionBy(entity).orderBy("_day").rangeBetween(-(days - 1), -1)
-    earlier = per_day.select(entity, "_day", F.sum("_d").over(span).alias("_earlier"))
     same = Window.partitionBy(entity, "_day").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    d = _attach(d, earlier, [entity, "_day"])
+    if split is None:  # all frames of an entity in one place
+        d = d.withColumn("_earlier", F.sum("_prev").over(span))
+    else:
+        per_day = d.groupBy(entity, "_day").agg(F.sum("_prev").alias("_d"))
+        d = _attach(d, per_day.select(entity, "_day", F.sum("_d").over(span).alias("_earlier")), [entity, "_day"])
     today = F.sum("_prev").over(same)
     return (d.withColumn(name, F.coalesce(F.col("_earlier"), F.lit(0.0)) + F.coalesce(today, F.lit(0.0)))
             .drop("_prev", "_day", "_earlier"))
