@@ -227,25 +227,38 @@ _register_rolls()
 
 
 def std_sql(n, s, q):
-    v = f"(({q} - {s} * {s}::DOUBLE / nullif({n}, 0)) / nullif({n} - 1, 0))"
-    return f"CASE WHEN {n} > 1 THEN sqrt(CASE WHEN {v} <= {q} / nullif({n}, 0) * 1e-11 THEN 0 ELSE {v} END) END"
+    """Deviation from sums of integers, which are exact; NULL where the count makes it negative."""
+    top = f"({q}::HUGEINT * {n} - {s}::HUGEINT * {s})"
+    return f"CASE WHEN {n} > 1 AND {top} >= 0 THEN sqrt({top}::DOUBLE / ({n}::DOUBLE * ({n} - 1))) END"
+
+
+def raw_std_sql(cols, entity, window, where="true"):
+    """Deviations of all pitches thrown in the earlier games of the window, straight from the pitches: one row per game."""
+    season = window == "season"
+    part = f"{entity}, game_season" if season else entity
+    frame = f"RANGE BETWEEN {'UNBOUNDED' if season else window} PRECEDING AND 1 PRECEDING"
+    return f"""SELECT {entity}, gamepk, {", ".join(f"any_value(s_{x}) AS s_{x}" for x in cols)} FROM (
+  SELECT {entity}, gamepk, {", ".join(f"stddev_samp({x}) OVER (PARTITION BY {part} ORDER BY gi {frame}) AS s_{x}" for x in cols)}
+  FROM (SELECT *, dense_rank() OVER (PARTITION BY {part} ORDER BY game_date, gamepk) AS gi FROM pbp WHERE {where})) GROUP BY ALL"""
 
 
 @query("pooled_std", ["pitcher_id", "gamepk"], f"""
-SELECT pitcher_id, gamepk, game_season, n, s, q, {std_sql("n", "s", "q")} AS speed_std FROM (
-  SELECT pitcher_id, gamepk, game_season, {roll_sql(["n", "s", "q"], "pitcher_id", 10, None)} FROM (
-    SELECT pitcher_id, gamepk, game_date, game_season, count(start_speed) AS n,
-      coalesce(sum(start_speed), 0) AS s, coalesce(sum(start_speed * start_speed), 0) AS q
-    FROM pbp GROUP BY ALL))""", ["pbp"])
+SELECT g.pitcher_id, g.gamepk, game_season, n, s, r.s_start_speed AS speed_std, t.s_start_speed AS season_speed_std FROM (
+  SELECT pitcher_id, gamepk, game_season, {roll_sql(["n", "s"], "pitcher_id", 10, None)} FROM (
+    SELECT pitcher_id, gamepk, game_date, game_season, count(start_speed) AS n, coalesce(sum(start_speed), 0) AS s
+    FROM pbp GROUP BY ALL)) g
+JOIN ({raw_std_sql(["start_speed"], "pitcher_id", 10)}) r ON g.pitcher_id = r.pitcher_id AND g.gamepk = r.gamepk
+JOIN ({raw_std_sql(["start_speed"], "pitcher_id", "season")}) t ON g.pitcher_id = t.pitcher_id AND g.gamepk = t.gamepk""", ["pbp"])
 def pooled(spark, d):
     from lagwell.operators.rolling import roll
-    from lagwell.plans.frames import pooled_std
-    x = F.col("start_speed")
+    from lagwell.plans.frames import deviation_sql, moments_sql
     g = t.pitches(spark, d).groupBy("pitcher_id", "gamepk", "game_date", "game_season").agg(
-        F.count(x).alias("n"), F.coalesce(F.sum(x), F.lit(0.0)).alias("s"),
-        F.coalesce(F.sum(x * x), F.lit(0.0)).alias("q"))
-    r = roll(g, "pitcher_id", 10, ["n", "s", "q"])
-    return r.withColumn("speed_std", pooled_std(F.col("n"), F.col("s"), F.col("q"))).drop("game_date")
+        F.expr("count(start_speed)").alias("n"), F.expr("coalesce(sum(start_speed), 0D)").alias("s"),
+        F.expr(moments_sql("start_speed")).alias("w"), F.expr(moments_sql("start_speed")).alias("z"))
+    r = roll(g, "pitcher_id", 10, ["n", "s"], states=["w"])
+    z = roll(g, "pitcher_id", "season", states=["z"]).select("pitcher_id", "gamepk", "z")
+    return r.drop("z").join(z, ["pitcher_id", "gamepk"]).selectExpr(
+        "pitcher_id", "gamepk", "game_season", "n", "s", f"{deviation_sql('w')} AS speed_std", f"{deviation_sql('z')} AS season_speed_std")
 
 
 BOX_STATS = ["h", "k", "bb", "hr", "ab", "plate_appearances", "total_bases_from_h"]

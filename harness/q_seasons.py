@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from harness import tables as t
-from harness.q_lagging import TAGGED, _pbox, roll_sql, std_sql
+from harness.q_lagging import TAGGED, _pbox, raw_std_sql, roll_sql, std_sql
 from harness.registry import query
 from lagwell.operators import season as S
 
@@ -351,6 +351,9 @@ EXITS = {"last_inning_inning": "inning", "last_inning_inning_sumsq": "inning * i
 PMAX = {**{f"stuff_{x}_max": f"max({x})" for x in PEAK}, "pitch_count_max": "count(*)"}
 
 
+SQUARES = [f"{g}_{x}_sumsq" for g, x in SPREAD]
+
+
 def pgame_sql(entity, where):
     return f"""
 SELECT a.*, {", ".join(f"b.{n}" for n in [*EXITS, "last_inning_outs"])} FROM (
@@ -374,7 +377,7 @@ PA_RATES = ([("pa_pitch_count_mean", "pa_pitch_count_sum", "pa_total")]
 
 
 def rolling_pitcher_sql(entity, window, where, p, role=None):
-    sums, maxes = [*PGAME, *EXITS], [*PMAX, "last_inning_outs"]
+    sums, maxes = [c for c in [*PGAME, *EXITS] if c not in SQUARES], [*PMAX, "last_inning_outs"]
     items = ratio([(f"stuff_{x}_mean", f"stuff_{x}_sum", f"stuff_{x}_n") for x in STUFF]
                   + [(f"command_{n}_rate", f"command_{n}_n", "n_pitches") for n in FLAGS] + PA_RATES
                   + [("last_inning_avg", "last_inning_inning", "games_n"),
@@ -387,24 +390,27 @@ def rolling_pitcher_sql(entity, window, where, p, role=None):
                   + [(f"contact_{x}_rate", f"contact_{x}_n", "contact_n") for x in ("hard_hit", "gb", "fb", "ld")]
                   + [(f"contact_avg_launch_{x}", f"contact_launch_{x}_sum", f"contact_launch_{x}_n") for x in ("speed", "angle")])
     items += [(m, m) for m in maxes]
-    items += [(f"{g}_{x}_std", std_sql(f"{g}_{x}_n", f"{g}_{x}_sum", f"{g}_{x}_sumsq")) for g, x in SPREAD]
+    items += [(f"{g}_{x}_std", f"s_{x}") for g, x in SPREAD]
     items += [("pa_pitch_count_std", std_sql("pa_total", "pa_pitch_count_sum", "pa_pitch_count_sumsq")),
               ("last_inning_std", std_sql("games_n", "last_inning_inning", "last_inning_inning_sumsq")),
               ("pitch_count_std", std_sql("games_n", "n_pitches", "pitch_count_sumsq")),
               ("pa_fip", "(13 * pa_hr_n + 3 * pa_fip_bb_n - 2 * pa_strikeout_n)::DOUBLE / nullif(pa_total, 0) + 3.10")]
-    head = f"{entity} AS pitcher_key_id, '{role}' AS pitcher_role" if role else entity
+    head = f"a.{entity} AS pitcher_key_id, '{role}' AS pitcher_role" if role else f"a.{entity}"
     return f"""
-SELECT {head}, gamepk, game_season, {", ".join(f"{e} AS {p}{n}" for n, e in items)} FROM (
+SELECT {head}, a.gamepk, game_season, {", ".join(f"{e} AS {p}{n}" for n, e in items)} FROM (
   SELECT {entity}, gamepk, game_season, {roll_sql(sums, entity, window, None)}, {roll_sql(maxes, entity, window, None, "max")}
-  FROM ({pgame_sql(entity, where)}))"""
+  FROM ({pgame_sql(entity, where)})) a
+JOIN ({raw_std_sql([x for _, x in SPREAD], entity, window, where)}) r ON a.{entity} = r.{entity} AND a.gamepk = r.gamepk"""
 
 
 @query("per_game_partials", ["pitcher_id", "gamepk"],
        f"SELECT * EXCLUDE (game_date) FROM ({pgame_sql('pitcher_id', 'true')})", ["pbp"])
 def per_game_partials(spark, d):
     from lagwell.operators.partials import PA_SUMS, pitcher_games
+    from lagwell.plans.frames import squares_sql
     g = pitcher_games(t.pitches(spark, d))
     g = g.withColumns({c: F.when(F.col("pa_rows") > 0, F.col(c)) for c in PA_SUMS})
+    g = g.withColumns({c: F.expr(squares_sql(c.replace("_sumsq", "_spread"))) for c in SQUARES})
     g = g.withColumns({"games_n": F.lit(1), "pitch_count_sumsq": F.col("n_pitches") * F.col("n_pitches"),
                        "pitch_count_max": F.col("n_pitches"),
                        "last_inning_inning_sumsq": F.col("last_inning_inning") * F.col("last_inning_inning")})

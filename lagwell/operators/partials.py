@@ -1,4 +1,4 @@
-"""Mergeable measures: sums, counts, sums of squares and maxima per group of pitches.
+"""Mergeable measures: sums, counts, central moments and maxima per group of pitches.
 
 One grouped pass yields everything season tables and rolling tables need; rates and
 deviations are divided out once, at the end, from merged sums.
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lagwell.functions import constants as K
 from lagwell.functions.rates import count_sql, in_sql, named_columns
-from lagwell.plans.frames import totals
+from lagwell.plans.frames import moments_sql, totals
 
 STUFF = ["start_speed", "end_speed", "perceived_velo", "spin_rate", "movement_magnitude", "pfx_z",
          "extension", "speed_retention"]
@@ -41,7 +41,7 @@ def _outcomes() -> dict[str, str]:
         "pa_rows": count_sql(end),
         "pa_total": f"count({on('play_result')})",
         "pa_pitch_count_sum": f"sum({on('pitch_number')})",
-        "pa_pitch_count_sumsq": f"sum({on('CAST(pitch_number AS DOUBLE) * pitch_number')})",
+        "pa_pitch_count_sumsq": f"sum({on('CAST(pitch_number AS BIGINT) * pitch_number')})",
         **{name: count_sql(f"{end} AND {in_sql('play_result', rs)}") for name, rs in OUTCOMES.items()},
         "pa_final_balls_sum": f"sum({on('count_balls')})", "pa_final_balls_n": f"count({on('count_balls')})",
         "pa_final_strikes_sum": f"sum({on('count_strikes')})", "pa_final_strikes_n": f"count({on('count_strikes')})",
@@ -64,7 +64,7 @@ def pitcher_measures() -> dict[str, str]:
         p = ("stuff_" if x in STUFF else "command_") + x
         m[p + "_sum"], m[p + "_n"] = f"coalesce(sum({x}), 0)", f"count({x})"
         if x in SPREAD:
-            m[p + "_sumsq"] = f"coalesce(sum({x} * {x}), 0)"
+            m[p + "_spread"] = moments_sql(x)
         if x in PEAK:
             m[p + "_max"] = f"max({x})"
     for name, cond in {

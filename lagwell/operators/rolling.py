@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from lagwell.functions.rates import babip, fip_sql, named, ratio_sql, safe_div
 from lagwell.operators import partials as P
 from lagwell.operators.season import both_roles, prefix_columns, tag_roles
-from lagwell.plans.frames import Feature, lagged, last, pooled_std_sql, prior
+from lagwell.plans.frames import Feature, deviation_sql, integer_deviation_sql, lagged, last, prior
 
 ORDER = ["game_date", "gamepk"]
 
@@ -28,13 +28,13 @@ def window_prefix(entity: str, window) -> str:
     return f"{entity}_roll_season_" if window == "season" else f"{entity}_roll_last{window}g_"
 
 
-def roll(df: DataFrame, entity: str, window, sums=(), maxes=()) -> DataFrame:
-    """Replace the columns by their lagged rolling sum or maximum."""
+def roll(df: DataFrame, entity: str, window, sums=(), maxes=(), states=()) -> DataFrame:
+    """Replace the columns by their lagged rolling sum, maximum or merged state."""
     check_window(window)
     season = window == "season"
     frame = prior("game_season") if season else last(window)
     feats = [Feature("_r_" + c, agg, c, frame, need_prev=season)
-             for agg, cols in (("sum", sums), ("max", maxes)) for c in cols]
+             for agg, cols in (("sum", sums), ("max", maxes), ("moments", states)) for c in cols]
     d = lagged(df.filter(F.col(entity).isNotNull()), entity, ORDER, feats)
     rolled = {f.col: f.name for f in feats}
     return d.selectExpr(*[f"{rolled[c]} AS {c}" if c in rolled else c for c in df.columns])
@@ -73,7 +73,6 @@ def pitcher_box_rolling_roles(box: DataFrame, pbp: DataFrame, window) -> DataFra
 
 PITCHER_SUMS = (
     [f"stuff_{x}_{t}" for x in P.STUFF for t in ("sum", "n")]
-    + [f"{p}_sumsq" for p in ("stuff_start_speed", "stuff_extension", "command_plate_x", "command_plate_z_normalized")]
     + [f"command_{x}_{t}" for x in P.COMMAND for t in ("sum", "n")]
     + [f"command_{x}_n" for x in ("in_play", "swinging_strike", "zone", "ball", "strike", "called_strike", "chase",
                                   "zone_swing", "first_pitch_strike")]
@@ -82,6 +81,7 @@ PITCHER_SUMS = (
        "last_inning_strike", "last_inning_balls", "last_inning_strikes", "pitch_count_sumsq"]
     + [f"contact_{x}" for x in ("n", "hard_hit_n", "gb_n", "fb_n", "ld_n", "launch_speed_sum", "launch_speed_n",
                                 "launch_angle_sum", "launch_angle_n")])
+PITCHER_STATES = ["stuff_start_speed_spread", "stuff_extension_spread", "command_plate_x_spread", "command_plate_z_normalized_spread"]
 PITCHER_MAXES = [f"stuff_{x}_max" for x in P.PEAK] + ["last_inning_outs", "pitch_count_max"]
 
 
@@ -104,11 +104,11 @@ def pitcher_pitch_rolling(pbp: DataFrame, window, role: str | None = None, entit
     g = P.pitcher_games(pbp, entity, role)
     derived = {
         **{c: f"CASE WHEN pa_rows > 0 THEN {c} END" for c in P.PA_SUMS},
-        "games_n": "1", "pitch_count_sumsq": "CAST(n_pitches AS DOUBLE) * n_pitches", "pitch_count_max": "n_pitches",
-        "last_inning_inning_sumsq": "CAST(last_inning_inning AS DOUBLE) * last_inning_inning"}
-    g = g.selectExpr(*keys, *[f"{derived.get(c, c)} AS {c}" for c in PITCHER_SUMS + PITCHER_MAXES])
-    d = roll(g, entity, window, PITCHER_SUMS, PITCHER_MAXES)
-    std = pooled_std_sql
+        "games_n": "1", "pitch_count_sumsq": "n_pitches * n_pitches", "pitch_count_max": "n_pitches",
+        "last_inning_inning_sumsq": "CAST(last_inning_inning AS BIGINT) * last_inning_inning"}
+    g = g.selectExpr(*keys, *[f"{derived.get(c, c)} AS {c}" for c in PITCHER_SUMS + PITCHER_MAXES + PITCHER_STATES])
+    d = roll(g, entity, window, PITCHER_SUMS, PITCHER_MAXES, PITCHER_STATES)
+    std, exact = deviation_sql, integer_deviation_sql
     out = {}
     for x in P.STUFF:
         s = f"stuff_{x}"
@@ -116,14 +116,14 @@ def pitcher_pitch_rolling(pbp: DataFrame, window, role: str | None = None, entit
         if x in P.PEAK:
             out[s + "_max"] = s + "_max"
         if x in P.SPREAD:
-            out[s + "_std"] = std(s + "_n", s + "_sum", s + "_sumsq")
+            out[s + "_std"] = std(s + "_spread")
     for x in P.COMMAND:
-        out[f"command_{x}_std"] = std(f"command_{x}_n", f"command_{x}_sum", f"command_{x}_sumsq")
+        out[f"command_{x}_std"] = std(f"command_{x}_spread")
     out.update(_rates([(f"command_{x}_rate", f"command_{x}_n", "n_pitches") for x in (
         "in_play", "swinging_strike", "zone", "ball", "strike", "called_strike", "chase", "zone_swing",
         "first_pitch_strike")]))
     out.update(_rates(_pa_rates()))
-    out["pa_pitch_count_std"] = std("pa_total", "pa_pitch_count_sum", "pa_pitch_count_sumsq")
+    out["pa_pitch_count_std"] = exact("pa_total", "pa_pitch_count_sum", "pa_pitch_count_sumsq")
     out["pa_fip"] = fip_sql("pa_hr_n", "pa_fip_bb_n", "pa_strikeout_n", "pa_total")
     out.update(_rates([
         ("last_inning_avg", "last_inning_inning", "games_n"), ("last_inning_avg_velo", "last_inning_velo", "games_n"),
@@ -131,9 +131,9 @@ def pitcher_pitch_rolling(pbp: DataFrame, window, role: str | None = None, entit
         ("last_inning_strike_rate", "last_inning_strike", "games_n"),
         ("last_inning_avg_balls", "last_inning_balls", "games_n"),
         ("last_inning_avg_strikes", "last_inning_strikes", "games_n"), ("pitch_count_avg", "n_pitches", "games_n")]))
-    out["last_inning_std"] = std("games_n", "last_inning_inning", "last_inning_inning_sumsq")
+    out["last_inning_std"] = exact("games_n", "last_inning_inning", "last_inning_inning_sumsq")
     out["last_inning_outs"] = "last_inning_outs"
-    out["pitch_count_std"] = std("games_n", "n_pitches", "pitch_count_sumsq")
+    out["pitch_count_std"] = exact("games_n", "n_pitches", "pitch_count_sumsq")
     out["pitch_count_max"] = "pitch_count_max"
     out.update(_rates([(f"contact_{x}_rate", f"contact_{x}_n", "contact_n") for x in ("hard_hit", "gb", "fb", "ld")]))
     out.update(_rates([(f"contact_avg_launch_{x}", f"contact_launch_{x}_sum", f"contact_launch_{x}_n")
@@ -161,7 +161,7 @@ def batter_pitch_rolling(pbp: DataFrame, window) -> DataFrame:
     keys = ["batter_id", "gamepk", "game_date", "game_season"]
     d = roll(P.batter_games(pbp).select(*keys, *BATTER_SUMS), "batter_id", window, BATTER_SUMS)
     out = _rates(_pa_rates())
-    out["pa_pitch_count_std"] = pooled_std_sql("pa_total", "pa_pitch_count_sum", "pa_pitch_count_sumsq")
+    out["pa_pitch_count_std"] = integer_deviation_sql("pa_total", "pa_pitch_count_sum", "pa_pitch_count_sumsq")
     out.update(_rates([
         ("o_swing_rate", "chase_n", "n_pitches"), ("z_swing_rate", "zone_swing_n", "n_pitches"),
         ("swinging_strike_rate", "swinging_strike_n", "n_pitches"), ("zone_rate", "zone_n", "n_pitches"),

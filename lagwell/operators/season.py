@@ -12,7 +12,7 @@ from lagwell.functions.rates import (
 from lagwell.functions.text import whole_thirds
 from lagwell.operators import partials as P
 from lagwell.operators.clean import decimal_innings, drop_seasons
-from lagwell.plans.frames import pooled_std_sql
+from lagwell.plans.frames import deviation_sql, integer_deviation_sql, merged_sql
 
 
 # ---- naming -----------------------------------------------------------------------------
@@ -95,7 +95,7 @@ def pitcher_box_season_roles(box: DataFrame, pbp: DataFrame) -> DataFrame:
 def _merge(games: DataFrame, keys) -> DataFrame:
     """Merge per-game partials to the season grain."""
     skip = {*keys, "gamepk", "game_date", "thrown", *P.EXIT.values()}
-    m = {c: f"{'max' if c.endswith('_max') else 'sum'}({c})" for c in games.columns if c not in skip}
+    m = {c: merged_sql(c) if c.endswith("_spread") else f"{'max' if c.endswith('_max') else 'sum'}({c})" for c in games.columns if c not in skip}
     m.update({
         "avg_last_inning": "avg(last_inning_inning)", "std_last_inning": "stddev_samp(last_inning_inning)",
         "avg_last_inning_velo": "avg(last_inning_velo)", "last_inning_ball_rate": "avg(last_inning_ball)",
@@ -112,7 +112,7 @@ def _outcome_rates(p: str, fip_parts: bool) -> dict[str, str]:
     some = lambda x: f"CASE WHEN {rows} > 0 THEN {x} END"
     out = {
         p + "pitch_count_mean": ratio_sql("pa_pitch_count_sum", rows),
-        p + "pitch_count_std": pooled_std_sql(rows, "pa_pitch_count_sum", "pa_pitch_count_sumsq"),
+        p + "pitch_count_std": integer_deviation_sql(rows, "pa_pitch_count_sum", "pa_pitch_count_sumsq"),
         p + "total": some("pa_total"),
     }
     for x in ("strikeout", "walk", "hbp", "hit", "hr", "single", "xbh"):
@@ -130,7 +130,6 @@ def _outcome_rates(p: str, fip_parts: bool) -> dict[str, str]:
 
 def _pitcher_columns() -> dict[str, str]:
     p = "pitcher_season_"
-    std = lambda s: pooled_std_sql(s + "_n", s + "_sum", s + "_sumsq")
     out = {}
     for x in P.STUFF:
         s = f"stuff_{x}"
@@ -138,9 +137,9 @@ def _pitcher_columns() -> dict[str, str]:
         if x in P.PEAK:
             out[f"{p}{s}_max"] = s + "_max"
         if x in P.SPREAD:
-            out[f"{p}{s}_std"] = std(s)
+            out[f"{p}{s}_std"] = deviation_sql(s + "_spread")
     for x in P.COMMAND:
-        out[f"{p}command_{x}_std"] = std(f"command_{x}")
+        out[f"{p}command_{x}_std"] = deviation_sql(f"command_{x}_spread")
     for x in ("in_play", "swinging_strike", "zone", "ball", "strike", "called_strike", "chase", "zone_swing",
               "first_pitch_strike"):
         out[f"{p}command_{x}_rate"] = ratio_sql(f"command_{x}_n", f"command_{x}_known")

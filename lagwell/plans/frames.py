@@ -26,7 +26,7 @@ class Split:
     block_rows: int = 1_000_000
 
 
-AGGS = ("sum", "avg", "std", "median", "max", "min", "count", "rows", "value")
+AGGS = ("sum", "avg", "std", "median", "max", "min", "count", "rows", "value", "moments")
 
 
 @dataclass(frozen=True)
@@ -58,7 +58,10 @@ def back(n: int, *within: str) -> Frame:
 
 @dataclass(frozen=True)
 class Feature:
-    """One output column. need_prev blanks it when the previous row's value is NULL."""
+    """One output column. need_prev blanks it when the previous row's value is NULL.
+
+    'moments' merges a column of states (see `moments_sql`) over the frame.
+    """
 
     name: str
     agg: str
@@ -120,7 +123,32 @@ def _over(f: Feature, w) -> Column:
 def _plain(df, keys, order, feats):
     """All windows of one partitioning in one projection, as SQL text."""
     over = f"PARTITION BY {', '.join(map(_q, keys))} ORDER BY {', '.join(map(_q, order))}"
-    return df.selectExpr("*", *[f"{_window_sql(f, over)} AS {_q(f.name)}" for f in feats])
+    grown = [f for f in feats if f.agg == "moments" and f.frame.lo is None]
+    if not grown:
+        return df.selectExpr("*", *[f"{_window_sql(f, over)} AS {_q(f.name)}" for f in feats])
+    kept = df.columns
+    before = f"OVER ({over} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    cols = list(dict.fromkeys(f.col for f in grown))
+    at = {c: i for i, c in enumerate(cols)}
+    # what a state adds to those before it: its own squares, and the distance of its mean from theirs. Nothing is subtracted.
+    d = df.selectExpr("*", *[e for c, i in at.items() for e in (
+        f"sum({_q(c)}.n) {before} AS _mn{i}", f"sum({_q(c)}.n * {_q(c)}.mean) {before} AS _ms{i}")])
+    d = d.selectExpr("*", *[
+        f"CASE WHEN {_q(c)}.n > 0 THEN {_q(c)}.m2 + CASE WHEN _mn{i} > 0 THEN pow({_q(c)}.mean - _ms{i} / _mn{i}, 2) * {_q(c)}.n / (_mn{i} + {_q(c)}.n) * _mn{i} "
+        f"ELSE 0D END END AS _mi{i}" for c, i in at.items()])
+    out = []
+    for f in feats:
+        if f not in grown:
+            out.append(f"{_window_sql(f, over)} AS {_q(f.name)}")
+            continue
+        c, i = _q(f.col), at[f.col]
+        w = f"OVER ({over} ROWS BETWEEN UNBOUNDED PRECEDING AND {'CURRENT ROW' if f.frame.hi == 0 else f'{f.frame.hi} PRECEDING'})"
+        n, s = (f"_mn{i}", f"_ms{i}") if f.frame.hi == 1 else (f"sum({c}.n) {w}", f"sum({c}.n * {c}.mean) {w}")
+        e = f"named_struct('n', coalesce({n}, 0L), 'mean', try_divide({s}, {n}), 'm2', coalesce(sum(_mi{i}) {w}, 0D))"
+        if f.need_prev:
+            e = f"CASE WHEN lag({c}, 1) OVER ({over}) IS NOT NULL THEN {e} END"
+        out.append(f"{e} AS {_q(f.name)}")
+    return d.selectExpr(*map(_q, kept), *out)
 
 
 def _q(name: str) -> str:
@@ -133,10 +161,12 @@ def _window_sql(f: Feature, over: str) -> str:
         e = f"lag({x}, {f.frame.lo}) OVER ({over})"
     else:
         call = {"sum": "sum({})", "avg": "avg({})", "std": "stddev_samp({})", "median": "percentile({}, 0.5D)",
-                "max": "max({})", "min": "min({})", "count": "count({})", "rows": "count({})"}[f.agg].format(x)
+                "max": "max({})", "min": "min({})", "count": "count({})", "rows": "count({})", "moments": "collect_list({})"}[f.agg].format(x)
         lo = "UNBOUNDED" if f.frame.lo is None else str(f.frame.lo)
         hi = "CURRENT ROW" if f.frame.hi == 0 else f"{f.frame.hi} PRECEDING"
         e = f"{call} OVER ({over} ROWS BETWEEN {lo} PRECEDING AND {hi})"
+        if f.agg == "moments":  # a bounded frame: its few states are folded
+            e = folded_sql(e)
     if f.need_prev:
         e = f"CASE WHEN lag({x}, 1) OVER ({over}) IS NOT NULL THEN {e} END"
     return e
@@ -183,6 +213,8 @@ def _blocked(df, keys, order, feats, block_rows, bucket):
 
     kinds = {f.name: f.dataType for f in _plain(df, keys, order, feats).schema}
     expanding = [f for f in feats if f.frame.lo is None]
+    if any(f.agg == "moments" for f in feats):
+        raise ValueError("states are merged per game; a player's games take no split groups")
     if any(f.agg == "median" for f in expanding):
         raise ValueError("an expanding median needs all earlier values, so it takes no split groups")
     uses: dict[str, set] = {}
@@ -263,23 +295,54 @@ def _carried(f: Feature, w, own, kind) -> Column:
     return F.try_divide(s, n)
 
 
-def pooled_std(n: Column, s: Column, q: Column) -> Column:
-    """Sample deviation from count, sum and sum of squares; NULL below two values.
+# ---- central moments ---------------------------------------------------------------------
+# A state is (n, mean, m2): how many values, their mean, the sum of squared distances from it. Two states merge by Chan's rule, which
+# adds non-negative terms only, so deviations of far-off or equal values lose no digits.
+
+_ZERO = "named_struct('n', 0L, 'mean', CAST(NULL AS DOUBLE), 'm2', 0D)"
+_CHAN = ("(a, b) -> CASE WHEN b.n = 0 THEN a WHEN a.n = 0 THEN b ELSE named_struct('n', a.n + b.n, "
+         "'mean', a.mean + (b.mean - a.mean) * b.n / (a.n + b.n), "
+         "'m2', a.m2 + b.m2 + (b.mean - a.mean) * (b.mean - a.mean) * a.n / (a.n + b.n) * b.n) END")
+
+
+def moments_sql(x: str, cond: str | None = None) -> str:
+    """State of the values x (where cond holds) of a group, as an aggregate; partial aggregation merges it map-side."""
+    v = f"CAST({x} AS DOUBLE)" if cond is None else f"CASE WHEN {cond} THEN CAST({x} AS DOUBLE) END"
+    return f"named_struct('n', count({v}), 'mean', avg({v}), 'm2', coalesce(var_pop({v}) * count({v}), 0D))"
+
+
+def one_sql(x: str) -> str:
+    """State of one value; without values where x is NULL."""
+    return f"CASE WHEN {x} IS NULL THEN {_ZERO} ELSE named_struct('n', 1L, 'mean', CAST({x} AS DOUBLE), 'm2', 0D) END"
+
+
+def folded_sql(states: str) -> str:
+    """Merged state of an array of states."""
+    return f"aggregate({states}, {_ZERO}, {_CHAN})"
+
+
+def merged_sql(state: str) -> str:
+    """Merged state of a group, as an aggregate over a bounded number of states (the games of a season)."""
+    return folded_sql(f"collect_list({state})")
+
+
+def squares_sql(state: str) -> str:
+    """Plain sum of squares of a state's values, as published per-game tables carry it."""
+    return f"({state}.m2 + {state}.n * coalesce({state}.mean, 0) * coalesce({state}.mean, 0))"
+
+
+def deviation_sql(state: str) -> str:
+    """Sample deviation of a state; NULL below two values."""
+    return f"CASE WHEN {state}.n > 1 THEN sqrt({state}.m2 / ({state}.n - 1)) END"
+
+
+def integer_deviation_sql(n: str, total: str, squares: str) -> str:
+    """Sample deviation from sums of integers, which are exact, for formulas that divide by another count than they sum over.
 
-    A variance within rounding noise of the squares is taken as 0.
+    NULL below a count of two and where such a count makes the variance negative.
     """
-    n, s, q = n.cast("double"), s.cast("double"), q.cast("double")
-    var = F.try_divide(q - F.try_divide(s * s, n), n - 1)
-    noise = F.try_divide(q, n) * 1e-11
-    return F.when(n > 1, F.sqrt(F.when(var <= noise, F.lit(0.0)).otherwise(var)))
-
-
-def pooled_std_sql(n: str, s: str, q: str) -> str:
-    """The same expression as SQL text, for wide projections."""
-    n, s, q = (f"CAST({x} AS DOUBLE)" for x in (n, s, q))
-    var = f"try_divide({q} - try_divide({s} * {s}, {n}), {n} - 1)"
-    return (f"CASE WHEN {n} > 1 THEN sqrt(CASE WHEN {var} <= try_divide({q}, {n}) * 1e-11D THEN 0D "
-            f"ELSE {var} END) END")
+    top = f"(CAST({squares} AS DECIMAL(38, 0)) * {n} - CAST({total} AS DECIMAL(38, 0)) * {total})"
+    return f"CASE WHEN {n} > 1 AND {top} >= 0 THEN sqrt(CAST({top} AS DOUBLE) / (CAST({n} AS DOUBLE) * ({n} - 1))) END"
 
 
 def totals(df: DataFrame, keys, aggs: dict[str, Column]) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import numpy as np
 import pytest
 from conftest import close, rows
 from pyspark.sql import functions as F
@@ -102,13 +103,32 @@ def test_windows_are_validated(window):
         R.check_window(window)
 
 
+def _game_states(spark, lists):
+    from lagwell.plans.frames import moments_sql
+    d = spark.createDataFrame([("a", 2024 + (k >= 90), k, x) for k, xs in enumerate(lists) for x in xs], "personId string, game_season int, k int, x double")
+    g = d.groupBy("personId", "game_season", "k").agg(F.expr(moments_sql("x")).alias("w"))
+    return g.withColumns({"gamepk": F.lpad(F.col("k").cast("string"), 3, "0"), "game_date": F.expr("timestamp_ntz '2024-01-01'")})
+
+
 def test_pooled_deviation_is_the_true_one(spark):
-    speeds = [[90.0, 92.0], [88.0], [95.0, 96.0, 94.0]]
-    d = games(spark, [(1, i + 1, float(len(s)), sum(s), sum(x * x for x in s)) for i, s in enumerate(speeds)], "n double, s double, q double")
-    from lagwell.plans.frames import pooled_std
-    r = R.roll(d, "personId", 10, ["n", "s", "q"]).withColumn("std", pooled_std(F.col("n"), F.col("s"), F.col("q")))
-    got = [x["std"] for x in rows(r, "gamepk")]
-    assert got[0] is None and got[1] == pytest.approx(2 ** 0.5) and got[2] == pytest.approx(2.0)
+    from lagwell.plans.frames import deviation_sql
+    for base in (0.0, 1e7):
+        lists = [[90.0, 92.0], [88.0], [95.0, 96.0, 94.0], [None], [1.0]]
+        lists = [[None if x is None else base + x / (1e3 if base else 1) for x in xs] for xs in lists]
+        for window in (10, 2, "season"):
+            r = R.roll(_game_states(spark, lists), "personId", window, states=["w"]).withColumn("std", F.expr(deviation_sql("w")))
+            got = [x["std"] for x in rows(r, "gamepk")]
+            for k, v in enumerate(got):
+                before = [x for xs in lists[0 if window == "season" else max(0, k - window) : k] for x in xs if x is not None]
+                assert v is None if len(before) < 2 else v == pytest.approx(np.std(before, ddof=1), rel=1e-5)
+
+
+def test_equal_values_far_off_have_no_deviation(spark):
+    from lagwell.plans.frames import deviation_sql
+    for window in (3, "season"):
+        r = R.roll(_game_states(spark, [[1e7 + 0.1]] * 6), "personId", window, states=["w"]).withColumn("std", F.expr(deviation_sql("w")))
+        assert [x["std"] for x in rows(r, "gamepk")][:2] == [None, None]
+        assert all(x["std"] < 1e-8 for x in rows(r, "gamepk")[2:])
 
 
 def test_season_shift_and_pivot(spark):
