@@ -158,3 +158,55 @@ def upsert_new_only(spark, d):
     known = t.read(spark, d, "customer").filter("c_nationkey < 10").select("c_custkey", "c_name")
     seen = t.read(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"), F.lit("new").alias("c_name"))
     return S.upsert(known, seen, ["c_custkey"])
+
+
+# ---- increments: arrivals written as files, run through the streams, read back ----------
+
+def _arrivals(spark, batches):
+    """A folder that batches are written to one after another, and a stand-in for the table and its checkpoint."""
+    from uuid import uuid4
+    from lagwell.plans.scale import scratch
+    at = f"{scratch(spark)}/arrivals-{uuid4().hex}"
+    for i, batch in enumerate(batches):
+        batch.write.mode("append").parquet(f"{at}/in")
+        yield i, f"{at}/in", f"{at}/out", f"{at}/checkpoint"
+
+
+@query("increment_dates", ["day"], """
+SELECT strftime(date_trunc('month', o_orderdate), '%Y-%m-%d') AS day, count(*) AS n, sum(o_totalprice) AS total FROM orders
+WHERE month(o_orderdate) <> 2 AND o_orderkey % 7 <> 0 GROUP BY ALL""")
+def increment_dates(spark, d):
+    """Orders of a month count on its first day; later some are cancelled, and all of each February, so that these days go."""
+    from lagwell.streaming import increments as I
+    o = t.read(spark, d, "orders").selectExpr("o_orderkey", "cast(date_trunc('month', o_orderdate) as timestamp_ntz) as game_date", "o_totalprice", "1 as version", "true as live")
+    gone = o.filter("month(game_date) = 2 OR o_orderkey % 7 = 0").withColumns({"version": F.lit(2), "live": F.lit(False)})
+
+    def days(rows):
+        last = rows.groupBy("o_orderkey", "game_date").agg(F.max_by(F.struct("live", "o_totalprice"), "version").alias("x")).filter("x.live")
+        return last.groupBy("game_date").agg(F.count(F.lit(1)).alias("n"), F.sum("x.o_totalprice").alias("total"))
+
+    for _, src, out, checkpoint in _arrivals(spark, [o, gone]):
+        I.daily_increment(I.new_files(spark, src, o.schema.simpleString()[7:-1].replace(":", " ")), days, out, checkpoint, source=lambda src=src: spark.read.parquet(src)).awaitTermination()
+    table = I.dated(spark, out, "game_date timestamp_ntz, n bigint, total double")
+    return table.groupBy(F.date_format("game_date", "yyyy-MM-dd").alias("day")).agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+
+
+@query("increment_latest", ["event_type"], """
+SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1""")
+def increment_latest(spark, d):
+    """Events arrive in five batches, mixed in time; the newest of each user is kept."""
+    from lagwell.streaming import increments as I
+    e = t.read(spark, d, "events").select("user_id", "event_id", "event_type", "ts")
+    ddl = "user_id bigint, event_id bigint, event_type string, ts timestamp_ntz"
+    for _, src, out, checkpoint in _arrivals(spark, [e.filter(F.pmod(F.xxhash64("event_id"), F.lit(5)) == i) for i in range(5)]):
+        I.latest_rows(I.new_files(spark, src, ddl), ["user_id"], "ts", out, checkpoint, fan=3, tie=["event_id"]).awaitTermination()
+    return I.current(spark, out, ["user_id"], "ts", ["event_id"]).select("user_id", "event_id", "event_type")
+
+
+@query("snapshot_latest_file", ["o_orderstatus"], "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey % 3 = 2")
+def snapshot_latest_file(spark, d):
+    """Three files arrive; the newest is read."""
+    o = t.read(spark, d, "orders").select("o_orderkey", "o_orderstatus")
+    for _, src, _, _ in _arrivals(spark, [o.filter(F.col("o_orderkey") % 3 == i).coalesce(1) for i in range(3)]):
+        pass
+    return S.read_latest(spark, src)

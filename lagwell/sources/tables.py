@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lagwell.plans.scale import stage
 from lagwell.sources.schemas import conform, struct
 
 
@@ -61,9 +62,12 @@ def read_seasons(spark: SparkSession, root: str, table: str, seasons, ddl: str |
 
 
 def write_dates(df: DataFrame, path: str, date: str = "game_date") -> None:
-    """Replace exactly the dates present in df, partitioned by year and date."""
+    """Replace exactly the dates present in df, partitioned by year and date; a large date is spread over several tasks.
+
+    A date that df no longer holds keeps its rows; `streaming.increments.daily_increment` replaces those as well.
+    """
     d = df.withColumns({"year": F.year(date), "date_key": F.date_format(date, "yyyy-MM-dd")})
-    (d.repartition("year", "date_key").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    (d.hint("rebalance", "year", "date_key").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("year", "date_key").parquet(path))
 
 
@@ -80,10 +84,11 @@ def snapshot(df: DataFrame, date: str, col: str = "game_date") -> DataFrame:
 
 
 def write_snapshot(df: DataFrame, path: str) -> str:
-    """Write a snapshot; 'empty' writes nothing."""
-    if df.isEmpty():
+    """Write a snapshot; 'empty' writes nothing. Its rows are computed once and staged."""
+    rows = stage(df)
+    if rows.isEmpty():
         return "empty"
-    write_dates(df, path, "event_timestamp")
+    write_dates(rows, path, "event_timestamp")
     return "ok"
 
 
@@ -96,13 +101,27 @@ def backfill(df: DataFrame, start: str, end: str, path: str | None = None, col:
     return d.groupBy(F.date_format(col, "yyyy-MM-dd").alias("date")).agg(F.count(F.lit(1)).alias("rows"))
 
 
+def newest_file(spark: SparkSession, path: str) -> str:
+    """The most recently modified file under a path, ties by name, from the file system's listing alone."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        raise FileNotFoundError(path)
+    files, best = fs.listFiles(at, True), None
+    while files.hasNext():
+        f = files.next()
+        if f.getPath().getName()[0] not in "._":
+            here = (f.getModificationTime(), f.getPath().toString())
+            best = here if best is None or here > best else best
+    if best is None:
+        raise FileNotFoundError(f"no file under {path}")
+    return best[1]
+
+
 def read_latest(spark: SparkSession, path: str, ddl: str | None = None, fmt: str = "parquet") -> DataFrame:
-    """Rows of the most recently modified file under a path."""
-    r = spark.read.format(fmt).option("recursiveFileLookup", True)
-    d = (r.schema(ddl) if ddl else r).load(path)
-    d = d.select("*", F.struct("_metadata.file_modification_time", "_metadata.file_path").alias("_m"))
-    top = d.agg(F.max("_m").alias("_top"))
-    return d.crossJoin(F.broadcast(top)).filter(F.col("_m") == F.col("_top")).drop("_m", "_top")
+    """Rows of the most recently modified file under a path; only that file is opened."""
+    r = spark.read.format(fmt)
+    return (r.schema(ddl) if ddl else r).load(newest_file(spark, path))
 
 
 def first_source(sources: list[DataFrame], keys: list[str]) -> DataFrame:

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lagwell.sources.tables import latest_per_key, write_dates
+from lagwell.sources.tables import latest_per_key
+from lagwell.streaming.versions import Entry, Versions
 
 
 def new_files(spark: SparkSession, path: str, ddl: str, fmt: str = "parquet") -> DataFrame:
@@ -22,25 +23,44 @@ def daily_increment(stream: DataFrame, transform: Callable[[DataFrame], DataFram
 
     The batch only names the dates. Their rows, and those before them that the transform's frames need (since `history`, an
     interval such as "400 days"; all earlier rows by default), are read from `source`, the table at rest, which
-    holds the arrived files as well. Replacing whole dates makes a repeated batch harmless, and rows that
-    earlier batches brought for a date stay. source defaults to the files the stream itself reads.
+    holds the arrived files as well. source defaults to the files the stream itself reads.
+
+    The table is versioned (`dated` reads it): a batch writes the rows of its dates to a new folder and commits a manifest in which each
+    of its dates points there. A date for which the transform yields no rows any more is left out of the manifest, so its old rows
+    are gone; dates the batch doesn't name keep their folder. A repeated batch is not applied twice. A day's rows are spread
+    over as many tasks as its size asks for.
     """
     at_rest = source or _files_of(stream)
 
     def replace(batch: DataFrame, epoch: int) -> None:
-        days = [r[0] for r in batch.select(F.to_date(date)).distinct().collect() if r[0] is not None]  # the dates of one batch
-        if not days:
+        at = Versions(batch.sparkSession, out)
+        version, entries, done = at.newest()
+        if done.get(checkpoint, -1) >= epoch:
             return
-        day, first = F.to_date(F.col(date)), F.lit(min(days))
-        rows = at_rest().filter(day <= F.lit(max(days)))
-        if history is not None:
-            rows = rows.filter(day >= (first.cast("timestamp_ntz") - F.expr(f"INTERVAL {history}")).cast("date"))
-        write_dates(transform(rows).filter(F.to_date(date).isin(days)), out, date)
+        days = [r[0] for r in batch.select(F.to_date(date)).distinct().collect() if r[0] is not None]  # the dates of one batch
+        if days:
+            day, first = F.to_date(F.col(date)), F.lit(min(days))
+            rows = at_rest().filter(day <= F.lit(max(days)))
+            if history is not None:
+                rows = rows.filter(day >= (first.cast("timestamp_ntz") - F.expr(f"INTERVAL {history}")).cast("date"))
+            rows = transform(rows).filter(F.to_date(date).isin(days)).withColumn("_day", F.date_format(date, "yyyy-MM-dd"))
+            folder = f"rows-{version + 1}"
+            rows.hint("rebalance", "_day").write.mode("overwrite").partitionBy("_day").parquet(f"{out}/{folder}")
+            found = {n.removeprefix("_day=") for n in at.names(folder) if n.startswith("_day=")}
+            touched = {d.isoformat() for d in days}
+            entries = [e for e in entries if e.key not in touched]
+            entries += [Entry(d, f"{folder}/_day={d}") for d in sorted(touched & found)]
+        at.commit(version + 1, entries, {**done, checkpoint: epoch})
 
     return (stream.writeStream.trigger(availableNow=True).option("checkpointLocation", checkpoint)
             .foreachBatch(replace).start())
 
 
+def dated(spark: SparkSession, out: str, schema=None) -> DataFrame | None:
+    """The newest complete version of a table kept by `daily_increment`."""
+    return Versions(spark, out).table(schema)
+
+
 def _files_of(stream: DataFrame) -> Callable[[], DataFrame]:
     """A batch reader of the folder and format that `new_files` opened."""
     spark, schema = stream.sparkSession, stream.schema
@@ -51,67 +71,53 @@ def _files_of(stream: DataFrame) -> Callable[[], DataFrame]:
     return lambda: spark.read.format(fmt).schema(schema).option("recursiveFileLookup", True).load(path)
 
 
-BUCKETS = 64
+FAN = 8
 
 
-def latest_rows(stream: DataFrame, keys: list[str], time: str, out: str, checkpoint: str):
-    """Keep the newest row per key in a table, batch by batch.
+def latest_rows(stream: DataFrame, keys: list[str], time: str, out: str, checkpoint: str, fan: int = FAN, tie: list[str] = ()):
+    """Keep the newest row per key in a versioned table, batch by batch; `current` reads it.
 
-    The table is cut by key hash into `BUCKETS` parts. A batch writes new files for the parts its keys fall in, and then a
-    manifest (version, run, epoch, folder of each part), so a lost executor or a repeated batch never leaves
-    the table half written. Versions follow the newest manifest, whatever checkpoint the stream has; the run (the stream's
-    checkpoint folder) and epoch beside it make a replayed batch a no-op. `current` reads the newest manifest.
+    A batch writes its own newest rows, and nothing else, as a folder of level 0. When a level has `fan` folders they are merged
+    into one of the next level, newest row per key. So a batch rewrites what it brings, and over time each row is
+    rewritten once per level, whose number is the logarithm of the batches. Merged folders are removed once two newer versions
+    don't list them. Equal times are decided by `tie`.
     """
-    part = F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
 
     def merge(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        last = _manifest(spark, out)
-        if last is not None and (checkpoint, epoch) in {(r["run"], r["epoch"]) for r in last["done"]}:
+        at = Versions(spark, out)
+        version, entries, done = at.newest()
+        if done.get(checkpoint, -1) >= epoch:
             return
-        version = 0 if last is None else last["version"] + 1
-        parts = dict(last["parts"]) if last else {}
-        new = batch.withColumn("_part", part)
-        touched = [r[0] for r in new.select("_part").distinct().collect()]  # at most BUCKETS numbers
-        if touched:
-            old = sorted({parts[p] for p in touched if p in parts})
-            if old:
-                kept = spark.read.option("basePath", out).parquet(*[f"{out}/{f}" for f in old]).select(*batch.columns)
-                kept = kept.withColumn("_part", part).filter(F.col("_part").isin(touched))
-                new = kept.unionByName(new)
-            folder = f"rows-{version}"
-            rows = latest_per_key(new.drop("_part"), keys, time).withColumn("_part", part)
-            rows.write.mode("overwrite").partitionBy("_part").parquet(f"{out}/{folder}")
-            parts |= {p: f"{folder}/_part={p}" for p in touched}
-        done = [(r["run"], r["epoch"]) for r in last["done"] if r["run"] != checkpoint] if last else []
-        entry = spark.createDataFrame(
-            [(version, [*done, (checkpoint, epoch)], parts)],
-            "version bigint, done array<struct<run:string,epoch:bigint>>, parts map<int,string>")
-        entry.coalesce(1).write.mode("overwrite").parquet(f"{out}/manifest-{version}")
+        new, part = [], 0
+
+        def write(rows: DataFrame, level: int) -> None:
+            nonlocal part
+            folder = f"rows-{version + 1}-{part}"
+            part += 1
+            latest_per_key(rows, keys, time, tie).write.mode("overwrite").parquet(f"{out}/{folder}")
+            count = spark.read.parquet(f"{out}/{folder}").count()  # from the footers
+            if count:
+                new.append(Entry("", folder, level, count))
+
+        write(batch, 0)
+        level, listed = 0, [*entries, *new]
+        while sum(e.level == level for e in listed) >= fan:
+            full = [e for e in listed if e.level == level]
+            new = []
+            write(spark.read.schema(batch.schema).parquet(*[f"{out}/{e.folder}" for e in full]), level + 1)
+            listed = [e for e in listed if e.level != level] + new
+            level += 1
+        at.commit(version + 1, listed, {**done, checkpoint: epoch})
 
     return (stream.writeStream.trigger(availableNow=True).option("checkpointLocation", checkpoint)
             .foreachBatch(merge).start())
 
 
-def _manifest(spark: SparkSession, out: str) -> dict | None:
-    """The newest complete manifest."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(out)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(p):
-        return None
-    names = [s.getPath().getName() for s in fs.listStatus(p)]
-    done = [int(n.split("-")[1]) for n in names if n.startswith("manifest-")
-            and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{out}/{n}/_SUCCESS"))]
-    return spark.read.parquet(f"{out}/manifest-{max(done)}").first().asDict() if done else None
-
-
-def current(spark: SparkSession, out: str) -> DataFrame | None:
-    """The newest complete version of a table kept by `latest_rows`."""
-    last = _manifest(spark, out)
-    if last is None or not last["parts"]:
-        return None
-    return spark.read.parquet(*[f"{out}/{f}" for f in last["parts"].values()])
+def current(spark: SparkSession, out: str, keys: list[str], time: str, tie: list[str] = ()) -> DataFrame | None:
+    """The newest row per key of a table kept by `latest_rows`."""
+    rows = Versions(spark, out).table()
+    return None if rows is None else latest_per_key(rows, keys, time, tie)
 
 
 def stamp(df: DataFrame, time: str = "game_date") -> DataFrame:

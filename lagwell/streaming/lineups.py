@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from lagwell.functions.text import numbered
 
 CUTOFF_MINUTES = 30
-OUTPUT = "game_pk string, state string, decided_at timestamp"
+OUTPUT = "game_pk string, state string, decided_us long"
 
 
 def initial_states(schedule: DataFrame) -> DataFrame:
@@ -73,42 +73,45 @@ def payload(confirmed: DataFrame) -> DataFrame:
 
 
 def make_processor():
-    """The state machine of one game; built on the executors' own pyspark."""
+    """The state machine of one game; built on the executors' own pyspark. Times are microseconds, so no time zone enters."""
     from pyspark.sql.streaming import StatefulProcessor
 
+    LONG = lambda name: T.StructType([T.StructField(name, T.LongType())])
+
     class LineupState(StatefulProcessor):
         def init(self, handle):
             self.handle = handle
             self.done = handle.getValueState("done", T.StructType([T.StructField("state", T.StringType())]))
-            self.cutoff = handle.getValueState("cutoff", T.StructType([T.StructField("ms", T.LongType())]))
+            self.cutoff = handle.getValueState("cutoff", LONG("us"))
+
+        def _schedule(self, us: int) -> None:
+            self.cutoff.update((us,))
+            self.handle.registerTimer(-(-us // 1000))
+
+        def handleInitialState(self, key, initialState, timerValues) -> None:
+            """A game of the schedule waits for its cutoff before any snapshot of it comes."""
+            self._schedule(int(initialState["cutoff_us"].min()))
 
         def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-            if self.done.exists():
-                for _ in rows:
-                    pass
-                return
-            best, cut = None, self.cutoff.get()[0] if self.cutoff.exists() else None
+            best, seen = None, not self.done.exists()
             for pdf in rows:
-                if cut is None and len(pdf):
-                    cut = int(pd.Timestamp(pdf["cutoff"].iloc[0]).value // 1_000_000)
-                    self.cutoff.update((cut,))
-                    self.handle.registerTimer(cut)
-                ok = pdf[pdf["complete"] & (pdf["ts"] < pdf["cutoff"])]
-                if len(ok):
-                    t = ok["ts"].min()
-                    best = t if best is None or t < best else best
+                cuts = pdf["cutoff_us"].dropna()
+                if seen and not self.cutoff.exists() and len(cuts):
+                    self._schedule(int(cuts.min()))
+                if seen and self.cutoff.exists():
+                    ok = pdf[pdf["complete"].fillna(False).astype(bool) & (pdf["ts_us"] < self.cutoff.get()[0])]
+                    if len(ok):
+                        first = int(ok["ts_us"].min())
+                        best = first if best is None else min(best, first)
             if best is not None:
                 self.done.update(("CONFIRMED",))
-                if cut is not None:
-                    self.handle.deleteTimer(cut)
-                yield pd.DataFrame({"game_pk": [key[0]], "state": ["CONFIRMED"], "decided_at": [best]})
+                self.handle.deleteTimer(-(-self.cutoff.get()[0] // 1000))
+                yield pd.DataFrame({"game_pk": [key[0]], "state": ["CONFIRMED"], "decided_us": [best]})
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-            if self.done.exists():
-                return
-            at = pd.Timestamp(expiredTimerInfo.getExpiryTimeInMs(), unit="ms")
-            self.done.update(("SKIPPED",))
-            yield pd.DataFrame({"game_pk": [key[0]], "state": ["SKIPPED"], "decided_at": [at]})
+            if not self.done.exists():
+                self.done.update(("SKIPPED",))
+                yield pd.DataFrame({"game_pk": [key[0]], "state": ["SKIPPED"], "decided_us": [self.cutoff.get()[0]]})
 
         def close(self):
             pass
@@ -116,15 +119,26 @@ def make_processor():
     return LineupState()
 
 
-def stream(snapshots: DataFrame, delay: str = "0 seconds") -> DataFrame:
-    """Streaming form. snapshots holds game_pk, ts, cutoff (timestamps) and complete.
+def stream(snapshots: DataFrame, schedule: DataFrame | None = None, delay: str = "0 seconds") -> DataFrame:
+    """Streaming form. snapshots holds game_pk, ts and complete; schedule, a batch table, game_pk and cutoff.
 
-    Emits one row per game when it is decided. The cutoff fires on event time, so a late
-    snapshot within the delay still confirms a game. Needs the RocksDB state store.
+    Every game of the schedule starts with a timer at its cutoff, so one that no snapshot ever mentions is decided as well, once the
+    event time of any game has passed it. Games scheduled later join through rows of the stream that carry a cutoff (a column of
+    snapshots if present; complete may be NULL there); snapshots of games nobody scheduled are ignored. Emits one row per game
+    when it is decided. The cutoff fires on event time, so a late snapshot within the delay still confirms a game. A
+    restart goes on from the checkpoint, where the schedule already is. Needs the RocksDB state store.
     """
-    d = snapshots.select(F.col("game_pk").cast("string").alias("game_pk"), "ts", "cutoff", "complete").withWatermark("ts", delay)
-    return d.groupBy("game_pk").transformWithStateInPandas(
-        statefulProcessor=make_processor(), outputStructType=OUTPUT, outputMode="append", timeMode="EventTime")
+    cut = F.unix_micros("cutoff") if "cutoff" in snapshots.columns else F.lit(None).cast("long")
+    d = snapshots.withWatermark("ts", delay).select(
+        F.col("game_pk").cast("string").alias("game_pk"), "ts", F.unix_micros("ts").alias("ts_us"), cut.alias("cutoff_us"), "complete")
+    initial = None
+    if schedule is not None:
+        rows = schedule.filter("game_pk IS NOT NULL AND cutoff IS NOT NULL")
+        initial = rows.groupBy(F.col("game_pk").cast("string").alias("game_pk")).agg(
+            F.min(F.unix_micros("cutoff")).alias("cutoff_us")).groupBy("game_pk")
+    out = d.groupBy("game_pk").transformWithStateInPandas(
+        statefulProcessor=make_processor(), outputStructType=OUTPUT, outputMode="append", timeMode="EventTime", initialState=initial)
+    return out.select("game_pk", "state", F.timestamp_micros("decided_us").alias("decided_at"))
 
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lagwell.streaming import increments as I
 from lagwell.streaming import lineups as L
+from lagwell.streaming.versions import Versions
 
 DAY = dt.datetime(2024, 5, 1)
 
@@ -47,6 +48,32 @@ def test_stream_matches_batch(spark, tmp_path):
         assert got[g] == want[g]
 
 
+def test_stream_decides_silent_games_late_snapshots_and_goes_on_after_a_restart(spark, tmp_path):
+    L.use_rocksdb(spark)
+    at = lambda m: DAY + dt.timedelta(minutes=m)
+    cut = {"1": 100, "2": 100, "3": 100, "silent": 100, "later": 300, "never": 900}
+    games = spark.createDataFrame([(g, at(m)) for g, m in cut.items()], "game_pk string, cutoff timestamp")
+    looks = [[("1", 10, False), ("3", 95, True)], [("2", 120, True), ("1", 112, False)],
+             [("1", 99, True), ("unknown", 121, True)],  # late, within the delay
+             [("x", 200, None)], [("later", 290, True), ("x", 600, False)]]
+    src, cp, ddl = tmp_path / "in", str(tmp_path / "cp"), "game_pk string, ts timestamp, complete boolean"
+    got = {}
+    for i, batch in enumerate(looks):
+        spark.createDataFrame([(g, at(m), c) for g, m, c in batch], ddl).coalesce(1).write.mode("append").parquet(str(src))
+        s = spark.readStream.schema(ddl).option("maxFilesPerTrigger", 1).parquet(str(src))
+        name = f"silent{i}"  # a new query over the same checkpoint each time: a restart
+        q = (L.stream(s, games, "30 minutes").writeStream.format("parquet").option("path", str(tmp_path / "decided"))
+             .outputMode("append").queryName(name).option("checkpointLocation", cp).trigger(availableNow=True).start())
+        q.awaitTermination()
+    for r in spark.read.parquet(str(tmp_path / "decided")).collect():
+        assert r["game_pk"] not in got
+        got[r["game_pk"]] = (r["state"], r["decided_at"])
+    every = spark.createDataFrame([(g, at(m), c) for b in looks for g, m, c in b], ddl)
+    want = {r["game_pk"]: (r["state"], r["decided_at"]) for r in L.resolve(games, every, F.lit(at(570))).collect() if r["state"] != "PENDING"}
+    assert want["silent"] == ("SKIPPED", at(100)) and want["1"] == ("CONFIRMED", at(99)) and "never" not in want
+    assert got == want
+
+
 def test_pending_before_cutoff_and_document(spark):
     games = spark.createDataFrame([("1", DAY), ("2", DAY)], "game_pk string, cutoff timestamp")
     none = spark.createDataFrame([], "game_pk string, ts timestamp, complete boolean")
@@ -73,7 +100,7 @@ def test_latest_rows_increment(spark, tmp_path):
     for batch in ([("a", DAY, 1), ("b", DAY, 2)], [("a", DAY + dt.timedelta(days=1), 3)]):
         spark.createDataFrame(batch, ddl).coalesce(1).write.mode("append").parquet(src)
         I.latest_rows(I.new_files(spark, src, ddl), ["k"], "t", out, cp).awaitTermination()
-    assert [(r["k"], r["v"]) for r in rows(I.current(spark, out), "k")] == [("a", 3), ("b", 2)]
+    assert [(r["k"], r["v"]) for r in rows(I.current(spark, out, ["k"], "t"), "k")] == [("a", 3), ("b", 2)]
 
 
 def test_latest_rows_follow_versions_of_a_new_checkpoint_and_skip_replays(spark, tmp_path):
@@ -83,7 +110,25 @@ def test_latest_rows_follow_versions_of_a_new_checkpoint_and_skip_replays(spark,
         spark.createDataFrame(batch, ddl).coalesce(1).write.parquet(src)
         for _ in range(2):  # the second start finds nothing new
             I.latest_rows(I.new_files(spark, src, ddl), ["k"], "t", out, str(tmp_path / f"cp{i}")).awaitTermination()
-    assert [(r["k"], r["v"]) for r in rows(I.current(spark, out), "k")] == [("a", 5), ("b", 7)]
+    assert [(r["k"], r["v"]) for r in rows(I.current(spark, out, ["k"], "t"), "k")] == [("a", 5), ("b", 7)]
+
+
+def test_latest_rows_merge_by_level_and_old_folders_go(spark, tmp_path):
+    src, out, cp = (str(tmp_path / x) for x in ("src", "out", "cp"))
+    ddl, want, sizes = "k string, t timestamp, v int", {}, []
+    for i in range(13):
+        batch = [(f"k{j}", DAY + dt.timedelta(minutes=i if j else 0), i) for j in (0, i % 5 + 1, 100 + i)]
+        for k, t, v in batch:
+            want[k] = max(want.get(k, (t, v)), (t, v))
+        spark.createDataFrame(batch, ddl).coalesce(1).write.mode("append").parquet(src)
+        I.latest_rows(I.new_files(spark, src, ddl), ["k"], "t", out, cp, fan=3, tie=["v"]).awaitTermination()
+        _, entries, _ = Versions(spark, out).newest()
+        sizes.append(sorted((e.level, e.rows) for e in entries))
+        assert all(sum(e.level == n for e in entries) < 3 for n in range(5))
+    assert {r["k"]: (r["t"], r["v"]) for r in I.current(spark, out, ["k"], "t", ["v"]).collect()} == want
+    assert sizes[0] == [(0, 3)] and max(n for n, _ in sizes[-1]) == 2
+    left = [n for n in Versions(spark, out).names() if n.startswith("rows-")]
+    assert len(left) < 9 and len([n for n in Versions(spark, out).names() if n.startswith("manifest-")]) == 2
 
 
 def test_daily_increment_keeps_rows_of_earlier_batches(spark, tmp_path):
@@ -93,7 +138,7 @@ def test_daily_increment_keeps_rows_of_earlier_batches(spark, tmp_path):
     for batch in ([("a", DAY)], [("b", DAY)], [("a", DAY + dt.timedelta(days=1))]):
         spark.createDataFrame(batch, ddl).coalesce(1).write.mode("append").parquet(src)
         I.daily_increment(I.new_files(spark, src, ddl), seen, out, cp).awaitTermination()
-    got = sorted((r["k"], r["game_date"].day, r["n"]) for r in spark.read.parquet(out).collect())
+    got = sorted((r["k"], r["game_date"].day, r["n"]) for r in I.dated(spark, out).collect())
     assert got == [("a", 1, 1), ("a", 2, 2), ("b", 1, 1)]
 
 
@@ -103,4 +148,44 @@ def test_daily_increment_replaces_dates(spark, tmp_path):
     spark.createDataFrame([("a", DAY), ("b", DAY + dt.timedelta(days=1))], ddl).write.parquet(src)
     for cp in ("one", "two"):  # a second full run must not double the rows
         I.daily_increment(I.new_files(spark, src, ddl), lambda d: d, out, str(tmp_path / cp)).awaitTermination()
-    assert spark.read.parquet(out).count() == 2
+    assert I.dated(spark, out).count() == 2
+
+
+def test_daily_increment_drops_emptied_dates_and_skips_replays(spark, tmp_path):
+    src, out, cp = (str(tmp_path / x) for x in ("src", "out", "cp"))
+    ddl = "k string, game_date timestamp_ntz, version int, live boolean"
+    calls = []
+
+    def transform(d):
+        calls.append(1)
+        last = d.groupBy("k", "game_date").agg(F.max_by("live", "version").alias("live"))
+        return last.filter("live").select("k", "game_date")
+
+    day = lambda n: DAY + dt.timedelta(days=n)
+    for batch in ([("a", day(0), 1, True), ("b", day(1), 1, True), ("c", day(1), 1, True)], [("b", day(1), 2, False), ("c", day(1), 2, False)],
+                  [("a", day(0), 2, False)], [("d", day(1), 1, True)]):
+        spark.createDataFrame(batch, ddl).coalesce(1).write.mode("append").parquet(src)
+        I.daily_increment(I.new_files(spark, src, ddl), transform, out, cp).awaitTermination()
+        I.daily_increment(I.new_files(spark, src, ddl), transform, out, cp).awaitTermination()  # nothing new
+        got = I.dated(spark, out, "k string, game_date timestamp_ntz")
+        seen = sorted(r["k"] for r in got.collect())
+        assert seen == {1: ["a", "b", "c"], 2: ["a"], 3: [], 4: ["d"]}[len(calls)]
+    # the same epoch again, as after a crash between the batch's commit and the checkpoint's
+    at = Versions(spark, out)
+    version, entries, done = at.newest()
+    I.daily_increment(I.new_files(spark, src, ddl), transform, out, str(tmp_path / "cp2")).awaitTermination()
+    assert sorted(r["k"] for r in I.dated(spark, out).collect()) == ["d"] and at.newest()[0] == version + 1
+
+
+def test_a_large_day_is_written_by_several_tasks(spark, tmp_path):
+    import os
+    src, out = str(tmp_path / "src"), str(tmp_path / "out")
+    spark.range(200_000).selectExpr("sha2(cast(id as string), 512) as k", "timestamp_ntz '2024-05-01' as game_date").write.parquet(src)
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(2 << 20))
+    try:
+        I.daily_increment(I.new_files(spark, src, "k string, game_date timestamp_ntz"), lambda d: d, out, str(tmp_path / "cp")).awaitTermination()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    assert I.dated(spark, out).count() == 200_000
+    files = [f for p, _, fs in os.walk(out) for f in fs if f.endswith(".parquet") and "_day=" in p]
+    assert len(files) > 1
