@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lagwell.functions.rates import half_even, row_log_loss, safe_div
+from lagwell.plans.frames import attach
 from lagwell.plans.ranks import exact_quantiles, running_totals
-from lagwell.plans.scale import one_row
+from lagwell.plans.scale import one_row, stage
 
 CROSS = "×"
 
@@ -86,37 +87,39 @@ def header(df: DataFrame, y: str, p: str, contribution: DataFrame) -> DataFrame:
 
 # ---- bootstrap --------------------------------------------------------------------------
 
+#: Distinct losses that one matrix of draws holds.
+DRAWN = 2000
+
+
 def bootstrap_ci(df: DataFrame, y: str, p: str, by: list[str] = (), n_iter: int = 1000, seed: int = 42,
                  alpha: float = 0.05, min_n: int = 1) -> DataFrame:
     """Percentile interval of the mean log loss, per group.
 
     Rows of equal loss are folded into a count first; replicate r then draws Poisson(count)
-    copies. The draws depend only on the seed, the group and the loss, so the result does
+    copies. Rows without a loss are left out. The losses of a group are dealt by hash to buckets of about `DRAWN`; a bucket draws one matrix (losses x
+    replicates) and multiplies it with its losses. The draws depend only on the seed, the group and its losses, so the result does
     not change with partitioning or a re-run task. Partial sums leave each task, never rows.
     """
     by = list(by)
-    folded = df.select(*by, row_log_loss(y, p).alias("_l")).groupBy(*by, "_l").agg(F.count(F.lit(1)).alias("_c"))
-    g = F.xxhash64(F.lit(seed), *by) if by else F.xxhash64(F.lit(seed))
-    src = folded.select(*by, g.alias("_g"), "_l", "_c", F.xxhash64(F.lit(seed), *by, "_l").alias("_h"))
-
-    def draw(batches):
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            for _, part in pdf.groupby("_g", sort=False):
-                w = np.zeros((2, n_iter))
-                for loss, count, h in zip(part["_l"], part["_c"], part["_h"]):
-                    rng = np.random.Generator(np.random.Philox(key=np.uint64(h % (1 << 64))))
-                    k = rng.poisson(count, n_iter)
-                    w[0] += k
-                    w[1] += k * loss
-                out = pd.DataFrame({"_r": np.arange(n_iter, dtype="int32"), "_w": w[0], "_x": w[1]})
-                for c in by:
-                    out[c] = part[c].iloc[0]
-                yield out[[*by, "_r", "_w", "_x"]]
+    folded = stage(df.select(*by, row_log_loss(y, p).alias("_l")).filter("_l IS NOT NULL").groupBy(*by, "_l").agg(F.count(F.lit(1)).alias("_c")))
+    key = F.xxhash64(F.lit(seed), *by) if by else F.xxhash64(F.lit(seed))
+    sizes = folded.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    src = attach(folded, sizes, by) if by else folded.crossJoin(one_row(sizes))
+    bucket = F.pmod(F.xxhash64(F.lit(seed), "_l"), F.ceil(F.col("_n") / F.lit(DRAWN)))
+    src = src.select(*by, "_l", "_c", key.alias("_g"), bucket.alias("_b"))
+
+    def draw(pdf):
+        pdf = pdf.sort_values("_l")
+        rng = np.random.Generator(np.random.Philox(key=np.array([pdf["_g"].iloc[0], pdf["_b"].iloc[0]], np.int64).view(np.uint64)))
+        copies = rng.poisson(pdf["_c"].to_numpy()[:, None], (len(pdf), n_iter))
+        w, x = np.stack([np.ones(len(pdf)), pdf["_l"].to_numpy()]) @ copies
+        out = pd.DataFrame({"_r": np.arange(n_iter, dtype="int32"), "_w": w, "_x": x})
+        for c in by:
+            out[c] = pdf[c].iloc[0]
+        return out[[*by, "_r", "_w", "_x"]]
 
     schema = folded.select(*by).schema.add("_r", "integer").add("_w", "double").add("_x", "double")
-    means = src.mapInPandas(draw, schema).groupBy(*by, "_r").agg(
+    means = src.groupBy(*by, "_g", "_b").applyInPandas(draw, schema).groupBy(*by, "_r").agg(
         safe_div(F.sum("_x"), F.sum("_w")).alias("_m"))
     lo, hi = alpha / 2, 1 - alpha / 2
     ends = means.groupBy(*by).agg(F.percentile("_m", F.lit(lo)).alias("lo"), F.percentile("_m", F.lit(hi)).alias("hi"))

@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import math
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GeneralizedLinearRegression
-from pyspark.sql import DataFrame
+from pyspark.ml.regression import DecisionTreeRegressor, GeneralizedLinearRegression
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lagwell.plans.frames import Feature, lagged, through
-from lagwell.plans.scale import one_row
+from lagwell.plans.ranks import numbered
+from lagwell.plans.scale import one_row, stage
 
 
 def prior_model(train: DataFrame, val: DataFrame, target: str) -> DataFrame:
@@ -57,7 +57,7 @@ def boosted(train: DataFrame, val: DataFrame, target: str, cols: list[str], roun
 
 
 def poisson(train: DataFrame, val: DataFrame, target: str, cols: list[str]):
-    """Log-linear Poisson regression, the linear stand-in for boosted counts."""
+    """Log-linear Poisson regression, to compare boosted counts with."""
     glm = GeneralizedLinearRegression(featuresCol="_features", labelCol=target, family="poisson", link="log",
                                       predictionCol="prediction", regParam=1e-6)
     model = Pipeline(stages=[_vector(cols), glm]).fit(train)
@@ -71,32 +71,118 @@ def importances(model, cols: list[str], spark) -> DataFrame:
     return spark.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature")
 
 
-def shuffled(df: DataFrame, col: str, key: list[str], seed: int) -> DataFrame:
-    """The column's values dealt out again in another order.
+# ---- boosted counts ----------------------------------------------------------------------
 
-    Rows are numbered twice, by two different hashes of the key within hash buckets, and
-    the value of one numbering goes to the same place of the other; buckets keep every
-    numbering local, so nothing is gathered in one task.
+class CountTrees:
+    """Boosted trees under the Poisson deviance: log mean = start + rate * (sum of the values of the leaves a row falls in)."""
+
+    def __init__(self, cols: list[str], start: float, rate: float):
+        self.cols, self.start, self.rate, self.steps = cols, start, rate, []
+
+    def _step(self, df: DataFrame, tree, values: dict[int, float]) -> DataFrame:
+        d = tree.transform(df)
+        steps = F.create_map(*[F.lit(x) for leaf, v in values.items() for x in (float(leaf), self.rate * v)])
+        # a leaf that no fitted row reached adds nothing
+        return d.withColumn("_m", F.col("_m") + F.coalesce(F.element_at(steps, F.col("_leaf")), F.lit(0.0))).drop("_leaf", "_tree")
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        d = _vector(self.cols).transform(df).withColumn("_m", F.lit(self.start))
+        for i, (tree, values) in enumerate(self.steps):
+            d = self._step(d, tree, values)
+            if i % 25 == 24:
+                d = stage(d)  # the plan stays short however many trees there are
+        return d.withColumn("prediction", F.exp("_m")).drop("_features", "_m")
+
+
+def boosted_counts(train: DataFrame, val: DataFrame, target: str, cols: list[str], rounds: int = 300, depth: int = 4,
+                   rate: float = 0.05, leaf_rows: int = 5, patience: int = 10, seed: int = 42):
+    """Gradient boosting of counts under the Poisson deviance; stops when `patience` rounds bring the validation rows nothing.
+
+    A round fits one Spark tree to the gradients (count less mean) and then sets each leaf by a Newton step, gradients over means,
+    from one grouped sum; the same sums of the validation rows give their deviance after the step, without another pass. Trees
+    after the best round are dropped. Rows with a NULL or negative target are left out. Returns the model and the scored
+    validation rows.
+    """
+    known = lambda d, held: d.filter(F.col(target) >= 0).withColumn("_val", F.lit(held))
+    both = _vector(cols).transform(known(train, False).unionByName(known(val, True)))
+    y = F.col(target).cast("double")
+    mean = train.filter(F.col(target) >= 0).agg(F.avg(y)).first()[0]
+    if not mean:
+        raise ValueError("boosted counts need a training row with a count above 0")
+    model = CountTrees(cols, math.log(mean), rate)
+    now = stage(both.select(y.alias("_y"), "_features", "_val", F.lit(model.start).alias("_m")))
+    best, best_at = None, 0
+    for i in range(rounds):
+        grown = now.withColumn("_g", F.col("_y") - F.exp("_m"))
+        fit = DecisionTreeRegressor(featuresCol="_features", labelCol="_g", predictionCol="_tree", leafCol="_leaf", maxDepth=depth,
+                                    minInstancesPerNode=leaf_rows, seed=seed + i)
+        tree = fit.fit(grown.filter("NOT _val"))
+        sums = tree.transform(grown).groupBy("_val", "_leaf").agg(
+            F.sum("_g").alias("g"), F.sum(F.exp("_m")).alias("u"), F.sum("_y").alias("y"), F.sum(F.col("_y") * F.col("_m")).alias("ym"),
+            F.count(F.lit(1)).alias("n")).collect()  # at most two rows a leaf
+        values = {int(r["_leaf"]): r["g"] / r["u"] for r in sums if not r["_val"]}
+        model.steps.append((tree, values))
+        now = model._step(now, tree, values)
+        held = [r for r in sums if r["_val"]]
+        if held:
+            step = lambda r: rate * values.get(int(r["_leaf"]), 0.0)
+            loss = sum(r["u"] * math.exp(step(r)) - r["ym"] - r["y"] * step(r) for r in held) / sum(r["n"] for r in held)
+            if best is None or loss < best:
+                best, best_at = loss, i + 1
+            elif i + 1 - best_at >= patience:
+                break
+        else:
+            best_at = i + 1
+        if i % 5 == 4:
+            now = stage(now)
+    model.steps = model.steps[:best_at]
+    return model, model.transform(val)
+
+
+def poisson_deviance(df: DataFrame, target: str, prediction: str) -> DataFrame:
+    """One row: mean Poisson deviance of predicted means."""
+    y, u = F.col(target).cast("double"), F.col(prediction).cast("double")
+    return df.agg(F.avg(2 * (F.when(y > 0, y * F.log(y / u)).otherwise(0.0) - (y - u))).alias("deviance"))
+
+
+# ---- permutation importance --------------------------------------------------------------
+
+def dealt_out(number: str, count: int, seed: int, draw: str) -> Column:
+    """A keyed bijection of 0..count-1: alternating Feistel rounds over the next power of two, walked until the place is in range.
+
+    Which place a number goes to depends on count, seed and draw alone.
     """
-    bucket = F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(1024))
-    d = df.withColumns({"_b": bucket, "_h1": F.xxhash64(F.lit(seed + 1), *key), "_h2": F.xxhash64(F.lit(seed + 2), *key)})
-    big = {"bucket": F.floor(F.col("_h1") / F.lit(1 << 50))}
-    a = lagged(d, "_b", ["_h1", *key], [Feature("_r", "rows", None, through())], **big).drop(col, "_h1", "_h2")
-    b = lagged(d.select("_b", "_h2", *key, col), "_b", ["_h2", *key], [Feature("_r", "rows", None, through())],
-               bucket=F.floor(F.col("_h2") / F.lit(1 << 50)))
-    return a.join(b.select("_b", "_r", col), ["_b", "_r"]).drop("_b", "_r")
+    bits = max(2, (count - 1).bit_length())
+    low = bits // 2
+    mask_low, mask_high = (1 << low) - 1, (1 << bits - low) - 1
+    # each round changes one half by what the other holds, which the same round would undo: no two numbers meet
+    rounds = lambda x: f"""aggregate(array(0, 1, 2, 3, 4, 5), named_struct('h', shiftright({x}, {low}), 'l', {x} & {mask_low}L), (s, k) ->
+        CASE WHEN k % 2 = 0 THEN named_struct('h', s.h ^ (xxhash64({seed}L, {draw}, k, s.l) & {mask_high}L), 'l', s.l)
+        ELSE named_struct('h', s.h, 'l', s.l ^ (xxhash64({seed}L, {draw}, k, s.h) & {mask_low}L)) END, s -> shiftleft(s.h, {low}) | s.l)"""
+    # a walk stays out of range with a chance under a half each time: 128 steps are never all needed
+    return F.expr(f"aggregate(sequence(1, 128), {rounds(f'CAST({number} AS BIGINT)')}, (a, i) -> CASE WHEN a < {count} THEN a ELSE {rounds('a')} END)")
 
 
 def permutation_importance(model, val: DataFrame, target: str, cols: list[str], key: list[str], repeats: int = 20,
                            seed: int = 42) -> DataFrame:
-    """Mean and deviation of the rise in absolute error when a column is shuffled."""
-    mae = lambda d: model.transform(d).agg(F.avg(F.abs(F.col(target) - F.col("prediction"))).alias("mae"))
-    base = mae(val).first()[0]
+    """Mean and deviation of the rise in absolute error when a column is shuffled.
+
+    Rows are numbered once, in the order of their key, which must be unique. A repeat sends the value of each row to the row that a
+    keyed bijection names, so a column's repeats are one join on numbers and one job, and no draw depends on partitioning. A row
+    gets its values of all repeats as one short array, so the other columns are not copied before the model sees them.
+    """
+    rows = stage(numbered(val, key, "_n"))
+    count = rows.count()
+    mae = lambda d: F.avg(F.abs(F.col(target) - F.col("prediction"))).alias("mae")
+    base = model.transform(rows).agg(mae(rows)).first()[0]
     runs = []
     for i, c in enumerate(cols):  # one job per column
-        draws = [mae(shuffled(val, c, key, seed + 10_000 * i + 10 * r)) for r in range(repeats)]
-        runs += [(c, row["mae"]) for row in reduce(DataFrame.unionAll, draws).collect()]
-    d = val.sparkSession.createDataFrame(runs, "feature string, mae double").withColumn("rise", F.col("mae") - F.lit(base))
+        draws = F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("_r")
+        sent = rows.select("_n", F.col(c).alias("_v"), draws).select(dealt_out("_n", count, seed + i, "_r").alias("_n"), "_r", "_v")
+        given = sent.groupBy("_n").agg(F.array_sort(F.collect_list(F.struct("_r", "_v"))).alias("_g"))  # `repeats` values
+        mixed = rows.drop(c).join(given, "_n").select("*", F.explode("_g").alias("_x")).select("*", "_x._r", F.col("_x._v").alias(c)).drop("_g", "_x")
+        runs += [(c, r["_r"], r["mae"]) for r in model.transform(mixed).groupBy("_r").agg(mae(mixed)).collect()]
+    d = val.sparkSession.createDataFrame(runs, "feature string, draw int, mae double").withColumn("rise", F.col("mae") - F.lit(base))
     return d.groupBy("feature").agg(F.avg("rise").alias("importance"), F.stddev_pop("rise").alias("std")).orderBy(
         F.desc("importance"), "feature")
 

@@ -8,8 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lagwell.plans.frames import Feature, lagged, prior
-from lagwell.plans.ranks import exact_quantiles
+from lagwell.plans.ranks import exact_quantiles, numbered
 from lagwell.plans.scale import one_row, small_side
 
 MISSING = "missing"
@@ -60,8 +59,9 @@ def category_codes(train: DataFrame, cols: list[str]) -> DataFrame:
     """(column, category, code): 0-based place in the sorted training categories."""
     items = F.array(*[F.struct(F.lit(c).alias("column"), F.coalesce(F.col(c).cast("string"), F.lit(MISSING)).alias("category"))
                       for c in cols])
-    d = train.select(F.inline(items)).distinct()
-    return lagged(d, "column", "category", [Feature("code", "rows", None, prior())], bucket=F.substring("category", 1, 3))
+    d = numbered(train.select(F.inline(items)).distinct(), ["column", "category"])
+    first = d.groupBy("column").agg(F.min("number").alias("_first"))  # one row per column
+    return d.join(F.broadcast(first), "column").select("column", "category", (F.col("number") - F.col("_first")).alias("code"))
 
 
 def encode(train: DataFrame, others: list[DataFrame], cols: list[str]) -> list[DataFrame]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lagwell.plans.frames import Feature, back, lagged
+from lagwell.plans.ranks import previous
 
 
 def sequences(df: DataFrame, keys: list[str], order, value: str) -> DataFrame:
@@ -18,9 +18,9 @@ def sequences(df: DataFrame, keys: list[str], order, value: str) -> DataFrame:
 def transitions(df: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
     """Counts of adjacent pairs, with START before the first and END after the last value.
 
-    Long form (from, to, n); no list is built, so group length does not matter.
+    Long form (from, to, n); no list is built and a group may span many tasks, so its length does not matter.
     """
-    d = lagged(df.select(*keys, *order, value), keys, order, [Feature("_prev", "value", value, back(1))])
+    d = previous(df.select(*keys, *order, value), keys, order, {"_prev": value})
     steps = d.select(F.coalesce("_prev", F.lit("START")).alias("from"), F.col(value).alias("to"))
     ends = df.groupBy(*keys).agg(F.max_by(value, F.struct(*order)).alias("from")).select("from", F.lit("END").alias("to"))
     count = lambda x: x.groupBy("from", "to").agg(F.count(F.lit(1)).alias("n"))

@@ -189,12 +189,12 @@ def _numbered(df, keys, order, bucket):
     counts = d.groupBy(*keys, "_bkt").agg(F.count(F.lit(1)).alias("_n"))
     up = Window.partitionBy(*keys).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*keys, "_bkt", F.coalesce(F.sum("_n").over(up), F.lit(0)).alias("_off"))
-    d = _attach(d, offsets, keys + ["_bkt"])
+    d = attach(d, offsets, keys + ["_bkt"])
     inside = Window.partitionBy(*keys, "_bkt").orderBy(*order)
     return d.withColumn("_rn", F.col("_off") + F.row_number().over(inside)).drop("_off", "_bkt")
 
 
-def _attach(df, side, keys):
+def attach(df, side, keys):
     """Left join on null-safe keys."""
     r = side
     for i, k in enumerate(keys):
@@ -225,7 +225,7 @@ def _blocked(df, keys, order, feats, block_rows, bucket):
     if centred:
         # deviations are summed around the group's mean, so that equal or far-off values lose no digits
         means = df.groupBy(*keys).agg(*[F.avg(F.col(c).cast("double")).alias(f"_m_{c}") for c in centred])
-        d = _attach(d, means, keys)
+        d = attach(d, means, keys)
     carry = None
     if expanding:
         parts = [F.count(F.lit(1)).alias("_p_rows")]
@@ -251,7 +251,7 @@ def _blocked(df, keys, order, feats, block_rows, bucket):
                   F.array(F.col("_blk"), F.col("_blk") + 1)).otherwise(F.array(F.col("_blk")))
     d = d.withColumn("_in", F.explode(halo))
     if carry is not None:
-        d = _attach(d, carry.withColumnRenamed("_blk", "_in"), keys + ["_in"])
+        d = attach(d, carry.withColumnRenamed("_blk", "_in"), keys + ["_in"])
     own = F.col("_in") == F.col("_blk")
     w = Window.partitionBy(*keys, "_in").orderBy("_rn")
     out = []
@@ -348,7 +348,7 @@ def integer_deviation_sql(n: str, total: str, squares: str) -> str:
 def totals(df: DataFrame, keys, aggs: dict[str, Column]) -> DataFrame:
     """Whole-group aggregates on every row, pre-aggregated map-side and joined back, so no group is gathered in one task."""
     keys = [keys] if isinstance(keys, str) else list(keys)
-    return _attach(df, df.groupBy(*keys).agg(*[a.alias(n) for n, a in aggs.items()]), keys)
+    return attach(df, df.groupBy(*keys).agg(*[a.alias(n) for n, a in aggs.items()]), keys)
 
 
 def seven_day_sum(df: DataFrame, entity: str, date: str, order, col: str, name: str,
@@ -367,7 +367,7 @@ def seven_day_sum(df: DataFrame, entity: str, date: str, order, col: str, name:
         d = d.withColumn("_earlier", F.sum("_prev").over(span))
     else:
         per_day = d.groupBy(entity, "_day").agg(F.sum("_prev").alias("_d"))
-        d = _attach(d, per_day.select(entity, "_day", F.sum("_d").over(span).alias("_earlier")), [entity, "_day"])
+        d = attach(d, per_day.select(entity, "_day", F.sum("_d").over(span).alias("_earlier")), [entity, "_day"])
     today = F.sum("_prev").over(same)
     return (d.withColumn(name, F.coalesce(F.col("_earlier"), F.lit(0.0)) + F.coalesce(today, F.lit(0.0)))
             .drop("_prev", "_day", "_earlier"))

@@ -1,4 +1,4 @@
-"""Exact quantiles and global running totals without gathering values in one task.
+"""Exact quantiles, running totals, row numbers and previous rows without gathering values or keys in one task.
 
 Both start from a mergeable quantile sketch, whose error is one of ranks, not of values: outliers and concentrated values
 don't matter. For quantiles the sketch brackets each wanted rank; the exact counts below the bracket and the values
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lagwell.plans.scale import one_row
+from lagwell.plans.scale import one_row, stage
 
 BUCKETS, ACCURACY = 1024, 20_000
 
@@ -74,3 +74,34 @@ def exact_quantiles(df: DataFrame, value: str, qs: list[float], by=(), name: str
     covers = lambda r: (r >= first) & (r < first + F.col("_c"))
     lo, hi = F.max(F.when(covers(F.floor(pos)), F.col("_v"))), F.max(F.when(covers(F.ceil(pos)), F.col("_v")))
     return inside.groupBy(*by, "q").agg((lo + (hi - lo) * F.max(pos - F.floor(pos))).alias(name))
+
+
+def sorted_parts(df: DataFrame, order: list[str]) -> DataFrame:
+    """df in the order of a total order, cut into ranges of nearly equal size whatever keys it holds: _part, and _at in the part.
+
+    Staged, so that parts and places stay what they are.
+    """
+    d = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id())
+    return stage(d).selectExpr("* EXCEPT (_m)", "CAST(shiftright(_m, 33) AS INT) AS _part", "_m & 8589934591 AS _at")
+
+
+def numbered(df: DataFrame, order: list[str], name: str = "number") -> DataFrame:
+    """Dense numbers from 0 in the order of a total order; they don't depend on how df is partitioned."""
+    d = sorted_parts(df, order)
+    # one row per part: their number is that of the shuffle's partitions
+    up = Window.partitionBy(F.lit(1)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = d.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    off = sizes.select("_part", F.coalesce(F.sum("_n").over(up), F.lit(0)).alias("_off"))
+    return d.join(F.broadcast(off), "_part").select(*df.columns, (F.col("_off") + F.col("_at")).alias(name))
+
+
+def previous(df: DataFrame, keys: list[str], order: list[str], cols: dict[str, str]) -> DataFrame:
+    """Add columns {new: old} of the row before in the group of keys, NULL in its first row; a group may span many tasks."""
+    d = sorted_parts(df, [*keys, *order])
+    row = F.struct(F.struct(*keys).alias("k"), F.struct(*[F.col(c) for c in dict.fromkeys(cols.values())]).alias("v"))
+    d = d.withColumn("_p", F.lag(row).over(Window.partitionBy("_part").orderBy("_at")))
+    ends = d.groupBy("_part").agg(F.max_by(row, "_at").alias("_e"))  # one row per part
+    before = ends.select("_part", F.lag("_e").over(Window.partitionBy(F.lit(1)).orderBy("_part")).alias("_q"))
+    d = d.join(F.broadcast(before), "_part").withColumn("_p", F.when(F.col("_at") == 0, F.col("_q")).otherwise(F.col("_p")))
+    same = F.col("_p.k").eqNullSafe(F.struct(*keys))
+    return d.select(*df.columns, *[F.when(same, F.col(f"_p.v.{old}")).alias(new) for new, old in cols.items()])
