@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lagwell.llm import scan
-from lagwell.llm.stage import release, staged
+from lagwell.llm.stage import discard, staged
 
 BLOCK, ENTRIES, ROUNDS = 3_000_000, 2_000_000, 60
 _U = np.uint64
@@ -194,11 +194,11 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
     rows = rows.select("doc_id", "text", F.coalesce(fold == held, F.lit(False)).alias("held_out"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("block"))
     asked = rows.groupBy("block").applyInArrow(_ask(bits), "bucket bigint, block bigint, kone binary, cone binary, ktwo binary, ctwo binary")
     answers = staged(asked.groupBy("bucket").applyInArrow(_answer, "bucket bigint, block bigint, one binary, two binary, tokens bigint, types bigint"))
-    release(spark)
     total, types = (x or 0 for x in answers.agg(F.sum("tokens"), F.sum("types")).first())
     both = rows.groupBy("block").cogroup(answers.groupBy("block"))
-    cells = both.applyInArrow(_histogram(total), "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
-    release(spark)
+    counted = staged(both.applyInArrow(_histogram(total), "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n")))
+    cells = counted.toArrow()  # at most a bounded number of cells
+    discard(counted)
     mixed = weights(cells.column("code").to_numpy(), cells.column("n").to_numpy(), types)
     return rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
         _score(total, types, mixed), "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")

@@ -47,14 +47,14 @@ def _grow(n: int) -> None:
         _powers, _inverses = np.multiply.accumulate(p), np.multiply.accumulate(q)
 
 
-def chunks(texts: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, pa.Array]]:
-    """(first row, slice) pieces of about `limit` bytes; a single longer text is a piece of its own."""
+def chunks(texts: pa.Array, limit: int = 1 << 20, rows: int = 20_000) -> Iterator[tuple[int, pa.Array]]:
+    """(first row, slice) pieces of about `limit` bytes and at most `rows` rows; a single longer text is a piece of its own."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(texts), 0))
     begin, total = 0, 0
     for i, n in enumerate(sizes):
-        if total and total + n > limit:
+        if total and total + n > limit or i - begin == rows:
             yield begin, texts.slice(begin, i - begin)
             begin, total = i, 0
         total += int(n)

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,22 +21,27 @@ def shared_folder(spark: SparkSession) -> str:
     return found
 
 
+#: Spark's own setting: shuffle files of a statement go when it ends, not when its plan happens to be collected as garbage.
+_FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def staged(df: DataFrame, **options) -> DataFrame:
-    """The rows written as Parquet in the shared folder and read again: lineage ends here, whatever executors are lost later."""
-    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.options(**options).parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    """The rows written as Parquet in the shared folder and read again: lineage ends here, whatever executors are lost later.
+
+    The shuffles of the write are freed when it ends; nothing reads them again, as the rows stand in the folder.
+    """
+    spark = df.sparkSession
+    path, before = f"{shared_folder(spark)}/{uuid.uuid4().hex}", spark.conf.get(_FREED, "false")
+    spark.conf.set(_FREED, "true")
+    try:
+        df.write.options(**options).parquet(path)
+    finally:
+        spark.conf.set(_FREED, before)
+    out = spark.read.schema(df.schema).parquet(path)
     out.staged_path = path
     return out
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark drop the shuffle files of finished queries: it does so when their plans are collected as garbage."""
-    time.sleep(1)  # the events of the last query still hold its plan for a moment
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def discard(*tables: DataFrame) -> None:
     """Deletes staged tables that nothing reads any more."""
     for t in tables:
@@ -47,16 +50,17 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(v, c): for each end of an edge (a, b of bigint) the smallest vertex that is reachable.
 
     Alternating large-star and small-star steps: each replaces edges by edges to smaller neighbours, so a star around the
     smallest vertex remains. Neighbour minima are partial aggregates, and the joins back on a hot vertex are ones that
-    adaptive execution can split. Each round is staged; the former round's table is deleted.
+    adaptive execution can split. Each round is staged; the former round's table is deleted. Rounds go on until nothing
+    changes; their number grows with the logarithm of the longest path.
     """
     now = staged(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
     last = None
-    for _ in range(rounds):
+    while True:
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % (1 << 40))).first()
         if seen[0] == 0 or seen == last:
             break
