@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lagwell.llm import scan
-from lagwell.llm.stage import components, discard, release, staged
+from lagwell.llm.stage import components, discard, staged
 
 WORDS = 5
 #: Hashes a bucket should hold, hashes in a block, and leaders each n-gram list is verified against.
@@ -180,14 +180,12 @@ def shared_grams(docs: DataFrame, total: int, n: int = WORDS) -> DataFrame:
     bits = max(3, int(np.ceil(np.log2(max(1, total / BUCKET)))))
     blobs = docs.select("text").mapInArrow(_packed(n, bits), "bucket bigint, block bigint, blob binary, slot bigint, n bigint, s bigint")
     rows = staged(blobs.repartition(1 << bits, "bucket").mapInArrow(_shared, "token bigint, place bigint, n bigint, s bigint"))
-    release(docs.sparkSession)
     places = rows.filter("token IS NULL").groupBy("s", "n").agg(F.min("place").alias("place"))
     pairs = rows.filter("token IS NOT NULL").select("token", "place")
     often = pairs.groupBy("token").agg(F.count("*").alias("df"))
     lists = pairs.join(often, "token").groupBy("place").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("t"))
     out = staged(lists.join(places, "place").select("s", "n", F.expr("t.token").alias("tokens")).filter("n - size(tokens) < n - ceil(0.75 * n) + 1"))
     discard(rows)
-    release(docs.sparkSession)
     return out
 
 
@@ -205,7 +203,6 @@ def near_duplicates(docs: DataFrame, n: int = WORDS) -> DataFrame:
 
 def grouped(docs: DataFrame, n: int = WORDS) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id, text_hash and c, which names the component where ids repeat (null: an empty set)."""
-    spark = docs.sparkSession
     each = staged(sets(docs, n))
     named = each.filter("n > 0 AND doc_id IS NOT NULL").groupBy("s", "n").agg(F.min("doc_id").alias("least")).withColumn("vid", F.xxhash64("s", "n"))
     total = named.agg(F.sum("n")).first()[0] or 0
@@ -220,6 +217,7 @@ def grouped(docs: DataFrame, n: int = WORDS) -> DataFrame:
     members = staged(first.join(groups.select("g", "n", "gid"), ["g", "n"]).select("gid", "vid"))
     entries = groups.select("gid", "n", "own", F.posexplode("prefix").alias("at", "token")).select("token", "gid", "n", "own", (F.col("own") + F.col("at")).alias("pos"))
     entries = staged(entries)
+    discard(first)
     # leaders: members against the group's first, groups against one leading group per n-gram and seed
     lead = members.filter("gid <> vid").select(F.col("gid").alias("a"), F.col("vid").alias("b"))
     for seed in range(LEADERS):
@@ -229,7 +227,6 @@ def grouped(docs: DataFrame, n: int = WORDS) -> DataFrame:
         met = entries.join(top, "token").filter("a <> gid AND 3 * n <= 4 * m AND 3 * m <= 4 * n")
         lead = lead.unionByName(met.select("a", F.col("gid").alias("b")))
     links = staged(linked(lead, whole))
-    release(spark)
     label = staged(components(links))
     parts = members.join(label.withColumnRenamed("v", "vid"), "vid", "left").withColumn("c", F.coalesce("c", "vid"))
     sub = staged(parts.groupBy("gid", "c").agg(F.collect_list("vid").alias("vids")))
@@ -237,6 +234,7 @@ def grouped(docs: DataFrame, n: int = WORDS) -> DataFrame:
     listed = entries.drop("own").join(sub.select("gid", "c"), "gid")
     sizes = listed.groupBy("token", "c").agg(F.count("*").alias("k")).groupBy("token").agg(F.max_by("c", "k").alias("main"), F.count("*").alias("cs")).filter("cs > 1")
     mixed = staged(listed.join(sizes, "token"))
+    discard(entries, members, label)
     x = mixed.filter("c <> main").select("token", F.col("gid").alias("g1"), F.col("c").alias("c1"), F.col("n").alias("n1"), F.col("pos").alias("p1"))
     y = mixed.select("token", F.col("gid").alias("g2"), F.col("c").alias("c2"), F.col("n").alias("n2"), F.col("pos").alias("p2"))
     able = "c1 <> c2 AND 3 * n1 <= 4 * n2 AND 3 * n2 <= 4 * n1 AND 7 * least(n1 - p1, n2 - p2) >= 3 * (n1 + n2)"
@@ -244,6 +242,7 @@ def grouped(docs: DataFrame, n: int = WORDS) -> DataFrame:
     p1, p2 = (sub.select(F.col("gid").alias(f"g{i}"), F.col("c").alias(f"c{i}"), F.col("vids").alias(f"v{i}")) for i in (1, 2))
     rest = pairs.join(p1, ["g1", "c1"]).join(p2, ["g2", "c2"]).select(F.explode("v1").alias("a"), "v2").select("a", F.explode("v2").alias("b"))
     more = staged(linked(rest, whole))
+    discard(mixed, sub, whole)
     label = components(links.unionByName(more))
     out = named.join(label.withColumnRenamed("v", "vid"), "vid", "left").select("s", "n", "least", F.coalesce("c", "vid").alias("c"))
     out = out.drop("least").join(out.groupBy("c").agg(F.min("least").alias("component_id")), "c")
