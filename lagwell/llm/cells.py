@@ -125,7 +125,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, margin: float =
         part = min(1.0, SAMPLE / n)
         sample = points.filter((F.size("embedding") == dim.d) & (F.pmod(F.xxhash64("vid"), F.lit(1 << 20)) < int(part * (1 << 20)) + 1)).select("embedding").toArrow()
         c = centres(_matrix(sample.column(0)), k)
-    placed = staged(points.select("vid", "embedding", "w").mapInArrow(_assign(c, margin), "vid bigint, embedding array<float>, w bigint, cell bigint, home boolean"))
+    placed = staged(points.select("vid", "embedding", "w").mapInArrow(_assign(c, margin), f"vid bigint, embedding {points.schema['embedding'].dataType.simpleString()}, w bigint, cell bigint, home boolean"))
     sizes = placed.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     blocked = placed.join(sizes, "cell").withColumn("block", F.pmod(F.xxhash64("vid"), F.col("blocks")))
     pairs = F.expr("transform(sequence(0L, blocks - 1), j -> named_struct('one', least(block, j), 'two', greatest(block, j)))")

@@ -52,8 +52,10 @@ class Layout:
     turns: str
 
     @property
-    def key(self) -> str:
-        return fingerprint(shape(T._parse_datatype_string(self.schema)))
+    def keys(self) -> tuple[str, str]:
+        """Fingerprints of the layout's shape, and of a record whose lists are all empty and so show no element."""
+        full = shape(T._parse_datatype_string(self.schema))
+        return fingerprint(full), fingerprint(re.sub(r"ARRAY<OBJECT<[^<>]*>>", "ARRAY<>", full))
 
 
 def _pair(*sides: tuple[str, str]) -> str:
@@ -82,14 +84,17 @@ TURN_ROWS = fingerprint("OBJECT<conv_id: , role: , text: , turn: >")
 
 
 def from_json_records(df: DataFrame, column: str, layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
-    """Adds `layout` and `turns` from a column of JSON records; unknown shapes get nulls, broken JSON too."""
+    """Adds `layout` and `turns`, in place of columns of these names, from a column of JSON records.
+
+    Unknown shapes (a field more or less is another shape) and broken JSON get nulls; an empty list of messages gives no turns.
+    """
     known = df.withColumn("__v", F.expr(f"try_parse_json(`{column}`)")).withColumn("__f", variant_fingerprint("__v"))
     name, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
     for x in layouts:
         body = x.turns
         for f in T._parse_datatype_string(x.schema).fieldNames():
             body = _qualify(body, f)
-        hit, record = F.col("__f") == x.key, f"from_json(to_json(__v), '{x.schema}')"
+        hit, record = F.col("__f").isin(*x.keys), f"from_json(to_json(__v), '{x.schema}')"
         name = F.when(hit, x.name).otherwise(name)
         # transform over a one-element array parses the record once and binds it by name
         turns = F.when(hit, F.expr(f"transform(array({record}), __r -> {body})[0]")).otherwise(turns)
@@ -120,7 +125,7 @@ def from_table(df: DataFrame, layouts: tuple[Layout, ...] = LAYOUTS, fields: lis
                                       " x -> named_struct('role', x.role, 'text', x.text))").alias("turns"))
         )
     for x in layouts:
-        if x.key == key:
+        if key in x.keys:
             return df.select("conv_id", F.expr(x.turns).cast(TURNS).alias("turns"))
     raise ValueError(f"no mapping for the fields {fields}; known layouts: {[x.name for x in layouts]}")
 

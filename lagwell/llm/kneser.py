@@ -180,7 +180,7 @@ def held_out(doc_id: str | Column = "doc_id") -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame):
     """Function from an array of texts to scores, learned from labelled docs (doc_id, text) that are not held out."""
-    marked = labels.filter(~held_out() & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    marked = labels.filter(~held_out() & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     n = marked.count()
     share = min(1.0, SAMPLE / max(1, n))
     marked = marked.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < round(share * (1 << 20)))
@@ -206,8 +206,9 @@ def fit(docs: DataFrame, labels: DataFrame):
     return lambda texts: 1 / (1 + np.exp(-np.clip((_expand(model.features(texts)) - mean) / scale @ b, -35, 35)))
 
 
-def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs with all its columns and `toxic_score`, a double from 0 to 1."""
+def scored(docs: DataFrame, labels: DataFrame, name: str = "toxic_score") -> DataFrame:
+    """docs with all its columns and `name`, a double from 0 to 1, in place of a column of that name."""
+    docs = docs.drop(name)
     predict = fit(docs, labels)
     place = docs.columns.index("text")
 
@@ -215,6 +216,6 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
         for batch in batches:
             for first, texts in scan.chunks(batch.column(place)):
                 part = batch.slice(first, len(texts))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(predict(texts))], [*part.schema.names, "toxic_score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(predict(texts))], [*part.schema.names, name])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("toxic_score", T.DoubleType())]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))

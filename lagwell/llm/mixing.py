@@ -196,12 +196,14 @@ def _bounded(cells: DataFrame, names: list[str], wanted: dict, share: float, tot
 
 
 def mixed(docs: DataFrame, targets: dict | None = None, share: float | None = None, most: int = CELLS) -> DataFrame:
-    """docs with all its columns and topic, tokens, factor, p, draw and kept (each prefixed `mix_`)."""
-    rows = described(docs)
-    cells = probabilities(rows, targets, share, most).drop("tokens")
+    """docs with all its columns and topic, tokens, factor, p, draw and kept (each prefixed `mix_`, in place of columns of these names)."""
+    kept = [c for c in docs.columns if c not in ("mix_topic", "mix_tokens", "mix_factor", "mix_p", "mix_draw", "mix_kept")]
+    # the row travels as one struct, so that none of its names meets those of the tables it is joined with
+    rows = described(docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("__row"), "doc_id", "text", "source", "lang"))
+    cells = probabilities(rows, targets, share, most).select(*[f"__{d}" for d in DIMENSIONS], F.col("factor").alias("mix_factor"), F.col("p").alias("mix_p"))
     draw = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, 13), 16, 10).cast("double") / float(1 << 52)
     out = rows.join(cells, [f"__{d}" for d in DIMENSIONS])
     return out.select(
-        *docs.columns, F.col("__topic").alias("mix_topic"), F.col("__tokens").alias("mix_tokens"), F.col("factor").alias("mix_factor"), F.col("p").alias("mix_p"),
-        draw.alias("mix_draw"), (draw < F.col("p")).alias("mix_kept"),
+        "__row.*", F.col("__topic").alias("mix_topic"), F.col("__tokens").alias("mix_tokens"), "mix_factor", "mix_p",
+        draw.alias("mix_draw"), (draw < F.col("mix_p")).alias("mix_kept"),
     )
