@@ -223,10 +223,6 @@ _model("poisson_glm", lambda ml, s, a, b: ml.residuals(ml.poisson(a, b, "lines",
     "o_orderkey", "lines", "prediction", "residual", "abs_residual"))
 
 
-_model("poisson_boosted", lambda ml, s, a, b: ml.residuals(ml.boosted_counts(a, b, "lines", ["quantity", "discount"])[1], "lines", "prediction").select(
-    "o_orderkey", "lines", "prediction", "residual", "abs_residual"))
-
-
 @query("permutation_importance", ["feature"])
 def permutation_importance(spark, d):
     from lagwell.operators import ml
