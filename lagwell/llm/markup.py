@@ -22,11 +22,18 @@ AWAY_WORDS = frozenset(
     "sponsored cookie cookies consent gdpr notice notices notification alert popup modal overlay comment comments disqus discussion respond reply replies share sharing social "
     "related recommended recommendations breadcrumb breadcrumbs pagination pager subscribe subscription newsletter signup login widget widgets copyright toolbar skip".split()
 )
+#: Of these words, those that also name parts of an article count inside one only where nothing else is named; the last two never.
+WEAK_WORDS = frozenset(
+    "share sharing related notice notices reply replies respond rail skip widget widgets toolbar alert banner notification login copyright recommended "
+    "recommendations masthead header discussion".split()
+)
+NEVER_INSIDE = frozenset("header discussion".split())
+FILLERS = frozenset("box list links link area section block container wrapper wrap buttons button bar posts articles stories items inner outer".split())
 HOME_TAGS = frozenset("article main".split())
 HOME_WORDS = frozenset("article content post entry story main".split())
 
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})(?=[\s/>])[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<close>/?)(?P<tag>[a-z][a-z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|[^<]+|<",
+    rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<raw>{RAW})(?=[\s/>])[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<close>/?)(?P<tag>[a-z][a-z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'](?=[^\"'<>]*>))*)>|<[!?/][^>]*>|[^<]+|<",
     re.I | re.S,
 )
 _ATTR = re.compile(r"""([a-z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -58,7 +65,11 @@ def _hints(tag: str, attrs: str, inside_home: bool) -> tuple[bool, bool]:
         for m in _ATTR.finditer(attrs):
             name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
             if name in ("class", "id"):
-                words.update(_WORD.findall(value))
+                for token in value.split():
+                    parts = set(_WORD.findall(token))
+                    if inside_home and (weak := parts & WEAK_WORDS) and (weak & NEVER_INSIDE or parts - WEAK_WORDS - FILLERS):
+                        parts -= weak
+                    words |= parts
             elif name == "role":
                 role = value
             elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value) or name == "aria-hidden" and value == "true":
@@ -81,6 +92,17 @@ def read(source: str) -> Page:
             page.blocks.append(Block(line, min(1.0, linked / len(line)), tag, parent, away, home))
         text, linked = [], 0
 
+    outer: list[tuple[int, list[str], int]] = []  # text around open spans that are no content
+
+    def end_spans(down_to: int = 0):
+        """Close the blocks of open spans, innermost first, and go on with the text around them."""
+        nonlocal text, linked
+        while outer and outer[-1][0] >= down_to:
+            close_block()
+            opened, text, linked = outer.pop()
+            text.append(" ")
+            del stack[next((i for i, x in enumerate(stack) if x[1] == opened), len(stack)) :]
+
     for m in _TOKEN.finditer(source):
         tag = m["tag"]
         if tag is None:
@@ -102,25 +124,31 @@ def read(source: str) -> Page:
                 page.links.append(html.unescape(found[1] or found[2] or found[3] or ""))
         elif tag == "br":
             text.append(" ")
-        if tag not in BREAKING and not (tag == "span" and m["attrs"]):
+        if tag not in BREAKING and tag != "span":
             continue
         if m["close"]:
             if tag != "span":
+                end_spans()
                 close_block()
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i][0] == tag:
-                    if tag == "span" and stack[i][2] != stack[i - 1][2]:
-                        close_block()
+                    if tag == "span" and outer and outer[-1][0] == stack[i][1]:
+                        end_spans(stack[i][1])
                     del stack[i:]
                     break
+                if tag == "span" and stack[i][0] != "p":
+                    break  # no span is open in this element
             continue
         away, home = _hints(tag, m["attrs"], stack[-1][3] > 0)
         if tag == "span":
-            if away:
-                close_block()
             number += 1
             stack.append((tag, number, number if away else stack[-1][2], stack[-1][3]))
+            if away and not stack[-2][2]:
+                # a span that is no content is a block of its own; the text around it stays one block
+                outer.append((number, text, linked))
+                text, linked = [], 0
             continue
+        end_spans()
         close_block()
         if tag in CLOSES_P and stack[-1][0] == "p":
             stack.pop()
@@ -129,5 +157,6 @@ def read(source: str) -> Page:
         number += 1
         if tag not in VOID:
             stack.append((tag, number, number if away else stack[-1][2], stack[-1][3] or (number if home else 0)))
+    end_spans()
     close_block()
     return page

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from lagwell.llm.markup import Block, read
 
 #: Weights of the classifier (log-odds of content) and of the edges, times 100.
-REGION_AWAY, REGION_HOME, HEADING, LONG, SHORT, SENTENCE, LINKS, NEAR, SIBLING, ACROSS = 900, 500, 100, 200, 60, 80, 500, 60, 40, 5
+REGION_AWAY, REGION_HOME, HEADING, LONG, SHORT, SENTENCE, LINKS, NEAR, SIBLING, ACROSS = 900, 500, 100, 200, 60, 80, 350, 60, 40, 5
 _ENDS = tuple(".!?…。！？”\"'»):;")
 
 

@@ -127,6 +127,24 @@ def test_elements_do_not_swallow_what_follows(piece):
     assert text.startswith(one) and text.endswith(two)
 
 
+LONG = "A paragraph of the article that is long enough to be its content, as anyone would say."
+
+
+@pytest.mark.parametrize("page,text", [
+    ('<p>AAA <span class="share">x</span> BBB</p>', "AAA BBB"),
+    ('<p>AAA <span class="share">x <span>y</span> z</span> BBB <span>CCC</span> DDD</p>', "AAA BBB CCC DDD"),
+    ('<p>AAA <span class="ad">x</p><p>BBB</p>', "AAA\nBBB"),
+    (f'<section id="discussion"><p>{LONG}</p></section>', LONG), (f'<section id="related-work"><p>{LONG}</p></section>', LONG),
+    (f'<div class="market-share"><p>{LONG}</p></div>', LONG), (f'<div class="entry-header"><h1>Title</h1></div><p>{LONG}</p>', f"Title\n{LONG}"),
+    (f'<div class="page-header"><h1>Title</h1></div><p>{LONG}</p>', f"Title\n{LONG}"),
+    (f'<p>{LONG}</p><ul><li><a href=a>One reference</a></li><li><a href=b>Two</a></li></ul>', f"{LONG}\nOne reference\nTwo"),
+    (f'<p title="open>{LONG}</p>', LONG), (f"<p>{LONG}</p><![CDATA[ x > y ]]>", LONG),
+    (f'<p>{LONG}</p><div class="user-comments"><p>{LONG}</p></div><div class="share-buttons"><p>{LONG}</p></div><div class="related-posts">{LONG}</div>', LONG),
+])
+def test_parts_of_an_article_stay(page, text):
+    assert mincut.main_text(f"<body><nav><a href=x>Menu</a></nav><article>{page}</article></body>") == text
+
+
 def test_text_inside_math_and_object_stays():
     page = "<article><p>The area is <math><mi>xyz</mi></math> of <object data=x>some shape</object> here, as everybody knows well.</p></article>"
     assert mincut.main_text(page) == "The area is xyz of some shape here, as everybody knows well."
