@@ -48,7 +48,7 @@ def _earliest(values: str, cond: str = "play_result IS NOT NULL") -> str:
 def events(pbp: DataFrame, players: DataFrame | None = None) -> DataFrame:
     """Pitches with what the rest of their game says about them, dealt by game.
 
-    _starter: the pitcher is the first of the team by (inning, event_index). _balls, _strikes: counts after the previous pitch of the play,
+    _starter: the pitcher is the first of the team by (inning, event_index), unknown innings last. _balls, _strikes: counts after the previous pitch of the play,
     0 without one. _before: pitches thrown in earlier plays, NULL where the pitcher throws none in this play. With
     players (personId, batSide, pitchHand), _bat and _throw are the sides as listed, _side and _hand as they meet.
     """
@@ -60,7 +60,7 @@ def events(pbp: DataFrame, players: DataFrame | None = None) -> DataFrame:
             F.min("batSide").alias("_bat"), F.min("pitchHand").alias("_throw"))
         d = d.join(sides.select(F.col("_id").alias("batter_id"), "_bat"), "batter_id", "left")
         d = d.join(sides.select(F.col("_id").alias("pitcher_id"), "_throw"), "pitcher_id", "left")
-    first = "min(CASE WHEN pitcher_id IS NOT NULL AND pitcher_team_id IS NOT NULL THEN struct(inning, event_index, pitcher_id) END)"
+    first = "min(CASE WHEN pitcher_id IS NOT NULL AND pitcher_team_id IS NOT NULL THEN struct(inning IS NULL AS late, inning, event_index, pitcher_id) END)"
     play = "OVER (PARTITION BY gamepk, play_id, pitcher_id, is_pitch ORDER BY event_index)"
     thrown = f"sum({'CASE WHEN is_pitch THEN 1 ELSE 0 END'})"
     d = d.repartition("gamepk").selectExpr(

@@ -65,11 +65,11 @@ def starters(pitches: DataFrame, strategy: str = "inning") -> DataFrame:
 
     strategy: 'inning' orders by (inning, event_index), 'play' by (play_id, event_index),
     'innings_pitched' takes the boxscore row with most innings, 'sequence' the rows whose
-    gameSequence is 0. The event strategies take the first non-NULL value of each column.
+    gameSequence is 0. The event strategies put unknown innings last and take the first non-NULL value of each column.
     """
     if strategy in ("inning", "play"):
         lead = "inning" if strategy == "inning" else "play_id"
-        at = F.struct(lead, "event_index")
+        at = F.struct(F.col(lead).isNull(), F.col(lead), F.col("event_index"))
         first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), at))
         return (pitches.filter(F.col("gamepk").isNotNull() & F.col("pitcher_team_id").isNotNull())
                 .groupBy("gamepk", F.col("pitcher_team_id").alias("team_id"))
