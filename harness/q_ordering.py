@@ -131,11 +131,9 @@ def union_roles(spark, d):
 SELECT personId AS person FROM batter_box UNION SELECT personId FROM pitcher_box UNION SELECT batter_id FROM raw UNION SELECT pitcher_id FROM raw""",
        ["batter_box", "pitcher_box", "raw"], exact=True)
 def distinct_people(spark, d):
+    from lagwell.operators.checks import distinct_ids
     p = t.pitches_raw(spark, d)
-    ids = [t.batter_box(spark, d).select(F.col("personId").alias("person")), t.pitcher_box(spark, d).select(F.col("personId").alias("person")),
-           p.select(F.col("batter_id").alias("person")), p.select(F.col("pitcher_id").alias("person"))]
-    from functools import reduce
-    return reduce(lambda a, b: a.unionByName(b), [x.distinct() for x in ids]).distinct()
+    return distinct_ids([(t.batter_box(spark, d), "personId"), (t.pitcher_box(spark, d), "personId"), (p, "batter_id"), (p, "pitcher_id")], "person")
 
 
 @query("except_games", ["gamepk"], """
@@ -148,9 +146,13 @@ def except_games(spark, d):
 @query("union_seasons", ["season_label"], """
 SELECT concat('s', year(o_orderdate)) AS season_label, count(*) AS n, sum(CAST(o_totalprice AS DECIMAL(18,2))) AS total FROM orders GROUP BY ALL""")
 def union_seasons(spark, d):
-    from functools import reduce
-    o = t.read(spark, d, "orders")
-    years = [r[0] for r in o.select(F.year("o_orderdate")).distinct().collect()]  # one row per season
-    parts = [o.filter(F.year("o_orderdate") == y).withColumn("season_label", F.lit(f"s{y}")) for y in years if y is not None]
-    return reduce(lambda a, b: a.unionByName(b), parts).groupBy("season_label").agg(
+    from uuid import uuid4
+    from lagwell.plans.scale import scratch
+    from lagwell.sources import tables as S
+    o = t.read(spark, d, "orders").select("o_totalprice", F.year("o_orderdate").alias("game_season"), F.concat(F.lit("s"), F.year("o_orderdate")).alias("season_label"))
+    at = f"{scratch(spark)}/seasons-{uuid4().hex}"
+    S.write_season(o, f"{at}/orders")
+    years = [r[0] for r in o.select("game_season").distinct().collect()]  # one row per season
+    names = [f"game_season={'__HIVE_DEFAULT_PARTITION__' if y is None else y}" for y in years]
+    return S.read_seasons(spark, at, "orders", names).groupBy("season_label").agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.col("o_totalprice").cast("decimal(18,2)")).alias("total"))

@@ -15,15 +15,17 @@ from lagwell.sources.schemas import conform
 @query("scan_multi_season", ["status"], """
 SELECT o_orderstatus AS status, o_orderkey, CAST(o_totalprice AS FLOAT) AS price, CAST(o_custkey AS DOUBLE) AS spin FROM orders""")
 def scan_multi_season(spark, d):
-    ddl = "o_orderkey bigint, status string, price float, spin double"
-    o = t.read(spark, d, "orders")
-    def season(y):
-        part = o.filter(F.year("o_orderdate").eqNullSafe(F.lit(y)))
-        # one season delivers the drifting column as text
-        spin = F.col("o_custkey").cast("string" if y == 1997 else "double").alias("spin")
-        return conform(part.select("o_orderkey", F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("price"), spin), ddl)
-    years = [r[0] for r in o.select(F.year("o_orderdate")).distinct().collect()]  # one row per season
-    return reduce(lambda a, b: a.unionByName(b), [season(y) for y in sorted(years, key=lambda y: (y is None, y))])
+    """Orders written season by season, one of which delivers a column as text, and read as one table."""
+    from uuid import uuid4
+    from lagwell.plans.scale import scratch
+    o = t.read(spark, d, "orders").selectExpr("o_orderkey", "o_orderstatus AS status", "o_totalprice AS price", "o_custkey AS spin",
+                                              "coalesce(year(o_orderdate), 0) AS game_season")
+    at, cast = f"{scratch(spark)}/seasons-{uuid4().hex}", lambda df, ty: df.withColumn("spin", F.col("spin").cast(ty))
+    S.write_season(cast(o.filter("game_season <> 1997"), "double"), f"{at}/orders")
+    S.write_season(cast(o.filter("game_season = 1997"), "string"), f"{at}/orders")
+    years = [r[0] for r in o.select("game_season").distinct().collect()]  # one row per season
+    table = S.read_seasons(spark, at, "orders", [f"game_season={y}" for y in years], "o_orderkey bigint, status string, price float, spin double", {"spin": "double"})
+    return table.select("status", "o_orderkey", "price", "spin")
 
 
 @query("scan_latest_snapshot", ["event_type"], "SELECT event_type, count(*) AS n, max(event_id) AS last_id FROM events GROUP BY ALL")

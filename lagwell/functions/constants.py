@@ -13,13 +13,6 @@ ON_BASE = [
     "Single", "Double", "Triple", "Home Run", "Walk", "Intent Walk",
     "Hit By Pitch", "Field Error", "Catcher Interference",
 ]
-MODEL_OUTCOMES = HITS + [
-    "Strikeout", "Groundout", "Flyout", "Lineout", "Pop Out", "Forceout",
-    "Grounded Into DP", "Double Play", "Triple Play", "Fielders Choice",
-    "Fielders Choice Out", "Field Error", "Bunt Groundout", "Bunt Pop Out",
-    "Bunt Lineout", "Strikeout Double Play", "Field Out", "Batter Out",
-    "Walk", "Intent Walk", "Hit By Pitch", "Catcher Interference",
-]
 
 # Bases credited per result; anything else counts 0.
 BASES = {

@@ -21,12 +21,6 @@ def safe_div(num, den) -> Column:
     return F.try_divide(dbl(num), dbl(den))
 
 
-def div_floor1(num, den) -> Column:
-    """num / max(den, 1), the small-denominator guard; a NULL den stays NULL."""
-    d = dbl(den)
-    return dbl(num) / F.when(d < 1, F.lit(1.0)).otherwise(d)
-
-
 def cap(x, upper: float) -> Column:
     x = _c(x)
     return F.when(x > upper, F.lit(upper)).otherwise(x)
@@ -43,19 +37,11 @@ def truth(cond: Column) -> Column:
     return F.coalesce(cond, F.lit(False))
 
 
-def among(x, values) -> Column:
-    return truth(_c(x).isin(list(values)))
-
-
 def flag(cond: Column) -> Column:
     """1/0 integer of a condition, NULL conditions counting as 0."""
     return truth(cond).cast("int")
 
 
-def zero_if_null(x) -> Column:
-    return F.coalesce(_c(x), F.lit(0))
-
-
 def lookup(x, table: dict, default) -> Column:
     """Constant-map lookup with a default for absent keys."""
     entries = [F.lit(v) for kv in table.items() for v in kv]

@@ -59,3 +59,9 @@ def games_processed(tables: dict[str, DataFrame], game: str = "gamepk") -> DataF
     parts = [t.agg(F.countDistinct(game).alias("games")).select(F.lit(n).alias("table_name"), "games")
              for n, t in tables.items()]
     return reduce(DataFrame.unionByName, parts)
+
+
+def distinct_ids(sources: list[tuple[DataFrame, str]], name: str) -> DataFrame:
+    """Every id of the (table, column) sources once, as text; each source is made distinct before they meet."""
+    parts = [d.select(F.col(c).cast("string").alias(name)).distinct() for d, c in sources]
+    return reduce(lambda a, b: a.unionByName(b), parts).distinct()

@@ -11,10 +11,6 @@ from lagwell.operators.clean import batting_order
 from lagwell.operators.joins import role_key
 from lagwell.plans.scale import stage
 
-CATEGORIES = ["pitcher_throw_hand", "batter_bat_side", "weather_condition", "pitcher_role"]
-NOT_FEATURES = ["gamepk", "play_id", "batter_id", "pitcher_id", "pitcher_team_id", "pitcher_key_id", "batter_team_id",
-                "pitcher_name", "batter_name", "game_date", "game_season", "is_hit"]
-
 
 def pa_outcomes(pbp: DataFrame, box: DataFrame, game_info: DataFrame, schedule: DataFrame) -> DataFrame:
     """Distinct outcomes per appearance with date, weather and lineup code; substitutes without a code drop out."""

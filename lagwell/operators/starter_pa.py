@@ -15,6 +15,7 @@ from lagwell.functions.rates import log5, named, named_columns, ratio1_sql, rati
 from lagwell.operators import appearances as P
 from lagwell.operators.base_out import base_out_state
 from lagwell.operators.clean import park_factor, rule_era
+from lagwell.operators.prep import drop_incomplete
 from lagwell.plans.scale import stage
 from lagwell.plans.frames import Feature, back, lagged, last, prior, seven_day_sum, spread
 
@@ -300,7 +301,7 @@ def build(pbp: DataFrame, pitcher_box: DataFrame, batter_box: DataFrame, schedul
         d = d.join(team_oaa(oaa).withColumnRenamed("team_id", "pitcher_team_id"), ["pitcher_team_id", "game_season"], "left")
     else:
         d = d.withColumn("team_oaa_season", F.lit(None).cast("double"))
-    return d.na.drop(subset=required_columns(d)) if complete_only else d
+    return drop_incomplete(d, required_columns(d)) if complete_only else d
 
 
 def required_columns(df: DataFrame) -> list[str]:

@@ -126,7 +126,3 @@ def pipeline_cards(statuses: DataFrame, today: str, cards: list[tuple[str, str,
 def pipeline_summary(cards: DataFrame) -> DataFrame:
     ok = ~F.col("is_stale") & (F.coalesce("error", F.lit("")) == "")
     return cards.agg(F.count_if(ok).alias("ok_count"), F.count_if("is_stale").alias("stale_count"))
-
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)

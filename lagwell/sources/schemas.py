@@ -21,10 +21,6 @@ PITCHER_BOX = """personId string, gamepk string, team_id string, ip float, h flo
 hr float, p float, s float, outcome string, fantasy_points float"""
 PLAYERS = """personId string, player_name string, weight float, height_in_inches int, birthDate timestamp_ntz,
 strikeZoneTop float, strikeZoneBottom float, batSide string, pitchHand string"""
-PREPARED = "player_name string, game_type string, game_date timestamp_ntz, game_datetime timestamp_ntz, game_season int"
-PREDICTIONS = """is_hit int, pred_prob double, batter_name string, game_date string, batting_order int, batSide string,
-pitcher_hand string, game_season int, weather_condition string, weather_temp double, weight double,
-height_in_inches double, strikeZoneTop double, strikeZoneBottom double, last_season_ba double"""
 RUN_STATUS = """function_name string, run_date string, status string, started_at string, completed_at string,
 duration_seconds double, games_processed map<string,bigint>, error string"""
 SCHEDULE_ROWS = """game_pk bigint, home_team_id bigint, away_team_id bigint, home_team_name string, away_team_name string,
@@ -43,16 +39,6 @@ bookmakers array<struct<key:string,markets:array<struct<key:string,outcomes:{OUT
 # Other spellings of key columns.
 ALIASES = {"personId": ["person_id", "player_id", "mlbam_id", "id"], "team_id": ["teamid", "teamId", "team"],
            "gamepk": ["gamePk", "game_pk", "game_id"]}
-ROLES = {
-    "drop": ["batter_player_name", "pitcher_player_name"],
-    "index": ["gamepk", "play_id", "event_index", "pitch_number"],
-    "entity": ["batter_id", "batter_name", "batter_team_id", "batter_team_name", "pitcher_id", "pitcher_name",
-               "pitcher_team_id", "pitcher_team_name"],
-    "context": ["inning", "half_inning", "count_balls", "count_strikes", "count_outs"],
-    "outcome": ["play_result", "is_pitch", "is_in_play", "is_strike", "is_ball", "is_out", "pitch_call"],
-    "batted": ["launch_speed", "launch_angle", "total_distance", "trajectory", "hardness", "hit_location",
-               "hit_coord_x", "hit_coord_y"],
-}
 
 
 def struct(ddl: str) -> T.StructType:

@@ -50,14 +50,18 @@ def read_season(spark: SparkSession, root: str, table: str, season, ddl: str | N
 
 def read_seasons(spark: SparkSession, root: str, table: str, seasons, ddl: str | None = None,
                  casts: dict[str, str] | None = None) -> DataFrame:
-    """Several seasons as one table; drifting columns are cast season by season."""
-    parts = []
+    """Several seasons as one table; seasons of one file schema are one scan, drifting columns are cast in each scan."""
+    scans: dict[str, list[str]] = {}
     for s in seasons:
-        d = read_season(spark, root, table, s, ddl)
-        for c, ty in (casts or {}).items():
-            if c in d.columns:
-                d = d.withColumn(c, F.col(c).cast(ty))
-        parts.append(d)
+        path = f"{root}/{table}/{s}"
+        if not exists(spark, path):
+            raise FileNotFoundError(path)
+        scans.setdefault(spark.read.parquet(path).schema.json(), []).append(path)  # from one footer
+    parts = []
+    for paths in scans.values():
+        d = spark.read.parquet(*paths)
+        d = d.withColumns({c: F.col(c).cast(ty) for c, ty in (casts or {}).items() if c in d.columns})
+        parts.append(conform(d, ddl) if ddl else d)
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
