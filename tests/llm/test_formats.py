@@ -108,3 +108,17 @@ def test_warc_records_link_and_round_trip(spark):
     assert sorted(bytes(r.member) for r in warc.archived(pages).collect()) == sorted(bytes(r.member) for r in warc.serialised(made).collect())
     assert warc.derive(made).count() == 0 and warc.responses(pages.limit(0)).count() == 0
     assert got[0].record_id in {r.record_id for r in warc.derive(answers).collect()}
+
+
+def test_token_table_equals_encoding_whole_texts(spark):
+    import zlib
+    from tokenizers import Tokenizer
+    tok = Tokenizer.from_file(tokenizer_path())
+    tok.encode_special_tokens = True
+    docs = [(5, "Words and numbers 123, été!\n\n  x"), (2, None), (9, "<|endoftext|> the end"), (1, "a " * 40_000 + "zzz"), (7, "")]
+    at = 0
+    got = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in tokens.token_table(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3), tokenizer_path()).collect()}
+    for i, t in sorted(docs):
+        ids = [*tok.encode(t or "", add_special_tokens=False).ids, 0]
+        assert got[i] == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        at += len(ids)

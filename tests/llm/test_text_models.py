@@ -194,3 +194,29 @@ def test_mixture_weights_climb():
     code, n = interpolate.np.array([3 * 4096 * 4096 + 4 * 4096 + 20 + 4097]), np.array([10])
     w = interpolate.weights(code, n, 1000)
     assert np.allclose(w.sum(axis=1), 1) and w[3, 0] > 0.99 and w[0, 0] == 0
+
+
+def test_scores_equal_a_dictionary_model(spark, monkeypatch):
+    learned, real = [], interpolate.weights
+    monkeypatch.setattr(interpolate, "weights", lambda *a: learned.append(real(*a)) or learned[-1])
+    monkeypatch.setattr(interpolate, "BLOCK", 900)
+    r = random.Random(4)
+    docs = [(i, " ".join(r.choices(["The", "the", "cat", "sat", "on", "mat", "été"] + [f"w{k}" for k in range(30)], k=r.randrange(25))) + r.choice(["", "\n"])) for i in range(80)] + [(80, None), (81, "")]
+    got = {x.doc_id: x for x in interpolate.score(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tokens = {i: [*re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(low)), None] for i, t in docs}
+    one, two = Counter(), Counter()
+    for i, ts in tokens.items():
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            one.update(ts)
+            two.update(zip(["<start>", *ts], ts))  # noqa: B905
+    total, types = sum(one.values()), len(one)
+    for i, ts in tokens.items():
+        base = score = 0.0
+        for v, w in zip(["<start>", *ts], ts):  # noqa: B905
+            seen = one[None] if v == "<start>" else one[v]
+            mix = learned[0][math.ceil(math.log2(seen + 1))]
+            score += math.log10(mix[0] * (two[v, w] / seen if seen else 0) + mix[1] * one[w] / total + mix[2] / (types + 1))
+            base += math.log10((one[w] + 1) / (total + types + 1))
+        assert got[i].score == pytest.approx(score) and got[i].base_score == pytest.approx(base)
+        assert (got[i].n_tokens, got[i].n_known, got[i].train_tokens) == (len(ts), sum(one[w] > 0 for w in ts), total)
