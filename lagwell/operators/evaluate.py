@@ -247,8 +247,9 @@ def average_precision(df: DataFrame, y: str, p: str) -> DataFrame:
 
 def metrics_report(df: DataFrame, y: str, p: str, baseline: str | None = None, n_bins: int = 10,
                    min_n: int = 500) -> DataFrame:
-    """Every single-number metric in one row."""
-    bins = quantile_calibration(df, y, p, n_bins, min_n)
+    """Every single-number metric in one row; the predictions are read once and kept as the few columns that all parts need."""
+    df = stage(df.select(*dict.fromkeys([y, p, *([baseline] if baseline else [])])))
+    bins = stage(quantile_calibration(df, y, p, n_bins, min_n))  # a row per bin
     parts = [expected_calibration_error(bins), murphy(df, y, bins), probability_scores(df, y, p, baseline),
              roc_auc(df, y, p), average_precision(df, y, p), decile_spread(df, y, p).drop("p10", "p90")]
     out = parts[0]
