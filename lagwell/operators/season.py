@@ -92,10 +92,11 @@ def pitcher_box_season_roles(box: DataFrame, pbp: DataFrame) -> DataFrame:
 
 # ---- pitch-derived seasons --------------------------------------------------------------
 
-def _pitcher_groups(pbp: DataFrame, keys, entity, extra=()) -> DataFrame:
+def _pitcher_groups(pbp: DataFrame, keys, entity, extra=(), bounded: bool = False) -> DataFrame:
     """Measures of a season straight from pitches, so that Spark's own states merge and no game-level table is built.
 
     Per-game parts (exit state, workload) sit on one pitch of each game and split, marked by windows over the game.
+    bounded: an entity is one player, whose pitches travel as rows, narrower than a hundred sums a player and task.
     """
     d = pbp.na.drop(subset=list(dict.fromkeys([*entity, "gamepk", *keys])))
     at = "CASE WHEN is_last_pitch THEN CAST(play_id AS BIGINT) * 4294967296 + event_index END"
@@ -112,7 +113,7 @@ def _pitcher_groups(pbp: DataFrame, keys, entity, extra=()) -> DataFrame:
         "last_inning_avg_strikes": f"avg({last('count_strikes')})", "last_inning_outs": f"max({last('count_outs')})",
         "game_avg_pitch_count": f"avg({thrown})", "game_std_pitch_count": f"stddev_samp({thrown})",
         "game_max_pitch_count": f"max({thrown})"}
-    return d.groupBy(*keys).agg(*named_columns(m))
+    return (d.repartition(*entity) if bounded else d).groupBy(*keys).agg(*named_columns(m))
 
 
 def _outcome_rates(p: str, fip_parts: bool) -> dict[str, str]:
@@ -169,7 +170,7 @@ def pitcher_season(pbp: DataFrame, role: str | None = None, entity: str = "pitch
     """Stuff, command, outcomes, exit state, workload and contact quality of a season."""
     keys = [entity, "game_season", *extra]
     d = pbp if role is None else pbp.filter(F.col("pitcher_role") == role)
-    d = _pitcher_groups(d, keys, [entity], extra).selectExpr(*keys, *named(_pitcher_columns()))
+    d = _pitcher_groups(d, keys, [entity], extra, entity == "pitcher_id").selectExpr(*keys, *named(_pitcher_columns()))
     return as_last_season(d) if last else d
 
 
