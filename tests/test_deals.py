@@ -27,3 +27,60 @@ def test_pitch_table_deals_pitches_once(exchanges):
 def test_season_roles_take_one_pass(exchanges):
     # pitches, orders of a game, schedule, season
     assert exchanges("season_pitch_roles") <= 5
+
+
+def test_role_lines_take_one_pass(exchanges):
+    # pitches and orders of a game for lines and for roles, schedule of the lines, the rolled lines; two passes more before
+    assert exchanges("rolling_role_collapsed") <= 7
+    # the same, with seasons instead of rolled lines
+    assert exchanges("season_role_stacked") <= 7
+
+
+def test_tagged_lines_keep_every_role(spark):
+    from lagwell.operators.season import role_lines, tag_roles
+    box = spark.createDataFrame([("1", "a", "x", 2023, 4), ("1", "b", "x", 2023, 1), ("1", "c", "x", 2023, 2), ("1", "d", "x", 2023, 8), (None, "a", "x", 2023, 16)],
+                                "gamepk string, personId string, team_id string, game_season int, h long").selectExpr("*", "DATE'2023-04-01' AS game_date")
+    pbp = spark.createDataFrame([("1", "a", "sp"), ("1", "b", "bullpen"), ("1", "c", "bullpen"), ("1", "c", "bullpen"), ("1", "a", "bullpen")],
+                                "gamepk string, pitcher_id string, pitcher_role string")
+    tagged = tag_roles(box, pbp)
+    assert sorted((r.personId, str(r.pitcher_role)) for r in tagged.collect()) == [
+        ("a", "None"), ("a", "bullpen"), ("a", "sp"), ("b", "bullpen"), ("c", "bullpen"), ("d", "None")]
+    got = sorted((r.pitcher_key_id, r.pitcher_role, r.h) for r in role_lines(tagged, ["h"]).collect())
+    assert got == [("a", "sp", 4), ("x", "bullpen", 7)]
+
+
+def test_registry_filled_in_part_is_loaded_whole():
+    import subprocess
+    import sys
+    code = "import harness.q_starters, __spark_entry__ as e; assert len(e.queries()) > 150 and set(e.oracle_sql()) <= set(e.queries())"
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=entry.__file__.rsplit("/", 1)[0])
+
+
+def test_model_frame_is_never_dealt_anew(spark):
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    plan = entry.queries()["model_frame"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set(key, before)
+    # five lookups and the lineup code meet the appearances by game alone; before, three joins were by season and six by further keys
+    assert len(re.findall(r"SortMergeJoin \[gamepk#\d+\], \[_r_gamepk#\d+\]", plan)) >= 5
+
+
+def test_in_game_joins_like_a_plain_join(spark):
+    from lagwell.operators.joins import in_game
+    a = spark.createDataFrame([("1", "x", 1), ("1", "y", 2), ("1", None, 3), (None, "x", 4), ("2", "x", 5)], "gamepk string, k string, v int")
+    b = spark.createDataFrame([("1", "x", 10), ("1", "x", 11), ("2", "y", 12), (None, "x", 13)], "gamepk string, k string, w int")
+    for how in ("left", "inner"):
+        got = in_game(a.repartition(3, "gamepk"), b.repartition(3, "gamepk"), ["k"], how)
+        assert sorted(map(str, got.select("v", "w").collect())) == sorted(map(str, a.join(b, ["gamepk", "k"], how).select("v", "w").collect()))
+
+
+def test_two_windows_are_the_same_as_one_by_one(spark):
+    from lagwell.operators.rolling import batter_box_rolling
+    cols = ["h", "k", "bb", "hr", "ab", "plate_appearances", "total_bases_from_h"]
+    box = spark.range(40).selectExpr("concat('b', id % 3) AS personId", "CAST(id AS STRING) AS gamepk", "date_add(DATE'2023-04-01', CAST(id AS INT)) AS game_date",
+                                     "CAST(2023 + id DIV 20 AS INT) AS game_season", *[f"nullif((id * {i + 3}) % 7, 2) AS {c}" for i, c in enumerate(cols)])
+    key = ["personId", "gamepk", "game_date", "game_season"]
+    both, one, two = batter_box_rolling(box, ["season", 10]), batter_box_rolling(box, "season"), batter_box_rolling(box, 10)
+    apart = one.join(two, key).select(both.columns)
+    assert sorted(map(str, both.collect())) == sorted(map(str, apart.collect())) and both.count() == 40
