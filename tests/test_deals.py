@@ -3,6 +3,7 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 
@@ -84,3 +85,28 @@ def test_two_windows_are_the_same_as_one_by_one(spark):
     both, one, two = batter_box_rolling(box, ["season", 10]), batter_box_rolling(box, "season"), batter_box_rolling(box, 10)
     apart = one.join(two, key).select(both.columns)
     assert sorted(map(str, both.collect())) == sorted(map(str, apart.collect())) and both.count() == 40
+
+
+def test_tidy_rounds_as_the_oracle_does_and_whole_numbers_are_not_rounded(spark):
+    from harness.registry import tidy
+    xs = [0.0, -0.0, 0.5, 1 / 3, -2 / 3, 0.0000005, -0.0000005, 1.0000015, 95.4, -17.25, 999999.9999995, 1e6, 1234567.1234565, 1e15, 3e300,
+          float("nan"), float("inf"), float("-inf"), None]
+    d = spark.createDataFrame([(i, x, i - 9, i % 2 == 0) for i, x in enumerate(xs)], "id int, x double, n long, b boolean")
+    out = tidy(d, ["id"])
+    assert "round(" not in "".join(out.select("n", "b")._jdf.queryExecution().optimizedPlan().toString())
+    for r in out.collect():
+        x, want = xs[r.id], d.selectExpr("round(x + 1e-9D, 6) + 0D AS w", "id").filter(F.col("id") == r.id).first().w
+        assert (r.x is None and want is None) or r.x == want or (r.x != r.x and want != want), x
+        assert r.n == float(r.id - 9) and r.b == float(r.id % 2 == 0)
+
+
+def test_registered_queries_keep_generated_methods_short_enough_for_the_jvm(spark):
+    from harness.registry import QUERIES, load
+    from lagwell.plans.scale import short_methods
+    load()
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "65535")
+    QUERIES["lagged_count"](spark, "/root/testdata/sf0.001")
+    assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "4000")
+    assert short_methods(spark).conf.get("spark.sql.codegen.hugeMethodLimit") == "4000"
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
