@@ -31,10 +31,15 @@ def _scored(model, val):
         "_features", "_scaled", "rawPrediction", "prediction")
 
 
+def _rows(train: DataFrame, target: str, cols: list[str]) -> DataFrame:
+    """What a fit reads, staged: fits go over their rows many times, and each pass would derive them anew."""
+    return stage(train.select(*dict.fromkeys([target, *cols])))
+
+
 def logistic(train: DataFrame, val: DataFrame, target: str, cols: list[str], max_iter: int = 100):
     scale = StandardScaler(inputCol="_features", outputCol="_scaled", withMean=True, withStd=True)
     lr = LogisticRegression(featuresCol="_scaled", labelCol=target, maxIter=max_iter, standardization=False)
-    model = Pipeline(stages=[_vector(cols), scale, lr]).fit(train)
+    model = Pipeline(stages=[_vector(cols), scale, lr]).fit(_rows(train, target, cols))
     return model, _scored(model, val)
 
 
@@ -42,7 +47,7 @@ def forest(train: DataFrame, val: DataFrame, target: str, cols: list[str], trees
     """Random forest with leaves of five rows and square-root feature sampling."""
     rf = RandomForestClassifier(featuresCol="_features", labelCol=target, numTrees=trees, maxDepth=depth,
                                 minInstancesPerNode=5, featureSubsetStrategy="sqrt", seed=seed)
-    model = Pipeline(stages=[_vector(cols), rf]).fit(train)
+    model = Pipeline(stages=[_vector(cols), rf]).fit(_rows(train, target, cols))
     return model, _scored(model, val)
 
 
@@ -52,7 +57,7 @@ def boosted(train: DataFrame, val: DataFrame, target: str, cols: list[str], roun
     both = train.withColumn("_val", F.lit(False)).unionByName(val.withColumn("_val", F.lit(True)))
     gbt = GBTClassifier(featuresCol="_features", labelCol=target, maxIter=rounds, maxDepth=depth, stepSize=rate, seed=seed,
                         validationIndicatorCol="_val")
-    model = Pipeline(stages=[_vector(cols), gbt]).fit(both)
+    model = Pipeline(stages=[_vector(cols), gbt]).fit(_rows(both, target, [*cols, "_val"]))
     return model, _scored(model, val)
 
 
@@ -60,7 +65,7 @@ def poisson(train: DataFrame, val: DataFrame, target: str, cols: list[str]):
     """Log-linear Poisson regression, to compare boosted counts with."""
     glm = GeneralizedLinearRegression(featuresCol="_features", labelCol=target, family="poisson", link="log",
                                       predictionCol="prediction", regParam=1e-6)
-    model = Pipeline(stages=[_vector(cols), glm]).fit(train)
+    model = Pipeline(stages=[_vector(cols), glm]).fit(_rows(train, target, cols))
     return model, model.transform(val).drop("_features")
 
 
@@ -147,11 +152,8 @@ def poisson_deviance(df: DataFrame, target: str, prediction: str) -> DataFrame:
 
 # ---- permutation importance --------------------------------------------------------------
 
-def dealt_out(number: str, count: int, seed: int, draw: str) -> Column:
-    """A keyed bijection of 0..count-1: alternating Feistel rounds over the next power of two, walked until the place is in range.
-
-    Which place a number goes to depends on count, seed and draw alone.
-    """
+def _rounds(count: int, seed: int, draw: str):
+    """Feistel rounds over the next power of two as an expression of a place, and the width and masks of its halves."""
     bits = max(2, (count - 1).bit_length())
     low = bits // 2
     mask_low, mask_high = (1 << low) - 1, (1 << bits - low) - 1
@@ -159,8 +161,34 @@ def dealt_out(number: str, count: int, seed: int, draw: str) -> Column:
     rounds = lambda x: f"""aggregate(array(0, 1, 2, 3, 4, 5), named_struct('h', shiftright({x}, {low}), 'l', {x} & {mask_low}L), (s, k) ->
         CASE WHEN k % 2 = 0 THEN named_struct('h', s.h ^ (xxhash64({seed}L, {draw}, k, s.l) & {mask_high}L), 'l', s.l)
         ELSE named_struct('h', s.h, 'l', s.l ^ (xxhash64({seed}L, {draw}, k, s.h) & {mask_low}L)) END, s -> shiftleft(s.h, {low}) | s.l)"""
-    # a walk stays out of range with a chance under a half each time: 128 steps are never all needed
-    return F.expr(f"aggregate(sequence(1, 128), {rounds(f'CAST({number} AS BIGINT)')}, (a, i) -> CASE WHEN a < {count} THEN a ELSE {rounds('a')} END)")
+    return rounds, low, mask_low, mask_high
+
+
+def dealt_out(number: str, count: int, seed: int, draw: str) -> Column:
+    """A keyed bijection of 0..count-1: alternating Feistel rounds over the next power of two, walked until the place is in range.
+
+    Which place a number goes to depends on count, seed and draw alone.
+    """
+    rounds = _rounds(count, seed, draw)[0]
+    return F.expr(f"get(transform(array({rounds(f'CAST({number} AS BIGINT)')}), a -> {_walk(count, rounds)}), 0)")
+
+
+def deal_out(df: DataFrame, number: str, count: int, seed: int, draw: str) -> DataFrame:
+    """df with each number in its place of `dealt_out`. The first rounds, which are all for most rows, are plain columns that Spark compiles."""
+    rounds, low, mask_low, mask_high = _rounds(count, seed, draw)
+    kept = [c for c in df.columns if c != number]
+    d = df.selectExpr(*kept, f"shiftright(CAST({number} AS BIGINT), {low}) AS _h", f"CAST({number} AS BIGINT) & {mask_low}L AS _l")
+    for k in range(6):
+        to, by, mask = ("_h", "_l", mask_high) if k % 2 == 0 else ("_l", "_h", mask_low)
+        d = d.selectExpr(*kept, by, f"{to} ^ (xxhash64({seed}L, {draw}, {k}, {by}) & {mask}L) AS {to}")
+    d = d.selectExpr(*kept, f"shiftleft(_h, {low}) | _l AS _a")
+    return d.selectExpr(*kept, f"CASE WHEN _a < {count} THEN _a ELSE get(transform(array(_a), a -> {_walk(count, rounds)}), 0) END AS {number}")
+
+
+def _walk(count: int, rounds) -> str:
+    """Rounds until place a is in range; it stays out with a chance under a half each time, so 128 are never all needed, and 8 seldom."""
+    walk = lambda steps, then: f"CASE WHEN a < {count} THEN a ELSE {then(f'aggregate(sequence(1, {steps}), a, (a, i) -> CASE WHEN a < {count} THEN a ELSE {rounds("a")} END)')} END"
+    return walk(8, lambda x: f"get(transform(array({x}), a -> {walk(120, lambda y: y)}), 0)")
 
 
 def permutation_importance(model, val: DataFrame, target: str, cols: list[str], key: list[str], repeats: int = 20,
@@ -168,8 +196,9 @@ def permutation_importance(model, val: DataFrame, target: str, cols: list[str],
     """Mean and deviation of the rise in absolute error when a column is shuffled.
 
     Rows are numbered once, in the order of their key, which must be unique. A repeat sends the value of each row to the row that a
-    keyed bijection names, so a column's repeats are one join on numbers and one job, and no draw depends on partitioning. A row
-    gets its values of all repeats as one short array, so the other columns are not copied before the model sees them.
+    keyed bijection names, so a column's repeats are one join on numbers and one job, and no draw depends on partitioning. The
+    values travel alone and meet their row in a sorted merge, whose size in memory doesn't grow with the rows: Spark's estimate
+    doesn't know how many rows the repeats make and would broadcast them.
     """
     rows = stage(numbered(val, key, "_n"))
     count = rows.count()
@@ -178,9 +207,8 @@ def permutation_importance(model, val: DataFrame, target: str, cols: list[str],
     runs = []
     for i, c in enumerate(cols):  # one job per column
         draws = F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("_r")
-        sent = rows.select("_n", F.col(c).alias("_v"), draws).select(dealt_out("_n", count, seed + i, "_r").alias("_n"), "_r", "_v")
-        given = sent.groupBy("_n").agg(F.array_sort(F.collect_list(F.struct("_r", "_v"))).alias("_g"))  # `repeats` values
-        mixed = rows.drop(c).join(given, "_n").select("*", F.explode("_g").alias("_x")).select("*", "_x._r", F.col("_x._v").alias(c)).drop("_g", "_x")
+        sent = deal_out(rows.select("_n", c, draws), "_n", count, seed + i, "_r")
+        mixed = rows.drop(c).join(sent.hint("merge"), "_n")
         runs += [(c, r["_r"], r["mae"]) for r in model.transform(mixed).groupBy("_r").agg(mae(mixed)).collect()]
     d = val.sparkSession.createDataFrame(runs, "feature string, draw int, mae double").withColumn("rise", F.col("mae") - F.lit(base))
     return d.groupBy("feature").agg(F.avg("rise").alias("importance"), F.stddev_pop("rise").alias("std")).orderBy(

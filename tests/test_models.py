@@ -64,6 +64,35 @@ def test_every_draw_is_a_bijection(spark, count):
         assert abs(np.corrcoef(np.arange(count), got[0])[0, 1]) < 0.4
 
 
+@pytest.mark.parametrize("count", [1, 5, 64, 1000])
+def test_compiled_draws_are_the_same_draws(spark, count):
+    d = spark.range(count).select("id", F.explode(F.array(F.lit(0), F.lit(7))).alias("r"), F.col("id").alias("was"))
+    to = {(x.was, x.r): x.id for x in ml.deal_out(d, "id", count, 43, "r").collect()}
+    assert to == {(x.was, x.r): x.to for x in d.select("was", "r", ml.dealt_out("id", count, 43, "r").alias("to")).collect()}
+
+
+class _Plans:
+    """A model of one column that keeps the plans of what it is given."""
+
+    def __init__(self):
+        self.plans = []
+
+    def transform(self, d):
+        self.plans.append(d._jdf.queryExecution().executedPlan().toString())
+        return d.withColumn("prediction", F.col("a"))
+
+
+def test_shuffled_values_are_merged_and_never_broadcast_or_gathered(spark):
+    m = _Plans()
+    ml.permutation_importance(m, spark.range(50).selectExpr("id", "cast(id AS double) AS a", "cast(id AS double) AS y"), "y", ["a"], ["id"], repeats=3)
+    assert "SortMergeJoin" in m.plans[1] and "Broadcast" not in m.plans[1].split("SortMergeJoin")[0] and "collect_list" not in m.plans[1]
+
+
+def test_fits_read_staged_rows(spark):
+    d = spark.range(40).selectExpr("cast(id % 2 AS int) AS y", "cast(id AS double) AS a")
+    assert [f for f in ml._rows(d, "y", ["a"]).inputFiles() if "lagwell-" in f]
+
+
 class _Sum:
     """A model whose prediction is 3 a + b."""
 
