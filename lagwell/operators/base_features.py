@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lagwell.operators.clean import capped_rates, decimal_innings, drop_seasons
+from lagwell.operators.joins import in_game
 from lagwell.plans.frames import Feature, lagged, last, prior, spread
 
 ORDER = ["game_date", "gamepk"]
@@ -92,7 +93,8 @@ def starter_features(box: DataFrame, starters: DataFrame) -> DataFrame:
 def bullpen_games(box: DataFrame, starters: DataFrame) -> DataFrame:
     """Team totals per game over pitchers who did not start, with capped rates."""
     s = starters.select("gamepk", "team_id", F.col("starter_id").alias("personId"))
-    r = decimal_innings(drop_seasons(box).join(s, ["gamepk", "team_id", "personId"], "left_anti"))
+    # lines and starters meet in their game, whose totals stay where it was dealt: tasks are as many as the games need
+    r = decimal_innings(in_game(drop_seasons(box), s, ["team_id", "personId"], "left_anti"))
     g = r.groupBy("team_id", "gamepk", "game_date", "game_season").agg(
         F.sum("ip_true").alias("ip_true"),
         *[F.sum(c).cast("double").alias(c) for c in ("h", "er", "bb", "k", "hr")],

@@ -37,6 +37,21 @@ def test_role_lines_take_one_pass(exchanges):
     assert exchanges("season_role_stacked") <= 7
 
 
+def test_bullpen_lines_stay_where_their_game_was_dealt(exchanges):
+    # pitches and orders of a game for lines and for starters, schedule; lines, starters and what is left of them were dealt anew before
+    assert exchanges("bullpen_game_totals") <= 5
+
+
+def test_lines_without_a_team_are_relievers_and_starters_drop_out(spark):
+    from lagwell.operators.base_features import bullpen_games
+    box = spark.createDataFrame([("g", t, p, 2019, 1.0, 1, 1, 1, 1, 1) for t, p in (("t1", "a"), ("t1", "b"), ("t2", "a"), (None, "c"))],
+                                "gamepk string, team_id string, personId string, game_season int, ip double, h int, er int, bb int, k int, hr int")
+    box = box.withColumn("game_date", F.expr("timestamp_ntz'2019-04-01 00:00:00'"))
+    st = spark.createDataFrame([("g", "t1", "a", "A")], "gamepk string, team_id string, starter_id string, starter_name string")
+    got = {r.team_id: (r.bp_pitchers, r.bp_h_sum) for r in bullpen_games(box, st).collect()}
+    assert got == {"t1": (1, 1.0), "t2": (1, 1.0), None: (1, 1.0)}
+
+
 def test_tagged_lines_keep_every_role(spark):
     from lagwell.operators.season import role_lines, tag_roles
     box = spark.createDataFrame([("1", "a", "x", 2023, 4), ("1", "b", "x", 2023, 1), ("1", "c", "x", 2023, 2), ("1", "d", "x", 2023, 8), (None, "a", "x", 2023, 16)],
