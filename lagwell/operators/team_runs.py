@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lagwell.functions.rates import babip, lob_pct, obp, safe_div, woba
 from lagwell.operators.clean import capped_rates, drop_seasons
-from lagwell.operators.joins import opponent, with_pythagorean
+from lagwell.operators.joins import in_game, opponent, with_pythagorean
 from lagwell.operators.pitches import starters
 from lagwell.plans.frames import Feature, lagged, last
 
@@ -58,7 +58,7 @@ def starter_series(pitchers: DataFrame, strategy: str = "innings_pitched") -> Da
     pitchers holds ip_true (decimal innings).
     """
     st = starters(pitchers, strategy).withColumnRenamed("starter_id", "personId")
-    d = capped_rates(pitchers.join(st, ["gamepk", "team_id", "personId"], "left_semi"), suffix="_gm")
+    d = capped_rates(in_game(pitchers, st, ["team_id", "personId"], "left_semi"), suffix="_gm")
     cols = {f"sp_{c}": f"{c}_gm" for c in ("era", "whip", "k9", "bb9", "hr9")} | {"sp_ip": "ip_true"}
     return _means(d, "personId", cols, (5, 10), "{col}_{w}s").select(
         "gamepk", "team_id", *[f"{n}_{w}s" for n in cols for w in (5, 10)])

@@ -42,6 +42,20 @@ def test_bullpen_lines_stay_where_their_game_was_dealt(exchanges):
     assert exchanges("bullpen_game_totals") <= 5
 
 
+def test_starter_series_deals_lines_by_starter_alone(spark):
+    from lagwell.operators.team_runs import starter_series
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    box = spark.createDataFrame([("g", "t", "a", 2019, 1.0, 1, 1, 1, 1, 1)],
+                                "gamepk string, team_id string, personId string, game_season int, ip_true double, h int, er int, bb int, k int, hr int")
+    box = box.withColumn("game_date", F.expr("timestamp_ntz'2019-04-01 00:00:00'")).repartition(3, "gamepk")
+    plan = starter_series(box)._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set(key, before)
+    # lines and starters by game, the starters' lines by person; both were dealt by game, team and person before
+    assert not re.search(r"hashpartitioning\(gamepk#\d+L?, team_id#\d+L?, personId", plan)
+
+
 def test_lines_without_a_team_are_relievers_and_starters_drop_out(spark):
     from lagwell.operators.base_features import bullpen_games
     box = spark.createDataFrame([("g", t, p, 2019, 1.0, 1, 1, 1, 1, 1) for t, p in (("t1", "a"), ("t1", "b"), ("t2", "a"), (None, "c"))],
