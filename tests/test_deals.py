@@ -139,3 +139,35 @@ def test_registered_queries_keep_generated_methods_short_enough_for_the_jvm(spar
     spark.conf.set("spark.sql.codegen.hugeMethodLimit", "4000")
     assert short_methods(spark).conf.get("spark.sql.codegen.hugeMethodLimit") == "4000"
     spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+
+
+def test_state_machine_looks_no_hands_up(exchanges):
+    # pitches and orders of a game; pitches were dealt by batter, by pitcher and by game again before
+    assert exchanges("state_machine") <= 2
+
+
+def test_starters_measures_leave_relievers_out(exchanges):
+    # pitches and orders of a game for measures and for lines, schedule of the lines, lines and measures by game and person, windows
+    assert exchanges("pitcher_windows") <= 8
+
+
+def test_base_out_state_is_read_without_the_other_columns(spark):
+    from lagwell.operators.base_out import base_out_state
+    pa = spark.createDataFrame([("g", "top", 1, i, e, "x") for i, e in enumerate(("walk", None, "single", "home_run"))] + [("g", None, 1, 9, "walk", "x")],
+                               "gamepk string, half_inning string, inning int, event_index int, event_type string, other string")
+    out = base_out_state(pa)
+    assert {r.event_index: r.base_out_state for r in out.collect()} == {0: 0, 1: 1, 2: 1, 3: 3, 9: None}
+    # rows stay as they are: no list of whole rows is gathered
+    assert "other" not in "".join(x for x in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "collect_list" in x)
+
+
+def test_starter_events_keep_a_starters_measures(spark):
+    from lagwell.operators import appearances as P
+    schema = ("gamepk string, play_id int, event_index int, pitch_number int, batter_id string, pitcher_id string, pitcher_team_id string, inning int, count_balls int, "
+              "count_strikes int, play_result string, pitch_call_code string, is_pitch boolean, is_in_play boolean, zone int, launch_speed double, launch_angle double, "
+              "trajectory string, start_speed double, spin_rate double, release_pos_y double, break_horizontal double, break_vertical_induced double")
+    rows = [("g", i, i, 1, "b", p, "t", 1 + i // 3, i % 4, i % 3, "Single", "C", True, False, 5, None, None, None, 90.0 + i, 2000.0, 50.0, 1.0, 2.0)
+            for i, p in enumerate(("a", "a", "b", "b", "a"))]
+    ev = P.events(spark.createDataFrame(rows, schema))
+    whole = P.pitcher_measures(P.play_partials(ev)).filter("is_starter").collect()
+    assert P.pitcher_measures(P.play_partials(P.starter_events(ev)), dealt=True).collect() == whole and len(whole) == 1
