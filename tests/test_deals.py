@@ -168,6 +168,9 @@ def test_starter_events_keep_a_starters_measures(spark):
               "trajectory string, start_speed double, spin_rate double, release_pos_y double, break_horizontal double, break_vertical_induced double")
     rows = [("g", i, i, 1, "b", p, "t", 1 + i // 3, i % 4, i % 3, "Single", "C", True, False, 5, None, None, None, 90.0 + i, 2000.0, 50.0, 1.0, 2.0)
             for i, p in enumerate(("a", "a", "b", "b", "a"))]
-    ev = P.events(spark.createDataFrame(rows, schema))
-    whole = P.pitcher_measures(P.play_partials(ev)).filter("is_starter").collect()
-    assert P.pitcher_measures(P.play_partials(P.starter_events(ev)), dealt=True).collect() == whole and len(whole) == 1
+    pbp = spark.createDataFrame(rows, schema)
+    whole = P.pitcher_measures(P.play_partials(P.events(pbp))).filter("is_starter").collect()
+    assert P.pitcher_measures(P.play_partials(P.events(pbp, only="starters")), dealt=True).collect() == whole and len(whole) == 1
+    people = spark.createDataFrame([("a", "L", "S"), ("b", "S", "L")], "personId string, batSide string, pitchHand string")
+    whole, faced = ([r.asDict() for r in P.appearances(*x).orderBy("play_id").collect()] for x in ((P.events(pbp, people),), (P.events(pbp, only="faced"), people)))
+    assert faced == whole and len(whole) == 3 and whole[0]["platoon_advantage"] == 1
