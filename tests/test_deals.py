@@ -174,3 +174,33 @@ def test_starter_events_keep_a_starters_measures(spark):
     people = spark.createDataFrame([("a", "L", "S"), ("b", "S", "L")], "personId string, batSide string, pitchHand string")
     whole, faced = ([r.asDict() for r in P.appearances(*x).orderBy("play_id").collect()] for x in ((P.events(pbp, people),), (P.events(pbp, only="faced"), people)))
     assert faced == whole and len(whole) == 3 and whole[0]["platoon_advantage"] == 1
+
+
+def test_seasons_of_games_are_the_same_as_seasons_of_pitches(spark):
+    from harness import tables as t
+    from lagwell.operators import partials as P
+    from lagwell.operators import season as S
+    from conftest import close, rows
+    pbp = t.pitches(spark, SF).cache()
+    games = P.pitcher_games(S.with_role_key(pbp, "pitcher_id", "pitcher_team_id"), S.ROLE_KEY)
+    got, want = (rows(d, *S.ROLE_KEY, "game_season") for d in (S.pitcher_season_of_games(games), S.pitcher_season_roles(pbp)))
+    pbp.unpersist()
+    assert len(got) == len(want) > 0 and set(got[0]) == set(want[0])
+    assert all(close(a[c], b[c]) for a, b in zip(got, want) for c in b)
+
+
+def test_windows_of_games_are_dealt_once(spark):
+    from lagwell.operators.rolling import batter_box_rolling
+    cols = ["h", "k", "bb", "hr", "ab", "plate_appearances", "total_bases_from_h"]
+    box = spark.range(40).selectExpr("concat('b', id % 3) AS personId", "CAST(id AS STRING) AS gamepk", "date_add(DATE'2023-04-01', CAST(id AS INT)) AS game_date",
+                                     "CAST(2023 + id DIV 20 AS INT) AS game_season", "id % 2 = 0 AS _met", *[f"nullif((id * {i + 3}) % 7, 2) AS {c}" for i, c in enumerate(cols)])
+    once, plain = batter_box_rolling(box, ["season", 10], ["_met"], 5), batter_box_rolling(box, ["season", 10])
+    # by batter, and by batter and season before
+    assert len(re.findall(r"Exchange hash", once._jdf.queryExecution().executedPlan().toString())) == 1
+    assert sorted(map(str, once.drop("_met").collect())) == sorted(map(str, plain.collect())) and once.filter("_met").count() == 20
+
+
+def test_model_frame_stages_only_games_that_are_asked_for(spark):
+    plan = entry.queries()["model_frame"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    # lookups of batters, of pitchers' lines and of their pitches; whole tables travelled to the games before
+    assert len(re.findall(r"Filter .*_met#", plan)) >= 3
