@@ -204,3 +204,41 @@ def test_model_frame_stages_only_games_that_are_asked_for(spark):
     plan = entry.queries()["model_frame"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     # lookups of batters, of pitchers' lines and of their pitches; whole tables travelled to the games before
     assert len(re.findall(r"Filter .*_met#", plan)) >= 3
+
+
+def test_starter_frame_is_never_dealt_anew(spark):
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    plan = entry.queries()["starter_pa_frame"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set(key, before)
+    # pitchers and batters meet the appearances in their game; the frame was dealt by game and pitcher, by game and batter and by season
+    # before. What is left by game and batter is the teams' discipline.
+    assert not re.search(r"SortMergeJoin \[(gamepk#\d+, pitcher_id#\d+|game_season#\d+)\]", plan)
+    assert len(re.findall(r"SortMergeJoin \[gamepk#\d+, batter_id#\d+\]", plan)) <= 1
+    assert len(re.findall(r"Filter .*_met#", plan)) >= 2
+
+
+def test_events_of_starters_and_of_faced_plays_hold_both(spark):
+    from harness import tables as t
+    from harness.q_starters import _people
+    from lagwell.operators import appearances as P
+    from conftest import close, rows
+    # a pitcher who starts for one team and relieves for the other in a play that no starter of it threw in
+    raw = t.pitches_raw(spark, SF).filter("CAST(gamepk AS INT) < 60").cache()
+    odd = raw.filter("gamepk = '1'").selectExpr("* EXCEPT (pitcher_id, pitcher_team_id)", "'both' AS pitcher_id", "CASE WHEN inning > 4 THEN 'z' ELSE pitcher_team_id END AS pitcher_team_id")
+    first = odd.limit(1).selectExpr("* EXCEPT (pitcher_id, pitcher_team_id, inning, event_index, play_id)", "'other' AS pitcher_id", "'z' AS pitcher_team_id",
+                                    "0 AS inning", "-1 AS event_index", "99 AS play_id")
+    raw = raw.filter("gamepk <> '1'").unionByName(odd).unionByName(first).repartition(3, "gamepk").cache()
+    people = _people(spark, SF)
+    kept = P.events(raw, dealt=True, only="either")
+    got = P.pitcher_measures(P.play_partials(P.with_hands(kept.filter("_theirs"), people)))
+    want = P.pitcher_measures(P.play_partials(P.events(raw, people))).filter("is_starter")
+    got, want = rows(got, "gamepk", "pitcher_id"), rows(want, "gamepk", "pitcher_id")
+    assert len(got) == len(want) > 100 and all(close(a[c], b[c]) for a, b in zip(got, want) for c in b)
+    got, want = (rows(P.appearances(e, people), "gamepk", "play_id") for e in (kept, P.events(raw)))
+    assert got == [{c: r[c] for c in got[0]} for r in want] and len(got) > 30
+    # hands that travel as ids of a game
+    got, want = (rows(P.batter_measures(P.play_partials(e)), "gamepk", "batter_id") for e in (P.events(raw, people, dealt=3), P.events(raw, people)))
+    assert len(got) == len(want) and all(close(a[c], b[c]) for a, b in zip(got, want) for c in b)
+    raw.unpersist()
