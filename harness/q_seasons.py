@@ -422,7 +422,7 @@ def per_game_partials(spark, d):
        rolling_pitcher_sql("pitcher_id", 10, "true", "pitcher_roll_last10g_"), ["pbp"])
 def rolling_pbp(spark, d):
     from lagwell.operators.rolling import pitcher_pitch_rolling
-    return pitcher_pitch_rolling(t.pitches(spark, d), 10).drop("game_date")
+    return pitcher_pitch_rolling(t.pitches(spark, d, "pitcher_id"), 10).drop("game_date")
 
 
 @query("rolling_pbp_roles", ["pitcher_key_id", "gamepk", "pitcher_role"],

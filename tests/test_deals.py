@@ -242,3 +242,14 @@ def test_events_of_starters_and_of_faced_plays_hold_both(spark):
     got, want = (rows(P.batter_measures(P.play_partials(e)), "gamepk", "batter_id") for e in (P.events(raw, people, dealt=3), P.events(raw, people)))
     assert len(got) == len(want) and all(close(a[c], b[c]) for a, b in zip(got, want) for c in b)
     raw.unpersist()
+
+
+def test_rolling_pitches_travel_before_they_are_summed_per_game(spark):
+    from harness import tables as t
+    plan = entry.queries()["rolling_pbp"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    # wide sums of a pitcher's game, of which most pitches here have their own, travelled before
+    assert plan.index("HashAggregate(keys=[pitcher_id") < plan.index("Exchange hashpartitioning(pitcher_id")
+    assert len(re.findall(r"Exchange hashpartitioning\(pitcher_id", plan)) == 1
+    by, plain = t.pitches(spark, SF, "pitcher_id"), t.pitches(spark, SF)
+    assert set(by.columns) == set(plain.columns)
+    assert sorted(map(str, by.select(plain.columns).collect())) == sorted(map(str, plain.collect()))
