@@ -36,6 +36,16 @@ def _rows(train: DataFrame, target: str, cols: list[str]) -> DataFrame:
     return stage(train.select(*dict.fromkeys([target, *cols])))
 
 
+def _alike(rows: DataFrame, cols: list[str]) -> DataFrame:
+    """Rows ordered inside their partitions, by the columns with the fewest values first.
+
+    A forest sends every row through all its trees at each level; rows alike that follow one another take the same nodes and bins,
+    which then stay in the processor's cache.
+    """
+    n = rows.agg(*[F.approx_count_distinct(c).alias(c) for c in cols]).first()
+    return rows.sortWithinPartitions(*sorted(cols, key=lambda c: (n[c], c)))
+
+
 def logistic(train: DataFrame, val: DataFrame, target: str, cols: list[str], max_iter: int = 100):
     scale = StandardScaler(inputCol="_features", outputCol="_scaled", withMean=True, withStd=True)
     lr = LogisticRegression(featuresCol="_scaled", labelCol=target, maxIter=max_iter, standardization=False)
@@ -47,7 +57,7 @@ def forest(train: DataFrame, val: DataFrame, target: str, cols: list[str], trees
     """Random forest with leaves of five rows and square-root feature sampling."""
     rf = RandomForestClassifier(featuresCol="_features", labelCol=target, numTrees=trees, maxDepth=depth,
                                 minInstancesPerNode=5, featureSubsetStrategy="sqrt", seed=seed)
-    model = Pipeline(stages=[_vector(cols), rf]).fit(_rows(train, target, cols))
+    model = Pipeline(stages=[_vector(cols), rf]).fit(_alike(_rows(train, target, cols), cols))
     return model, _scored(model, val)
 
 

@@ -155,3 +155,17 @@ def test_bootstrap_of_many_distinct_losses_is_fast_and_near_the_normal_interval(
     half = 1.96 * loss.std() / math.sqrt(len(loss))
     assert r["n"] == 50_000 and r["point"] == pytest.approx(loss.mean())
     assert (r["hi"] - r["lo"]) / 2 == pytest.approx(half, rel=0.1) and took < 5
+
+
+def test_forest_rows_are_ordered_by_the_fewest_values_and_all_kept(spark):
+    d = spark.range(4000).selectExpr("id", "CAST((id * 7919) % 1009 AS DOUBLE) AS many", "CAST((id * 31) % 5 AS DOUBLE) AS few").repartition(3, "id")
+    d = d.withColumn("y", F.expr("CAST(few + many / 500 + (id % 3) > 4 AS INT)"))
+    out = ml._alike(d, ["many", "few"])
+    got = [[(r.few, r.many) for r in p] for p in out.rdd.glom().collect()]
+    assert all(p == sorted(p) for p in got) and sum(map(len, got)) == 4000
+    assert sorted(r.id for r in out.collect()) == list(range(4000))
+    # a forest of other draws, as any other order of rows gives, that tells the rows apart as well
+    scored = ml.forest(d, d, "y", ["many", "few"], trees=20, depth=5)[1]
+    p = F.greatest(F.least("probability", F.lit(1 - 1e-9)), F.lit(1e-9))
+    loss = scored.agg(F.avg(-F.log(F.when(F.col("y") == 1, p).otherwise(1 - p)))).first()[0]
+    assert scored.count() == 4000 and loss < 0.45
